@@ -247,7 +247,8 @@ def simplify_curves(lut: DataFrame, keys: list[str], tolerance: float = 0.01, si
         ax, bx = F.col("a") / float(last), F.col("b") / float(last)
         off = F.abs(F.col("v") - (F.col("ya") + (x - ax) / (bx - ax) * (F.col("yb") - F.col("ya"))))
         inner = points.where((F.col("i") > F.col("a")) & (F.col("i") < F.col("b"))).withColumn("d", off).where(F.col("d") > tolerance)
-        worst = inner.groupBy(*keys, "a").agg(F.max(F.struct("d", -F.col("i"), "v")).alias("w"))
+        # Distances within 1e-9 count as equal, and then the earlier point wins.
+        worst = inner.groupBy(*keys, "a").agg(F.max(F.struct(F.round("d", 9).alias("d"), -F.col("i"), "v")).alias("w"))
         split = cut_lineage(worst.select(*keys, "a", (-F.col("w.col2")).alias("at"), F.col("w.v").alias("y_at")))
         if split.isEmpty():
             break

@@ -236,7 +236,7 @@ _OFF = "abs(lst[k + 1] - (lst[a + 1] + (k / 255.0::DOUBLE - a / 255.0::DOUBLE) /
     + f""", lists AS (SELECT curve_id, list(v ORDER BY i) AS lst FROM samples GROUP BY curve_id),
 seg AS (SELECT curve_id, lst, 0 AS a, 255 AS b FROM lists
   UNION ALL SELECT curve_id, lst, CASE WHEN side = 0 THEN a ELSE cut END, CASE WHEN side = 0 THEN cut ELSE b END
-  FROM (SELECT curve_id, lst, a, b, CAST(-(list_reverse_sort(list_transform(list_filter(range(a + 1, b), lambda k: {_OFF} > 0.01), lambda k: {{'d': {_OFF}, 'k': -k}}))[1]).k AS INTEGER) AS cut FROM seg) s,
+  FROM (SELECT curve_id, lst, a, b, CAST(-(list_reverse_sort(list_transform(list_filter(range(a + 1, b), lambda k: {_OFF} > 0.01), lambda k: {{'d': round({_OFF}, 9), 'k': -k}}))[1]).k AS INTEGER) AS cut FROM seg) s,
     (VALUES (0), (1)) sides(side) WHERE cut IS NOT NULL),
 kept AS (SELECT DISTINCT curve_id, a AS i FROM seg UNION SELECT DISTINCT curve_id, b FROM seg)
 SELECT kept.curve_id, kept.i, floor(kept.i / 255.0::DOUBLE * 1000 + 0.5) / 1000.0::DOUBLE AS x, floor(v * 1000 + 0.5) / 1000.0::DOUBLE AS y FROM kept JOIN samples USING (curve_id, i)""",
