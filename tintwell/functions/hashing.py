@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tintwell.functions.color import let
+
 MASK = 0xFFFFFFFF
 
 
@@ -23,11 +25,14 @@ def wrap_mul(a: Column, b: Column | int) -> Column:
 
 def pcg(v: Column) -> Column:
     """One PCG-style permutation of an unsigned 32-bit value."""
-    s = _u32(wrap_mul(_u32(v.cast("bigint")), 747796405) + 2891336453)
-    shift = (F.shiftright(s, 28) + 4).cast("int")
-    # Integer division by a power of two is the unsigned shift by a column.
-    word = wrap_mul(F.floor(s / F.pow(F.lit(2.0), shift.cast("double"))).cast("bigint").bitwiseXOR(s), 277803737)
-    return F.shiftright(word, 22).bitwiseXOR(word)
+
+    def permute(s: Column) -> Column:
+        shift = (F.shiftright(s, 28) + 4).cast("double")
+        # Integer division by a power of two is the unsigned shift by a column.
+        mixed = F.floor(s / F.pow(F.lit(2.0), shift)).cast("bigint").bitwiseXOR(s)
+        return let(mixed, lambda m: let(wrap_mul(m, 277803737), lambda w: F.shiftright(w, 22).bitwiseXOR(w)))
+
+    return let(_u32(v.cast("bigint")), lambda u: let(_u32(wrap_mul(u, 747796405) + 2891336453), permute))
 
 
 def pcg_uniform(base: Column, k: int) -> Column:
@@ -38,7 +43,12 @@ def pcg_uniform(base: Column, k: int) -> Column:
 
 def mulberry(seed: Column, k: int = 0) -> Column:
     """Draw number k of a Mulberry32 stream with the given seed, uniform in [0, 1)."""
-    a = _u32(_u32(seed.cast("bigint")) + (((k + 1) * 0x6D2B79F5) & MASK))
-    t = wrap_mul(a.bitwiseXOR(F.shiftright(a, 15)), a.bitwiseOR(F.lit(1).cast("bigint")))
-    t = _u32(t + wrap_mul(t.bitwiseXOR(F.shiftright(t, 7)), t.bitwiseOR(F.lit(61).cast("bigint")))).bitwiseXOR(t)
-    return t.bitwiseXOR(F.shiftright(t, 14)) / 4294967296.0
+    one, odd = F.lit(1).cast("bigint"), F.lit(61).cast("bigint")
+
+    def finish(t: Column) -> Column:
+        return _u32(t + wrap_mul(t.bitwiseXOR(F.shiftright(t, 7)), t.bitwiseOR(odd))).bitwiseXOR(t)
+
+    def mix(a: Column) -> Column:
+        return let(wrap_mul(a.bitwiseXOR(F.shiftright(a, 15)), a.bitwiseOR(one)), lambda t: let(finish(t), lambda u: u.bitwiseXOR(F.shiftright(u, 14))))
+
+    return let(_u32(_u32(seed.cast("bigint")) + (((k + 1) * 0x6D2B79F5) & MASK)), mix) / 4294967296.0
