@@ -127,7 +127,7 @@ def j9_coalesce_frames(spark, folder):
     return out.select("project", F.floor(B.micros("frame") / 3_600_000_000).alias("frame"), "changes", "last_seq", "value")
 
 
-REQS = """req AS (SELECT project AS client, seq AS request_id, seq FROM changes WHERE section = 'click'), resp AS (SELECT project AS client, seq, us - key * 1800000000 AS asked_by FROM changes WHERE section = 'purchase'),
+REQS = """req AS (SELECT project AS client, seq AS request_id, seq FROM changes WHERE section = 'click'), resp AS (SELECT project AS client, seq, us - key::BIGINT * 1800000000 AS asked_by FROM changes WHERE section = 'purchase'),
 ans AS (SELECT s.client, s.seq, max(r.request_id) AS request_id FROM resp s JOIN changes c ON c.section = 'click' AND c.project = s.client AND c.us <= s.asked_by JOIN req r ON r.request_id = c.seq GROUP BY 1, 2)"""
 
 
@@ -142,7 +142,7 @@ def responses(spark, folder):
 
     c = B.changes(spark, folder)
     probes = c.where(F.col("section") == "purchase").select(
-        F.col("project").alias("client"), (F.col("us") - F.col("key") * 1_800_000_000).alias("at"), F.col("seq").alias("resp"), F.lit(None).cast("bigint").alias("request_id")
+        F.col("project").alias("client"), (F.col("us") - F.col("key").cast("bigint") * 1_800_000_000).alias("at"), F.col("seq").alias("resp"), F.lit(None).cast("bigint").alias("request_id")
     )
     asked = requests(spark, folder).select("client", F.col("us").alias("at"), F.lit(None).cast("bigint").alias("resp"), "request_id")
     known = last_known(asked.unionByName(probes), ["client"], "at", F.col("request_id"), "found", DAY)
