@@ -142,8 +142,10 @@ def curve_points(spark: SparkSession, folder: str) -> DataFrame:
 
 def micros(ts: str = "ts") -> Column:
     """Microseconds since the epoch, independent of the session time zone."""
-    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    return F.timestamp_diff("MICROSECOND", epoch, F.col(ts).cast("timestamp_ntz"))
+    # Calendar parts of a zone-less time: a difference of two times would go through the session's zone.
+    t = F.col(ts).cast("timestamp_ntz")
+    seconds = F.unix_date(t.cast("date")).cast("bigint") * 86_400 + F.hour(t) * 3_600 + F.minute(t) * 60
+    return seconds * 1_000_000 + (F.extract(F.lit("SECOND"), t) * 1_000_000).cast("bigint")
 
 
 def changes(spark: SparkSession, folder: str) -> DataFrame:
