@@ -7,6 +7,7 @@ integers, linear light is 0..1 doubles.
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column
@@ -115,9 +116,14 @@ def linear_to_srgb(v: Column) -> Column:
     return F.when(c <= 0.0031308, c * 12.92).otherwise(F.pow(c, num(1 / 2.4)) * 1.055 - 0.055)
 
 
+def constants(values, kind: str = "array<double>") -> Column:
+    """A constant array as one small expression; the optimiser folds it to a literal before it runs."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
 def byte_to_linear(v: Column) -> Column:
     """Linear light of a channel byte, read from a 256-entry constant array instead of `pow`."""
-    return F.get(F.array(*[num(_to_linear(i / 255)) for i in range(256)]), v)
+    return F.get(constants([_to_linear(i / 255) for i in range(256)]), v)
 
 
 def rgb_to_linear(rgb: Triple) -> Triple:

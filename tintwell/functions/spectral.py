@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tintwell.functions.color import Triple, let, num
+from tintwell.functions.color import Triple, constants, let, num
 
 BANDS = 38
 
@@ -69,7 +69,7 @@ def base_spectra() -> dict[str, list[float]]:
 
 
 def spectrum_column(values) -> Column:
-    return F.array(*[num(v) for v in values])
+    return constants([float(v) for v in values])
 
 
 def base_weights(lin: Triple) -> dict[str, Column]:
@@ -92,7 +92,7 @@ def base_weights(lin: Triple) -> dict[str, Column]:
 def linear_to_reflectance(lin: Triple) -> Column:
     """38-band reflectance of a linear colour (array of doubles)."""
     weights = F.array(*[base_weights(lin)[k] for k in BASES])
-    rows = F.array(*[F.array(*[num(base_spectra()[k][i]) for k in BASES]) for i in range(BANDS)])
+    rows = constants([[base_spectra()[k][i] for k in BASES] for i in range(BANDS)], "array<array<double>>")
 
     def dot(row: Column, w: Column) -> Column:
         total = F.aggregate(F.zip_with(row, w, lambda a, b: a * b), num(0), lambda acc, v: acc + v)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tintwell.functions.color import clamp01, half_up, num
+from tintwell.functions.color import clamp01, constants, half_up, num
 from tintwell.session import cut_lineage
 
 # Starting curves for an ink (x = lightness, y = density).
@@ -179,7 +179,7 @@ def apply_lut(df: DataFrame, lut: DataFrame, keys: list[str], value: str, out: s
 def lookup(values: list[float], x: Column) -> Column:
     """The same for one fixed table held as a constant array: no join at all."""
     last = len(values) - 1
-    table = F.array(*[num(v) for v in values])
+    table = constants([float(v) for v in values])
     pos = clamp01(x) * last
     i = F.floor(pos).cast("int")
     a, b = F.get(table, i), F.get(table, F.least(i + 1, F.lit(last)))

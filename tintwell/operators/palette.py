@@ -165,11 +165,11 @@ def top_share_avg(members: DataFrame, keys: list[str], key: Column, share: float
     share a rank, and where the cut falls inside such a tie the earlier `pid`s count.
     """
     scored = members.withColumn("_key", -key)
-    ranks = value_ranks(scored, keys, "_key", buckets)
     take = F.greatest(F.lit(1), half_up(F.col("total") * share).cast("bigint"))
-    chosen = scored.join(ranks.where(F.col("below") < take).select(*keys, "_key", "n", "below", take.alias("_take")), [*keys, "_key"])
+    ranks = value_ranks(scored, keys, "_key", buckets).where(F.col("below") < take).select(*keys, "_key", "n", "below", take.alias("_take"))
+    chosen = scored.join(cut_lineage(ranks), [*keys, "_key"])
     whole = chosen.where(F.col("below") + F.col("n") <= F.col("_take")).select(*keys, *LAB)
-    torn = chosen.where(F.col("below") + F.col("n") > F.col("_take"))
+    torn = cut_lineage(chosen.where(F.col("below") + F.col("n") > F.col("_take")))
     # One tie group per key at most is cut; its members are ranked by pid the same way.
     order = value_ranks(torn, keys, "pid", buckets).select(*keys, "pid", F.col("below").alias("_at"))
     part = torn.join(order, [*keys, "pid"]).where(F.col("below") + F.col("_at") < F.col("_take")).select(*keys, *LAB)

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tintwell.session import cut_lineage
+
 #: Buckets per group; raise it with the size of the largest group.
 BUCKETS = 64
 
@@ -55,7 +57,8 @@ def quantile_table(df: DataFrame, keys: list[str], value: str, positions: Column
     from the smallest to the largest row. Each distinct value lists the order
     positions it answers, so no value is compared with all of them.
     """
-    ranked = value_ranks(df, keys, value, buckets)
+    # Read four times below; written once, so the source is not ranked again.
+    ranked = cut_lineage(value_ranks(df, keys, value, buckets))
     totals = ranked.groupBy(*keys).agg(F.max("total").alias("total"))
     asked = totals.select(*keys, "total", F.explode(positions).alias("p"))
     asked = asked.select(*keys, F.col("p.i").alias("i"), (F.col("p.q") * (F.col("total") - 1)).alias("pos"), "total")

@@ -59,14 +59,20 @@ unit string, options array<string>, labels array<string>, max_length int, per_in
 section_stage string, modes array<string>, hidden boolean, when_section string, when_key string, when_values array<string>"""
 
 
+def as_json(kind: str, value: object) -> str:
+    """JSON text of a default; numbers are always written as doubles."""
+    return json.dumps(float(value) if kind == "number" else value)
+
+
 def registry_table(spark: SparkSession, settings: list[Setting]) -> DataFrame:
     rows = []
     for i, s in enumerate(settings):
-        slots = [json.dumps(s.slot_defaults[k] if k < len(s.slot_defaults) and s.slot_defaults[k] is not None else s.default) for k in range(SLOTS)] if s.per_ink else None
+        own = [s.slot_defaults[k] if k < len(s.slot_defaults) and s.slot_defaults[k] is not None else s.default for k in range(SLOTS)]
+        slots = [as_json(s.kind, v) for v in own] if s.per_ink else None
         when = s.when or (None, None, ())
         low, high, step = (None if v is None else float(v) for v in (s.low, s.high, s.step))
         rows.append(
-            (s.section, s.key, s.kind, s.label, i, json.dumps(s.default), low, high, step, s.unit, [o for o, _ in s.options], [l for _, l in s.options],
+            (s.section, s.key, s.kind, s.label, i, as_json(s.kind, s.default), low, high, step, s.unit, [o for o, _ in s.options], [l for _, l in s.options],
              s.max_length, s.per_ink, slots, s.stage, s.stage_given, s.section_stage, list(s.modes), s.hidden, when[0], when[1], list(when[2]))
         )
     return spark.createDataFrame(rows, REGISTRY_SCHEMA)
@@ -109,18 +115,18 @@ def conform(settings: DataFrame, registry: DataFrame, projects: DataFrame) -> Da
     start = F.coalesce(F.get("slots", F.col("slot")), d)
     number, text = _as_number(v), _json_string(v)
     quote = lambda c: F.to_json(F.struct(c.alias("v")))
-    as_json = lambda c: F.regexp_extract(quote(c), '^\\{"v":(.*)\\}$', 1)
+    bare_json = lambda c: F.regexp_extract(quote(c), '^\\{"v":(.*)\\}$', 1)
     clamped = F.least(F.col("high"), F.greatest(F.col("low"), number))
     seed = F.abs(number)
     points = F.from_json(v, "array<array<double>>")
     made = (
         F.when(v.isNull(), start)
-        .when(F.col("kind") == "number", F.when(number.isNotNull(), as_json(clamped)).otherwise(d))
+        .when(F.col("kind") == "number", F.when(number.isNotNull(), bare_json(clamped)).otherwise(d))
         .when(F.col("kind") == "seed", F.when(number.isNotNull(), (F.floor(seed) % 2147483648).cast("string")).otherwise(d))
         .when(F.col("kind") == "select", F.when(F.array_contains("options", text), v).otherwise(d))
         .when(F.col("kind") == "toggle", F.when(v.isin("true", "false"), v).otherwise(d))
         .when(F.col("kind") == "color", F.when(text.rlike("^#[0-9a-fA-F]{6}$"), F.lower(v)).otherwise(d))
-        .when(F.col("kind") == "text", F.when(text.isNotNull(), as_json(F.when(F.col("max_length").isNotNull(), F.substring(text, F.lit(1), F.col("max_length"))).otherwise(text))).otherwise(d))
+        .when(F.col("kind") == "text", F.when(text.isNotNull(), bare_json(F.when(F.col("max_length").isNotNull(), F.substring(text, F.lit(1), F.col("max_length"))).otherwise(text))).otherwise(d))
         .when(F.col("kind") == "curve", F.when(valid_curve(points), v).otherwise(start))
     )
     return found.select("project", "section", "key", "slot", made.alias("value"))

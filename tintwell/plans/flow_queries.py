@@ -74,7 +74,7 @@ def half(pts, coverage, params):
         'ELSE rank < t END AS "on" FROM', "ELSE rank < t END THEN 1 ELSE 0 END) AS BIGINT) AS inked FROM"
     )
     + " GROUP BY image_id, ink UNION ALL SELECT 'half', image_id, ink, count(*), CAST(sum(CASE WHEN c >= 0.4 THEN 1 ELSE 0 END) AS BIGINT) FROM cov_long GROUP BY image_id, ink"
-    + " UNION ALL SELECT 'carry', image_id, ink, 16, sum(v) FROM (SELECT image_id, ink, y, CAST((2 * sum(CAST(floor(c * 255 + 0.5) AS BIGINT)) + 255) // 510 AS BIGINT) AS v FROM cov_long GROUP BY image_id, ink, y) z GROUP BY image_id, ink",
+    + " UNION ALL SELECT 'carry', image_id, ink, 16, CAST(sum(v) AS BIGINT) FROM (SELECT image_id, ink, y, CAST((2 * sum(CAST(floor(c * 255 + 0.5) AS BIGINT)) + 255) // 510 AS BIGINT) AS v FROM cov_long GROUP BY image_id, ink, y) z GROUP BY image_id, ink",
 )
 def k2_halftones(spark, folder):
     pts, cov = points(spark, folder), cov_long(spark, folder)

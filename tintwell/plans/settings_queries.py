@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
 from tintwell.operators import curves as D
@@ -115,8 +113,8 @@ def conformed(spark, folder):
     return A.conform(raw, registry(spark), raw.select("project"))
 
 
-def _q(v) -> str:
-    return "'" + json.dumps(v) + "'"
+def _q(kind: str, v) -> str:
+    return "'" + A.as_json(kind, v) + "'"
 
 
 def _reg_values() -> str:
@@ -125,7 +123,7 @@ def _reg_values() -> str:
         for slot in range(4 if s.per_ink else 1):
             own = s.slot_defaults[slot] if slot < len(s.slot_defaults) and s.slot_defaults[slot] is not None else s.default
             opts = "[" + ", ".join(f"'{o}'" for o, _ in s.options) + "]::VARCHAR[]"
-            rows.append(f"({r}, '{s.section}', '{s.key}', {slot}, '{s.kind}', {_q(s.default)}, {_q(own)}, {s.low if s.low is not None else 'NULL'}, {s.high if s.high is not None else 'NULL'}, {opts}, {s.max_length or 'NULL'})")
+            rows.append(f"({r}, '{s.section}', '{s.key}', {slot}, '{s.kind}', {_q(s.kind, s.default)}, {_q(s.kind, own)}, {s.low if s.low is not None else 'NULL'}, {s.high if s.high is not None else 'NULL'}, {opts}, {s.max_length or 'NULL'})")
     return "reg(r, section, key, slot, kind, def, own, low, high, opts, cut) AS (VALUES " + ", ".join(rows) + ")"
 
 
