@@ -385,7 +385,10 @@ wide AS (SELECT palette_id, {", ".join(f"max(CASE WHEN mask = {m} THEN {c} END)
 SELECT image_id, x, y, {", ".join("round(" + " + ".join(f"{_weight(m)} * {c}{m}" for m in range(16)) + f", 5) AS {c}" for c in "rgb")} FROM pc JOIN wide USING (palette_id)""",
 )
 def g6_demichel(spark, folder):
-    mixed = M.mix_by_palette(paletted(spark, folder), overlaps(spark, folder), ["palette_id"])
+    cov = paletted(spark, folder)
+    # Overlaps are computed for the palettes in use only.
+    used = B.palettes(spark, folder).join(cov.select("palette_id").distinct(), "palette_id", "left_semi")
+    mixed = M.mix_by_palette(cov, M.overlap_tables_distinct(used, "palette_id", F.lit(PAPER)), ["palette_id"])
     return mixed.select("image_id", "x", "y", R("r", "r", 5), R("g", "g", 5), R("b", "b", 5))
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tintwell.session import read_table
+from tintwell.session import read_table, spread
 
 
 def to_byte(v: Column) -> Column:
@@ -23,7 +23,7 @@ def clamp_byte(v: Column) -> Column:
 
 def gray8(spark: SparkSession, folder: str) -> DataFrame:
     """One 8x8 gray image per vector: image_id, label, p, x, y, g."""
-    vectors = read_table(spark, folder, "embeddings")
+    vectors = spread(read_table(spark, folder, "embeddings"))
     cells = vectors.select(F.col("vec_id").alias("image_id"), "label", F.posexplode("embedding").alias("p", "v"))
     return cells.select(
         "image_id",
@@ -41,7 +41,7 @@ def _component(i: Column, step: int, k: int) -> Column:
 
 def rgb21(spark: SparkSession, folder: str) -> DataFrame:
     """One 7x3 RGB image per vector: image_id, x, y, r, g, b."""
-    vectors = read_table(spark, folder, "embeddings")
+    vectors = spread(read_table(spark, folder, "embeddings").select("vec_id", "embedding"))
     cells = vectors.select(F.col("vec_id").alias("image_id"), "embedding", F.explode(F.sequence(F.lit(0), F.lit(20))).alias("i"))
     i = F.col("i")
     return cells.select(
@@ -56,7 +56,7 @@ def rgb21(spark: SparkSession, folder: str) -> DataFrame:
 
 def cov16(spark: SparkSession, folder: str) -> DataFrame:
     """One 4x4 coverage grid of four inks per vector: image_id, x, y, k0..k3 (0..255)."""
-    vectors = read_table(spark, folder, "embeddings")
+    vectors = spread(read_table(spark, folder, "embeddings").select("vec_id", "embedding"))
     cells = vectors.select(F.col("vec_id").alias("image_id"), "embedding", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("i"))
     i = F.col("i")
     return cells.select(
@@ -117,7 +117,7 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
 
 def palettes(spark: SparkSession, folder: str) -> DataFrame:
     """Four inks per part: palette_id, ink, hex, opacity."""
-    parts = read_table(spark, folder, "part").select("p_partkey", "p_size")
+    parts = spread(read_table(spark, folder, "part").select("p_partkey", "p_size"))
     inks = parts.select("p_partkey", "p_size", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("ink"))
     seed = F.col("p_partkey") * 4 + F.col("ink")
 
@@ -134,7 +134,7 @@ def palettes(spark: SparkSession, folder: str) -> DataFrame:
 
 def curve_points(spark: SparkSession, folder: str) -> DataFrame:
     """Eight control points per vector: curve_id, seq, x, y (0..1)."""
-    vectors = read_table(spark, folder, "embeddings")
+    vectors = spread(read_table(spark, folder, "embeddings").select("vec_id", "embedding"))
     cells = vectors.select(F.col("vec_id").alias("curve_id"), "embedding", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("seq"))
     s = F.col("seq")
     return cells.select("curve_id", "seq", (_component(s, 2, 0) / 255.0).alias("x"), (_component(s, 2, 1) / 255.0).alias("y"))
