@@ -11,7 +11,7 @@ from tintwell.functions import color as C
 from tintwell.functions.color import Triple, clamp01, half_up, num
 from tintwell.operators.mix import mix
 from tintwell.operators.split import MAX_INKS
-from tintwell.session import small
+from tintwell.session import constant_rows, small
 
 LEVELS = 4
 DRAFT, FINAL = 17, 33
@@ -80,17 +80,15 @@ def match_inks(colors: DataFrame, keys: list[str], cands: DataFrame, opts: Match
     """
     sl, sab = 1.6 - opts.balance, 0.6 + opts.balance
     fields = ["cand", "cl", "ca", "cb", "penalty", *[f"c{i}" for i in range(inks)]]
-    packed = cands.agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_cands"))
     wanted = colors.groupBy(*keys).agg(F.lit(1).alias("_one")).select(*keys, F.struct(*[t.alias(n) for t, n in zip(target, "lab")]).alias("_t"))
-    # One row of at most 256 structs: a bounded broadcast, not a growing cross join.
-    joined = wanted.join(F.broadcast(packed))
+    table = constant_rows(cands.select(*fields).orderBy("cand"), LEVELS**inks)
 
     def cost(c: Column) -> Column:
         dl, da, db = (c["cl"] - F.col("_t.l")) * sl, (c["ca"] - F.col("_t.a")) * sab, (c["cb"] - F.col("_t.b")) * sab
         return dl * dl + da * da + db * db + c["penalty"]
 
-    best = F.array_min(F.transform("_cands", lambda c: F.struct(cost(c).alias("cost"), c["cand"].alias("cand"), *[c[f"c{i}"].alias(f"c{i}") for i in range(inks)])))
-    return joined.select(*keys, best.alias("_m")).select(*keys, "_m.*")
+    best = F.array_min(F.transform(table, lambda c: F.struct(cost(c).alias("cost"), c["cand"].alias("cand"), *[c[f"c{i}"].alias(f"c{i}") for i in range(inks)])))
+    return wanted.select(*keys, best.alias("_m")).select(*keys, "_m.*")
 
 
 def lut_cells(lut: DataFrame, keys: list[str], values: list[str], size: int) -> DataFrame:

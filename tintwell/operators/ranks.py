@@ -40,7 +40,7 @@ def value_ranks(df: DataFrame, keys: list[str], value: str, buckets: int = BUCKE
     distinct = df.groupBy(*keys, value).agg(F.count("*").alias("n"))
     shares = [i / buckets for i in range(1, buckets)]
     bounds = distinct.groupBy(*keys).agg(F.percentile_approx(value, shares, 10000).alias("_bounds"), F.sum("n").alias("total"))
-    placed = distinct.join(bounds, keys) if keys else distinct.crossJoin(bounds)
+    placed = distinct.join(bounds, keys)
     placed = placed.withColumn("_bucket", _bucket_of(F.col(value), F.col("_bounds"), buckets)).drop("_bounds")
     sizes = placed.groupBy(*keys, "_bucket").agg(F.sum("n").alias("_size"))
     before = F.sum("_size").over(Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
@@ -69,7 +69,7 @@ def quantile_table(df: DataFrame, keys: list[str], value: str, positions: Column
     block = F.greatest(F.lit(1), F.floor(F.col("total") / 1024)).cast("bigint")
     spans = ranked.withColumn("_w", block)
     spans = spans.select("*", F.explode(F.sequence(F.floor(F.col("below") / F.col("_w")), F.floor((F.col("below") + F.col("n") - 1) / F.col("_w")))).alias("_b"))
-    wanted = (wanted.join(totals, keys) if keys else wanted.crossJoin(totals)).select(*keys, "rank", F.floor(F.col("rank") / block).alias("_b"))
+    wanted = wanted.join(totals, keys).select(*keys, "rank", F.floor(F.col("rank") / block).alias("_b"))
     found = wanted.join(spans.select(*keys, "_b", value, "below", "n"), [*keys, "_b"])
     found = found.where((F.col("rank") >= F.col("below")) & (F.col("rank") < F.col("below") + F.col("n"))).select(*keys, "rank", F.col(value).alias("_v"))
     low = found.withColumnsRenamed({"rank": "lo", "_v": "_lo"})

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tintwell.operators.curves import valid_curve
-from tintwell.session import small
+from tintwell.session import constant_rows, small
 
 SLOTS = 4
 NAME_LIMIT = 60
@@ -103,13 +103,13 @@ def conform(settings: DataFrame, registry: DataFrame, projects: DataFrame) -> Da
 
     Unknown settings fall away, missing ones take their default, numbers are
     clamped, and anything of the wrong shape becomes the default. The registry is
-    a few hundred rows at most and its size is checked before it is broadcast;
-    values join on project, section, key and slot.
+    a few hundred rows at most, checked before it becomes a constant; values join
+    on project, section, key and slot.
     """
     slot = F.when(F.col("per_ink"), F.sequence(F.lit(0), F.lit(SLOTS - 1))).otherwise(F.array(F.lit(0)))
-    wanted = small(registry.select("section", "key", "kind", "default", "low", "high", "options", "max_length", "slots", F.explode(slot).alias("slot")), 4096)
-    # Each project is paired with the fixed registry: a bounded fan-out per row.
-    grid = projects.select("project").distinct().join(wanted)
+    wanted = registry.select("section", "key", "kind", "default", "low", "high", "options", "max_length", "slots", F.explode(slot).alias("slot"))
+    # Each project lists the settings it must have, from a constant.
+    grid = projects.select("project").distinct().select("project", F.explode(constant_rows(wanted)).alias("_d")).select("project", "_d.*")
     found = grid.join(settings.select("project", "section", "key", "slot", F.col("value").alias("_given")), ["project", "section", "key", "slot"], "left")
     v, d = F.col("_given"), F.col("default")
     start = F.coalesce(F.get("slots", F.col("slot")), d)
@@ -132,6 +132,12 @@ def conform(settings: DataFrame, registry: DataFrame, projects: DataFrame) -> Da
     return found.select("project", "section", "key", "slot", made.alias("value"))
 
 
+def default_settings(projects: DataFrame, registry: DataFrame) -> DataFrame:
+    """Default settings of every project: project, section, key, slot, value."""
+    rows = projects.select("project").distinct().select("project", F.explode(constant_rows(defaults(registry))).alias("_d"))
+    return rows.select("project", "_d.*")
+
+
 # ---- presets ----
 
 

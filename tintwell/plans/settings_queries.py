@@ -242,8 +242,7 @@ def a10_manifest(spark, folder):
 @query("a12_defaults", f"WITH {_reg_values()} SELECT user_id AS project, section, key, slot, own AS value FROM (SELECT DISTINCT user_id FROM events) p, reg")
 def a12_defaults(spark, folder):
     """Default settings for every project of the log."""
-    projects = read_table(spark, folder, "events").select(F.col("user_id").alias("project")).distinct()
-    return projects.join(F.broadcast(A.defaults(registry(spark)))).select("project", "section", "key", "slot", "value")
+    return A.default_settings(read_table(spark, folder, "events").select(F.col("user_id").alias("project")), registry(spark))
 
 
 _PER = ", ".join(str(r) for r, s in enumerate(REGISTRY) if s.per_ink)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows a dimension table may have and still be sent to every executor.
@@ -57,6 +57,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def constant_rows(df: DataFrame, max_rows: int = 4096) -> Column:
+    """A small dimension as one constant array of structs, for use inside expressions.
+
+    The dimension is counted first: larger ones are refused, as they belong in a join.
+    """
+    rows = df.limit(max_rows + 1).toJSON().collect()
+    if len(rows) > max_rows:
+        raise ValueError(f"a constant table may hold {max_rows} rows at most")
+    return F.from_json(F.lit("[" + ",".join(rows) + "]"), f"array<{df.schema.simpleString()}>")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Gives a scan that yields fewer splits than there are cores an even start.
 
