@@ -197,7 +197,10 @@ def bands_to_curves(bands: DataFrame, keys: list[str]) -> DataFrame:
     `bands`: keys, band, n_bands, lo, hi, ink, overlap_lo, overlap_hi, falloff,
     fill, posterize. Bands without an ink stay bare paper.
     """
-    rows = bands.where(F.col("ink").isNotNull()).select("*", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("i"))
+    # A setup's few bands move once, before they grow 256-fold; every later grouping
+    # and window of the same key then finds its rows in place.
+    placed = bands.where(F.col("ink").isNotNull()).repartition(*keys)
+    rows = placed.select("*", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("i"))
     l, lo, hi = F.col("i") / 255.0, F.col("lo"), F.col("hi")
 
     def edge(at: Column, width: Column) -> Column:
