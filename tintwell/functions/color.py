@@ -66,7 +66,7 @@ def clamp01(v: Column) -> Column:
 
 
 def half_up(v: Column) -> Column:
-    """Rounds halves towards plus infinity, as the reference results do."""
+    """Rounds halves towards plus infinity."""
     return F.floor(v + 0.5)
 
 
