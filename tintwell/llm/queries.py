@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tintwell.llm import archive, exact_dedup, minhash, mixing, packing
+from tintwell.llm import archive, exact_dedup, language, licenses, minhash, mixing, packing
 from tintwell.llm.common import table
 from tintwell.plans.registry import query
 
@@ -17,6 +17,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER_FILE)
 
 
+@query("op2_license_scan", licenses.oracle_sql())
+def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.license_scan(table(spark, folder, "documents"))
+
+
 @query("op3_tiered_packing")
 def op3_tiered_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), tokenizer_path())
@@ -49,6 +54,11 @@ def op5_heavy_hitter_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, folder, "documents"))
 
 
+@query("op7_output_code_language")
+def op7_output_code_language(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify(table(spark, folder, "documents"))
+
+
 @query(
     "op8_tensored_minhash",
     """
