@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tintwell.llm import archive, exact_dedup, language, licenses, minhash, mixing, packing
+from tintwell.llm import archive, exact_dedup, hmm, language, licenses, minhash, mixing, near_vectors, packing
 from tintwell.llm.common import table
 from tintwell.plans.registry import query
 
@@ -17,6 +17,23 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER_FILE)
 
 
+@query(
+    "op1_robust_graph_links",
+    """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE e IS NOT NULL AND len(e) > 0 AND list_sum(list_transform(e, lambda x: CASE WHEN x IS NULL OR NOT isfinite(x) THEN 1 ELSE 0 END)) = 0
+  AND list_sum(list_transform(e, lambda x: CASE WHEN x <> 0 THEN 1 ELSE 0 END)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT a AS node, b AS other FROM l UNION SELECT r.node, l.b FROM reach r JOIN l ON l.a = r.other),
+c AS (SELECT node, min(other) AS low FROM reach GROUP BY node),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT v.vec_id, coalesce(n.n, 0) AS n_links, coalesce(least(c.low, v.vec_id), v.vec_id) AS component_id, coalesce(least(c.low, v.vec_id), v.vec_id) = v.vec_id AS kept
+FROM v LEFT JOIN n ON n.a = v.vec_id LEFT JOIN c ON c.node = v.vec_id""",
+)
+def op1_robust_graph_links(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors.near_vectors(table(spark, folder, "embeddings"))
+
+
 @query("op2_license_scan", licenses.oracle_sql())
 def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.license_scan(table(spark, folder, "documents"))
@@ -82,6 +99,11 @@ def op8_tensored_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_classes(table(spark, folder, "documents"))
 
 
+@query("op9_hidden_markov_scores")
+def op9_hidden_markov_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return hmm.score_documents(table(spark, folder, "documents"))
+
+
 @query(
     "op10_water_filling_mix",
     """
