@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tintwell.llm import archive, exact_dedup, hmm, language, licenses, minhash, mixing, near_vectors, packing
+from tintwell.llm import archive, crf_secrets, exact_dedup, hmm, language, licenses, minhash, mixing, near_vectors, packing
 from tintwell.llm.common import table
 from tintwell.plans.registry import query
 
@@ -71,6 +71,11 @@ def op5_heavy_hitter_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, folder, "documents"))
 
 
+@query("op6_field_secrets")
+def op6_field_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return crf_secrets.digests(crf_secrets.secret_spans(table(spark, folder, "documents")))
+
+
 @query("op7_output_code_language")
 def op7_output_code_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(table(spark, folder, "documents"))
