@@ -7,7 +7,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import BinaryType, LongType
 
 from tintwell.llm.common import components, written
 from tintwell.llm.shingles import mixed, shingle_set, word_hashes
@@ -23,6 +23,8 @@ FACTORS = _rng.integers(1, 2**63, 2 * HALVES * HASHES, dtype=np.uint64) * np.uin
 OFFSETS = _rng.integers(1, 2**63, 2 * HALVES * HASHES, dtype=np.uint64)
 #: Pairs between classes that are compared at once when no more than this many for each row of the buckets are left.
 PAIRS_PER_ROW = 4
+#: Most documents and shingles on a side of a block, on average, and shingles of a matrix, that are compared at a time.
+BLOCK, BLOCK_SHINGLES, COLUMNS = 2048, 1 << 20, 4096
 
 
 def _half_keys(shingles: np.ndarray) -> np.ndarray:
@@ -77,6 +79,12 @@ def _common(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([int((np.diff(np.sort(s)) == 0).sum()) for s in both], dtype="int64")
 
 
+@F.pandas_udf(BinaryType())
+def _upper_halves(shingles: pd.Series) -> pd.Series:
+    """The upper 32 bits of each hash, still sorted."""
+    return pd.Series([np.unique((np.frombuffer(x, np.uint64) >> np.uint64(32)).astype(np.uint32)).tobytes() for x in shingles])
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
@@ -98,8 +106,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Equal shingle sets are one class from the start. In each bucket of a table key the members are compared with one
     pivot, the same in most buckets of a group; confirmed links join classes, and the next round asks only between
-    classes. Once few enough pairs of different classes share a bucket, all of them are compared. So every pair of a
-    bucket is either compared or already connected, and rows per round grow with the buckets, not with their squares.
+    classes. Once few enough pairs of different classes share a bucket, all of them are compared one by one; where
+    pivots no longer help, blocks of documents that share a half key are compared as matrices, which give one link for
+    each two classes. So every pair that shares a table key is either compared or already connected, and the rows made
+    grow with the buckets, not with their squares.
 
     Null and empty texts have no shingles and link with nothing; a null id is its own class; rows that repeat an id
     share its class, decided by one of them; an empty table gives no rows; other columns are ignored.
@@ -107,35 +117,38 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = written(signatures(docs, id_col, text_col, width), "signatures")
     usable = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
     copies = usable.groupBy("set_key").agg(F.min("doc_id").alias("first"))
-    copies = written(usable.select("doc_id", "set_key").join(copies, "set_key").select("doc_id", "first").distinct(), "copies")
+    copies = written(usable.select("doc_id", "set_key").join(copies, "set_key").select("doc_id", "first"), "copies")
     firsts = usable.join(copies.where("doc_id = first").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     keys = _table_keys(firsts)
     shared = keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
     members = written(keys.join(shared, "key", "left_semi"), "members")
     sets = written(_shingle_sets(docs, members.select("doc_id").distinct(), id_col, text_col, width), "sets")
     edges = copies.where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    found, tested = None, None
-    labels = None
+    found = before = None
+    now = members.withColumn("label", F.col("doc_id"))
     while True:
-        now = members if labels is None else members.join(labels, "doc_id", "left")
-        now = now.withColumn("label", F.col("doc_id") if labels is None else F.coalesce("label", "doc_id"))
         counts = now.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
-        left, held = counts.where("n * n > same").agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2), F.sum("n")).first()
+        open_keys = written(counts.where("n * n > same"), "open")
+        left, held = open_keys.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2), F.sum("n")).first()
         if not left:
             break
-        last = left <= PAIRS_PER_ROW * held
-        pairs = _all_between(now) if last else _with_pivots(now)
+        now = now.join(open_keys.select("key"), "key", "left_semi")
+        few = left <= PAIRS_PER_ROW * held
+        if not few and before and left > before / 2:
+            ids = now.select("doc_id", "label").distinct()
+            blocks = written(_links_in_blocks(ids.join(firsts.select("doc_id", "half_keys"), "doc_id").join(sets, "doc_id"), percent), "near")
+            found = found.unionByName(written(_confirmed(blocks.distinct(), sets, percent), "links"))
+            break
+        pairs = _all_between(now) if few else _with_pivots(now)
         size = lambda x, y: F.least(x, y) * 100 >= percent * F.greatest(x, y)
         pairs = pairs.where(size(F.col("na"), F.col("nb"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
         links = written(_confirmed(pairs, sets, percent), "links")
         found = links if found is None else found.unionByName(links)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if last:
+        if few:
             break
-        labels = written(components(found).select(F.col("node").alias("doc_id"), F.col("component").alias("label")), "labels")
+        before = left
+        labels = components(found).select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
+        now = written(now.drop("label").join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")), "labelled")
     if found is not None:
         edges = edges.unionByName(found)
     classes = components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
@@ -144,6 +157,72 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def _links_in_blocks(docs: DataFrame, percent: int) -> DataFrame:
+    """Links between classes among documents that share a table key, compared in blocks of about BLOCK by BLOCK at most.
+
+    Documents meet by the half keys of the first collection; inside a block, those count that also share one of the
+    second. They carry the upper halves of their shingle hashes; links are confirmed on full sets later. A block's output
+    is the closest pair of each two classes, however many pairs are similar.
+    """
+    brief = docs.select("doc_id", "label", (F.octet_length("shingles") / 8).cast("long").alias("n"), _upper_halves("shingles").alias("brief"), "half_keys")
+    first = brief.select("doc_id", "label", "n", "brief", F.slice("half_keys", HALVES + 1, HALVES).alias("second"), F.posexplode(F.slice("half_keys", 1, HALVES)).alias("i", "half"))
+    own = docs.select("doc_id", "label", (F.octet_length("shingles") / 8).alias("n"), F.posexplode(F.slice("half_keys", 1, HALVES)).alias("i", "half"))
+    sizes = own.groupBy("i", "half").agg(F.count("*").alias("docs"), F.sum("n").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    sizes = sizes.select("i", "half", F.ceil(F.greatest(F.col("docs") / BLOCK, F.col("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    rows = first.join(sizes, ["i", "half"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("other", "blocks")
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        left, right = rows[rows["own"] == rows["lo"].iloc[0]], rows[rows["own"] == rows["hi"].iloc[0]]
+        la, lb = left["label"].to_numpy(), right["label"].to_numpy()
+        ha, hb = np.stack(left["second"].to_list()) if len(left) else np.zeros((0, HALVES)), np.stack(right["second"].to_list()) if len(right) else np.zeros((0, HALVES))
+        meet = np.zeros((len(la), len(lb)), dtype=bool)
+        for k in range(HALVES):
+            meet |= ha[:, k, None] == hb[None, :, k]
+        meet &= la[:, None] != lb[None, :]
+        use_a, use_b = np.flatnonzero(meet.any(axis=1)), np.flatnonzero(meet.any(axis=0))
+        none = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        if not len(use_a):
+            return none
+        sa = [np.frombuffer(x, np.uint32) for x in left["brief"].iloc[use_a]]
+        sb = [np.frombuffer(x, np.uint32) for x in right["brief"].iloc[use_b]]
+        na, nb = left["n"].to_numpy()[use_a], right["n"].to_numpy()[use_b]
+        common = _common_counts(sa, sb)
+        share = common / (na[:, None] + nb[None, :] - common)
+        # Equal upper halves of different hashes may add a few, never take one away.
+        near = meet[np.ix_(use_a, use_b)] & (100 * share >= percent - 1e-9)
+        at, bt = np.nonzero(near)
+        if not len(at):
+            return none
+        order = np.argsort(-share[at, bt], kind="stable")
+        at, bt = use_a[at[order]], use_b[bt[order]]
+        _, one = np.unique(np.stack([np.minimum(la[at], lb[bt]), np.maximum(la[at], lb[bt])]), axis=1, return_index=True)
+        a, b = left["doc_id"].to_numpy()[at[one]], right["doc_id"].to_numpy()[bt[one]]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return rows.groupBy("i", "half", "lo", "hi").applyInPandas(compare, "a long, b long")
+
+
+def _common_counts(sa: list[np.ndarray], sb: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of one list with all of the other, as products of 0/1 matrices."""
+    shared = np.intersect1d(np.concatenate(sa), np.concatenate(sb))
+    out = np.zeros((len(sa), len(sb)), dtype=np.float32)
+    for at in range(0, len(shared), COLUMNS):
+        part = shared[at : at + COLUMNS]
+        out += _incidence(sa, part) @ _incidence(sb, part).T
+    return out
+
+
+def _incidence(sets: list[np.ndarray], ids: np.ndarray) -> np.ndarray:
+    m = np.zeros((len(sets), len(ids)), dtype=np.float32)
+    for row, s in zip(m, sets):
+        s = s[np.searchsorted(s, ids[0]) : np.searchsorted(s, ids[-1], side="right")]
+        at = np.searchsorted(ids, s)
+        row[at[ids[at] == s]] = 1
+    return m
+
+
 def _with_pivots(now: DataFrame) -> DataFrame:
     """Members against the pivots of their bucket: the first and the last by a hash of class and document."""
     order = F.struct(F.xxhash64("label"), F.xxhash64("doc_id"), "doc_id", "n_shingles", "label")
