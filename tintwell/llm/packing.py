@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import bisect
 import heapq
+import itertools
+import unicodedata
 import zlib
 
 import numpy as np
@@ -16,7 +18,9 @@ TIERS = (512, 1024, 2048, 4096)
 #: Id that ends a document.
 END_ID = 2
 #: Ids held by a task before it packs them, and words whose ids a task remembers.
-WINDOW_IDS, WORDS_KEPT = 2_000_000, 400_000
+WINDOW_IDS, WORDS_KEPT = 2_000_000, 1_500_000
+#: Marks that a word may end in, and words encoded in a run.
+MARKS, RUN = ".,;:!?", 2048
 #: Full-length windows' worth of ids in a step.
 STEP_WINDOWS = 8
 #: Sequences of a task take their numbers from a range of their own.
@@ -25,6 +29,30 @@ PER_TASK = 1 << 33
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier long, step_id long"
 
 
+def _word_ends(word: str) -> int:
+    """Word ends that the ids of a plain word have: 1 for letters, 2 with a mark after them; 0 for any other word.
+
+    Lower case and composed form, which the tokenizer applies first, can turn a letter into several characters.
+    """
+    if not word.isascii():
+        if not unicodedata.is_normalized("NFC", word):
+            return 0
+        word = word.lower()
+    return 1 if word.isalpha() else 2 if word[-1] in MARKS and word[:-1].isalpha() else 0
+
+
+class Places(dict):
+    """Numbers words in the order they are met; `new` holds those not yet encoded."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = at = len(self)
+        self.new.append(word)
+        return at
+
+
 class WordIds:
     """Ids of texts by a word-level tokenizer file.
 
@@ -38,13 +66,16 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocab = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends_word[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
         self._clear()
 
     def _clear(self):
-        self.place: dict[bytes, int] = {}
-        self.lengths = np.zeros(0, dtype=np.int64)
+        self.place = Places()
+        self.lengths = np.zeros(0, dtype=np.int32)
+        self.starts = np.zeros(0, dtype=np.int64)
         self.flat = np.zeros(0, dtype=np.uint32)
-        self.starts = np.zeros(1, dtype=np.int64)
 
     @classmethod
     def of(cls, path: str) -> WordIds:
@@ -52,29 +83,39 @@ class WordIds:
             cls._open[path] = cls(path)
         return cls._open[path]
 
-    def _learn(self, words: list[bytes]):
-        if len(self.place) > WORDS_KEPT:
-            self._clear()
-        new = list({w for w in words if w not in self.place})
+    def _learn(self):
+        """Encodes the new words. Words of letters alone, or with one mark at the end, give one or two word ends and go in runs."""
+        new, self.place.new = [w.decode() for w in self.place.new], []
         if not new:
             return
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
-        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
-        self.lengths = np.concatenate([self.lengths, np.fromiter(map(len, ids), np.int64, len(ids))])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32)])
-        self.starts = np.concatenate([[0], np.cumsum(self.lengths)])
+        ends = np.fromiter(map(_word_ends, new), np.int8, len(new))
+        plain, odd = np.flatnonzero(ends), np.flatnonzero(ends == 0)
+        runs = [plain[a : a + RUN] for a in range(0, len(plain), RUN)]
+        encode = self.tokenizer.encode_batch_fast
+        ids = [np.array(e.ids, dtype=np.uint32) for e in encode([" ".join([new[i] for i in run]) for run in runs] + [new[i] for i in odd], add_special_tokens=False)]
+        last = [np.flatnonzero(self.ends_word[x])[np.cumsum(ends[run], dtype=np.int64) - 1] + 1 for run, x in zip(runs, ids)]
+        lengths = np.zeros(len(new), dtype=np.int32)
+        lengths[plain] = np.concatenate([np.diff(x, prepend=0) for x in last]) if runs else 0
+        lengths[odd] = [len(x) for x in ids[len(runs) :]]
+        order = np.concatenate([plain, odd])
+        starts = np.zeros(len(new), dtype=np.int64)
+        starts[order] = len(self.flat) + np.cumsum(lengths[order], dtype=np.int64) - lengths[order]
+        self.flat = np.concatenate([self.flat, *ids])
+        self.starts, self.lengths = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, all words of the texts at once."""
-        split = [t.encode().split() for t in texts]
-        words = [w for s in split for w in s]
-        self._learn(words)
-        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        if len(self.place) > WORDS_KEPT:
+            self._clear()
+        # The tokenizer lowers letters itself; done before, fewer words differ. Only its special strings are as written.
+        split = [(t.encode() if "<|" in t else t.encode().lower()).split() for t in texts]
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        at = np.fromiter(map(self.place.__getitem__, itertools.chain.from_iterable(split)), np.int64, sizes.sum())
+        self._learn()
         counts = self.lengths[at]
-        ends = np.concatenate([[0], np.cumsum(counts)])
-        take = np.arange(ends[-1]) - np.repeat(ends[:-1] - self.starts[at], counts)
-        ids = self.flat[take]
-        cuts = ends[np.concatenate([[0], np.cumsum([len(s) for s in split])]).astype(np.int64)]
+        ends = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+        ids = self.flat[np.arange(ends[-1]) - np.repeat(ends[:-1] - self.starts[at], counts)]
+        cuts = ends[np.concatenate([[0], np.cumsum(sizes)])]
         return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
 
@@ -214,8 +255,8 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             return out
 
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.iloc[at : at + 256]
+            for at in range(0, len(batch), 1024):
+                part = batch.iloc[at : at + 1024]
                 for doc_id, x in zip(part["doc_id"], words.encode(list(part["text"]))):
                     ids[number] = np.append(x, np.uint32(end_id))
                     names[number] = None if doc_id is None else int(doc_id)
