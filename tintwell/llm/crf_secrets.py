@@ -200,9 +200,14 @@ def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                     odd = [i for i, w in enumerate(words) if not tags[i] and (role(w) or len(w) > 15)]
                     middles += odd[draw % len(odd) :][:1] if odd else []
                     middles.append(draw % len(words))
-                file = file_feature(np.array([role(w) for w in words]))
+                roles = np.array([role(w) for w in words])
+                file = file_feature(roles)
+                # Hint words before a mixed token that no pattern takes: perhaps a secret, so no example of none.
+                doubt = [i for i in np.flatnonzero((roles % 2 == 1) & (tags == OUT)) if (roles[i + 1 : i + 3] == 4).any()]
                 for m in middles:
                     a, b = max(0, m - SIDE), m + SIDE + 1
+                    if any(a <= i < b for i in doubt):
+                        continue
                     rows.append((words[a:b], tags[a:b].tolist(), file))
             yield pd.DataFrame(rows, columns=["words", "tags", "file"])
 
