@@ -136,19 +136,21 @@ def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tem
     )
     rows = rows.select("doc_id", F.explode(units).alias("x")).select("doc_id", "x.unit", "x.place", F.split(normalised(F.col("x.u")), " ").alias("words"))
     rows = rows.select("doc_id", "unit", "place", _bigrams(F.col("words")).alias("grams"))
-    # A unit longer than the largest template allows goes before its bigrams meet any template.
+    # A row for each template whose size admits the unit; the unit's bigrams are computed once, before the rows are made.
     n = F.size("grams")
-    fits = F.filter(_templates(templates, least), lambda t: n.between(t["low"], t["high"]))
-    scored = F.transform(fits, lambda t: F.struct((-2.0 * F.size(F.array_intersect("grams", t["grams"])) / (n + F.size(t["grams"]))).alias("less"), t["name"].alias("license")))
-    rows = rows.where("grams IS NOT NULL").select("doc_id", "unit", "place", F.array_min(scored).alias("best"))
-    return rows.where(F.col("best.less") <= -least).select("doc_id", "unit", "place", F.col("best.license").alias("license"), (-F.col("best.less")).alias("dice"))
+    rows = rows.select("doc_id", "unit", "place", "grams", F.explode(F.filter(_templates(templates, least), lambda t: n.between(t["low"], t["high"]))).alias("t"))
+    dice = 2.0 * F.size(F.array_intersect("grams", "t.grams")) / (n + F.size("t.grams"))
+    rows = rows.select("doc_id", "unit", "place", F.col("t.name").alias("license"), dice.alias("dice")).where(F.col("dice") >= least)
+    best = F.min(F.struct((-F.col("dice")).alias("less"), F.col("license"))).alias("best")
+    rows = rows.groupBy("doc_id", "unit", "place").agg(best)
+    return rows.select("doc_id", "unit", "place", F.col("best.license").alias("license"), (-F.col("best.less")).alias("dice"))
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] = TEMPLATES, least: float = LEAST) -> DataFrame:
     """doc_id, n_matches, licenses (distinct names, sorted, comma-joined), best_license and best_dice per id.
 
     Ids without a match have 0, an empty list and nulls. Null text is empty text, a null id is an id of its own, rows
-    that repeat an id add up, an empty table gives no rows, other columns are ignored.
+    that repeat an id are one document (units at one place count once), an empty table gives no rows, other columns are ignored.
     """
     found = matches(docs, id_col, text_col, templates, least)
     best = F.min(F.struct((-F.col("dice")).alias("less"), F.col("license"))).alias("best")
