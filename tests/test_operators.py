@@ -105,7 +105,9 @@ def test_tiled_filter_equals_whole_filter(spark):
     px = spark.createDataFrame(rows, "image_id long, x int, y int, v double")
     whole = SP.gaussian(px, ["v"], 0.9)
     margin = SP.tile_margin(sigma=0.9)
-    tiles = SP.tile_with_halo(px, 8, margin)
+    images = spark.createDataFrame([(i, 23, 17) for i in range(2)], "image_id long, width int, height int")
+    tiles = SP.tile_with_halo(px, images, 8, margin)
+    assert tiles.agg(F.max("tile_x"), F.max("tile_y")).first() == (2, 2)
     alone = tiles.withColumn("image_id", F.concat_ws("/", "image_id", "tile_x", "tile_y"))
     soft = SP.gaussian(alone, ["v"], 0.9).where("own")
     soft = soft.select(F.split("image_id", "/")[0].cast("long").alias("image_id"), "x", "y", F.col("v").alias("t"))
@@ -113,6 +115,50 @@ def test_tiled_filter_equals_whole_filter(spark):
     assert worst[0] < 1e-12 and worst[1] == len(rows)
 
 
+@pytest.fixture(scope="module")
+def board():
+    """A 70 by 9 image of noise: smaller than the neighbourhoods below."""
+    return np.random.default_rng(6).random((9, 70))
+
+
+def _table(spark, board, name="v"):
+    return spark.createDataFrame([(0, x, y, float(board[y, x])) for y in range(9) for x in range(70)], f"image_id long, x int, y int, {name} double")
+
+
+def _image(df, name="v"):
+    out = np.zeros((9, 70))
+    for r in df.collect():
+        out[r["y"], r["x"]] = r[name]
+    return out
+
+
+@pytest.mark.parametrize("sigma", [2.0, 20.0])
+def test_blur_reads_every_pixel_in_reach(spark, board, sigma):
+    reach = int(np.ceil(2.5 * sigma))
+    d = np.arange(-reach, reach + 1)
+    w = np.exp(-(d**2) / (2 * sigma**2))
+    want = board
+    for axis, n in ((1, 70), (0, 9)):
+        at = np.clip(np.arange(n)[:, None] + d, 0, n - 1)
+        want = (np.take(want, at, axis=axis) * (w / w.sum())[(None, None, slice(None)) if axis else (None, slice(None), None)]).sum(axis=axis + 1)
+    assert np.allclose(_image(SP.gaussian(_table(spark, board), ["v"], sigma)), want, atol=1e-12)
+
+
+@pytest.mark.parametrize("radius", [40.0, -40.4, 2.5])
+def test_trap_reaches_its_whole_radius(spark, board, radius):
+    pick = np.max if radius > 0 else np.min
+    full, part = int(abs(radius)), abs(radius) % 1
+    want = board
+    for axis, n in ((1, 70), (0, 9)):
+        near = lambda lo, hi: np.take(want, np.clip(np.arange(n)[:, None] + np.arange(lo, hi + 1), 0, n - 1), axis=axis)  # noqa: E731, B023
+        best = pick(near(-full, full), axis=axis + 1)
+        for s in (-full - 1, full + 1):
+            best = pick(np.stack([best, want * (1 - part) + near(s, s).squeeze(axis + 1) * part]), axis=0)
+        want = best
+    got = SP.trap(_table(spark, board, "c0"), [radius])
+    assert np.allclose(_image(got, "c0"), want, atol=1e-12)
+
+
 def test_kmeans_finds_separate_clusters_and_pins_centres(spark):
     rng = random.Random(4)
     middles = [(20, 0, 0), (60, 40, -30), (80, -50, 50)]

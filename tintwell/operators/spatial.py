@@ -33,31 +33,51 @@ def shifted(value: str | Column, d: int, axis: str) -> Column:
     return F.coalesce(F.lag(c, -d).over(w), F.first(c).over(whole)) if d < 0 else F.coalesce(F.lead(c, d).over(w), F.last(c).over(whole))
 
 
-def tap(value: str, d: float, axis: str) -> Column:
-    """Value at a fractional offset, linear between the two pixels around it."""
-    lo = math.floor(d)
-    f = d - lo
-    here = shifted(value, lo, axis)
-    return here if f < 1e-9 else here * (1 - f) + shifted(value, lo + 1, axis) * f
+#: Taps on a side up to which a blur is written as window expressions; wider ones fold over the line as an array.
+WINDOW_TAPS = 16
 
 
-def taps(sigma: float) -> list[float]:
-    """Offsets of a blur: every pixel within 2.5 sigma, or 49 evenly spread ones when that is more."""
-    radius = math.ceil(sigma * 2.5)
-    stride = max(1.0, radius / 24)
-    return [k * stride for k in range(-24, 25) if abs(k * stride) <= radius]
+def bell(sigma: float) -> list[float]:
+    """Weights of all whole-pixel offsets within 2.5 sigma, which sum to 1."""
+    reach = math.ceil(2.5 * sigma)
+    raw = [math.exp(-0.5 * (d / sigma) ** 2) for d in range(-reach, reach + 1)]
+    return [w / sum(raw) for w in raw]
+
+
+def on_lines(df: DataFrame, axis: str, outputs) -> DataFrame:
+    """Rows with the columns of `outputs(at, i)` replaced; `at(name, index)` reads a line's column, its ends repeated.
+
+    A line (one row or column of an image, so bounded by the image side) is gathered once as an array and folded over
+    in place, whatever the width of the neighbourhood.
+    """
+    across = "y" if axis == "x" else "x"
+    rest = [c for c in df.columns if c not in ("image_id", across)]
+    cells = F.array_sort(F.collect_list(F.struct(axis, *[c for c in rest if c != axis])))
+    lines = df.groupBy("image_id", across).agg(cells.alias("_line"))
+    last = F.size("_line") - 1
+
+    def cell(i: Column) -> Column:
+        at = lambda name, j: F.get(F.col("_line"), F.greatest(F.lit(0), F.least(last, j.cast("int"))))[name]
+        new = outputs(at, i)
+        return F.struct(*[(new[c] if c in new else at(c, i)).alias(c) for c in rest])
+
+    out = lines.select("image_id", across, F.explode(F.transform(F.sequence(F.lit(0), last), cell)).alias("_c"))
+    return out.select(*[F.col(c) if c in ("image_id", across) else F.col(f"_c.{c}").alias(c) for c in df.columns])
 
 
 def blur_axis(df: DataFrame, values: list[str], sigma: float, axis: str) -> DataFrame:
     """One direction of a Gaussian blur of the named columns."""
-    offsets = taps(sigma)
-    weights = [math.exp(-(d * d) / (2 * sigma * sigma)) for d in offsets]
-    total = sum(weights)
+    weights = bell(sigma)
+    reach = len(weights) // 2
+    if reach > WINDOW_TAPS:
+        table = F.array(*map(num, weights))
+        total = lambda at, i, v: F.aggregate(F.sequence(F.lit(-reach), F.lit(reach)), num(0), lambda acc, d: acc + F.get(table, d + reach) * at(v, i + d))
+        return on_lines(df, axis, lambda at, i: {v: total(at, i, v) for v in values})
     out = {}
     for v in values:
         acc = num(0)
-        for d, w in zip(offsets, weights):
-            acc = acc + tap(v, d, axis) * (w / total)
+        for d, w in zip(range(-reach, reach + 1), weights):
+            acc = acc + shifted(v, d, axis) * w
         out[v] = acc
     keep = [c for c in df.columns if c not in values]
     return df.select(*keep, *[c.alias(n) for n, c in out.items()])
@@ -89,26 +109,26 @@ def gaussian_wrapped(tile: DataFrame, keys: list[str], value: str, sigma: float,
 def bilateral_axis(df: DataFrame, sigma: float, axis: str, spread: float = 0.12) -> DataFrame:
     """One direction of an edge-preserving blur of linear r, g, b: unlike neighbours count less."""
     names = ["r", "g", "b"]
-    offsets = taps(sigma)
-    # Neighbour values first, weights on top, so each tap is computed once.
-    near = df.select("*", *[tap(n, d, axis).alias(f"_{n}{i}") for i, d in enumerate(offsets) for n in names])
-    encoded = [C.linear_to_srgb(F.col(n)) for n in names]
-    base = near.withColumns({f"_s{n}": e for n, e in zip(names, encoded)})
-    weights = {}
-    for i, d in enumerate(offsets):
-        diff = [C.linear_to_srgb(F.col(f"_{n}{i}")) - F.col(f"_s{n}") for n in names]
-        away = diff[0] * diff[0] + diff[1] * diff[1] + diff[2] * diff[2]
-        weights[f"_w{i}"] = F.exp(num(-(d * d) / (2 * sigma * sigma)) - away / (2 * spread * spread))
-    weighted = base.withColumns(weights)
-    total = sum((F.col(w) for w in list(weights)[1:]), F.col("_w0"))
+    weights = bell(sigma)
+    reach = len(weights) // 2
+    encoded = df.withColumns({f"_s{n}": C.linear_to_srgb(F.col(n)) for n in names})
+
+    def one(at, i: Column) -> dict[str, Column]:
+        table = F.array(*map(num, weights))
+
+        def add(acc: Column, d: Column) -> Column:
+            away = sum(((at(f"_s{n}", i + d) - at(f"_s{n}", i)) * (at(f"_s{n}", i + d) - at(f"_s{n}", i)) for n in names), num(0))
+            w = F.get(table, d + reach) * F.exp(-away / (2 * spread * spread))
+            return F.struct((acc["w"] + w).alias("w"), *[(acc[n] + at(n, i + d) * w).alias(n) for n in names])
+
+        start = F.struct(num(0).alias("w"), *[num(0).alias(n) for n in names])
+        mean = lambda acc: F.struct(*[(acc[n] / acc["w"]).alias(n) for n in names])
+        total = F.aggregate(F.sequence(F.lit(-reach), F.lit(reach)), start, add, mean)
+        return {"_mean": total}
+
     keep = [c for c in df.columns if c not in names]
-    out = []
-    for n in names:
-        acc = num(0)
-        for i in range(len(offsets)):
-            acc = acc + F.col(f"_{n}{i}") * F.col(f"_w{i}")
-        out.append((acc / total).alias(n))
-    return weighted.select(*keep, *out)
+    out = on_lines(encoded.withColumn("_mean", F.lit(None).cast("struct<r:double,g:double,b:double>")), axis, one)
+    return out.select(*keep, *[F.col(f"_mean.{n}").alias(n) for n in names])
 
 
 def bilateral(df: DataFrame, sigma: float, spread: float = 0.12) -> DataFrame:
@@ -156,16 +176,15 @@ def trap_axis(cov: DataFrame, radius: list[float], axis: str) -> DataFrame:
     out = []
     names = [f"c{k}" for k in range(len(radius))]
     for name, r in zip(names, radius):
-        c0 = F.col(name)
-        # A tap beyond the radius has weight 0 and equals the centre, so it never wins.
-        reach = min(24, math.ceil(abs(r)))
-        candidates = [c0]
-        for d in range(1, reach + 1):
-            w = min(1.0, max(0.0, abs(r) - d + 1))
-            for s in (-d, d):
-                candidates.append(c0 * (1 - w) + shifted(name, s, axis) * w)
+        c0, full = F.col(name), math.floor(abs(r))
+        part = abs(r) - full
+        # Whole pixels come from one frame; the repeated ends of a line lie inside it.
+        frame = line(axis).rowsBetween(-full, full)
+        candidates = [(F.max if r >= 0 else F.min)(name).over(frame) if full else c0]
+        if part:
+            candidates += [c0 * (1 - part) + shifted(name, d, axis) * part for d in (-full - 1, full + 1)]
         pick = F.greatest if r >= 0 else F.least
-        out.append((pick(*candidates) if len(candidates) > 1 else c0).alias(name))
+        out.append((pick(*candidates) if len(candidates) > 1 else candidates[0]).alias(name))
     keep = [c for c in cov.columns if c not in names]
     return cov.select(*keep, *out)
 
@@ -318,17 +337,19 @@ def tile_margin(reach: float = 0, sigma: float = 0, split: float = 0) -> int:
     return math.ceil(reach + sigma * 2.5 + split + 2)
 
 
-def tile_with_halo(pixels: DataFrame, size: int, margin: int) -> DataFrame:
-    """Sends every pixel to each tile whose widened square holds it: tile_x, tile_y, own, pixel columns."""
-    if margin > size:
-        raise ValueError("the margin must not pass the tile size")
+def tile_with_halo(pixels: DataFrame, images: DataFrame, size: int, margin: int) -> DataFrame:
+    """Sends every pixel to each tile of its image whose widened square holds it: tile_x, tile_y, own, pixel columns.
+
+    `images` (image_id, width, height) says where the tiles end; a margin may be wider than a tile.
+    """
 
-    def span(axis: str) -> Column:
+    def span(axis: str, side: str) -> Column:
         first = F.greatest(F.lit(0), F.floor((F.col(axis) - margin) / size).cast("int"))
-        return F.sequence(first, F.floor((F.col(axis) + margin) / size).cast("int"))
+        return F.sequence(first, F.least(F.ceil(F.col(side) / size).cast("int") - 1, F.floor((F.col(axis) + margin) / size).cast("int")))
 
     cols = pixels.columns
-    wide = pixels.select("*", F.explode(span("x")).alias("tile_x")).select("*", F.explode(span("y")).alias("tile_y"))
+    sized = pixels.join(images.select("image_id", F.col("width").alias("_w"), F.col("height").alias("_h")), "image_id")
+    wide = sized.select("*", F.explode(span("x", "_w")).alias("tile_x")).select("*", F.explode(span("y", "_h")).alias("tile_y"))
     own = (F.floor(F.col("x") / size) == F.col("tile_x")) & (F.floor(F.col("y") / size) == F.col("tile_y"))
     return wide.select("tile_x", "tile_y", own.alias("own"), *cols)
 

@@ -138,14 +138,35 @@ def b8_clip(spark, folder):
     return SP.clip(B.gray8(spark, folder).select(*K, "g"), 2, 3, 3, 2, 1)
 
 
-@query(
-    "b9_tile_with_halo",
-    B.ctes("gray8")
-    + """, t AS (SELECT CAST(range AS INTEGER) AS t FROM range(4))
-SELECT a.t AS tile_x, b.t AS tile_y, x // 3 = a.t AND y // 3 = b.t AS own, image_id, x, y, g FROM gray8, t a, t b WHERE x BETWEEN a.t * 3 - 1 AND a.t * 3 + 3 AND y BETWEEN b.t * 3 - 1 AND b.t * 3 + 3""",
-)
+def _halo_sql(size: int, margin: int) -> str:
+    """Tiles of 8-pixel sides, each with the pixels within `margin` of it."""
+    return (
+        B.ctes("gray8")
+        + f""", t AS (SELECT CAST(range AS INTEGER) AS t FROM range({-(-8 // size)}))
+SELECT a.t AS tile_x, b.t AS tile_y, x // {size} = a.t AND y // {size} = b.t AS own, image_id, x, y, g FROM gray8, t a, t b
+WHERE x BETWEEN a.t * {size} - {margin} AND a.t * {size} + {size - 1 + margin} AND y BETWEEN b.t * {size} - {margin} AND b.t * {size} + {size - 1 + margin}"""
+    )
+
+
+def _halo(spark, folder, size, margin):
+    px = B.gray8(spark, folder).select(*K, "g")
+    images = px.groupBy("image_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
+    return SP.tile_with_halo(px, images, size, margin)
+
+
+@query("b9_tile_with_halo", _halo_sql(3, 1))
 def b9_tile_with_halo(spark, folder):
-    return SP.tile_with_halo(B.gray8(spark, folder).select(*K, "g"), 3, 1)
+    return _halo(spark, folder, 3, 1)
+
+
+@query("b9_full_last_tile", _halo_sql(4, 1))
+def b9_full_last_tile(spark, folder):
+    return _halo(spark, folder, 4, 1)
+
+
+@query("b9_wide_margin", _halo_sql(2, 3))
+def b9_wide_margin(spark, folder):
+    return _halo(spark, folder, 2, 3)
 
 
 @query(
@@ -415,7 +436,7 @@ def b18_sample_at(spark, folder):
 
 def _bilateral_sql(name: str, src: str, axis: str, sigma: float) -> str:
     side = 6 if axis == "x" else 2
-    offs = ", ".join(f"({int(d)})" for d in SP.taps(sigma))
+    offs = ", ".join(f"({d})" for d in range(-math.ceil(2.5 * sigma), math.ceil(2.5 * sigma) + 1))
     other = "y" if axis == "x" else "x"
     e = {c: S.srgb(f"n.{c}") + " - " + S.srgb(f"c.{c}") for c in "rgb"}
     w = f"exp(-(d * d) / {2 * sigma * sigma!r}::DOUBLE - (pow({e['r']}, 2) + pow({e['g']}, 2) + pow({e['b']}, 2)) / {2 * 0.12 * 0.12!r}::DOUBLE)"

@@ -218,8 +218,8 @@ def _blur_sql(name: str, src: str, value: str, sigma: float, axis: str) -> str:
     """One direction of the edge-repeating blur of one column, whole-pixel taps."""
     import math
 
-    offsets = SP.taps(sigma)
-    ws = [(int(d), math.exp(-(d * d) / (2 * sigma * sigma))) for d in offsets]
+    reach = math.ceil(sigma * 2.5)
+    ws = [(d, math.exp(-(d * d) / (2 * sigma * sigma))) for d in range(-reach, reach + 1)]
     total = sum(w for _, w in ws)
     terms = []
     part = "image_id, y" if axis == "x" else "image_id, x"
