@@ -35,10 +35,16 @@ def valid_curve(points: Column) -> Column:
 def normalize_curve(points: DataFrame, keys: list[str]) -> DataFrame:
     """Clamped points, one per x (the later one wins, also within 1e-6): keys, x, y.
 
+    Keys whose points are all null (a curve without points) have the straight line.
+
     Equal x values fold in a partial aggregation first, so only distinct
     positions reach the window.
     """
-    clamped = points.select(*keys, clamp01(F.col("x")).alias("x"), clamp01(F.col("y")).alias("y"), "seq")
+    given = points.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    bare = points.groupBy(*keys).agg(F.count(F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), 1)).alias("_n")).where("_n = 0")
+    ends = F.array(*[F.struct(F.lit(at).alias("seq"), num(at).alias("x"), num(at).alias("y")) for at in (0, 1)])
+    straight = bare.select(*keys, F.explode(ends).alias("_e")).select(*keys, "_e.x", "_e.y", "_e.seq")
+    clamped = given.select(*keys, clamp01(F.col("x")).alias("x"), clamp01(F.col("y")).alias("y"), "seq").unionByName(straight)
     distinct = clamped.groupBy(*keys, "x").agg(F.max_by("y", "seq").alias("y"))
     following = F.lead("x").over(Window.partitionBy(*keys).orderBy("x"))
     return distinct.withColumn("_next", following).where(F.col("_next").isNull() | (F.col("_next") - F.col("x") >= 1e-6)).drop("_next")
@@ -160,20 +166,24 @@ def tone_lut(settings: DataFrame, curves: DataFrame, keys: list[str]) -> DataFra
     return joined.select(*keys, "i", half_up(F.least(num(1), F.col("_v") * F.col("density")) * 255).cast("int").alias("v"))
 
 
-def with_next(lut: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds each entry's follower, so that interpolation needs one join instead of two."""
-    follow = F.lead("v").over(Window.partitionBy(*keys).orderBy("i"))
-    return lut.select(*keys, "i", "v", F.coalesce(follow, F.col("v")).alias("v_next"))
+def as_arrays(lut: DataFrame, keys: list[str], out: str = "_table") -> DataFrame:
+    """A table's entries (keys, i, v) as one array per key, so that pixels join once per key, not per entry."""
+    entries = F.array_sort(F.collect_list(F.struct("i", "v")))  # a table has a fixed number of entries
+    return lut.groupBy(*keys).agg(F.transform(entries, lambda e: e["v"]).alias(out))
+
+
+def read_array(table: Column, x: Column, size: int = 256) -> Column:
+    """Entry at x (0..1) of an array of `size` entries, linear between two."""
+    pos = clamp01(x) * (size - 1)
+    i = F.floor(pos).cast("int")
+    a, b = F.get(table, i), F.get(table, F.least(i + 1, F.lit(size - 1)))
+    return a + (b - a) * (pos - i)
 
 
 def apply_lut(df: DataFrame, lut: DataFrame, keys: list[str], value: str, out: str, size: int = 256) -> DataFrame:
-    """Looks `value` (0..1) up in the table of the same keys, linear between entries."""
-    position = clamp01(F.col(value)) * (size - 1)
-    at = df.withColumn("_pos", position).withColumn("_i", F.floor("_pos").cast("int"))
-    table = with_next(lut, keys).withColumnsRenamed({"i": "_i", "v": "_v", "v_next": "_w"})
-    joined = at.join(table, [*keys, "_i"])
-    blended = F.col("_v") + (F.col("_w") - F.col("_v")) * (F.col("_pos") - F.col("_i"))
-    return joined.withColumn(out, blended).drop("_pos", "_i", "_v", "_w")
+    """Looks `value` (0..1) up in the table of the same keys, linear between entries; null where the keys have no table."""
+    joined = df.join(as_arrays(lut, keys), keys, "left")
+    return joined.withColumn(out, read_array(F.col("_table"), F.col(value), size)).drop("_table")
 
 
 def lookup(values: list[float], x: Column) -> Column:
@@ -191,28 +201,44 @@ def _shape(t: Column, falloff: Column) -> Column:
     return F.when(falloff == "hard", F.when(x < 0.5, num(0)).otherwise(num(1))).when(falloff == "linear", x).otherwise(x * x * (num(3) - x * 2))
 
 
-def bands_to_curves(bands: DataFrame, keys: list[str]) -> DataFrame:
-    """Per-ink density tables of tone bands: keys, ink, i, v.
-
-    `bands`: keys, band, n_bands, lo, hi, ink, overlap_lo, overlap_hi, falloff,
-    fill, posterize. Bands without an ink stay bare paper.
-    """
-    # A setup's few bands move once, before they grow 256-fold; every later grouping
-    # and window of the same key then finds its rows in place.
-    placed = bands.where(F.col("ink").isNotNull()).repartition(*keys)
-    rows = placed.select("*", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("i"))
-    l, lo, hi = F.col("i") / 255.0, F.col("lo"), F.col("hi")
+def _band_density(b: Column, l: Column) -> Column:
+    """Density that one band (a struct) gives a lightness."""
+    lo, hi, step = b["lo"], b["hi"], b["posterize"]
 
     def edge(at: Column, width: Column) -> Column:
-        return F.when(width > 0, _shape((l - (at - width / 2)) / width, F.col("falloff"))).otherwise(F.when(l >= at, num(1)).otherwise(num(0)))
+        return F.when(width > 0, _shape((l - (at - width / 2)) / width, b["falloff"])).otherwise(F.when(l >= at, num(1)).otherwise(num(0)))
 
-    rise = F.when(F.col("band") > 0, edge(lo, F.col("overlap_lo"))).otherwise(num(1))
-    fall = F.when(F.col("band") < F.col("n_bands") - 1, num(1) - edge(hi, F.col("overlap_hi"))).otherwise(num(1))
+    rise = F.when(b["band"] > 0, edge(lo, b["overlap_lo"])).otherwise(num(1))
+    fall = F.when(b["band"] < b["n_bands"] - 1, num(1) - edge(hi, b["overlap_hi"])).otherwise(num(1))
     inside = F.when(hi > lo, clamp01((l - lo) / (hi - lo))).otherwise(num(0))
-    step = F.col("posterize")
     shade = F.when(step > 0, F.ceil((num(1) - inside) * step) / F.greatest(step, F.lit(1))).otherwise(num(1) - inside)
-    density = F.when(F.col("fill") == "gradient", shade).otherwise(num(1))
-    return rows.groupBy(*keys, "ink", "i").agg(F.max(F.greatest(num(0), rise * fall * density)).alias("v"))
+    return F.greatest(num(0), rise * fall * F.when(b["fill"] == "gradient", shade).otherwise(num(1)))
+
+
+_BAND = ("band", "n_bands", "lo", "hi", "overlap_lo", "overlap_hi", "falloff", "fill", "posterize")
+
+
+def band_tables(bands: DataFrame, keys: list[str], inks: int = 4) -> DataFrame:
+    """One 256-entry density array per ink of each setup: keys, t0, t1, ... Setups of bare paper have zeros.
+
+    `bands`: keys, band, n_bands, lo, hi, ink, overlap_lo, overlap_hi, falloff, fill, posterize. Bands without an ink
+    stay paper. A setup's few bands meet in one row, and its tables are computed there.
+    """
+    setups = bands.groupBy(*keys).agg(F.collect_list(F.struct("ink", *_BAND)).alias("_bands"))
+    steps = F.sequence(F.lit(0), F.lit(255))
+
+    def table(ink: int) -> Column:
+        own = F.filter("_bands", lambda b: b["ink"] == ink)
+        return F.transform(steps, lambda i: F.aggregate(own, num(0), lambda top, b: F.greatest(top, _band_density(b, i / 255.0))))
+
+    return setups.select(*keys, *[table(k).alias(f"t{k}") for k in range(inks)])
+
+
+def bands_to_curves(bands: DataFrame, keys: list[str]) -> DataFrame:
+    """Per-ink density tables of tone bands as rows: keys, ink, i, v, for the inks that a band uses."""
+    setups = bands.where(F.col("ink").isNotNull()).groupBy(*keys, "ink").agg(F.collect_list(F.struct(*_BAND)).alias("_bands"))
+    density = lambda i: F.aggregate("_bands", num(0), lambda top, b: F.greatest(top, _band_density(b, i / 255.0)))
+    return setups.select(*keys, "ink", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(255)), density)).alias("i", "v"))
 
 
 def resolve_band_inks(inks: DataFrame, bands: DataFrame, keys: list[str]) -> DataFrame:

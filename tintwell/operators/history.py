@@ -57,8 +57,8 @@ def commit_steps(changes: DataFrame, gap_us: int = STEP_GAP_US, width: int = WID
     return running_sum(seen, ["project"], "seq", opens.cast("bigint"), "step", width).drop("_last_us")
 
 
-def history(steps: DataFrame, limit: int = STEP_LIMIT, width: int = WIDTH) -> DataFrame:
-    """Steps that changed something, the last `limit` of each project: project, step, first_seq, last_seq, changed."""
+def history(steps: DataFrame, limit: int | None = None, width: int = WIDTH) -> DataFrame:
+    """Steps that changed something, all or the last `limit` of each project: project, step, first_seq, last_seq, changed."""
     seen = previous(steps, SETTING, "seq", {"_before": "value"}, width)
     per_setting = seen.groupBy("project", "step", "section", "key").agg(
         F.min_by("_before", "seq").alias("_before"), F.max_by("value", "seq").alias("_after"), F.min("seq").alias("_first"), F.max("seq").alias("_last")
@@ -68,12 +68,14 @@ def history(steps: DataFrame, limit: int = STEP_LIMIT, width: int = WIDTH) -> Da
         F.min("_first").alias("first_seq"), F.max("_last").alias("last_seq"), F.sum(moved.cast("bigint")).alias("changed")
     )
     real = real.where(F.col("changed") > 0)
+    if limit is None:
+        return real
     totals = real.groupBy("project").agg(F.count("*").alias("_total"))
     numbered = running_sum(real, ["project"], "first_seq", F.lit(1).cast("bigint"), "_at", width)
     return numbered.join(totals, "project").where(F.col("_total") - F.col("_at") < limit).drop("_total", "_at")
 
 
-def replay(log: DataFrame, limit: int = STEP_LIMIT, width: int = WIDTH) -> DataFrame:
+def replay(log: DataFrame, limit: int | None = None, width: int = WIDTH) -> DataFrame:
     """Value after replaying every project's actions: project, value, undo (depth), redo (depth).
 
     `log`: project, seq, action (set, quiet, undo, redo), value. Undo is strictly
@@ -90,7 +92,7 @@ def replay(log: DataFrame, limit: int = STEP_LIMIT, width: int = WIDTH) -> DataF
         kind, v = a["action"], a["value"]
         undo, redo, now = s["undo"], s["redo"], s["value"]
         pushed = F.concat(undo, F.array(now))
-        kept = F.slice(pushed, F.greatest(F.lit(1), F.size(pushed) - limit + 1), F.lit(limit))
+        kept = F.slice(pushed, F.greatest(F.lit(1), F.size(pushed) - limit + 1), F.lit(limit)) if limit else pushed
         shorter = lambda arr: F.slice(arr, F.lit(1), F.greatest(F.lit(0), F.size(arr) - 1))
         make = lambda value, u, r: F.struct(value.alias("value"), u.alias("undo"), r.alias("redo"))
         return (

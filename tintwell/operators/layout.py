@@ -163,17 +163,13 @@ def apply_fade(pixels: DataFrame, images: DataFrame, luts: DataFrame) -> DataFra
     `images`: image_id, x0, y0, x1, y1 (visible edge), radius, distance, tint
     (0 or 1), opacity. `luts`: image_id, i, v.
     """
-    from tintwell.operators.curves import with_next
+    from tintwell.operators.curves import as_arrays, read_array
 
     joined = pixels.join(images, "image_id")
     sdf = G.rounded_rect_sdf(F.col("x") + 0.5, F.col("y") + 0.5, F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), F.col("radius"))
-    joined = joined.withColumn("_d", -sdf / F.col("distance"))
-    pos = clamp01(F.col("_d")) * 255
-    joined = joined.withColumn("_pos", pos).withColumn("_i", F.floor("_pos").cast("int"))
     coarse = luts.withColumn("v", half_up(F.col("v") * 255) / 255.0)
-    table = with_next(coarse, ["image_id"]).withColumnsRenamed({"i": "_i", "v": "_v", "v_next": "_w"})
-    found = joined.join(table, ["image_id", "_i"])
-    inner = F.col("_v") + (F.col("_w") - F.col("_v")) * (F.col("_pos") - F.col("_i"))
+    found = joined.withColumn("_d", -sdf / F.col("distance")).join(as_arrays(coarse, ["image_id"]), "image_id")
+    inner = read_array(F.col("_table"), F.col("_d"))
     k = F.when(F.col("_d") <= 0, num(1)).when(F.col("_d") >= 1, num(0)).otherwise(inner) * F.col("opacity")
     keep = [c for c in pixels.columns if c not in ("sr", "sg", "sb")]
     return found.withColumn("_k", k).select(*keep, *[(F.col(c) + (F.col("tint") - F.col(c)) * F.col("_k")).alias(c) for c in ("sr", "sg", "sb")])

@@ -278,11 +278,11 @@ def score_sets(sets: DataFrame, keys: list[str], style: str, n: int) -> DataFram
     return wide.select(*sets.columns, score.alias("score"))
 
 
-def rank_palettes(scored: DataFrame, keys: list[str], first: DataFrame | None = None, limit: int = MAX_PALETTES) -> DataFrame:
+def rank_palettes(scored: DataFrame, keys: list[str], first: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """Best palettes of a key, near copies of better ones left out: keys, palettes (arrays of Lab structs, light to dark).
 
     One image has at most a few thousand sets. They are folded in score order
-    and the fold stops taking palettes at the limit. `first` (keys, inks) leads.
+    and the fold stops taking palettes at the limit, if one is given. `first` (keys, inks) leads.
     """
     inks = F.transform("set", lambda s: F.struct(s["l"].alias("l"), s["a"].alias("a"), s["b"].alias("b")))
     light_first = F.reverse(F.array_sort(inks))
@@ -301,7 +301,8 @@ def rank_palettes(scored: DataFrame, keys: list[str], first: DataFrame | None =
 
     def keep(out: Column, s: Column) -> Column:
         seen = F.exists(out, lambda p: same(p, s["inks"]))
-        return F.when((F.size(out) >= limit) | seen, out).otherwise(F.concat(out, F.array(s["inks"])))
+        full = F.size(out) >= limit if limit else F.lit(False)
+        return F.when(full | seen, out).otherwise(F.concat(out, F.array(s["inks"])))
 
     return lists.select(*keys, F.aggregate("_sets", start, keep).alias("palettes"))
 

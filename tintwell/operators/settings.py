@@ -191,8 +191,11 @@ def look_rows(settings: DataFrame) -> DataFrame:
 
 
 def look_of(settings: DataFrame) -> DataFrame:
-    """The look of every project as JSON, keyed "section.key": project, look."""
-    rows = look_rows(settings).select("project", F.concat_ws(".", "section", "key").alias("k"), "value")
+    """The look of every project as JSON, keyed "section.key": project, look. Settings per ink are arrays, slot by slot."""
+    slots = F.array_sort(F.collect_list(F.struct("slot", "value")))  # at most SLOTS
+    rows = look_rows(settings).groupBy("project", F.concat_ws(".", "section", "key").alias("k")).agg(slots.alias("s"))
+    listed = F.concat(F.lit("["), F.array_join(F.transform("s", lambda e: e["value"]), ","), F.lit("]"))
+    rows = rows.select("project", "k", F.when(F.size("s") > 1, listed).otherwise(F.col("s")[0]["value"]).alias("value"))
     packed = rows.groupBy("project").agg(F.array_sort(F.collect_list(F.struct("k", "value"))).alias("kv"))  # one entry per registered setting
     pairs = F.transform("kv", lambda e: F.concat(F.lit('"'), e["k"], F.lit('":'), e["value"]))
     return packed.select("project", F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}")).alias("look"))
@@ -207,7 +210,10 @@ def permute_inks(settings: DataFrame, order: list[int], keys: DataFrame | None =
     `settings` rows with `per_ink` move; `keys` (project) limits the projects.
     """
     moved = F.get(F.array(*[F.lit(order.index(s)) for s in range(len(order))]), F.col("slot"))
-    return settings.withColumn("slot", F.when(F.col("per_ink"), moved).otherwise(F.col("slot")))
+    if keys is None:
+        return settings.withColumn("slot", F.when(F.col("per_ink"), moved).otherwise(F.col("slot")))
+    rows = settings.join(keys.select("project", F.lit(True).alias("_own")).distinct(), "project", "left")
+    return rows.withColumn("slot", F.when(F.col("per_ink") & F.col("_own"), moved).otherwise(F.col("slot"))).drop("_own")
 
 
 def reset_slot(settings: DataFrame, registry: DataFrame, slot: int) -> DataFrame:
@@ -218,6 +224,21 @@ def reset_slot(settings: DataFrame, registry: DataFrame, slot: int) -> DataFrame
     return joined.withColumn("value", F.when(hit, F.col("_d")).otherwise(F.col("value"))).drop("_d")
 
 
+def add_ink(settings: DataFrame, registry: DataFrame, counts: DataFrame, colours: DataFrame, color_key: tuple[str, str]) -> DataFrame:
+    """Settings after one more ink: the slot after the last goes back to its defaults and takes the next colour.
+
+    `counts`: project, inks (in use so far); projects with all slots in use stay as they are. `colours`: project, hex
+    (`palette.next_ink`); `color_key` is the section and key of the ink colours. `per_ink` rows only are touched.
+    """
+    base = defaults(registry).select("section", "key", "slot", F.col("value").alias("_d"))
+    rows = settings.join(counts.select("project", "inks"), "project", "left").join(base, ["section", "key", "slot"], "left")
+    rows = rows.join(colours.select("project", F.col("hex").alias("_hex")), "project", "left")
+    hit = F.col("per_ink") & (F.col("slot") == F.col("inks")) & (F.col("inks") < SLOTS)
+    colour = (F.col("section") == color_key[0]) & (F.col("key") == color_key[1]) & F.col("_hex").isNotNull()
+    new = F.when(colour, F.concat(F.lit('"'), F.col("_hex"), F.lit('"'))).otherwise(F.col("_d"))
+    return rows.select(*[F.when(F.coalesce(hit, F.lit(False)), new).otherwise(F.col(c)).alias(c) if c == "value" else F.col(c) for c in settings.columns])
+
+
 def remove_order(slot: int) -> list[int]:
     """Order that moves a removed ink behind the others."""
     return [s for s in range(SLOTS) if s != slot] + [slot]

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tintwell.functions import color as C
 from tintwell.functions.color import Triple, clamp01, half_up, num
+from tintwell.operators.curves import read_array
 
 MAX_INKS = 4
 CHANNELS = 5
@@ -23,26 +24,27 @@ def coverage_columns() -> list[Column]:
     return [F.col(f"c{k}") for k in range(MAX_INKS)]
 
 
-def wide_curves(curves: DataFrame, keys: list[str]) -> DataFrame:
-    """Per-ink tables (keys, ink, i, v) as one row per entry with its follower, quantised to bytes."""
-    quantised = half_up(F.col("v") * 255) / 255.0
-    wide = curves.groupBy(*keys, "i").agg(
-        *[F.coalesce(F.max(F.when(F.col("ink") == k, quantised)), num(0)).alias(f"v{k}") for k in range(MAX_INKS)]
-    )
-    order = Window.partitionBy(*keys).orderBy("i")  # 256 entries per key
-    return wide.select("*", *[F.coalesce(F.lead(f"v{k}").over(order), F.col(f"v{k}")).alias(f"w{k}") for k in range(MAX_INKS)])
+def curve_tables(curves: DataFrame, keys: list[str]) -> DataFrame:
+    """Per-ink tables given as rows (keys, ink, i, v) as one array per ink: keys, t0..t3. Inks without a table have null."""
+    entries = lambda k: F.array_sort(F.collect_list(F.when(F.col("ink") == k, F.struct("i", "v"))))
+    arrays = [F.transform(entries(k), lambda e: e["v"]) for k in range(MAX_INKS)]
+    return curves.groupBy(*keys).agg(*[F.when(F.size(a) > 0, a).alias(f"t{k}") for k, a in enumerate(arrays)])
 
 
-def tone_map(pixels: DataFrame, curves: DataFrame, keys: list[str], source: str = "luma") -> DataFrame:
-    """Lightness through each ink's curve: pixels' columns plus c0..c3."""
+def tone_map(pixels: DataFrame, tables: DataFrame, keys: list[str], source: str = "luma") -> DataFrame:
+    """Lightness through each ink's table, quantised to bytes: pixels' columns plus c0..c3, 0 where there is no table.
+
+    `tables` holds one row per key, so the pixels join once on it: keys and arrays t0..t3 (`curves.band_tables`), or
+    keys, ink, i, v (`curve_tables` makes arrays of them).
+    """
+    if "t0" not in tables.columns:
+        tables = curve_tables(tables, keys)
+    coarse = [F.transform(f"t{k}", lambda v: half_up(v * 255) / 255.0).alias(f"_t{k}") for k in range(MAX_INKS)]
     srgb = tuple(F.col(c) / 255.0 for c in "rgb")
     lin = C.rgb_to_linear((F.col("r"), F.col("g"), F.col("b")))
-    at = pixels.withColumn("_pos", clamp01(C.lightness(lin, source, srgb)) * 255.0).withColumn("_i", F.floor("_pos").cast("int"))
-    table = wide_curves(curves, keys).withColumnRenamed("i", "_i")
-    joined = at.join(table, [*keys, "_i"])
-    share = F.col("_pos") - F.col("_i")
-    blended = [(F.col(f"v{k}") + (F.col(f"w{k}") - F.col(f"v{k}")) * share).alias(f"c{k}") for k in range(MAX_INKS)]
-    return joined.select(*pixels.columns, *blended)
+    at = pixels.withColumn("_x", C.lightness(lin, source, srgb))
+    joined = at.join(tables.select(*keys, *coarse), keys, "left")
+    return joined.select(*pixels.columns, *[F.coalesce(read_array(F.col(f"_t{k}"), F.col("_x")), num(0)).alias(f"c{k}") for k in range(MAX_INKS)])
 
 
 def channels(srgb: Triple, lin: Triple, space: str, split: bool = True, black: float = 0.5) -> list[Column]:

@@ -52,7 +52,7 @@ def sample_ctes(size: int, out: str = "samples", src: str = "curve_points", key:
   FROM {p}_f f JOIN {p}_n q ON q.{key} = f.{key} AND q.j = f.j + 1),
 {p}_s AS (SELECT n.{key}, n.x, n.y, n.x1, n.y1, f.m, lead(f.m) OVER (PARTITION BY n.{key} ORDER BY n.j) AS mb, n.j, n.n FROM {p}_n n JOIN {p}_f f ON n.{key} = f.{key} AND n.j = f.j),
 {p}_k AS (SELECT CAST(range AS INTEGER) AS i, range / {float(last)}::DOUBLE AS px FROM range({size})),
-{p} AS (
+{p} AS MATERIALIZED (
   SELECT {key}, i, y AS v FROM {p}_s, {p}_k WHERE j = 0 AND px <= x
   UNION ALL SELECT {key}, i, y FROM {p}_s, {p}_k WHERE j = n - 1 AND px > x
   UNION ALL SELECT {key}, i, {S.clamp01("(2 * t * t * t - 3 * t * t + 1) * y + (t * t * t - 2 * t * t + t) * h * m + (-2 * t * t * t + 3 * t * t) * y1 + (t * t * t - t * t) * h * mb")}
@@ -111,8 +111,9 @@ def d3_levels_lut(spark, folder):
     B.ctes("curve_points", "rgb21").replace("WITH ", "WITH RECURSIVE ", 1)
     + ",\n"
     + sample_ctes(256)
-    + """, px AS (SELECT image_id, x, y, (r + g + b) / 765.0::DOUBLE AS c FROM rgb21), spot AS (SELECT *, c * 255 AS pos, CAST(floor(c * 255) AS INTEGER) AS k FROM px)
-SELECT image_id, x, y, round(a.v + (coalesce(b.v, a.v) - a.v) * (pos - k), 6) AS toned FROM spot JOIN samples a ON a.curve_id = image_id AND a.i = k LEFT JOIN samples b ON b.curve_id = image_id AND b.i = k + 1""",
+    + """, px AS (SELECT image_id, x, y, (r + g + b) / 765.0::DOUBLE AS c FROM rgb21), spot AS MATERIALIZED (SELECT *, c * 255 AS pos, CAST(floor(c * 255) AS INTEGER) AS k FROM px),
+pairs AS MATERIALIZED (SELECT *, coalesce(lead(v) OVER (PARTITION BY curve_id ORDER BY i), v) AS w FROM samples)
+SELECT image_id, x, y, round(v + (w - v) * (pos - k), 6) AS toned FROM spot JOIN pairs ON curve_id = image_id AND i = k""",
 )
 def d4_apply_lut(spark, folder):
     lut = D.sample_curves(B.curve_points(spark, folder), ["curve_id"], 256).withColumnRenamed("curve_id", "image_id")
@@ -131,7 +132,7 @@ BANDS = f"""band_sets AS (SELECT vec_id AS set_id, 0.2::DOUBLE + 0.2::DOUBLE * {
   (['hard','linear','smooth'])[CAST(vec_id % 3 AS INTEGER) + 1] AS falloff, CASE WHEN vec_id % 2 = 0 THEN 'flat' ELSE 'gradient' END AS fill, CAST(vec_id % 5 AS INTEGER) AS posterize FROM embeddings),
 bands AS (SELECT set_id, band, 3 AS n_bands, (list_value(0.0::DOUBLE, c1, c2))[band + 1] AS lo, (list_value(c1, c2, 1.0::DOUBLE))[band + 1] AS hi,
   (list_value(0.0::DOUBLE, o1, o2))[band + 1] AS overlap_lo, (list_value(o1, o2, 0.0::DOUBLE))[band + 1] AS overlap_hi, falloff, fill, posterize,
-  CASE WHEN (set_id + band) % 5 <> 0 THEN CAST((set_id + band) % 4 AS INTEGER) END AS ink FROM band_sets, (SELECT CAST(range AS INTEGER) AS band FROM range(3)) q)"""
+  CASE WHEN (set_id + band) % 5 <> 0 AND set_id % 11 <> 3 THEN CAST((set_id + band) % 4 AS INTEGER) END AS ink FROM band_sets, (SELECT CAST(range AS INTEGER) AS band FROM range(3)) q)"""
 
 
 def bands(spark, folder):
@@ -161,7 +162,7 @@ def bands(spark, folder):
         "falloff",
         "fill",
         "posterize",
-        F.when((k + F.col("band")) % 5 != 0, ((k + F.col("band")) % 4).cast("int")).alias("ink"),
+        F.when(((k + F.col("band")) % 5 != 0) & (k % 11 != 3), ((k + F.col("band")) % 4).cast("int")).alias("ink"),
     )
 
 

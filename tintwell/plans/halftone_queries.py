@@ -77,8 +77,8 @@ def h2_spot(spark, folder):
 
 def _ranks_sql(name: str, shape: str) -> str:
     u, v = "((iu + 0.5::DOUBLE) / 128 * 2 - 1)", "((iv + 0.5::DOUBLE) / 128 * 2 - 1)"
-    return f"""{name} AS (SELECT iu, iv, (row_number() OVER (ORDER BY val, iv, iu) - 0.5::DOUBLE) / 16384 AS rank FROM
-  (SELECT *, ({_cell_spot_sql(shape, u, v)}) + (iu * 1e-9 + iv * 1e-12) AS val FROM (SELECT CAST(range % 128 AS INTEGER) AS iu, CAST(range // 128 AS INTEGER) AS iv FROM range(16384)) z) y)"""
+    return f"""{name} AS (SELECT iu, iv, (row_number() OVER (ORDER BY val, iu, iv) - 0.5::DOUBLE) / 16384 AS rank FROM
+  (SELECT *, round({_cell_spot_sql(shape, u, v)}, 9) AS val FROM (SELECT CAST(range % 128 AS INTEGER) AS iu, CAST(range // 128 AS INTEGER) AS iv FROM range(16384)) z) y)"""
 
 
 @query(
@@ -404,8 +404,10 @@ def stipple_points(spark, folder):
 @query(
     "h21_ranked_select",
     B.ctes("gray8")
-    + f""", {SEL}, tt(j, t) AS (VALUES {", ".join(f"({j}, {t!r}::DOUBLE)" for j, t in enumerate(TONES))}), pc AS (SELECT ps.*, s.g / 255.0::DOUBLE AS c FROM ps JOIN gray8 s ON s.image_id = ps.image_id AND s.x = floor(ps.x) AND s.y = floor(ps.y)),
-pt AS (SELECT pc.*, a.t + (coalesce(b.t, a.t) - a.t) * (c * 32 - floor(c * 32)) AS lim FROM pc JOIN tt a ON a.j = floor(c * 32) LEFT JOIN tt b ON b.j = floor(c * 32) + 1)
+    + f""", {SEL}, tt(j, t) AS (VALUES {", ".join(f"({j}, {t!r}::DOUBLE)" for j, t in enumerate(TONES))}), pf AS MATERIALIZED (SELECT *, CAST(floor(x) AS INTEGER) AS fx, CAST(floor(y) AS INTEGER) AS fy FROM ps),
+pc AS MATERIALIZED (SELECT pf.*, s.g / 255.0::DOUBLE AS c FROM pf JOIN gray8 s ON s.image_id = pf.image_id AND s.x = fx AND s.y = fy),
+tw AS (SELECT *, coalesce(lead(t) OVER (ORDER BY j), t) AS w FROM tt),
+pt AS (SELECT pc.*, t + (w - t) * (c * 32 - floor(c * 32)) AS lim FROM pc JOIN tw ON j = CAST(floor(c * 32) AS INTEGER))
 SELECT image_id, i FROM pt WHERE c > 0.002 AND rank16 / 65535.0::DOUBLE < lim""",
 )
 def h21_ranked_select(spark, folder):

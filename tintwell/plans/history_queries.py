@@ -62,10 +62,10 @@ def j3_commit_steps(spark, folder):
     + f""", {COARSE}, {STEPS}, pv AS (SELECT *, lag(value) OVER (PARTITION BY project, section, key ORDER BY seq) AS before FROM steps),
 ps AS (SELECT project, step, section, key, arg_min(CASE WHEN before IS NULL THEN -1 ELSE before END, seq) AS b, arg_max(value, seq) AS a, min(seq) AS f, max(seq) AS l FROM pv GROUP BY ALL),
 rl AS (SELECT project, step, min(f) AS first_seq, max(l) AS last_seq, CAST(sum(CASE WHEN a <> b THEN 1 ELSE 0 END) AS BIGINT) AS changed FROM ps GROUP BY project, step)
-SELECT * FROM rl WHERE changed > 0 QUALIFY row_number() OVER (PARTITION BY project ORDER BY first_seq DESC) <= 5""",
+SELECT * FROM rl WHERE changed > 0 QUALIFY row_number() OVER (PARTITION BY project ORDER BY first_seq DESC) <= 200""",
 )
 def j4_history(spark, folder):
-    return J.history(J.commit_steps(coarse(spark, folder), GAP, W), 5, W)
+    return J.history(J.commit_steps(coarse(spark, folder), GAP, W), J.STEP_LIMIT, W)
 
 
 ACTIONS = "log AS (SELECT project, seq, CASE WHEN key % 7 < 3 THEN 'set' WHEN key % 7 < 5 THEN 'undo' WHEN key % 7 = 5 THEN 'redo' ELSE 'quiet' END AS action, value FROM changes)"
@@ -84,13 +84,13 @@ def actions(spark, folder):
 rec AS (SELECT project, 0::BIGINT AS rn, NULL::DOUBLE AS v, []::DOUBLE[] AS u, []::DOUBLE[] AS r FROM (SELECT DISTINCT project FROM log) d
   UNION ALL SELECT q.project, q.rn,
     CASE WHEN action IN ('set', 'quiet') THEN value WHEN action = 'undo' AND len(u) > 0 THEN u[len(u)] WHEN action = 'redo' AND len(r) > 0 THEN r[len(r)] ELSE v END,
-    CASE WHEN action = 'set' AND value IS DISTINCT FROM v THEN CASE WHEN len(u) >= 8 THEN list_append(u[2:], v) ELSE list_append(u, v) END WHEN action = 'undo' AND len(u) > 0 THEN u[1:len(u) - 1] WHEN action = 'redo' AND len(r) > 0 THEN list_append(u, v) ELSE u END,
+    CASE WHEN action = 'set' AND value IS DISTINCT FROM v THEN CASE WHEN len(u) >= 200 THEN list_append(u[2:], v) ELSE list_append(u, v) END WHEN action = 'undo' AND len(u) > 0 THEN u[1:len(u) - 1] WHEN action = 'redo' AND len(r) > 0 THEN list_append(u, v) ELSE u END,
     CASE WHEN action = 'set' AND value IS DISTINCT FROM v THEN []::DOUBLE[] WHEN action = 'undo' AND len(u) > 0 THEN list_append(r, v) WHEN action = 'redo' AND len(r) > 0 THEN r[1:len(r) - 1] ELSE r END
   FROM rec JOIN num q ON q.project = rec.project AND q.rn = rec.rn + 1)
 SELECT rec.project, v AS value, CAST(len(u) AS INTEGER) AS undo, CAST(len(r) AS INTEGER) AS redo FROM rec JOIN (SELECT DISTINCT project, n FROM num) t ON t.project = rec.project AND t.n = rec.rn""",
 )
 def j5_replay(spark, folder):
-    return J.replay(actions(spark, folder), limit=8, width=1 << 15)
+    return J.replay(actions(spark, folder), limit=J.STEP_LIMIT, width=1 << 15)
 
 
 REG_ROWS = [("click", k, "split" if k % 3 == 0 else None, k % 3 != 2, "halftone") for k in range(0, 100, 2)] + [("view", k, "mix", k % 2 == 0, None) for k in range(50)]

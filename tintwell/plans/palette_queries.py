@@ -230,12 +230,12 @@ _NEW = ", ".join(f"({i}, '{h}')" for i, h in enumerate(P.NEW_INKS))
 @query(
     "i13_next_ink",
     B.ctes("palettes")
-    + f""", n(k, hex) AS (VALUES {_NEW}), u AS (SELECT palette_id, n.hex FROM palettes JOIN n ON k = (palette_id * (ink + 1)) % 7 WHERE ink < 3)
+    + f""", n(k, hex) AS (VALUES {_NEW}), u AS (SELECT palette_id, n.hex FROM palettes JOIN n ON k = (palette_id * (ink + 1)) % 7)
 SELECT p.palette_id, arg_min(n.hex, n.k) AS hex FROM (SELECT DISTINCT palette_id FROM palettes) p, n WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.palette_id = p.palette_id AND u.hex = n.hex) GROUP BY 1""",
 )
 def i13_next_ink(spark, folder):
     offered = F.array(*[F.lit(h) for h in P.NEW_INKS])
-    used = B.palettes(spark, folder).where(F.col("ink") < 3).select("palette_id", F.get(offered, ((F.col("palette_id") * (F.col("ink") + 1)) % 7).cast("int")).alias("hex"))
+    used = B.palettes(spark, folder).select("palette_id", F.get(offered, ((F.col("palette_id") * (F.col("ink") + 1)) % 7).cast("int")).alias("hex"))
     return P.next_ink(used, ["palette_id"])
 
 

@@ -183,11 +183,11 @@ def a6_upsert_presets(spark, folder):
 
 @query(
     "a7_look_of",
-    f"""WITH {CONFORMED}, lk AS (SELECT project, section || '.' || key AS k, value FROM conf WHERE slot = 0 AND section NOT IN ('upload', 'presets', 'export') AND section || '.' || key NOT IN ('adjust.turn', 'adjust.straighten', 'layers.solo', 'layers.mute'))
+    f"""WITH {CONFORMED}, lk AS (SELECT project, section || '.' || key AS k, CASE WHEN count(*) > 1 THEN '[' || string_agg(value, ',' ORDER BY slot) || ']' ELSE max(value) END AS value FROM conf WHERE section NOT IN ('upload', 'presets', 'export') AND section || '.' || key NOT IN ('adjust.turn', 'adjust.straighten', 'layers.solo', 'layers.mute') GROUP BY project, section, key)
 SELECT project, '{{' || string_agg('"' || k || '":' || value, ',' ORDER BY k) || '}}' AS look FROM lk GROUP BY project""",
 )
 def a7_look_of(spark, folder):
-    return A.look_of(conformed(spark, folder).where(F.col("slot") == 0))
+    return A.look_of(conformed(spark, folder))
 
 
 @query(

@@ -319,7 +319,7 @@ FADE_LUT = (
 gy AS (SELECT g.image_id, g.i, g.px, {_base_sql('g.px')} - 0.5 AS y FROM grid g LEFT JOIN custom s ON s.curve_id = g.image_id AND s.i = CAST(floor(g.px * 1023 + 0.5) AS INTEGER)),
 cr AS (SELECT *, lag(y) OVER w AS y0, lag(px) OVER w AS x0 FROM gy WINDOW w AS (PARTITION BY image_id ORDER BY i)),
 halves AS (SELECT image_id, arg_min(CASE WHEN y0 = 0 THEN x0 ELSE x0 + (px - x0) * y0 / (y0 - y) END, i) AS half FROM cr WHERE i > 0 AND (y0 = 0 OR (y0 > 0 AND y <= 0) OR (y0 < 0 AND y >= 0)) GROUP BY image_id),
-ent AS (SELECT f.*, CAST(q.range AS INTEGER) AS i, pow(q.range / 255.0::DOUBLE, ln(least(0.999::DOUBLE, greatest(0.001::DOUBLE, coalesce(half, 0.5)))) / ln(least(0.95::DOUBLE, greatest(0.05::DOUBLE, midpoint / 100.0::DOUBLE)))) AS px
+ent AS MATERIALIZED (SELECT f.*, CAST(q.range AS INTEGER) AS i, pow(q.range / 255.0::DOUBLE, ln(least(0.999::DOUBLE, greatest(0.001::DOUBLE, coalesce(half, 0.5)))) / ln(least(0.95::DOUBLE, greatest(0.05::DOUBLE, midpoint / 100.0::DOUBLE)))) AS px
   FROM fades f LEFT JOIN halves USING (image_id), range(256) q),
 fade_lut AS (SELECT e.image_id, e.i, CASE e.i WHEN 0 THEN 1.0::DOUBLE WHEN 255 THEN 0 ELSE {S.clamp01(_base_sql('e.px'))} END AS v FROM ent e LEFT JOIN custom s ON s.curve_id = e.image_id AND s.i = CAST(floor(e.px * 1023 + 0.5) AS INTEGER))"""
 )
@@ -339,8 +339,9 @@ def b14_fade_lut(spark, folder):
     "b15_apply_fade",
     B.ctes("curve_points", "rgb21").replace("WITH ", "WITH RECURSIVE ", 1)
     + f""",\n{FADE_LUT}, fp AS (SELECT image_id, x, y, r / 255.0::DOUBLE AS sr, g / 255.0::DOUBLE AS sg, b / 255.0::DOUBLE AS sb, (image_id % 2)::DOUBLE AS tint, -{_sdf_sql('(x + 0.5::DOUBLE)', '(y + 0.5::DOUBLE)', '0.0::DOUBLE', '0.0::DOUBLE', '7.0::DOUBLE', '3.0::DOUBLE', '0.5::DOUBLE')} / 1.25::DOUBLE AS d FROM rgb21),
-fq AS (SELECT *, {S.clamp01('d')} * 255 AS pos FROM fp), q8 AS (SELECT image_id, i, floor(v * 255 + 0.5) / 255.0::DOUBLE AS v FROM fade_lut),
-fk AS (SELECT f.*, CASE WHEN d <= 0 THEN 1 WHEN d >= 1 THEN 0 ELSE a.v + (coalesce(b.v, a.v) - a.v) * (pos - floor(pos)) END * 0.8::DOUBLE AS k FROM fq f JOIN q8 a ON a.image_id = f.image_id AND a.i = floor(pos) LEFT JOIN q8 b ON b.image_id = f.image_id AND b.i = floor(pos) + 1)
+fq AS (SELECT *, {S.clamp01('d')} * 255 AS pos FROM fp), q7 AS (SELECT image_id, i, floor(v * 255 + 0.5) / 255.0::DOUBLE AS v FROM fade_lut),
+q8 AS MATERIALIZED (SELECT *, coalesce(lead(v) OVER (PARTITION BY image_id ORDER BY i), v) AS w FROM q7),
+fk AS (SELECT f.*, CASE WHEN d <= 0 THEN 1 WHEN d >= 1 THEN 0 ELSE v + (w - v) * (pos - floor(pos)) END * 0.8::DOUBLE AS k FROM fq f JOIN q8 a ON a.image_id = f.image_id AND a.i = CAST(floor(pos) AS INTEGER))
 SELECT image_id, x, y, round(sr + (tint - sr) * k, 5) AS sr, round(sg + (tint - sg) * k, 5) AS sg, round(sb + (tint - sb) * k, 5) AS sb FROM fk""",
 )
 def b15_apply_fade(spark, folder):

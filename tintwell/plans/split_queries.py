@@ -14,7 +14,7 @@ from tintwell.plans import sql as S
 from tintwell.plans.color_queries import KEY_SQL, KEYS, fractions, lin, spectral_values, with_linear
 from tintwell.plans.curve_queries import BAND_CURVES, BANDS, R, bands
 from tintwell.plans.registry import query
-from tintwell.operators.curves import bands_to_curves
+from tintwell.operators.curves import band_tables
 from tintwell.sources import bridge as B
 
 COV = ["c0", "c1", "c2", "c3"]
@@ -25,8 +25,8 @@ def rounded(cols, names=COV):
 
 
 def image_curves(spark, folder):
-    """One band setup per image."""
-    return bands_to_curves(bands(spark, folder), ["set_id"]).withColumnRenamed("set_id", "image_id")
+    """One band setup per image; some images have paper bands only."""
+    return band_tables(bands(spark, folder), ["set_id"]).withColumnRenamed("set_id", "image_id")
 
 
 # ---- tone map and ink usage ----
@@ -34,7 +34,7 @@ def image_curves(spark, folder):
 TONE = f"""{BANDS}, {BAND_CURVES}, lut AS (SELECT set_id, i, {", ".join(f"coalesce(max(CASE WHEN ink = {k} THEN floor(v * 255 + 0.5) / 255.0::DOUBLE END), 0) AS v{k}" for k in range(4))} FROM band_curves GROUP BY set_id, i),
 lut2 AS (SELECT *, {", ".join(f"coalesce(lead(v{k}) OVER w, v{k}) AS w{k}" for k in range(4))} FROM lut WINDOW w AS (PARTITION BY set_id ORDER BY i)),
 spots AS (SELECT *, {S.clamp01(S.LUMA.format('(r / 255.0::DOUBLE)', '(g / 255.0::DOUBLE)', '(b / 255.0::DOUBLE)'))} * 255 AS pos FROM rgb21),
-toned AS (SELECT image_id, x, y, {", ".join(f"v{k} + (w{k} - v{k}) * (pos - floor(pos)) AS c{k}" for k in range(4))} FROM spots JOIN lut2 ON set_id = image_id AND i = CAST(floor(pos) AS INTEGER))"""
+toned AS (SELECT image_id, x, y, {", ".join(f"coalesce(v{k} + (w{k} - v{k}) * (pos - floor(pos)), 0) AS c{k}" for k in range(4))} FROM spots LEFT JOIN lut2 ON set_id = image_id AND i = CAST(floor(pos) AS INTEGER))"""
 
 
 @query("e1_tone_map", B.ctes("rgb21") + f", {TONE} SELECT image_id, x, y, round(c0, 6) AS c0, round(c1, 6) AS c1, round(c2, 6) AS c2, round(c3, 6) AS c3 FROM toned")
@@ -485,14 +485,11 @@ def g11_ink_usage_rollup(spark, folder):
 @query(
     "g12_palette_key",
     B.ctes("palettes")
-    + """, short AS (SELECT palette_id, ink, '#' || substr(hex, 2, 1) || '0' || substr(hex, 4, 1) || '0' || substr(hex, 6, 1) || '0' AS hex, opacity FROM palettes WHERE ink < 1)
+    + """, short AS (SELECT palette_id, ink, hex, opacity FROM palettes)
 SELECT '#f6f3ec|' || string_agg(hex || ':' || CASE opacity WHEN 0 THEN '0.0' WHEN 0.25 THEN '0.25' ELSE '0.5' END, '|' ORDER BY ink) AS palette_key, palette_id FROM short GROUP BY palette_id""".replace(
         "SELECT '#f6f3ec|'", "SELECT palette_key, count(*) AS palettes FROM (SELECT '#f6f3ec|'"
     )
     + ") t GROUP BY palette_key",
 )
 def g12_palette_key(spark, folder):
-    h = F.col("hex")
-    coarse = F.concat(F.lit("#"), *[part for at in (2, 4, 6) for part in (F.substring(h, at, 1), F.lit("0"))])
-    inks = B.palettes(spark, folder).where(F.col("ink") < 1).withColumn("hex", coarse)
-    return M.palette_key(inks, "palette_id", F.lit(PAPER)).groupBy("palette_key").agg(F.count("*").alias("palettes"))
+    return M.palette_key(B.palettes(spark, folder), "palette_id", F.lit(PAPER)).groupBy("palette_key").agg(F.count("*").alias("palettes"))

@@ -43,11 +43,14 @@ def small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the shared folder the cluster names; a local folder only where none is set."""
+    """Uses the shared folder the cluster names. Only a local session may go without: its executors are the driver."""
     context = spark.sparkContext
     if context.getCheckpointDir():
         return
     shared = spark.conf.get("spark.checkpoint.dir", "")
+    local = context.master.startswith("local") and not context.master.startswith("local-cluster")
+    if not shared and not local:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tintwell-ckpt-"))
 
 
