@@ -143,12 +143,21 @@ def _lab_f(t: Column) -> Column:
     return F.when(t > 0.008856, F.cbrt(t)).otherwise(t * 7.787 + 16 / 116)
 
 
-def linear_to_lab(lin: Triple) -> Triple:
+def lab_roots(lin: Triple) -> Triple:
+    """What all three Lab values are made of; as columns of their own they are computed once."""
     x, y, z = matrix(RGB_TO_XYZ, lin)
-    fx, fy, fz = _lab_f(x / WHITE[0]), _lab_f(y / WHITE[1]), _lab_f(z / WHITE[2])
+    return _lab_f(x / WHITE[0]), _lab_f(y / WHITE[1]), _lab_f(z / WHITE[2])
+
+
+def lab_of_roots(roots: Triple) -> Triple:
+    fx, fy, fz = roots
     return fy * 116 - 16, (fx - fy) * 500, (fy - fz) * 200
 
 
+def linear_to_lab(lin: Triple) -> Triple:
+    return lab_of_roots(lab_roots(lin))
+
+
 def rgb_to_lab(rgb: Triple) -> Triple:
     return linear_to_lab(rgb_to_linear(rgb))
 
@@ -331,8 +340,8 @@ def ycbcr(s: Triple, split: bool) -> list[Column]:
     return [num(1) - y, cb + 0.5, cr + 0.5]
 
 
-def lab_channels(lin: Triple, split: bool) -> list[Column]:
-    l, a, b = linear_to_lab(tuple(clamp01(c) for c in lin))
+def lab_channels(lin: Triple, split: bool, lab: Triple | None = None) -> list[Column]:
+    l, a, b = lab or linear_to_lab(tuple(clamp01(c) for c in lin))
     first = num(1) - l / 100
     if split:
         return [first, *_halves(a / 90, 1.0), *_halves(b / 90, 1.0)]

@@ -5,10 +5,10 @@ Logs have a unique running number `seq` and a time in microseconds `us`.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tintwell.functions.color import num
 from tintwell.operators.scan import WIDTH, last_known, previous, running_sum, with_block
 from tintwell.session import cut_lineage
 
@@ -79,12 +79,13 @@ def replay(log: DataFrame, limit: int | None = None, width: int = WIDTH) -> Data
     """Value after replaying every project's actions: project, value, undo (depth), redo (depth).
 
     `log`: project, seq, action (set, quiet, undo, redo), value. Undo is strictly
-    ordered, so the log is replayed in blocks of `width` sequence numbers: all
-    projects of a block fold side by side, each at most `width` actions long, and
-    the bounded stacks are carried to the next block in a checkpointed table.
+    ordered, so a project's actions fold in rounds of `width`, all projects side
+    by side. One round does for every project that has no more; only longer ones
+    are read again, with their stacks carried on in a checkpointed table.
     """
     state_type = "struct<value:double,undo:array<double>,redo:array<double>>"
-    blocks = [r[0] for r in with_block(log, "seq", width).select("_block").distinct().orderBy("_block").toLocalIterator()]
+    numbered = running_sum(log.select("project", "seq", "action", "value"), ["project"], "seq", F.lit(1).cast("bigint"), "_n", width)
+    left = cut_lineage(numbered.withColumn("_round", F.floor((F.col("_n") - 1) / width)))
     state = log.sparkSession.createDataFrame([], f"project long, s {state_type}")
     empty = F.array().cast("array<double>")
 
@@ -103,9 +104,9 @@ def replay(log: DataFrame, limit: int | None = None, width: int = WIDTH) -> Data
             .otherwise(s)
         )
 
-    for b in blocks:
-        rows = log.where((F.col("seq") >= b * width) & (F.col("seq") < (b + 1) * width))
-        acts = rows.groupBy("project").agg(F.array_sort(F.collect_list(F.struct("seq", "action", "value"))).alias("acts"))
+    rounds = (left.agg(F.max("_round")).first()[0] or 0) + 1
+    for b in range(rounds):
+        acts = left.where(F.col("_round") == b).groupBy("project").agg(F.array_sort(F.collect_list(F.struct("seq", "action", "value"))).alias("acts"))
         joined = state.join(acts, "project", "full_outer")
         start = F.coalesce("s", F.struct(F.lit(None).cast("double").alias("value"), empty.alias("undo"), empty.alias("redo")))
         folded = F.when(F.col("acts").isNull(), start).otherwise(F.aggregate("acts", start, act))
@@ -118,9 +119,7 @@ def stage_of(changes: DataFrame, registry: DataFrame) -> DataFrame:
 
     `registry`: section, key, stage, stage_given, section_stage (a small table).
     """
-    from tintwell.session import small
-
-    table = small(registry.select("section", "key", F.when(F.col("stage_given"), F.col("stage")).otherwise(F.col("section_stage")).alias("stage")))
+    table = registry.select("section", "key", F.when(F.col("stage_given"), F.col("stage")).otherwise(F.col("section_stage")).alias("stage"))
     return changes.join(table, ["section", "key"], "left")
 
 
@@ -164,42 +163,26 @@ def draft_final(results: DataFrame, keys: list[str]) -> DataFrame:
     return best.select(*keys, "_b.quality", "_b.value")
 
 
-def fast_rise_cost(samples: DataFrame, keys: list[str], order: str, value: str, width: int = 4096) -> DataFrame:
+#: Rows of a run of samples. A cost decays by 0.8 each row, so of what came before a run 1e-49 is left at its end.
+RUN = 512
+
+
+def fast_rise_cost(samples: DataFrame, keys: list[str], order: str, value: str, width: int = WIDTH) -> DataFrame:
     """Adds `cost`: rises at once to a higher sample, falls by a fifth of the way to a lower one.
 
-    One sample maps the cost c to max(m, 0.8 c + 0.2 m), and such maps compose to
-    max(a, b c + d). Each block of samples reduces to one (a, b, d), blocks are
-    chained per key, and then every block is filled in independently.
+    Row j of a run maps the cost c before the run to max(a, b c + d). With f = 0.8^j and P the running sum of
+    0.2 m / f, b is f, d is f P, and a is f (P + the running maximum of m / f - P), so a run is two windows. A run takes
+    the end of the one before it, on which runs further back have no effect in double precision.
     """
-    rows = with_block(samples, order, width)
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-
-    def prefix(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Composed map of every prefix of one block (at most `width` rows)."""
-        pdf = pdf.sort_values(order, kind="stable")
-        a, b, d = [], [], []
-        ca, cb, cd = float("-inf"), 1.0, 0.0
-        for m in pdf[value]:
-            ca, cb, cd = max(m, 0.8 * ca + 0.2 * m), 0.8 * cb, 0.8 * cd + 0.2 * m
-            a.append(ca)
-            b.append(cb)
-            d.append(cd)
-        return pdf.assign(_a=a, _b=b, _d=d)
-
-    maps = rows.groupBy(*keys, "_block").applyInPandas(prefix, f"{fields}, _a double, _b double, _d double")
-    ends = maps.groupBy(*keys, "_block").agg(F.max_by(F.struct("_a", "_b", "_d"), order).alias("m"))
-    chains = ends.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_block", "m"))).alias("_chain"))  # one entry per block
-
-    def step(s: Column, e: Column) -> Column:
-        m = e["m"]
-        after = F.when(s["c"].isNull(), m["_a"]).otherwise(F.greatest(m["_a"], m["_b"] * s["c"] + m["_d"]))
-        return F.struct(F.concat(s["out"], F.array(F.struct(e["_block"].alias("_block"), s["c"].alias("_in")))).alias("out"), after.alias("c"))
-
-    nothing = F.array().cast("array<struct<_block:bigint,_in:double>>")
-    first = F.struct(nothing.alias("out"), F.lit(None).cast("double").alias("c"))
-    starts = chains.select(*keys, F.explode(F.aggregate("_chain", first, step, lambda s: s["out"])).alias("e")).select(*keys, "e._block", "e._in")
-    joined = maps.join(starts, [*keys, "_block"])
-    cost = F.when(F.col("_in").isNull(), F.col("_a")).otherwise(F.greatest(F.col("_a"), F.col("_b") * F.col("_in") + F.col("_d")))
+    rows = running_sum(samples, keys, order, F.lit(1).cast("bigint"), "_n", width)
+    rows = rows.withColumn("_run", F.floor((F.col("_n") - 1) / RUN)).withColumn("_f", F.pow(num(0.8), (F.col("_n") - 1) % RUN + 1))
+    upto = Window.partitionBy(*keys, "_run").orderBy("_n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    m = F.col(value).cast("double")
+    rows = rows.withColumn("_p", F.sum(m * 0.2 / F.col("_f")).over(upto)).withColumn("_top", F.max(m / F.col("_f") - F.col("_p")).over(upto))
+    a, d = F.col("_f") * (F.col("_p") + F.col("_top")), F.col("_f") * F.col("_p")
+    ends = rows.groupBy(*keys, (F.col("_run") + 1).alias("_run")).agg(F.max_by(F.when(F.col("_run") == 0, a).otherwise(F.greatest(a, d)), "_n").alias("_in"))
+    joined = rows.join(ends, [*keys, "_run"], "left")
+    cost = F.when(F.col("_in").isNull(), a).otherwise(F.greatest(a, F.col("_f") * F.col("_in") + d))
     return joined.select(*samples.columns, cost.alias("cost"))
 
 

@@ -11,7 +11,7 @@ from tintwell.functions import color as C
 from tintwell.functions.color import Triple, clamp01, half_up, num
 from tintwell.operators.mix import mix
 from tintwell.operators.split import MAX_INKS
-from tintwell.session import constant_rows, small
+from tintwell.session import constant_rows
 
 LEVELS = 4
 DRAFT, FINAL = 17, 33
@@ -108,7 +108,7 @@ def lut_cells(lut: DataFrame, keys: list[str], values: list[str], size: int) ->
 
 def apply_lut3(pixels: DataFrame, lut: DataFrame, keys: list[str], values: list[str], size: int) -> DataFrame:
     """Trilinear lookup of sRGB fractions sr, sg, sb: pixels' columns plus the values."""
-    cells = small(lut_cells(lut, keys, values, size)) if not keys else lut_cells(lut, keys, values, size)
+    cells = lut_cells(lut, keys, values, size)
     last = size - 1
     at = pixels
     for c, g in (("sr", "ri"), ("sg", "gi"), ("sb", "bi")):

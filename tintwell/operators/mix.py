@@ -35,19 +35,18 @@ def overlap_table(palettes: DataFrame, keys: list[str]) -> DataFrame:
         reflectance(F.col("paper")).alias("paper"),
         F.transform("inks", lambda i: F.struct(reflectance(i["hex"]).alias("r"), clamp01(i["opacity"]).alias("a"))).alias("inks"),
     )
-    top = F.pow(num(2), F.size("inks").cast("double")).cast("int") - 1
-    masks = prepared.select("*", F.explode(F.sequence(F.lit(0), top)).alias("mask"))
-
-    def printed(ink: Column, at: Column) -> Column:
-        return F.getbit(F.col("mask"), at) == 1
-
-    def over(below: Column, ink: Column) -> Column:
-        film = F.zip_with(ink["r"], spectral.spectrum_column(white), lambda r, w: F.least(num(1), r / w))
-        filtered = F.zip_with(below, film, lambda b, t: (num(1) - ink["a"]) * b * t)
-        return F.zip_with(filtered, ink["r"], lambda f, r: f + ink["a"] * r)
-
-    stack = F.aggregate(F.filter("inks", printed), F.col("paper"), over)
-    spectrum = masks.select(*keys, "mask", stack.alias("s"))
+    film = lambda r: F.zip_with(r, spectral.spectrum_column(white), lambda v, w: F.least(num(1), v / w))
+    # What an ink lets through and what it adds, once per ink.
+    through = lambda i: F.transform(film(i["r"]), lambda t: (num(1) - i["a"]) * t)
+    added = lambda i: F.transform(i["r"], lambda r: i["a"] * r)
+    layers = prepared.select(*keys, "paper", F.transform("inks", lambda i: F.struct(through(i).alias("t"), added(i).alias("o"))).alias("inks"))
+
+    def printed(stack: Column, ink: Column) -> Column:
+        """The combinations with the ink on top follow those without it, so the place in the list is the mask."""
+        over = lambda below: F.zip_with(F.zip_with(below, ink["t"], lambda b, t: b * t), ink["o"], lambda f, o: f + o)
+        return F.concat(stack, F.transform(stack, over))
+
+    spectrum = layers.select(*keys, F.posexplode(F.aggregate("inks", F.array("paper"), printed)).alias("mask", "s"))
     r, g, b = spectral.reflectance_to_linear(F.col("s"))
     return spectrum.select(*keys, "mask", r.alias("r"), g.alias("g"), b.alias("b"))
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tintwell.operators.curves import valid_curve
-from tintwell.session import constant_rows, small
+from tintwell.session import constant_rows
 
 SLOTS = 4
 NAME_LIMIT = 60
@@ -218,7 +218,7 @@ def permute_inks(settings: DataFrame, order: list[int], keys: DataFrame | None =
 
 def reset_slot(settings: DataFrame, registry: DataFrame, slot: int) -> DataFrame:
     """Per-ink settings with one slot back at its default."""
-    base = small(defaults(registry).where(F.col("slot") == slot).select("section", "key", F.col("value").alias("_d")), 4096)
+    base = defaults(registry).where(F.col("slot") == slot).select("section", "key", F.col("value").alias("_d"))
     joined = settings.join(base, ["section", "key"], "left")
     hit = F.col("per_ink") & (F.col("slot") == slot)
     return joined.withColumn("value", F.when(hit, F.col("_d")).otherwise(F.col("value"))).drop("_d")
@@ -283,7 +283,7 @@ def visible(settings: DataFrame, registry: DataFrame) -> DataFrame:
     `settings`: project, section, key, slot, value (conformed). A rule is one
     more value of the same project, so it is a join on (project, section, key).
     """
-    rules = small(registry.select("section", "key", "kind", "label", "position", "step", "unit", "options", "labels", "per_ink", "slots", "default", "modes", "hidden", "when_section", "when_key", "when_values"), 4096)
+    rules = registry.select("section", "key", "kind", "label", "position", "step", "unit", "options", "labels", "per_ink", "slots", "default", "modes", "hidden", "when_section", "when_key", "when_values")
     joined = settings.join(rules, ["section", "key"])
     mode = settings.where((F.col("section") == "upload") & (F.col("key") == "mode")).select("project", F.col("value").alias("_mode"))
     other = settings.where(F.col("slot") == 0).select("project", F.col("section").alias("when_section"), F.col("key").alias("when_key"), F.col("value").alias("_when"))

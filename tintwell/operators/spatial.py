@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tintwell.functions import color as C
 from tintwell.functions.color import clamp01, num
+from tintwell.session import cut_lineage
 
 KEY = ["image_id", "x", "y"]
 
@@ -136,13 +137,13 @@ def bilateral(df: DataFrame, sigma: float, spread: float = 0.12) -> DataFrame:
     return bilateral_axis(bilateral_axis(df, sigma, "x", spread), sigma, "y", spread)
 
 
-def sobel(df: DataFrame, value: str = "lum") -> DataFrame:
-    """Sobel gradient of one column: image_id, x, y, value, gx, gy."""
+def sobel(df: DataFrame, value: str = "lum", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Sobel gradient of one column: image_id, x, y, value, the columns to keep, gx, gy."""
     left, right = shifted(value, -1, "x"), shifted(value, 1, "x")
-    rows = df.select(*KEY, value, (right - left).alias("_d"), (left + F.col(value) * 2 + right).alias("_s"))
+    rows = df.select(*KEY, value, *keep, (right - left).alias("_d"), (left + F.col(value) * 2 + right).alias("_s"))
     gx = shifted("_d", -1, "y") + F.col("_d") * 2 + shifted("_d", 1, "y")
     gy = shifted("_s", 1, "y") - shifted("_s", -1, "y")
-    return rows.select(*KEY, value, gx.alias("gx"), gy.alias("gy"))
+    return rows.select(*KEY, value, *keep, gx.alias("gx"), gy.alias("gy"))
 
 
 def analysis(pixels: DataFrame) -> DataFrame:
@@ -306,8 +307,8 @@ def resample(pixels: DataFrame, images: DataFrame, values: list[str]) -> DataFra
 def pyramid(pixels: DataFrame, images: DataFrame, values: list[str], stop: int = 128) -> DataFrame:
     """All levels of a halving pyramid (sides rounded up) until the long side is at most `stop`: level, image_id, x, y, values.
 
-    Level k is averaged straight from level k - 1, as each step reads the smaller
-    result before it; the number of levels is the logarithm of the largest side.
+    Level k is averaged straight from level k - 1, which is written first, so the
+    source is read once; the number of levels is the logarithm of the largest side.
     """
     sizes = images.select("image_id", "width", "height")
     level = pixels.select(*KEY, *values)
@@ -318,7 +319,7 @@ def pyramid(pixels: DataFrame, images: DataFrame, values: list[str], stop: int =
             break
         half = lambda c: F.ceil(F.col(c) / 2).cast("int")
         sizes = sizes.where(F.greatest("width", "height") > stop).select("image_id", "width", "height", half("width").alias("out_w"), half("height").alias("out_h"))
-        level = resample(level, sizes, values)
+        level = cut_lineage(resample(level, sizes, values))
         out = out.unionByName(level.withColumn("level", F.lit(k)))
         sizes = sizes.select("image_id", F.col("out_w").alias("width"), F.col("out_h").alias("height"))
         longest = -(-longest // 2)

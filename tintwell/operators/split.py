@@ -47,16 +47,25 @@ def tone_map(pixels: DataFrame, tables: DataFrame, keys: list[str], source: str
     return joined.select(*pixels.columns, *[F.coalesce(read_array(F.col(f"_t{k}"), F.col("_x")), num(0)).alias(f"c{k}") for k in range(MAX_INKS)])
 
 
-def channels(srgb: Triple, lin: Triple, space: str, split: bool = True, black: float = 0.5) -> list[Column]:
-    """Five channel values of a colour space; unused ones are 0."""
+def with_spaces(pixels: DataFrame, srgb: Triple, lin: Triple) -> DataFrame:
+    """Adds the Lab and HSL values of a pixel as columns lab_l, lab_a, lab_b, hue, sat, light, so that `channels` can share them."""
+    roots = C.lab_roots(tuple(clamp01(c) for c in lin))
+    h, s, l = C.hsl(srgb)
+    staged = pixels.select("*", *[c.alias(f"_f{i}") for i, c in enumerate(roots)], h.alias("hue"), s.alias("sat"), l.alias("light"))
+    lab = C.lab_of_roots(tuple(F.col(f"_f{i}") for i in range(3)))
+    return staged.select("*", *[c.alias(f"lab_{n}") for c, n in zip(lab, "lab")]).drop("_f0", "_f1", "_f2")
+
+
+def channels(srgb: Triple, lin: Triple, space: str, split: bool = True, black: float = 0.5, lab: Triple | None = None, hsl: Triple | None = None) -> list[Column]:
+    """Five channel values of a colour space; unused ones are 0. `lab` and `hsl` are used where they are at hand."""
     if space == "rgb":
         out = [num(1) - c for c in srgb]
     elif space == "cmyk":
         out = list(C.cmyk(srgb, black))
     elif space == "lab":
-        out = C.lab_channels(lin, split)
+        out = C.lab_channels(lin, split, lab)
     elif space == "hsl":
-        h, s, l = C.hsl(srgb)
+        h, s, l = hsl or C.hsl(srgb)
         out = [h / 360, s, num(1) - l]
     elif space == "ycbcr":
         out = C.ycbcr(srgb, split)
@@ -201,12 +210,19 @@ def detail_split(pixels: DataFrame, blurred: DataFrame, base: DataFrame, detail_
     joined = pixels.select(*key, "luma").join(blurred.select(*key, F.col("luma").alias("_soft")), key).join(base.select(*key, *coverage_columns()), key)
     if mode == "edges":
         joined = joined.join(edges.select(*key, "gx", "gy"), key)
-        d = F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")) * (contrast * 2) - threshold
-    else:
-        diff = (F.col("_soft") - F.col("luma")) * contrast * 8.0
-        d = smoothstep(threshold, threshold + 0.06, diff) if mode == "lineart" else diff - threshold
-    d = clamp01(d)
-    out = [
-        (num(1) - (num(1) - F.col(f"c{k}")) * (num(1) - d)).alias(f"c{k}") if k == detail_ink else F.col(f"c{k}") for k in range(MAX_INKS)
-    ]
+    d = detail(mode, contrast, threshold, F.col("luma"), F.col("_soft"), F.col("gx") if edges is not None else None, F.col("gy") if edges is not None else None)
+    out = [screened(F.col(f"c{k}"), d).alias(f"c{k}") if k == detail_ink else F.col(f"c{k}") for k in range(MAX_INKS)]
     return joined.select(*key, *out)
+
+
+def detail(mode: str, contrast: float, threshold: float, sharp: Column, soft: Column, gx: Column | None = None, gy: Column | None = None) -> Column:
+    """Share of fine detail of a pixel: darker than its blur (highpass, lineart), or the strength of its gradient (edges)."""
+    if mode == "edges":
+        return clamp01(F.sqrt(gx * gx + gy * gy) * (contrast * 2) - threshold)
+    diff = (soft - sharp) * contrast * 8.0
+    return clamp01(smoothstep(threshold, threshold + 0.06, diff) if mode == "lineart" else diff - threshold)
+
+
+def screened(cover: Column, d: Column) -> Column:
+    """Coverage with detail printed over it."""
+    return num(1) - (num(1) - cover) * (num(1) - d)

@@ -9,7 +9,7 @@ from tintwell.functions import color as C
 from tintwell.operators import curves as D
 from tintwell.plans import sql as S
 from tintwell.plans.registry import query
-from tintwell.session import read_table, small
+from tintwell.session import read_table
 from tintwell.sources import bridge as B
 
 R = lambda c, n, d=6: F.round(c, d).alias(n)
@@ -224,7 +224,7 @@ def d8_point_curves(spark, folder):
     points = D.preset_points(asked.select("preset").distinct(), "preset")
     samples = D.sample_curves(points, ["preset"], 256)
     area = samples.groupBy("preset").agg(F.sum("v").alias("area"), F.max(F.when(F.col("i") == 100, F.col("v"))).alias("v100"))
-    return asked.join(small(area, 64), "preset").select("palette_id", "ink", "preset", R("area", "area"), R("v100", "v100"))
+    return asked.join(area, "preset").select("palette_id", "ink", "preset", R("area", "area"), R("v100", "v100"))
 
 
 _OFF = "abs(lst[k + 1] - (lst[a + 1] + (k / 255.0::DOUBLE - a / 255.0::DOUBLE) / (b / 255.0::DOUBLE - a / 255.0::DOUBLE) * (lst[b + 1] - lst[a + 1])))"

@@ -248,11 +248,10 @@ SELECT image_id, count(*) AS n, CAST(sum(CASE WHEN tone <= 0 THEN 0 WHEN tone >=
 FROM tn JOIN tb a ON a.i = floor(pos) LEFT JOIN tb b ON b.i = floor(pos) + 1 GROUP BY image_id""",
 )
 def h12_lattice_halftone(spark, folder):
-    from tintwell.session import small
 
     p = px_points(spark, folder).select("image_id", "x", "y").distinct()
     p = p.select("image_id", H.nearest_hex(F.col("x"), F.col("y"))["d"].alias("spot"), ((F.col("image_id") % 17) / 16.0).alias("tone"), F.lit(1).alias("one"))
-    table = small(H.lattice_tables(p, ["one"], "spot"), 256)
+    table = H.lattice_tables(p, ["one"], "spot")
     dots = H.threshold_test(p, table, ["one"], "tone", "spot")
     return dots.groupBy("image_id").agg(F.count("*").alias("n"), F.sum(F.col("on").cast("bigint")).alias("inked"))
 
@@ -445,7 +444,6 @@ ff AS (SELECT fc.image_id, fc.p, fc.label, fc.tone, round(sum(s.g * w), 6) AS f
 SELECT image_id, p, CASE WHEN tone <= 0 THEN false WHEN tone >= 0.999 THEN true ELSE f >= round(a.v, 6) END AS "on" FROM ff JOIN tb a ON a.label = ff.label AND a.i = CAST(round(tone * 255) AS INTEGER)""",
 )
 def h24_field_halftone(spark, folder):
-    from tintwell.session import small
 
     g = B.gray8(spark, folder)
     pts = g.select("image_id", "p", (F.col("x") * 1.37 + 0.21).alias("x"), (F.col("y") * 0.83 - 0.4).alias("y"))
@@ -453,7 +451,7 @@ def h24_field_halftone(spark, folder):
     f = H.sample_field(pts, field, ["image_id"], ["image_id", "p"], 8).withColumn("f", F.round("f", 6))
     tone = g.select("image_id", "p", "label", ((255 - F.col("g")) / 255.0).alias("tone"))
     table = H.area_tables(g, ["label"], "g").withColumn("v", F.round("v", 6))
-    return H.threshold_test(f.join(tone, ["image_id", "p"]), small(table), ["label"], "tone", "f", above=True).select("image_id", "p", "on")
+    return H.threshold_test(f.join(tone, ["image_id", "p"]), table, ["label"], "tone", "f", above=True).select("image_id", "p", "on")
 
 
 @query(

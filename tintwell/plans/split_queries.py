@@ -90,11 +90,12 @@ spaces AS (SELECT *, least(1 - sr, 1 - sg, 1 - sb) * 0.5 AS k, 0.299 * sr + 0.58
     + " FROM spaces",
 )
 def e2_channels(spark, folder):
-    px = with_linear(B.flat_px(spark, folder))
+    px = E.with_spaces(with_linear(B.flat_px(spark, folder)), fractions(), lin())
+    lab, hsl = tuple(F.col(c) for c in ("lab_l", "lab_a", "lab_b")), tuple(F.col(c) for c in ("hue", "sat", "light"))
     out = []
     for space in C.SPACES:
         used = sum(c != "0" for c in _channel_sql(space))
-        out += [R(c, f"{space}{i}") for i, c in enumerate(E.channels(fractions(), lin(), space)[:used])]
+        out += [R(c, f"{space}{i}") for i, c in enumerate(E.channels(fractions(), lin(), space, lab=lab, hsl=hsl)[:used])]
     return px.select(*KEYS, *out)
 
 
@@ -258,15 +259,12 @@ d AS (SELECT p.image_id, p.x, p.y, {S.clamp01('(b.luma - p.luma) * 1.5 * 8.0 - 0
 SELECT image_id, x, y, round(1 - (1 - base0) * (1 - hp), 6) AS highpass, round(1 - (1 - base0) * (1 - la), 5) AS lineart, round(1 - (1 - base0) * (1 - ed), 6) AS edges, round(base1, 6) AS c1 FROM d""",
 )
 def e8_detail_split(spark, folder):
-    px = _gray(spark, folder)
-    soft = SP.gaussian(px, ["luma"], 1.2)
-    base = soft.select("image_id", "x", "y", (1 - F.col("luma")).alias("c0"), (F.col("luma") * 0.5).alias("c1"), F.lit(0.0).alias("c2"), F.lit(0.0).alias("c3"))
-    edges = SP.sobel(px, "luma")
-    high = E.detail_split(px, soft, base, 0, "highpass", 1.5, 0.05)
-    art = E.detail_split(px, soft, base, 0, "lineart", 1.5, 0.05).select("image_id", "x", "y", F.col("c0").alias("art"))
-    edge = E.detail_split(px, soft, base, 0, "edges", 1.5, 0.05, edges).select("image_id", "x", "y", F.col("c0").alias("edge"))
-    out = high.join(art, ["image_id", "x", "y"]).join(edge, ["image_id", "x", "y"])
-    return out.select("image_id", "x", "y", R("c0", "highpass"), R("art", "lineart", 5), R("edge", "edges"), R("c1", "c1"))
+    # Blur and gradient ride through the same two windows, so nothing is joined back.
+    px = SP.sobel(SP.gaussian(_gray(spark, folder).withColumn("soft", F.col("luma")), ["soft"], 1.2), "luma", ("soft",))
+    at = [F.col(c) for c in ("luma", "soft", "gx", "gy")]
+    modes = [E.screened(1 - F.col("soft"), E.detail(mode, 1.5, 0.05, *at)).alias(mode) for mode in ("highpass", "lineart", "edges")]
+    out = px.select("image_id", "x", "y", *modes, (F.col("soft") * 0.5).alias("c1"))
+    return out.select("image_id", "x", "y", R("highpass", "highpass"), R("lineart", "lineart", 5), R("edges", "edges"), R("c1", "c1"))
 
 
 # ---- layers ----

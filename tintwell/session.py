@@ -8,10 +8,6 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows a dimension table may have and still be sent to every executor.
-BROADCAST_ROWS = 100_000
-
-
 def build_session(app: str = "tintwell", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution on; `master` and memory are left to spark-submit unless given."""
     builder = SparkSession.builder.appName(app)
@@ -31,17 +27,6 @@ def build_session(app: str = "tintwell", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks a dimension for broadcast only after counting it.
-
-    The count stops at `max_rows + 1`. A larger table is returned as it is, so
-    Catalyst and adaptive execution choose a shuffled join for it.
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Uses the shared folder the cluster names. Only a local session may go without: its executors are the driver."""
     context = spark.sparkContext
