@@ -42,6 +42,18 @@ def test_ranks_are_exact_under_skew(spark, skewed):
     assert len(got) == skewed.groupby(["k", "v"]).ngroups
 
 
+def test_rank_buckets_follow_the_largest_group(spark, monkeypatch):
+    monkeypatch.setattr(RK, "PER_BUCKET", 50)
+    asked = []
+    plain = RK._bucket_of
+    monkeypatch.setattr(RK, "_bucket_of", lambda value, bounds, buckets: asked.append(buckets) or plain(value, bounds, buckets))
+    df = spark.range(3000).select(F.when(F.col("id") % 10 > 0, "hot").otherwise("cold").alias("k"), (F.col("id") * 37 % 3001 / 4.0).alias("v"))
+    got = RK.value_ranks(df, ["k"], "v").toPandas()
+    assert asked == [54] and len(got) == 3000
+    for _, group in got.sort_values("v").groupby("k"):
+        assert (group.below.to_numpy() == np.arange(len(group))).all()
+
+
 def test_quantiles_equal_numpy(spark, skewed):
     got = H.lattice_tables(spark.createDataFrame(skewed), ["k"], "v", buckets=5).toPandas()
     for k, group in skewed.groupby("k"):
@@ -181,6 +193,10 @@ def test_auto_palette_of_two_flat_colours(spark):
     pts = df.select("image_id", "pid", l.alias("l"), a.alias("a"), b.alias("b"))
     got = P.auto_palette(pts, ["image_id"], 2, "#ffffff").first()
     assert sorted(got["inks"]) == ["#2030a0", "#c02020"] and got["paper"] == "#ffffff"
+    # Fewer colours than inks: all of them, the darkest again, and black for an image without pixels.
+    images = spark.createDataFrame([(1,), (2,)], "image_id long")
+    got = {r["image_id"]: r for r in P.auto_palette(pts, ["image_id"], 4, "#ffffff", "contrast", images=images).collect()}
+    assert got[1]["inks"] == ["#c02020", "#2030a0", "#2030a0", "#2030a0"] and got[2]["inks"] == ["#000000"] * 4
 
 
 def test_match_equals_exhaustive_search(spark):
@@ -261,17 +277,27 @@ def test_images_decode_to_pixels(spark, tmp_path):
     rows = {(r["path"][-5:], r["x"], r["y"]): (r["r"], r["g"], r["b"], r["a"]) for r in px.collect()}
     assert len(rows) == 19
     assert rows[("a.png", 4, 2)] == (160, 160, 7, 255) and rows[("b.png", 1, 0)] == (255, 0, 1, 255)
+    left_out = IO.unreadable_images(spark, str(tmp_path)).collect()
+    assert [(r["path"][-5:], r["reason"]) for r in left_out] == [("c.png", "cannot be decoded")]
     listed = A.ingest_gate(IO.list_files(spark, str(tmp_path)).withColumns({"width": F.lit(1), "height": F.lit(1)}))
     ok, rejects = A.split_gate(listed)
     assert ok.count() == 3 and rejects.isEmpty()
 
 
+def test_a_large_image_decodes_whole(spark, tmp_path):
+    png(tmp_path / "big.png", 1500, 900, lambda x, y: (x % 256, y % 256, (x + y) % 256))
+    px = IO.pixels_from_images(spark, str(tmp_path))
+    right = (F.col("r") == F.col("x") % 256) & (F.col("g") == F.col("y") % 256) & (F.col("b") == (F.col("x") + F.col("y")) % 256)
+    got = px.agg(F.count("*"), F.sum(right.cast("int")), F.countDistinct(F.col("y") * 1500 + F.col("x"))).first()
+    assert tuple(got) == (1350000, 1350000, 1350000)
+
+
 def test_layers_read_back_as_written(spark, tmp_path):
     rows = [(i, x, y, (x + i) / 9, y / 9, 0.25, 1.0) for i in range(5) for y in range(6) for x in range(4)]
     cov = spark.createDataFrame(rows, "image_id long, x int, y int, c0 double, c1 double, c2 double, c3 double")
     inks = spark.createDataFrame([(0, "#0078bf"), (1, "#ff48b0"), (2, "#ffe800"), (3, "#000000")], "ink int, hex string")
     layers = IO.layer_rows(cov, inks, "Two / names")
-    IO.write_layers(layers, str(tmp_path / "out"), buckets=2)
+    IO.write_layers(layers, str(tmp_path / "out"))
     back = IO.read_layers(spark, str(tmp_path / "out"))
     cols = ["image_id", "print_order", "layer", "x", "y", "v"]
     assert sorted(map(tuple, back.select(*cols).collect())) == sorted(map(tuple, layers.select(*cols).collect()))

@@ -199,6 +199,29 @@ def triggers(changes: DataFrame, width: int = WIDTH) -> DataFrame:
     return known.where((F.col("_source") == "auto") & F.col("commit") & wanted).drop("_source", "_bg")
 
 
+#: Keys whose change runs a colour scheme again; entering scheme mode counts once it is committed.
+SCHEME_KEYS = ("schemeIncludeBackground", "scheme", "schemeBase")
+
+
+def scheme_triggers(changes: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Palette changes that make a colour scheme rerun, finished or not: changes' columns. Input as for `triggers`."""
+    palette = changes.where(F.col("section") == "palette")
+    known = last_known(palette, ["project"], "seq", F.when(F.col("key") == "source", F.col("text")), "_source", width)
+    entered = (F.col("key") == "source") & F.col("commit")
+    return known.where((F.col("_source") == "scheme") & (entered | F.col("key").isin(*SCHEME_KEYS))).drop("_source")
+
+
+def image_triggers(changes: DataFrame, images: DataFrame, width: int = WIDTH) -> DataFrame:
+    """New images that make an automatic palette rerun, because the project's palette is automatic by then: project, seq.
+
+    `images`: project, seq (place in the project's log, unlike that of any change).
+    """
+    told = changes.where((F.col("section") == "palette") & (F.col("key") == "source")).select("project", "seq", "text", F.lit(False).alias("_new"))
+    asked = images.select("project", "seq", F.lit(None).cast("string").alias("text"), F.lit(True).alias("_new"))
+    known = last_known(told.unionByName(asked), ["project"], "seq", F.col("text"), "_source", width)
+    return known.where(F.col("_new") & (F.col("_source") == "auto")).select("project", "seq")
+
+
 def open_tasks(events: DataFrame) -> DataFrame:
     """Messages of the tasks still open, in task order: project, busy (null text never appears).
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tintwell.functions import color as C
 from tintwell.functions import hashing
 from tintwell.functions.color import Triple, clamp01, half_up, num
-from tintwell.operators.ranks import BUCKETS, value_ranks
+from tintwell.operators.ranks import value_ranks
 from tintwell.operators.spatial import resample
 from tintwell.session import cut_lineage
 
@@ -158,7 +158,7 @@ def best_clustering(points: DataFrame, keys: list[str], k: int, fixed: DataFrame
 # ---- cluster colours ----
 
 
-def top_share_avg(members: DataFrame, keys: list[str], key: Column, share: float = STRONG_SHARE, prefix: str = "", buckets: int = BUCKETS) -> DataFrame:
+def top_share_avg(members: DataFrame, keys: list[str], key: Column, share: float = STRONG_SHARE, prefix: str = "", buckets: int | None = None) -> DataFrame:
     """Mean Lab of the top `share` of each group's members by `key`: keys, l, a, b.
 
     Exact top-k by rank without sorting a whole group: members with equal keys
@@ -191,7 +191,7 @@ def cluster_share(assigned: DataFrame, centers: DataFrame, keys: list[str], fixe
     return joined.join(inked, keys).select(*keys, "cluster", "n", share.alias("share"), "is_paper")
 
 
-def colorful(points: DataFrame, keys: list[str], buckets: int = BUCKETS) -> DataFrame:
+def colorful(points: DataFrame, keys: list[str], buckets: int | None = None) -> DataFrame:
     """Pixels at least as colourful as the 60th percentile element (and chroma 12), lightness halved, where 20 or more."""
     scored = points.withColumn("_chroma", C.chroma(lab_of()))
     ranks = value_ranks(scored, keys, "_chroma", buckets)
@@ -314,9 +314,13 @@ def next_ink(inks: DataFrame, keys: list[str]) -> DataFrame:
     return used.select(*keys, F.coalesce(F.get(free, F.lit(0)), F.lit("#000000")).alias("hex"))
 
 
-def auto_palette(points: DataFrame, keys: list[str], inks: int, paper_hex: str | None, style: str = "balanced", vividness: float = 0.0, variant: int = 0) -> DataFrame:
+def auto_palette(
+    points: DataFrame, keys: list[str], inks: int, paper_hex: str | None, style: str = "balanced", vividness: float = 0.0, variant: int = 0, images: DataFrame | None = None
+) -> DataFrame:
     """Palette of every image: keys, inks (hexes, light to dark), paper.
 
+    `images` (keys), if given, names the images to answer for; those without points get black inks.
+
     `points`: keys, pid, l, a, b. Clusters the pixels (the paper pinned if it is
     kept), turns clusters into candidate colours, ranks their combinations and
     takes the wanted one.
@@ -374,11 +378,16 @@ def auto_palette(points: DataFrame, keys: list[str], inks: int, paper_hex: str |
         by_vivid = lambda df: df.select(*keys, "id", *[F.col(f"v_{c}").alias(c) for c in LAB])
         kept = dedupe_near(by_vivid(main), by_vivid(extra), keys).select(*keys, "id")
         cands = cut_lineage(main.unionByName(extra).join(kept, [*keys, "id"], "left_semi").select(*keys, "id", "share", *LAB))
-        sets = score_sets(combinations(cands, keys, inks), keys, style, inks)
+        # An image with fewer candidates than inks ranks sets of all it has.
+        sized = cut_lineage(cands.join(cands.groupBy(*keys).agg(F.least(F.lit(inks), F.count("*")).alias("_take")), keys))
+        sets = None
+        for n in range(1, inks + 1):
+            part = score_sets(combinations(sized.where(F.col("_take") == n).drop("_take"), keys, n), keys, style, n)
+            sets = part if sets is None else sets.unionByName(part)
         ranked = rank_palettes(sets, keys, original if style == "balanced" else None)
         at = F.pmod(F.lit(variant), F.greatest(F.size("palettes"), F.lit(1)))
         found = ranked.select(*keys, F.get("palettes", at).alias("_found"))
-        # Too few candidate colours for a full set: the plain clusters serve instead.
+        # Without any candidate the plain clusters serve.
         chosen = original.join(found, keys, "left").select(*keys, F.coalesce("_found", "inks").alias("inks"))
     amount = 1 - (1 - 0.4) * (1 - vividness) if style == "vibrant" else vividness
     padded = F.concat("inks", F.array_repeat(F.element_at("inks", -1), inks)) if inks else F.col("inks")
@@ -388,7 +397,11 @@ def auto_palette(points: DataFrame, keys: list[str], inks: int, paper_hex: str |
     hexes = slots.select(*keys, F.struct((-F.col("l")).alias("k"), F.col("slot"), C.rgb_to_hex(C.lab_to_rgb(lab_of())).alias("hex")).alias("s"))
     packed = hexes.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["hex"]).alias("inks"))
     paper = F.lit(paper_hex) if keep else C.rgb_to_hex(C.lab_to_rgb(lab_of("p_")))
-    return packed.join(papers.select(*keys, paper.alias("paper")), keys)
+    out = packed.join(papers.select(*keys, paper.alias("paper")), keys)
+    if images is None:
+        return out
+    black = F.array_repeat(F.lit("#000000"), inks)
+    return images.select(*keys).distinct().join(out, keys, "left").select(*keys, F.coalesce("inks", black).alias("inks"), F.coalesce("paper", F.lit(paper_hex or "#ffffff")).alias("paper"))
 
 
 def tone_error(dots: DataFrame, cov: DataFrame, keys: list[str]) -> DataFrame:

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from tintwell.session import cut_lineage
 
-#: Buckets per group; raise it with the size of the largest group.
-BUCKETS = 64
+#: Distinct values a bucket aims at; the number of buckets follows from the largest group.
+PER_BUCKET = 20_000
 
 
 def _bucket_of(value: Column, bounds: Column, buckets: int) -> Column:
@@ -32,14 +32,23 @@ def _bucket_of(value: Column, bounds: Column, buckets: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps + 1)), start, halve)["lo"]
 
 
-def value_ranks(df: DataFrame, keys: list[str], value: str, buckets: int = BUCKETS) -> DataFrame:
+def value_ranks(df: DataFrame, keys: list[str], value: str, buckets: int | None = None) -> DataFrame:
     """Distinct values with their place in the group: keys, value, n, below, total.
 
-    `below` counts rows with a smaller value, `n` rows with this one.
+    `below` counts rows with a smaller value, `n` rows with this one. `buckets` per group come from the largest
+    group's number of distinct values where they are not given.
     """
     distinct = df.groupBy(*keys, value).agg(F.count("*").alias("n"))
+    if buckets is None:
+        distinct = cut_lineage(distinct)
+        largest = distinct.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        buckets = -(-largest // PER_BUCKET)
+    if buckets <= 1:
+        order = Window.partitionBy(*keys).orderBy(value)
+        below = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        return distinct.select(*keys, value, "n", below.alias("below"), F.sum("n").over(Window.partitionBy(*keys)).alias("total"))
     shares = [i / buckets for i in range(1, buckets)]
-    bounds = distinct.groupBy(*keys).agg(F.percentile_approx(value, shares, 10000).alias("_bounds"), F.sum("n").alias("total"))
+    bounds = distinct.groupBy(*keys).agg(F.percentile_approx(value, shares, max(10_000, 20 * buckets)).alias("_bounds"), F.sum("n").alias("total"))
     placed = distinct.join(bounds, keys)
     placed = placed.withColumn("_bucket", _bucket_of(F.col(value), F.col("_bounds"), buckets)).drop("_bounds")
     sizes = placed.groupBy(*keys, "_bucket").agg(F.sum("n").alias("_size"))
@@ -50,7 +59,7 @@ def value_ranks(df: DataFrame, keys: list[str], value: str, buckets: int = BUCKE
     return ranked.select(*keys, value, "n", (F.col("_offset") + F.col("_inner")).alias("below"), "total")
 
 
-def quantile_table(df: DataFrame, keys: list[str], value: str, positions: Column, buckets: int = BUCKETS) -> DataFrame:
+def quantile_table(df: DataFrame, keys: list[str], value: str, positions: Column, buckets: int | None = None) -> DataFrame:
     """Linearly interpolated order statistics: keys, i, v.
 
     `positions` is an array of struct(i, q) with q the share (0..1) of the way
@@ -78,7 +87,7 @@ def quantile_table(df: DataFrame, keys: list[str], value: str, positions: Column
     return joined.select(*keys, "i", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("pos") - F.col("lo"))).alias("v"))
 
 
-def equalize(df: DataFrame, keys: list[str], value: str, out: str, buckets: int = BUCKETS) -> DataFrame:
+def equalize(df: DataFrame, keys: list[str], value: str, out: str, buckets: int | None = None) -> DataFrame:
     """Replaces a value by its rank spread over -0.5..0.5; ties share the lowest rank."""
     ranks = value_ranks(df, keys, value, buckets)
     table = ranks.select(*keys, value, ((F.col("below") + 0.5) / F.col("total") - 0.5).alias(out))

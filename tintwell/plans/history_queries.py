@@ -182,7 +182,7 @@ def j12_fast_rise_cost(spark, folder):
 
 _PKEYS = ["source", "inkCount", "paper", "autoStyle", "autoIncludeBackground", "scheme"]
 PALETTE_LOG = f"""plog AS (SELECT project, seq, CASE WHEN section IN ('click', 'view', 'error') THEN 'palette' ELSE 'adjust' END AS section, ({_PKEYS!r})[key % 6 + 1] AS key, commit,
-  CASE key % 6 WHEN 0 THEN CASE WHEN key % 4 < 2 THEN 'auto' ELSE 'manual' END WHEN 4 THEN CASE WHEN key % 8 < 4 THEN 'true' ELSE 'false' END ELSE 'x' END AS text FROM changes)"""
+  CASE key % 6 WHEN 0 THEN CASE key % 18 WHEN 0 THEN 'auto' WHEN 6 THEN 'manual' ELSE 'scheme' END WHEN 4 THEN CASE WHEN key % 8 < 4 THEN 'true' ELSE 'false' END ELSE 'x' END AS text FROM changes)"""
 
 
 @query(
@@ -192,11 +192,37 @@ PALETTE_LOG = f"""plog AS (SELECT project, seq, CASE WHEN section IN ('click', '
 SELECT project, seq, key FROM st WHERE src = 'auto' AND commit AND (key IN ('source', 'inkCount', 'autoStyle', 'autoIncludeBackground') OR (key = 'paper' AND coalesce(bg, 'false') <> 'true'))""",
 )
 def j13_triggers(spark, folder):
+    return J.triggers(palette_log(spark, folder), W).select("project", "seq", "key")
+
+
+def palette_log(spark, folder):
     c, k = B.changes(spark, folder), F.col("key")
-    text = F.when(k % 6 == 0, F.when(k % 4 < 2, "auto").otherwise("manual")).when(k % 6 == 4, F.when(k % 8 < 4, "true").otherwise("false")).otherwise("x")
+    source = F.when(k % 18 == 0, "auto").when(k % 18 == 6, "manual").otherwise("scheme")
+    text = F.when(k % 6 == 0, source).when(k % 6 == 4, F.when(k % 8 < 4, "true").otherwise("false")).otherwise("x")
     section = F.when(F.col("section").isin("click", "view", "error"), "palette").otherwise("adjust")
-    log = c.select("project", "seq", section.alias("section"), F.get(F.array(*[F.lit(n) for n in _PKEYS]), k % 6).alias("key"), "commit", text.alias("text"))
-    return J.triggers(log, W).select("project", "seq", "key")
+    return c.select("project", "seq", section.alias("section"), F.get(F.array(*[F.lit(n) for n in _PKEYS]), k % 6).alias("key"), "commit", text.alias("text"))
+
+
+@query(
+    "j13_scheme_triggers",
+    B.ctes("changes")
+    + f""", {PALETTE_LOG}, st AS (SELECT *, last_value(CASE WHEN key = 'source' THEN text END IGNORE NULLS) OVER (PARTITION BY project ORDER BY seq ROWS UNBOUNDED PRECEDING) AS src FROM plog WHERE section = 'palette')
+SELECT project, seq, key FROM st WHERE src = 'scheme' AND (key = 'scheme' OR (key = 'source' AND commit))""",
+)
+def j13_scheme_triggers(spark, folder):
+    return J.scheme_triggers(palette_log(spark, folder), W).select("project", "seq", "key")
+
+
+@query(
+    "j13_image_triggers",
+    B.ctes("changes")
+    + f""", {PALETTE_LOG}, im AS (SELECT project, seq FROM plog WHERE section = 'adjust'), told AS (SELECT project, seq, text FROM plog WHERE section = 'palette' AND key = 'source')
+SELECT im.project, im.seq FROM im ASOF JOIN told ON told.project = im.project AND told.seq <= im.seq WHERE told.text = 'auto'""",
+)
+def j13_image_triggers(spark, folder):
+    """The log's other changes stand for new images."""
+    log = palette_log(spark, folder)
+    return J.image_triggers(log, log.where(F.col("section") == "adjust").select("project", "seq"), W)
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,32 +20,52 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return rows.select("path", F.element_at(F.split("path", "/"), -1).alias("file_name"), F.lit("").alias("mime"), F.col("length").alias("bytes"))
 
 
+#: Pixels handed on at a time.
+SLICE = 1 << 16
+
+
+def _decoded(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    files = spark.read.format("image").option("dropInvalid", "false").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+    return files.select(*[F.col(f"image.{c}").alias(n) for c, n in (("origin", "path"), ("width", "width"), ("height", "height"), ("nChannels", "n"), ("data", "data"))])
+
+
+def unreadable_images(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """Files that no decoder could read, with a reason: path, reason. WebP has no decoder here and is always among them."""
+    return _decoded(spark, path, pattern).where("height <= 0 OR width <= 0").select("path", F.lit("cannot be decoded").alias("reason"))
+
+
 def pixels_from_images(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """Every pixel of every decodable image: path, width, height, x, y, r, g, b, a.
 
-    Rows of an image are exploded first and then pixels of a row, so that one
-    large image does not have to expand in a single step. Stored bytes are BGR(A) or gray.
+    An image's bytes (BGR, BGRA or gray) are read once as an array and handed on in slices of whole rows, so a large
+    image takes little more than itself. `unreadable_images` names the files that are left out.
     """
-    files = spark.read.format("image").option("dropInvalid", "true").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    img = files.select(
-        F.col("image.origin").alias("path"), F.col("image.width").alias("width"), F.col("image.height").alias("height"), F.col("image.nChannels").alias("n"), F.col("image.data").alias("data")
-    )
-    rows = img.select("path", "width", "height", "n", "data", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y"))
-    rows = rows.withColumn("line", F.expr("substring(data, y * width * n + 1, width * n)")).drop("data")
-    cells = rows.select("path", "width", "height", "n", "y", "line", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("x"))
-    byte = lambda k: F.conv(F.hex(F.expr(f"substring(line, x * n + {k + 1}, 1)")), 16, 10).cast("int")
-    gray = F.col("n") == 1
-    return cells.select(
-        "path",
-        "width",
-        "height",
-        "x",
-        "y",
-        F.when(gray, byte(0)).otherwise(byte(2)).alias("r"),
-        F.when(gray, byte(0)).otherwise(byte(1)).alias("g"),
-        byte(0).alias("b"),
-        F.when(F.col("n") == 4, byte(3)).otherwise(255).alias("a"),
-    )
+
+    def expand(batches):
+        for batch in batches:
+            for img in batch.itertuples(index=False):
+                data = np.frombuffer(img.data, np.uint8).reshape(img.height, img.width, img.n)
+                step = max(1, SLICE // img.width)
+                for top in range(0, img.height, step):
+                    part = data[top : top + step].astype(np.int32).reshape(-1, img.n)
+                    rows = len(part) // img.width
+                    gray = img.n == 1
+                    yield pd.DataFrame(
+                        {
+                            "path": img.path,
+                            "width": img.width,
+                            "height": img.height,
+                            "x": np.tile(np.arange(img.width), rows),
+                            "y": np.repeat(np.arange(top, top + rows), img.width),
+                            "r": part[:, 0 if gray else 2],
+                            "g": part[:, 0 if gray else 1],
+                            "b": part[:, 0],
+                            "a": part[:, 3] if img.n == 4 else 255,
+                        }
+                    )
+
+    good = _decoded(spark, path, pattern).where("height > 0 AND width > 0")
+    return good.mapInPandas(expand, "path string, width int, height int, x int, y int, r int, g int, b int, a int")
 
 
 def layer_rows(cov: DataFrame, inks: DataFrame, project: str) -> DataFrame:
@@ -59,17 +81,14 @@ def layer_rows(cov: DataFrame, inks: DataFrame, project: str) -> DataFrame:
     return long.join(F.broadcast(named), "ink").select("image_id", "print_order", "layer", "x", "y", v.alias("v"))
 
 
-def write_layers(layers: DataFrame, path: str, buckets: int = 16) -> None:
-    """One dataset per ink in print order, images grouped into a fixed number of folders.
+def write_layers(layers: DataFrame, path: str) -> None:
+    """One folder per ink in print order, its rows sorted by image.
 
-    A folder per image would make millions of tiny files; `bucket` bounds the
-    folders and the row range within a file still prunes by image_id. Each
-    (layer, bucket) is spread over several writers by pixel row.
+    Rows are dealt by ink and image and then rebalanced, so the number of writers and the size of files follow the data
+    and one huge image is split; a read of some images prunes by the ranges in the files.
     """
-    keyed = layers.withColumn("bucket", F.pmod(F.xxhash64("image_id"), F.lit(buckets)).cast("int"))
-    keyed.repartition("print_order", "bucket", F.pmod(F.xxhash64("image_id", "y"), F.lit(4))).sortWithinPartitions("image_id", "y", "x").write.mode("overwrite").partitionBy(
-        "print_order", "bucket"
-    ).parquet(path)
+    dealt = layers.hint("rebalance", F.col("print_order"), F.col("image_id"))
+    dealt.sortWithinPartitions("print_order", "image_id", "y", "x").write.mode("overwrite").partitionBy("print_order").parquet(path)
 
 
 def read_layers(spark: SparkSession, path: str, print_order: int | None = None) -> DataFrame:
