@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +47,15 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def slices(batches, rows: int = 512):
+    """Cuts the batches of a task into smaller ones, which bounds what its worker holds besides the batch itself."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.iloc[at : at + rows]
+    # Workers live on between tasks; what the batches took goes back.
+    pa.default_memory_pool().release_unused()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node on an edge (a, b); the component is its smallest node.
 

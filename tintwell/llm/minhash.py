@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType
 
-from tintwell.llm.common import components, written
+from tintwell.llm.common import components, slices, written
 from tintwell.llm.shingles import mixed, shingle_set, word_hashes
 
 #: Words of a shingle and least similarity in percent.
@@ -45,9 +45,9 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """doc_id, n_shingles, set_key (128-bit digest of the shingle set, null where it is empty) and half_keys."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
-            for doc_id, words in zip(batch["doc_id"], word_hashes(list(batch["text"]))):
+            for doc_id, words in zip(batch["doc_id"], word_hashes(batch["text"])):
                 s = shingle_set(words, width)
                 rows.append((None if doc_id is None else int(doc_id), len(s), xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None, _half_keys(s)))
             out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "set_key", "half_keys"])
@@ -64,8 +64,8 @@ def _shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, w
     """doc_id and full shingle set of the documents in `ids`."""
 
     def run(batches):
-        for batch in batches:
-            sets = [shingle_set(w, width).tobytes() for w in word_hashes(list(batch["text"]))]
+        for batch in slices(batches):
+            sets = [shingle_set(w, width).tobytes() for w in word_hashes(batch["text"])]
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("int64"), "shingles": sets})
 
     wanted = docs.join(ids.select(F.col("doc_id").alias("__id")), F.col(id_col) == F.col("__id"), "left_semi")

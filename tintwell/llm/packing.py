@@ -14,11 +14,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tintwell.llm.common import slices
+
 TIERS = (512, 1024, 2048, 4096)
 #: Id that ends a document.
 END_ID = 2
 #: Ids held by a task before it packs them, and words whose ids a task remembers.
-WINDOW_IDS, WORDS_KEPT = 2_000_000, 1_500_000
+WINDOW_IDS, WORDS_KEPT = 1_000_000, 400_000
 #: Marks that a word may end in, and words encoded in a run.
 MARKS, RUN = ".,;:!?", 2048
 #: Full-length windows' worth of ids in a step.
@@ -254,17 +256,15 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             out["doc_id"] = out["doc_id"].astype("Int64")
             return out
 
-        for batch in batches:
-            for at in range(0, len(batch), 1024):
-                part = batch.iloc[at : at + 1024]
-                for doc_id, x in zip(part["doc_id"], words.encode(list(part["text"]))):
-                    ids[number] = np.append(x, np.uint32(end_id))
-                    names[number] = None if doc_id is None else int(doc_id)
-                    packer.add(number, len(ids[number]))
-                    held += len(ids[number])
-                    number += 1
-                if held >= WINDOW_IDS:
-                    yield flush(False)
+        for part in slices(batches):
+            for doc_id, x in zip(part["doc_id"], words.encode(list(part["text"]))):
+                ids[number] = np.append(x, np.uint32(end_id))
+                names[number] = None if doc_id is None else int(doc_id)
+                packer.add(number, len(ids[number]))
+                held += len(ids[number])
+                number += 1
+            if held >= WINDOW_IDS:
+                yield flush(False)
         yield flush(True)
 
     # Ids travel as text, as pandas has no whole numbers with nulls.

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-WORDS_KEPT = 500_000
+WORDS_KEPT = 100_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xFF51AFD7ED558CCD)
 
@@ -23,13 +23,11 @@ class WordHashes(dict):
 HASHES = WordHashes()
 
 
-def word_hashes(texts: list[bytes]) -> list[np.ndarray]:
-    """Hashes of the words of each text, A-Z in lower case. `bytes.split` cuts at exactly the six ASCII blanks."""
-    out = []
+def word_hashes(texts):
+    """Hashes of the words of each text in turn, A-Z in lower case. `bytes.split` cuts at exactly the six ASCII blanks."""
     for t in texts:
         words = t.lower().split()
-        out.append(np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words)))
-    return out
+        yield np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
