@@ -103,6 +103,34 @@ def test_dots_keep_the_tone(spark):
             assert abs(share - tone) < 0.035, (name, tone, share)
 
 
+def test_point_set_screens_keep_the_tone(spark):
+    side, tone = 48, 0.4
+    ramp = spark.range(side * side).select(F.lit(0).cast("long").alias("image_id"), (F.col("id") % side).cast("int").alias("x"), F.floor(F.col("id") / side).cast("int").alias("y"))
+    cov = ramp.select("*", F.lit(0).alias("ink"), F.lit(tone).alias("c"))
+    pts = ramp.select("*", F.lit(0).alias("ink"), F.lit(6.3).alias("size"), F.lit(15.0).alias("degrees"))
+    rng = np.random.default_rng(3)
+    nudges = spark.createDataFrame([(x, y, *(float(v) for v in rng.uniform(-0.3, 0.3, 2))) for x in range(8) for y in range(8)], "tx int, ty int, nx double, ny double")
+    sites = spark.createDataFrame([(i, float(x + 0.5), float(y + 0.5)) for i, (x, y) in enumerate((x, y) for x in range(-2, 12) for y in range(-4, 12))], "site int, sx double, sy double")
+    # Thresholds from the spot values that the screen itself has over all points.
+    far = H.on_lattice(pts).select(F.col("_qx").alias("x"), F.col("_qy").alias("y"), (F.col("y") * side + F.col("x")).alias("k"))
+    noise = H.nearest_jittered(far, nudges, [], ["k", "x", "y"], 8, 1.0).select(F.struct(F.col("px").alias("x"), F.col("py").alias("y")).alias("c"), "x", "y")
+    grid = far.select(F.struct((F.floor("x") + 0.5).alias("x"), (F.floor("y") + 0.5).alias("y")).alias("c"), "x", "y")
+    table = lambda df: H.lattice_tables(df.select(F.lit(0).alias("k"), H.spot_offset("round", F.col("x"), F.col("y"), F.col("c")).alias("spot")), ["k"], "spot")
+    field = spark.createDataFrame([(x, y, float(v)) for (x, y), v in np.ndenumerate(rng.random((48, 48)))], "tx int, ty int, v double")
+    ranked = ramp.select("image_id", (F.col("y") * side + F.col("x")).alias("i"), (F.col("x") + 0.5).alias("x"), (F.col("y") + 0.5).alias("y"))
+    ranked = ranked.withColumn("rank16", F.floor(F.pmod(F.col("i") * 1009, F.lit(side * side)) * 65535 / (side * side)).cast("int"))
+    size = {"width": side, "height": side}
+    for name, params in (
+        ("noise", {"field": nudges, "tile_size": 8, "table": table(noise)}),
+        ("spiral", {"sites": sites, "table": table(grid)}),
+        ("stipple", {"stipple_points": ranked, "thresholds": [j / 32 for j in range(33)]}),
+        ("field", {"field": field, "tile_size": 48}),
+    ):
+        dots = plugins.run_halftone(name, pts, cov, size | params)
+        n, share = dots.agg(F.count("*"), F.avg(F.col("on").cast("double"))).first()
+        assert n == side * side and abs(share - tone) < 0.03, (name, n, share)
+
+
 def test_carry_round_keeps_row_totals(spark):
     rng = random.Random(1)
     rows = [(0, x, y, rng.randrange(256)) for y in range(20) for x in range(50)]

@@ -52,7 +52,7 @@ def k1_split_methods(spark, folder):
 @query("k1_ink_matching")
 def k1_ink_matching(spark, folder):
     """Ink matching of whole pixels through its prepared table."""
-    cov = plugins.run_split("ink_matching", B.rgb21(spark, folder), {"table": FIXED, "size": 9})
+    cov = plugins.run_split("ink_matching", B.rgb21(spark, folder), {"table": FIXED, "size": plugins.MT.DRAFT})
     return cov.groupBy("image_id").agg(*[R(F.avg(c), c, 5) for c in COV])
 
 

@@ -255,12 +255,11 @@ OPTS = MT.MatchOptions(priority=(0.2, 0.5, 0.7, 0.9), sparsity=0.4, balance=0.3)
 _LO, _HI = MT.reachable(FIXED)
 TARGET = f"""tg0 AS (SELECT *, lr * {FIXED[0][0]!r}::DOUBLE AS lr2, lg * {FIXED[0][1]!r}::DOUBLE AS lg2, lb * {FIXED[0][2]!r}::DOUBLE AS lb2 FROM colors), tg1 AS (SELECT * EXCLUDE (lr, lg, lb, lr2, lg2, lb2), lr2 AS lr, lg2 AS lg, lb2 AS lb FROM tg0),
 {S.lab_cte('tg2', 'tg1')}, target AS (SELECT r, g, b, {_LO!r}::DOUBLE + lab_l / {_HI!r}::DOUBLE * {_HI - _LO!r}::DOUBLE AS tl, lab_a AS ta, lab_b AS tb FROM tg2)"""
-COLORS = f"q16 AS (SELECT DISTINCT r // 32 * 32 AS r, g // 32 * 32 AS g, b // 32 * 32 AS b FROM rgb21), {S.linear_cte('colors', 'q16')}"
+COLORS = f"q16 AS (SELECT DISTINCT r, g, b FROM rgb21), {S.linear_cte('colors', 'q16')}"
 
 
 def colors(spark, folder):
-    q = [(F.floor(F.col(c) / 32) * 32).cast("int").alias(c) for c in "rgb"]
-    return B.rgb21(spark, folder).select(*q).distinct()
+    return B.rgb21(spark, folder).select("r", "g", "b").distinct()
 
 
 def target():

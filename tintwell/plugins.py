@@ -148,6 +148,61 @@ halftone("hex")(_lattice(lambda params: H.nearest_hex))
 halftone("rings")(_lattice(lambda params: lambda x, y: H.nearest_ring(x, y, params.get("ratio", 1.0))))
 
 
+def _centred(points: DataFrame, coverage: DataFrame, params: Params, centres) -> DataFrame:
+    """Dots around centres found by a join. `centres(asked)` takes image_id, ox, oy, ink, x, y (lattice units) and adds cx, cy.
+
+    `table` (i, v) is the threshold table of the point set (`halftone.lattice_tables` of its spot values).
+    """
+    at = H.on_lattice(points)
+    asked = at.select("image_id", F.col("x").alias("ox"), F.col("y").alias("oy"), "ink", F.col("_qx").alias("x"), F.col("_qy").alias("y"))
+    found = centres(asked).select("image_id", F.col("ox").alias("x"), F.col("oy").alias("y"), "ink", F.struct(F.col("cx").alias("x"), F.col("cy").alias("y")).alias("_c"))
+    return H.lattice_dots(
+        at.join(found, [*KEY, "ink"]), coverage, params["table"], params.get("shape", "round"), params.get("scale", 1.0), params["width"], params["height"],
+        params.get("curve"), params.get("max_dot", 1.0), params.get("min_dot", 0.0), params.get("min_dot_mode", "drop"),
+    )
+
+
+_ASKED = ["image_id", "ox", "oy", "ink"]
+
+
+@halftone("noise")
+def _noise(points: DataFrame, coverage: DataFrame, params: Params) -> DataFrame:
+    """Grid dots nudged by a wrapping noise field: `field` (tx, ty, nx, ny), `tile_size`, `amount`."""
+    nudge = lambda asked: H.nearest_jittered(asked, params["field"], [], _ASKED, params["tile_size"], params.get("amount", 1.0))
+    return _centred(points, coverage, params, lambda asked: nudge(asked).withColumnsRenamed({"px": "cx", "py": "cy"}))
+
+
+@halftone("spiral")
+def _spiral(points: DataFrame, coverage: DataFrame, params: Params) -> DataFrame:
+    """Dots on given sites, as of a spiral: `sites` (site, sx, sy) in lattice units."""
+    sites = params["sites"].select("site", F.col("sx").alias("cx"), F.col("sy").alias("cy"))
+    return _centred(points, coverage, params, lambda asked: H.nearest_site(asked, params["sites"], _ASKED).join(sites, "site"))
+
+
+@halftone("stipple")
+def _stipple(points: DataFrame, coverage: DataFrame, params: Params) -> DataFrame:
+    """One pixel for each point whose rank the tone reaches: `stipple_points` (image_id, i, x, y, rank16), `thresholds`."""
+    inks = coverage.select("image_id", "ink").distinct()
+    asked = params["stipple_points"].join(inks, "image_id").withColumn("image_id", F.struct("image_id", "ink"))
+    cells = coverage.select(F.struct("image_id", "ink").alias("image_id"), "x", "y", "c")
+    picked = H.ranked_select(asked, cells, params["thresholds"])
+    lit = picked.select("image_id.image_id", "image_id.ink", F.floor("x").cast("int").alias("x"), F.floor("y").cast("int").alias("y"), F.lit(True).alias("_lit")).distinct()
+    return coverage.join(lit, [*KEY, "ink"], "left").select(*KEY, "ink", F.coalesce("_lit", F.lit(False)).alias("on"))
+
+
+@halftone("field")
+def _field(points: DataFrame, coverage: DataFrame, params: Params) -> DataFrame:
+    """Ink where a wrapping pattern field is high enough: `field` (tx, ty, v), `tile_size`, `texels` per output pixel."""
+    texels = params.get("texels", 1.0)
+    asked = points.select("image_id", F.col("x").alias("ox"), F.col("y").alias("oy"), "ink", ((F.col("x") + 0.5) * texels).alias("x"), ((F.col("y") + 0.5) * texels).alias("y"))
+    f = H.sample_field(asked, params["field"], [], _ASKED, params["tile_size"])
+    f = f.select("image_id", F.col("ox").alias("x"), F.col("oy").alias("y"), "ink", "f")
+    at = f.withColumns({"sx": F.col("x") + 0.5, "sy": F.col("y") + 0.5})
+    toned = H.at_sample(at, coverage, params.get("scale", 1.0), params["width"], params["height"]).withColumn("_k", F.lit(0))
+    table = H.area_tables(params["field"].select(F.lit(0).alias("_k"), "v"), ["_k"], "v")
+    return H.threshold_test(toned, table, ["_k"], "c", "f", above=True).select(*KEY, "ink", "on")
+
+
 @halftone("ordered")
 def _ordered(points: DataFrame, coverage: DataFrame, params: Params) -> DataFrame:
     """Threshold tile, one dot per coverage cell."""
