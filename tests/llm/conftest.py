@@ -35,6 +35,7 @@ ODD = [
     (None, "a null id", "fr", None),
     (13, "éàü ß 漢字 \U0001f600 é", "fr", "a"),
     (14, "A-" * 30_000, "fr", "b"),
+    (15, "½ ² ① 7", "fr", "b"),
 ]
 
 

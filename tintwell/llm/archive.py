@@ -34,7 +34,8 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", bod
     url = F.regexp_replace(F.coalesce(F.col(url_col), F.lit("about:blank")), "[\\r\\n]", "")
     rows = pages.select(F.col(id_col).alias("page_id"), url.alias("url"), F.sha2(body, 256).alias("digest"), F.sha1(body).alias("sha1"), F.octet_length(body).cast("long").alias("bytes"))
     rows = written(rows, "records")
-    first = rows.where(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("first_id"))
+    # Written first, so that the join reads plain exchanges and a much repeated payload can be split.
+    first = written(rows.where(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("first_id")), "first")
     rows = rows.join(first, "digest", "left")
     revisit = F.col("first_id").isNotNull() & ~F.col("first_id").eqNullSafe(F.col("page_id"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(END))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -48,12 +49,25 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
 
 
 def slices(batches, rows: int = 512):
-    """Cuts the batches of a task into smaller ones, which bounds what its worker holds besides the batch itself."""
-    for batch in batches:
+    """Cuts the batches of a task into smaller ones and lets go of each batch before the next is read.
+
+    Workers live on between tasks, so what a batch took also goes back to the system.
+    """
+    source = iter(batches)
+    while (batch := next(source, None)) is not None:
         for at in range(0, len(batch), rows):
-            yield batch.iloc[at : at + rows]
-    # Workers live on between tasks; what the batches took goes back.
+            # A copy, as a view would keep the whole batch for as long as its last rows are in use.
+            yield batch.iloc[at : at + rows].copy()
+        del batch
+        give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory of this process to the system, where its C library can."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def components(edges: DataFrame) -> DataFrame:

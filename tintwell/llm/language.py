@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
+from tintwell.llm.common import give_back, slices
+
 #: Lengths of the byte n-grams, and buckets of each length.
 ORDERS, BUCKETS = (2, 3, 4), 4096
 #: Codewords of all two-way splits up to this many languages; beyond, seeded random splits, this many per bit of information.
@@ -21,7 +23,7 @@ UNKNOWN = "und"
 AMBIGUOUS = 0.02
 
 _FOLD = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
-_LETTER = re.compile(r"[^\W\d_]")
+_PLAIN_LETTER = re.compile("[A-Za-z]")
 _RUN = re.compile(rb" +")
 _FACTOR = np.uint32(2654435761)
 
@@ -67,7 +69,7 @@ def gram_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
 
     def run(batches):
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in slices(batches):
             for lang, text in zip(batch["lang"], batch["text"]):
                 if lang not in sums:
                     sums[lang] = np.zeros(len(ORDERS) * BUCKETS, dtype=np.int64)
@@ -111,7 +113,7 @@ def decode(model: Model, text: str | None) -> tuple[str, float, bool]:
 
     Each codeword loses, weighted by bit, what the classifiers say against it; the nearest one has the smallest loss.
     """
-    if text is None or not model.languages or not _LETTER.search(text):
+    if text is None or not model.languages or not (_PLAIN_LETTER.search(text) or any(map(str.isalpha, text))):
         return UNKNOWN, 0.0, True
     if len(model.languages) == 1:
         return model.languages[0], 1.0, False
@@ -135,7 +137,9 @@ def predict(model: Model, text: Column) -> Column:
 
     @F.pandas_udf(_PREDICTION)
     def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([decode(model, t) for t in texts], columns=["lang_pred", "score", "ambiguous"])
+        out = pd.DataFrame([decode(model, t) for t in texts], columns=["lang_pred", "score", "ambiguous"])
+        give_back()
+        return out
 
     return run(text)
 

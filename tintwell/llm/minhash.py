@@ -7,7 +7,6 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType
 
 from tintwell.llm.common import components, slices, written
 from tintwell.llm.shingles import mixed, shingle_set, word_hashes
@@ -24,7 +23,7 @@ OFFSETS = _rng.integers(1, 2**63, 2 * HALVES * HASHES, dtype=np.uint64)
 #: Pairs between classes that are compared at once when no more than this many for each row of the buckets are left.
 PAIRS_PER_ROW = 4
 #: Most documents and shingles on a side of a block, on average, and shingles of a matrix, that are compared at a time.
-BLOCK, BLOCK_SHINGLES, COLUMNS = 2048, 1 << 20, 4096
+BLOCK, BLOCK_SHINGLES, COLUMNS = 1024, 1 << 19, 2048
 
 
 def _half_keys(shingles: np.ndarray) -> np.ndarray:
@@ -65,24 +64,11 @@ def _shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, w
 
     def run(batches):
         for batch in slices(batches):
-            sets = [shingle_set(w, width).tobytes() for w in word_hashes(batch["text"])]
+            sets = [shingle_set(w, width).view(np.int64) for w in word_hashes(batch["text"])]
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("int64"), "shingles": sets})
 
     wanted = docs.join(ids.select(F.col("doc_id").alias("__id")), F.col(id_col) == F.col("__id"), "left_semi")
-    return _texts(wanted, id_col, text_col).mapInPandas(run, "doc_id long, shingles binary").dropDuplicates(["doc_id"])
-
-
-@F.pandas_udf(LongType())
-def _common(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Size of the intersection of two sorted sets."""
-    both = (np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)]) for x, y in zip(a, b))
-    return pd.Series([int((np.diff(np.sort(s)) == 0).sum()) for s in both], dtype="int64")
-
-
-@F.pandas_udf(BinaryType())
-def _upper_halves(shingles: pd.Series) -> pd.Series:
-    """The upper 32 bits of each hash, still sorted."""
-    return pd.Series([np.unique((np.frombuffer(x, np.uint64) >> np.uint64(32)).astype(np.uint32)).tobytes() for x in shingles])
+    return _texts(wanted, id_col, text_col).mapInPandas(run, "doc_id long, shingles array<long>").dropDuplicates(["doc_id"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -90,8 +76,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(left, "a").join(right, "b")
-    union = (F.octet_length("sa") + F.octet_length("sb")) / 8 - F.col("common")
-    return both.withColumn("common", _common("sa", "sb")).where(100 * F.col("common") >= percent * union).select("a", "b")
+    both = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("common"))
+    return both.where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
 
 def _table_keys(sets: DataFrame) -> DataFrame:
@@ -116,7 +102,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows = written(signatures(docs, id_col, text_col, width), "signatures")
     usable = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
-    copies = usable.groupBy("set_key").agg(F.min("doc_id").alias("first"))
+    # Written first, so that the join reads plain exchanges and a large group of copies can be split.
+    copies = written(usable.groupBy("set_key").agg(F.min("doc_id").alias("first")), "firsts")
     copies = written(usable.select("doc_id", "set_key").join(copies, "set_key").select("doc_id", "first"), "copies")
     firsts = usable.join(copies.where("doc_id = first").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     keys = _table_keys(firsts)
@@ -164,9 +151,10 @@ def _links_in_blocks(docs: DataFrame, percent: int) -> DataFrame:
     second. They carry the upper halves of their shingle hashes; links are confirmed on full sets later. A block's output
     is the closest pair of each two classes, however many pairs are similar.
     """
-    brief = docs.select("doc_id", "label", (F.octet_length("shingles") / 8).cast("long").alias("n"), _upper_halves("shingles").alias("brief"), "half_keys")
+    upper = F.transform("shingles", lambda h: F.shiftright(h, 32).cast("int"))
+    brief = docs.select("doc_id", "label", F.size("shingles").alias("n"), upper.alias("brief"), "half_keys")
     first = brief.select("doc_id", "label", "n", "brief", F.slice("half_keys", HALVES + 1, HALVES).alias("second"), F.posexplode(F.slice("half_keys", 1, HALVES)).alias("i", "half"))
-    own = docs.select("doc_id", "label", (F.octet_length("shingles") / 8).alias("n"), F.posexplode(F.slice("half_keys", 1, HALVES)).alias("i", "half"))
+    own = docs.select("doc_id", "label", F.size("shingles").alias("n"), F.posexplode(F.slice("half_keys", 1, HALVES)).alias("i", "half"))
     sizes = own.groupBy("i", "half").agg(F.count("*").alias("docs"), F.sum("n").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
     sizes = sizes.select("i", "half", F.ceil(F.greatest(F.col("docs") / BLOCK, F.col("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
@@ -185,8 +173,8 @@ def _links_in_blocks(docs: DataFrame, percent: int) -> DataFrame:
         none = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
         if not len(use_a):
             return none
-        sa = [np.frombuffer(x, np.uint32) for x in left["brief"].iloc[use_a]]
-        sb = [np.frombuffer(x, np.uint32) for x in right["brief"].iloc[use_b]]
+        sa = [np.unique(np.asarray(x, np.int32)) for x in left["brief"].iloc[use_a]]
+        sb = [np.unique(np.asarray(x, np.int32)) for x in right["brief"].iloc[use_b]]
         na, nb = left["n"].to_numpy()[use_a], right["n"].to_numpy()[use_b]
         common = _common_counts(sa, sb)
         share = common / (na[:, None] + nb[None, :] - common)
@@ -224,11 +212,9 @@ def _incidence(sets: list[np.ndarray], ids: np.ndarray) -> np.ndarray:
 
 
 def _with_pivots(now: DataFrame) -> DataFrame:
-    """Members against the pivots of their bucket: the first and the last by a hash of class and document."""
-    order = F.struct(F.xxhash64("label"), F.xxhash64("doc_id"), "doc_id", "n_shingles", "label")
-    ends = now.groupBy("key").agg(F.min(order).alias("low"), F.max(order).alias("high")).where("low.label <> high.label")
-    both = now.join(ends, "key").select("doc_id", "n_shingles", "label", F.explode(F.array("low", "high")).alias("p"))
-    both = both.where("label <> p.label")
+    """Members against the pivot of their bucket: the first by a hash of class and document, and so the same in most buckets of a group."""
+    first = F.min(F.struct(F.xxhash64("label"), F.xxhash64("doc_id"), "doc_id", "n_shingles", "label")).alias("p")
+    both = now.join(now.groupBy("key").agg(first), "key").where("label <> p.label")
     return both.select(F.col("doc_id").alias("a"), F.col("p.doc_id").alias("b"), F.col("n_shingles").alias("na"), F.col("p.n_shingles").alias("nb"))
 
 
