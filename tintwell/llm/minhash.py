@@ -68,7 +68,9 @@ def _shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, w
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("int64"), "shingles": sets})
 
     wanted = docs.join(ids.select(F.col("doc_id").alias("__id")), F.col(id_col) == F.col("__id"), "left_semi")
-    return _texts(wanted, id_col, text_col).mapInPandas(run, "doc_id long, shingles array<long>").dropDuplicates(["doc_id"])
+    # The join has dealt the rows by id, so one of each is kept without another shuffle.
+    once = wanted.select(id_col, text_col).dropDuplicates([id_col])
+    return _texts(once, id_col, text_col).mapInPandas(run, "doc_id long, shingles array<long>")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
