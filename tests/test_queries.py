@@ -29,3 +29,10 @@ def test_entry_has_rows(spark):
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
     assert (ROOT / f"sf{SF}").is_dir()
+
+
+def test_stream_replay_keeps_the_stacks_of_the_batch_replay(spark):
+    folder = str(ROOT / f"sf{SF}")
+    batch, stream = (sorted(map(tuple, QUERIES[n](spark, folder).select("project", "value", "undo", "redo").collect())) for n in ("j5_replay", "stream_replay"))
+    assert stream == batch
+    assert max(undo for _, _, undo, _ in stream) > 8

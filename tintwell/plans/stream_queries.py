@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tintwell.operators import history as J
 from tintwell.plans.curve_queries import R
 from tintwell.plans.registry import ORACLES, query
 from tintwell.sources import bridge as B
@@ -77,5 +78,5 @@ def stream_replay(spark, folder):
     c = changes(spark, folder)
     k = F.col("key") % 7
     kind = F.when(k < 3, "set").when(k < 5, "undo").when(k == 5, "redo").otherwise("quiet")
-    out = drain(ST.replay(c.select("project", "seq", kind.alias("action"), "value"), limit=8), "update")
+    out = drain(ST.replay(c.select("project", "seq", kind.alias("action"), "value"), limit=J.STEP_LIMIT), "update")
     return latest(out, ["project"], "seq").select("project", "value", "undo", "redo")
