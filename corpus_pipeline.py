@@ -21,9 +21,13 @@ def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _kept(docs, exact_dedup.exact_groups(docs))
 
 
+#: Least similarity of near copies in percent; the 85 of minhash is op8's alone.
+NEAR_PERCENT = 80
+
+
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies."""
-    return _kept(docs, minhash.near_classes(docs))
+    return _kept(docs, minhash.near_classes(docs, percent=NEAR_PERCENT))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
