@@ -199,6 +199,39 @@ def test_license_scan_finds_lines_paragraphs_and_texts(spark):
     assert got[6] == (1, "Apache-2.0", "Apache-2.0") and got[7] == (3, "CC-BY-NC-4.0,MIT", "CC-BY-NC-4.0")
 
 
+def test_license_scan_finds_notices_laid_out_in_paragraphs(spark):
+    import textwrap
+
+    cuts = {
+        "MIT-text": ["The above", "THE SOFTWARE IS"],
+        "ISC": ["THE SOFTWARE IS"],
+        "GPL-2.0-header": ["This program is dist", "You should"],
+        "GPL-3.0-header": ["This program is dist", "You should"],
+        "AGPL-3.0-header": ["This program is dist", "You should"],
+        "LGPL-2.1-header": ["This library is dist", "You should"],
+        "LGPL-3.0-header": ["This program is dist", "You should"],
+        "Apache-2.0-header": ["http:", "Unless"],
+        "BSD-2-Clause-text": ["1. Re", "2. Re", "THIS SOFTWARE"],
+        "BSD-3-Clause-text": ["1. Re", "2. Re", "3. Nei", "THIS SOFTWARE"],
+    }
+    texts, names = [], list(cuts)
+    for i, (name, starts) in enumerate(cuts.items()):
+        whole = " ".join(licenses.TEMPLATES[name].split())
+        at = [0, *(whole.index(x) for x in starts), len(whole)]
+        notice = "\n\n".join(textwrap.fill(whole[a:b], 78) for a, b in zip(at, at[1:]))
+        texts.append((i, prose(i, 400) + "\n\n" + notice + "\n\n" + prose(50 + i, 400)))
+    texts.append((len(names), prose(8, 300) + "\n\n" + " ".join(licenses.TEMPLATES["LGPL-3.0"].split()) + "\n\n" + prose(9, 300)))
+    got = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    found = [set(got[i].licenses.split(",")) for i in range(len(texts))]
+    own = {"MIT-text": "MIT-text-", "ISC": "ISC-", "BSD-2-Clause-text": "BSD-"}
+    for i, name in enumerate(names):
+        assert any(x.startswith(own.get(name, name.replace("-text", ""))) for x in found[i]), name
+    assert "BSD-disclaimer" in found[8] & found[9]
+    assert any(x.startswith("BSD-3") for x in found[9]) and not any(x.startswith("BSD-3") for x in found[8])
+    assert found[names.index("GPL-3.0-header")] == {"GPL-3.0-header-1", "GPL-header-2", "GPL-3.0-header-3"}
+    assert found[-1] == {"LGPL-3.0"}
+
+
 def test_cues_and_bounds_lose_no_match():
     cues = set(licenses.cue_words())
     for text in licenses.TEMPLATES.values():

@@ -12,13 +12,39 @@ LEAST = 0.8
 
 # Published licence notices.
 TEMPLATES = {
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "AGPL-3.0-header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by
+the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.
+You should have received a copy of the GNU Affero General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.""",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
 You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT
 WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
     "BSD-2-Clause": "Licensed under the BSD 2-Clause License.",
+    "BSD-2-Clause-text": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation
+and/or other materials provided with the distribution.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE
+LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE
+GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT
+LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
     "BSD-3-Clause": "Licensed under the BSD 3-Clause License.",
+    "BSD-3-Clause-text": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation
+and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software
+without specific prior written permission.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE
+LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE
+GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT
+LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
     "BSD-header": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
@@ -30,6 +56,12 @@ WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License
     "CC-BY-SA-4.0-long": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "GPL-2.0-header": """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+You should have received a copy of the GNU General Public License along with this program; if not, write to the Free Software Foundation, Inc.,
+51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.""",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-3.0-header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by
 the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
@@ -42,6 +74,19 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
 MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES
 WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF
 OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "LGPL-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "LGPL-2.1-header": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by
+the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.
+This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.
+You should have received a copy of the GNU Lesser General Public License along with this library; if not, write to the Free Software Foundation, Inc.,
+51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.""",
+    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "LGPL-3.0-header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by
+the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.
+You should have received a copy of the GNU Lesser General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.""",
     "MIT": "Released under the MIT License.",
     "MIT-text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the
 "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute,
@@ -57,6 +102,42 @@ file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
 
+#: Paragraphs of notices that are published in several: template, first words, first words of what follows. Paragraphs
+#: that licences share have one name. Left out are Apache's address and the middle paragraph of MIT, one line of MIT-text
+#: that would count the licence again; the paragraphs beside them find both.
+PARTS = {
+    "AGPL-3.0-header-1": ("AGPL-3.0-header", "This program is free", "This program is dist"),
+    "AGPL-3.0-header-2": ("AGPL-3.0-header", "This program is dist", "You should"),
+    "AGPL-3.0-header-3": ("AGPL-3.0-header", "You should", None),
+    "Apache-2.0-header-1": ("Apache-2.0-header", "Licensed under", "http://"),
+    "Apache-2.0-header-2": ("Apache-2.0-header", "Unless required", None),
+    "BSD-2-Clause-conditions": ("BSD-2-Clause-text", "Redistribution and", "THIS SOFTWARE"),
+    "BSD-3-Clause-conditions": ("BSD-3-Clause-text", "Redistribution and", "THIS SOFTWARE"),
+    "BSD-3-Clause-condition-3": ("BSD-3-Clause-text", "3. Neither", "THIS SOFTWARE"),
+    "BSD-condition-1": ("BSD-3-Clause-text", "1. Redistributions", "2. Redistributions"),
+    "BSD-condition-2": ("BSD-3-Clause-text", "2. Redistributions", "3. Neither"),
+    "BSD-disclaimer": ("BSD-3-Clause-text", "THIS SOFTWARE", None),
+    "BSD-grant": ("BSD-3-Clause-text", "Redistribution and", "1. Redistributions"),
+    "GPL-2.0-header-1": ("GPL-2.0-header", "This program is free", "This program is dist"),
+    "GPL-2.0-header-3": ("GPL-2.0-header", "You should", None),
+    "GPL-3.0-header-1": ("GPL-3.0-header", "This program is free", "This program is dist"),
+    "GPL-3.0-header-3": ("GPL-3.0-header", "You should", None),
+    "GPL-header-2": ("GPL-3.0-header", "This program is dist", "You should"),
+    "ISC-disclaimer": ("ISC", "THE SOFTWARE", None),
+    "ISC-grant": ("ISC", "Permission to", "THE SOFTWARE"),
+    "LGPL-2.1-header-1": ("LGPL-2.1-header", "This library is free", "This library is dist"),
+    "LGPL-2.1-header-2": ("LGPL-2.1-header", "This library is dist", "You should"),
+    "LGPL-2.1-header-3": ("LGPL-2.1-header", "You should", None),
+    "LGPL-3.0-header-1": ("LGPL-3.0-header", "This program is free", "This program is dist"),
+    "LGPL-3.0-header-2": ("LGPL-3.0-header", "This program is dist", "You should"),
+    "LGPL-3.0-header-3": ("LGPL-3.0-header", "You should", None),
+    "MIT-text-disclaimer": ("MIT-text", "THE SOFTWARE IS", None),
+    "MIT-text-grant": ("MIT-text", "Permission is", "The above"),
+}
+for _name, (_whole, _start, _end) in PARTS.items():
+    _text = TEMPLATES[_whole]
+    TEMPLATES[_name] = _text[_text.index(_start) : _text.index(_end) if _end else None].strip()
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARAGRAPH = "\\n[ \\t\\r]*\\n"
 
@@ -117,7 +198,8 @@ def _templates(templates: dict[str, str], least: float) -> Column:
 def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] = TEMPLATES, least: float = LEAST) -> DataFrame:
     """doc_id, unit, place, license and dice of each line, paragraph and whole text that matches a template.
 
-    A paragraph counts when it has several lines, a whole text when it has several paragraphs, so nothing counts twice.
+    A paragraph counts when it has several lines, a whole text when it has several paragraphs, so no unit counts twice. A
+    notice of several paragraphs counts by paragraph, and once more where the whole text is little else.
     Of several templates the best, then the first by name, is named. Units without any cue word are left out before
     they are normalised; templates whose size rules a unit out are not compared.
     """
