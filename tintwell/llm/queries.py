@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tintwell.llm import archive, crf_secrets, exact_dedup, hmm, language, licenses, minhash, mixing, near_vectors, packing
+from tintwell.llm import archive, crf_secrets, exact_dedup, hmm, language, licenses, minhash, mixing, near_vectors, packing, periodic, square_packing, term_scan
 from tintwell.llm.common import table
 from tintwell.plans.registry import query
 
@@ -137,3 +137,59 @@ FROM e LEFT JOIN x ON e.source IS NOT DISTINCT FROM x.source""",
 )
 def op10_water_filling_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query(
+    "op11_periodic_runs",
+    """
+WITH c AS (
+  SELECT doc_id, coalesce(text, '') AS t, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END)))) AS h
+  FROM documents),
+s AS (SELECT doc_id, h, h // 10 AS g, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM c),
+a AS (SELECT *, len(words) AS n, CASE WHEN h % 10 = 0 AND len(words) > 0 THEN g % len(words) END AS a FROM s),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+d AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN words ELSE list_transform(range(0, n), lambda i: words[(CASE WHEN i < a THEN i ELSE a + (i - a) % p END) + 1]) END AS words FROM p),
+w AS (SELECT doc_id, n, unnest(range(0, n)) AS i, unnest(words) AS word FROM d),
+-- Equal words q apart, in stretches without a break.
+e AS (SELECT x.doc_id, y.i - x.i AS q, x.i AS i FROM w x JOIN w y ON x.doc_id = y.doc_id AND x.word = y.word AND x.i < y.i AND 3 * (y.i - x.i) <= x.n),
+k AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS stretch FROM e),
+m AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS n FROM k GROUP BY doc_id, q, stretch HAVING count(*) + q >= greatest(24, 3 * q)),
+r AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM m z WHERE z.doc_id = m.doc_id AND z.q < m.q AND z.s <= m.s AND z.s + z.n >= m.s + m.n)),
+l AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || n || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM r GROUP BY doc_id),
+b AS (
+  SELECT r.* FROM r WHERE NOT EXISTS (SELECT 1 FROM r z WHERE z.doc_id = r.doc_id AND (z.n * r.q > r.n * z.q OR z.n * r.q = r.n * z.q AND (z.s < r.s OR z.s = r.s AND z.q < r.q)))),
+x AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + n)) AS i FROM r),
+o AS (SELECT w.doc_id, string_agg(w.word, ' ' ORDER BY w.i) AS kept FROM w LEFT JOIN x ON x.doc_id = w.doc_id AND x.i = w.i WHERE x.i IS NULL GROUP BY w.doc_id)
+SELECT d.doc_id, coalesce(l.n_runs, 0) AS n_runs, b.s AS start, CAST(b.n AS BIGINT) AS length, b.q AS period, CAST(1000 * b.n // b.q AS BIGINT) AS exponent_milli,
+  sha256(coalesce(l.lines, '')) AS runs_sha256, sha256(coalesce(o.kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN l ON l.doc_id = d.doc_id LEFT JOIN b ON b.doc_id = d.doc_id LEFT JOIN o ON o.doc_id = d.doc_id""",
+)
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic.run_digests(periodic.periodic_runs(periodic.with_planted_periods(table(spark, folder, "documents"))))
+
+
+@query(
+    "op12_term_scan",
+    """
+WITH t AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+d AS (SELECT doc_id, len(terms) AS n, terms FROM t WHERE len(terms) > 0),
+g AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS words FROM d),
+i AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+q AS (SELECT item_id, term, CAST(count(*) AS BIGINT) AS times FROM i GROUP BY ALL),
+f AS (SELECT doc_id, n, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT doc_id, n, unnest(terms) AS term FROM d) u WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM f GROUP BY term) x, g),
+s AS (
+  SELECT q.item_id, f.doc_id, CAST(sum(q.times * w.w * ((1000000000 * f.tf) // (1000 * f.tf + 12 * (75 + (25 * f.n * g.docs) // g.words)))) AS BIGINT) AS score
+  FROM q JOIN f ON f.term = q.term JOIN w ON w.term = q.term, g GROUP BY q.item_id, f.doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 20""",
+)
+def op12_term_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return term_scan.ranked_search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op13_square_packing")
+def op13_square_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return square_packing.square_pack(table(spark, folder, "documents"), tokenizer_path())
