@@ -5,12 +5,16 @@ Logs have a unique running number `seq` and a time in microseconds `us`.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections import deque
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from tintwell.functions.color import num
 from tintwell.operators.scan import WIDTH, last_known, previous, running_sum, with_block
-from tintwell.session import cut_lineage
 
 SETTING = ["project", "section", "key"]
 STEP_LIMIT = 200
@@ -75,43 +79,64 @@ def history(steps: DataFrame, limit: int | None = None, width: int = WIDTH) -> D
     return numbered.join(totals, "project").where(F.col("_total") - F.col("_at") < limit).drop("_total", "_at")
 
 
-def replay(log: DataFrame, limit: int | None = None, width: int = WIDTH) -> DataFrame:
+class Stacks:
+    """A project's value with its undo and redo stacks, of at most `limit` entries."""
+
+    def __init__(self, value=None, undo=(), redo=(), limit: int | None = None):
+        self.value, self.undo, self.redo = value, deque(undo, limit), deque(redo, limit)
+
+    def act(self, action: str, new) -> None:
+        """A new step clears redo, a quiet change only moves the starting point; a step to the same value is none."""
+        now = self.value
+        if action == "set":
+            if new != now and not (new != new and now != now):
+                self.undo.append(now)
+                self.redo.clear()
+                self.value = new
+        elif action == "quiet":
+            self.value = new
+        elif action == "undo" and self.undo:
+            self.redo.append(now)
+            self.value = self.undo.pop()
+        elif action == "redo" and self.redo:
+            self.undo.append(now)
+            self.value = self.redo.pop()
+
+
+def replay(log: DataFrame, limit: int | None = None) -> DataFrame:
     """Value after replaying every project's actions: project, value, undo (depth), redo (depth).
 
-    `log`: project, seq, action (set, quiet, undo, redo), value. Undo is strictly
-    ordered, so a project's actions fold in rounds of `width`, all projects side
-    by side. One round does for every project that has no more; only longer ones
-    are read again, with their stacks carried on in a checkpointed table.
+    `log`: project, seq, action (set, quiet, undo, redo), value. Undo is strictly ordered, so this is one ordered pass:
+    rows are dealt by project, sorted within their partitions (which may spill), and each task folds its rows as they
+    stream by. It holds one Arrow batch and the stacks of one project, however long that project's log is. A null project
+    is one project, and actions of any other kind change nothing.
     """
-    state_type = "struct<value:double,undo:array<double>,redo:array<double>>"
-    numbered = running_sum(log.select("project", "seq", "action", "value"), ["project"], "seq", F.lit(1).cast("bigint"), "_n", width)
-    left = cut_lineage(numbered.withColumn("_round", F.floor((F.col("_n") - 1) / width)))
-    state = log.sparkSession.createDataFrame([], f"project long, s {state_type}")
-    empty = F.array().cast("array<double>")
-
-    def act(s: Column, a: Column) -> Column:
-        kind, v = a["action"], a["value"]
-        undo, redo, now = s["undo"], s["redo"], s["value"]
-        pushed = F.concat(undo, F.array(now))
-        kept = F.slice(pushed, F.greatest(F.lit(1), F.size(pushed) - limit + 1), F.lit(limit)) if limit else pushed
-        shorter = lambda arr: F.slice(arr, F.lit(1), F.greatest(F.lit(0), F.size(arr) - 1))
-        make = lambda value, u, r: F.struct(value.alias("value"), u.alias("undo"), r.alias("redo"))
-        return (
-            F.when((kind == "set") & ~v.eqNullSafe(now), make(v, kept, empty))
-            .when(kind == "quiet", make(v, undo, redo))
-            .when((kind == "undo") & (F.size(undo) > 0), make(F.element_at(undo, -1), shorter(undo), F.concat(redo, F.array(now))))
-            .when((kind == "redo") & (F.size(redo) > 0), make(F.element_at(redo, -1), pushed, shorter(redo)))
-            .otherwise(s)
-        )
-
-    rounds = (left.agg(F.max("_round")).first()[0] or 0) + 1
-    for b in range(rounds):
-        acts = left.where(F.col("_round") == b).groupBy("project").agg(F.array_sort(F.collect_list(F.struct("seq", "action", "value"))).alias("acts"))
-        joined = state.join(acts, "project", "full_outer")
-        start = F.coalesce("s", F.struct(F.lit(None).cast("double").alias("value"), empty.alias("undo"), empty.alias("redo")))
-        folded = F.when(F.col("acts").isNull(), start).otherwise(F.aggregate("acts", start, act))
-        state = cut_lineage(joined.select("project", folded.alias("s")))
-    return state.select("project", "s.value", F.size("s.undo").alias("undo"), F.size("s.redo").alias("redo"))
+    rows = log.select("project", "seq", "action", "value").repartition("project").sortWithinPartitions("project", "seq")
+    kind = log.schema["project"].dataType
+    schema = StructType([StructField("project", kind), StructField("value", DoubleType()), StructField("undo", IntegerType()), StructField("redo", IntegerType())])
+    arrow = to_arrow_schema(schema)
+
+    def ended(done: list) -> pa.RecordBatch:
+        columns = list(zip(*done)) if done else [()] * 4
+        return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    def run(batches):
+        started, project, s, done = False, None, Stacks(limit=limit), []
+        for batch in batches:
+            column = {n: batch.column(n).to_pylist() for n in ("project", "action", "value")}
+            for p, action, value in zip(column["project"], column["action"], column["value"]):
+                if p != project or not started:
+                    if started:
+                        done.append((project, s.value, len(s.undo), len(s.redo)))
+                    started, project, s = True, p, Stacks(limit=limit)
+                s.act(action, value)
+            if len(done) >= 4096:
+                yield ended(done)
+                done = []
+        if started:
+            yield ended([*done, (project, s.value, len(s.undo), len(s.redo))])
+
+    return rows.withColumn("value", F.col("value").cast("double")).mapInArrow(run, schema)
 
 
 def stage_of(changes: DataFrame, registry: DataFrame) -> DataFrame:

@@ -90,7 +90,7 @@ rec AS (SELECT project, 0::BIGINT AS rn, NULL::DOUBLE AS v, []::DOUBLE[] AS u, [
 SELECT rec.project, v AS value, CAST(len(u) AS INTEGER) AS undo, CAST(len(r) AS INTEGER) AS redo FROM rec JOIN (SELECT DISTINCT project, n FROM num) t ON t.project = rec.project AND t.n = rec.rn""",
 )
 def j5_replay(spark, folder):
-    return J.replay(actions(spark, folder), limit=J.STEP_LIMIT, width=1 << 15)
+    return J.replay(actions(spark, folder), limit=J.STEP_LIMIT)
 
 
 REG_ROWS = [("click", k, "split" if k % 3 == 0 else None, k % 3 != 2, "halftone") for k in range(0, 100, 2)] + [("view", k, "mix", k % 2 == 0, None) for k in range(50)]

@@ -62,14 +62,14 @@ def stream_accept_latest(spark, folder):
     c = changes(spark, folder).where(F.col("section").isin("click", "purchase"))
     is_request = F.col("section") == "click"
     m = c.select(
-        F.col("project").alias("client"), "seq", F.when(is_request, "request").otherwise("response").alias("kind"), F.when(is_request, F.col("seq")).otherwise(F.col("seq") - F.col("key") % 40).alias("request_id")
+        F.col("project").alias("client"), "seq", "ts", F.when(is_request, "request").otherwise("response").alias("kind"), F.when(is_request, F.col("seq")).otherwise(F.col("seq") - F.col("key") % 40).alias("request_id")
     )
     return drain(ST.accept_latest(m))
 
 
 @query("stream_fast_rise_cost", ORACLES["j12_fast_rise_cost"])
 def stream_fast_rise_cost(spark, folder):
-    out = drain(ST.fast_rise_cost(changes(spark, folder).select("section", "seq", "value"), "section"))
+    out = drain(ST.fast_rise_cost(changes(spark, folder).select("section", "seq", "ts", "value"), "section"))
     return out.select("section", "seq", R("cost", "cost", 5))
 
 
@@ -78,5 +78,25 @@ def stream_replay(spark, folder):
     c = changes(spark, folder)
     k = F.col("key") % 7
     kind = F.when(k < 3, "set").when(k < 5, "undo").when(k == 5, "redo").otherwise("quiet")
-    out = drain(ST.replay(c.select("project", "seq", kind.alias("action"), "value"), limit=J.STEP_LIMIT), "update")
+    out = drain(ST.replay(c.select("project", "seq", "ts", kind.alias("action"), "value"), limit=J.STEP_LIMIT), "update")
     return latest(out, ["project"], "seq").select("project", "value", "undo", "redo")
+
+
+#: Requests that may supersede a response are at most three days older than it.
+WAIT_US = 3 * 86_400_000_000
+
+
+@query(
+    "stream_accept_in_time",
+    B.ctes("changes")
+    + f""", q AS (SELECT project AS client, seq AS request_id, us FROM changes WHERE section = 'click'),
+s AS (SELECT project AS client, seq, seq - key % 40 AS request_id, us FROM changes WHERE section = 'purchase'),
+a AS (SELECT s.*, NOT EXISTS (SELECT 1 FROM q WHERE q.client = s.client AND q.request_id > s.request_id AND q.us <= s.us AND q.us >= s.us - {WAIT_US}) AS accepted FROM s)
+SELECT client, seq, request_id, accepted FROM a WHERE NOT accepted OR us < (SELECT least((SELECT max(us) FROM q), (SELECT max(us) FROM s))) - 3600000000""",
+)
+def stream_accept_in_time(spark, folder):
+    """Accepted responses are written once the final watermark has passed them."""
+    asked, answered = (changes(spark, folder).where(F.col("section") == kind) for kind in ("click", "purchase"))
+    requests = asked.select(F.col("project").alias("client"), F.col("seq").alias("request_id"), "ts")
+    responses = answered.select(F.col("project").alias("client"), "seq", (F.col("seq") - F.col("key") % 40).alias("request_id"), "ts")
+    return drain(ST.accept_in_time(requests, responses, "3 days")).drop("ts")

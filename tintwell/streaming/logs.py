@@ -7,17 +7,18 @@ which batch runs do not do.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from tintwell.operators.history import SETTING, STEP_LIMIT
+from tintwell.operators.history import SETTING, STEP_LIMIT, Stacks
 
 LATE = "1 hour"
+#: Event time after a key's last row at which its state goes. A wall-clock limit would keep a run over what has arrived from ending.
+IDLE = "90 days"
 
 
 def _timed(rows: DataFrame, late: str) -> DataFrame:
@@ -49,68 +50,161 @@ def _ordered(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(batches), ignore_index=True).sort_values("seq", kind="stable")
 
 
-def accept_latest(messages: DataFrame) -> DataFrame:
-    """Whether each response answers its client's newest request: client, seq, request_id, accepted.
+def _kind(rows: DataFrame, column: str) -> str:
+    return rows.schema[column].dataType.simpleString()
+
+
+def _ms(span: str) -> int:
+    return int(pd.Timedelta(span).total_seconds() * 1000)
+
+
+class Expiring(StatefulProcessor):
+    """Folds each key's rows into typed state, which goes `idle` of event time after the key's last row.
 
-    `messages`: client, seq, kind (request or response), request_id. The state is
-    the newest request number.
+    Rows older than the watermark are dropped before they get here. All others are folded when they arrive, by `seq`
+    within a micro-batch. A row that comes after its key's state has gone starts the key anew. Subclasses open their
+    states, fold rows and clear the states.
     """
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        newest = state.get[0] if state.exists else -1
+    def __init__(self, idle: str):
+        self.idle = _ms(idle)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.expiry = handle.getValueState("expiry", "at long")
+        self.open(handle)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        data = _ordered(rows)
+        last = int(data["ts"].max().value // 1_000_000) + self.idle
+        if self.expiry.exists():
+            (old,) = self.expiry.get()
+            last = max(last, old)
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(last)
+        self.expiry.update((last,))
+        yield self.fold(key, data)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.expiry.clear()
+        self.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+class Costs(Expiring):
+    """The state is one number."""
+
+    def __init__(self, idle: str, key: str):
+        super().__init__(idle)
+        self.key = key
+
+    def open(self, handle):
+        self.cost = handle.getValueState("cost", "cost double")
+
+    def fold(self, key, data):
+        cost = self.cost.get()[0] if self.cost.exists() else None
         out = []
-        for seq, kind, request in _ordered(batches)[["seq", "kind", "request_id"]].itertuples(index=False):
+        for seq, value in data[["seq", "value"]].itertuples(index=False):
+            cost = value if cost is None or value > cost else cost * 0.8 + value * 0.2
+            out.append((key[0], seq, cost))
+        self.cost.update((float(cost),))
+        return pd.DataFrame(out, columns=[self.key, "seq", "cost"])
+
+    def clear(self):
+        self.cost.clear()
+
+
+class Replays(Expiring):
+    """The state is the value and two lists of at most `limit` entries."""
+
+    def __init__(self, idle: str, limit: int):
+        super().__init__(idle)
+        self.limit = limit
+
+    def open(self, handle):
+        self.value = handle.getValueState("value", "value double")
+        self.undo = handle.getListState("undo", "value double")
+        self.redo = handle.getListState("redo", "value double")
+
+    def fold(self, key, data):
+        entries = lambda state: [v for (v,) in state.get()] if state.exists() else []
+        s = Stacks(self.value.get()[0] if self.value.exists() else None, entries(self.undo), entries(self.redo), self.limit)
+        for action, new in zip(data["action"], data["value"]):
+            s.act(action, None if pd.isna(new) else float(new))
+        self.value.update((s.value,))
+        for state, stack in ((self.undo, s.undo), (self.redo, s.redo)):
+            state.put([(v,) for v in stack]) if stack else state.clear()
+        return pd.DataFrame([(key[0], data["seq"].iloc[-1], s.value, len(s.undo), len(s.redo))], columns=["project", "seq", "value", "undo", "redo"])
+
+    def clear(self):
+        for state in (self.value, self.undo, self.redo):
+            state.clear()
+
+
+class Newest(Expiring):
+    """The state is a client's newest request number."""
+
+    def open(self, handle):
+        self.newest = handle.getValueState("newest", "request long")
+
+    def fold(self, key, data):
+        newest = self.newest.get()[0] if self.newest.exists() else None
+        out = []
+        for seq, kind, request in data[["seq", "kind", "request_id"]].itertuples(index=False):
             if kind == "request":
                 newest = int(request)
             else:
-                out.append((key[0], seq, request, int(request) == newest))
-        state.update((newest,))
-        yield pd.DataFrame(out, columns=["client", "seq", "request_id", "accepted"])
+                out.append((key[0], seq, request, newest is not None and int(request) == newest))
+        if newest is not None:
+            self.newest.update((newest,))
+        return pd.DataFrame(out, columns=["client", "seq", "request_id", "accepted"])
+
+    def clear(self):
+        self.newest.clear()
 
-    return messages.groupBy("client").applyInPandasWithState(
-        step, "client long, seq long, request_id long, accepted boolean", "newest long", "append", GroupStateTimeout.NoTimeout
-    )
 
+def accept_latest(messages: DataFrame, late: str = LATE, idle: str = IDLE) -> DataFrame:
+    """Whether each response answers its client's newest request: client, seq, request_id, accepted.
 
-def fast_rise_cost(samples: DataFrame, key: str, key_type: str = "string") -> DataFrame:
-    """Cost after every sample: key, seq, cost. The state is one number."""
+    `messages`: client, seq, ts, kind (request or response), request_id. A client idle for `idle` has no newest request,
+    so what answers it later is not accepted.
+    """
+    schema = f"client {_kind(messages, 'client')}, seq long, request_id long, accepted boolean"
+    return _timed(messages, late).groupBy("client").transformWithStateInPandas(Newest(idle), schema, "append", "eventTime")
 
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        cost = state.get[0] if state.exists else None
-        out = []
-        for seq, value in _ordered(batches)[["seq", "value"]].itertuples(index=False):
-            cost = value if cost is None or value > cost else cost * 0.8 + value * 0.2
-            out.append((k[0], seq, cost))
-        state.update((float(cost),))
-        yield pd.DataFrame(out, columns=[key, "seq", "cost"])
 
-    return samples.groupBy(key).applyInPandasWithState(step, f"{key} {key_type}, seq long, cost double", "cost double", "append", GroupStateTimeout.NoTimeout)
+def accept_in_time(requests: DataFrame, responses: DataFrame, wait: str = "1 hour", late: str = LATE) -> DataFrame:
+    """Whether no newer request came before each response: client, seq, request_id, ts, accepted.
 
+    `requests`: client, request_id (rising per client), ts. `responses`: client, seq, request_id, ts; a response comes
+    within `wait` of its request, so only newer requests of the `wait` before it can supersede it. Two watermarked streams
+    are joined over that range, which bounds both states. A superseded response is given as soon as a newer request has
+    met it, an accepted one once the watermark has passed it: then none can come any more. Rows older than the watermark
+    are dropped, late requests without effect.
+    """
+    asked = requests.select(F.col("client").alias("_client"), F.col("request_id").alias("_newer"), F.col("ts").cast("timestamp").alias("_at")).withWatermark("_at", late)
+    answered = _timed(responses.select("client", "seq", "request_id", "ts"), late)
+    newer = (F.col("client") == F.col("_client")) & (F.col("_newer") > F.col("request_id"))
+    before = (F.col("_at") <= F.col("ts")) & (F.col("_at") >= F.col("ts") - F.expr(f"INTERVAL {wait}"))
+    both = answered.join(asked, newer & before, "left_outer")
+    out = both.select("client", "seq", "request_id", "ts", F.col("_newer").isNull().alias("accepted"))
+    # Several newer requests are one verdict.
+    return out.dropDuplicatesWithinWatermark(["client", "seq"])
 
-def replay(log: DataFrame, limit: int = STEP_LIMIT) -> DataFrame:
+
+def fast_rise_cost(samples: DataFrame, key: str, late: str = LATE, idle: str = IDLE) -> DataFrame:
+    """Cost after every sample: key, seq, cost. `samples`: key, seq, ts, value. A key idle for `idle` starts anew."""
+    schema = f"{key} {_kind(samples, key)}, seq long, cost double"
+    return _timed(samples, late).groupBy(key).transformWithStateInPandas(Costs(idle, key), schema, "append", "eventTime")
+
+
+def replay(log: DataFrame, limit: int = STEP_LIMIT, late: str = LATE, idle: str = IDLE) -> DataFrame:
     """Value and stack depths of a project after each micro-batch (update mode): project, seq, value, undo, redo.
 
-    The state is the value and two stacks of at most `limit` entries.
+    `log`: project, seq, ts, action, value. A project idle for `idle` loses its value and steps.
     """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        value, undo, redo = json.loads(state.get[0]) if state.exists else (None, [], [])
-        seq = 0
-        for seq, action, new in _ordered(batches)[["seq", "action", "value"]].itertuples(index=False):
-            if action == "set" and new != value:
-                undo, redo = [*undo, value][-limit:], []
-                value = new
-            elif action == "quiet":
-                value = new
-            elif action == "undo" and undo:
-                redo.append(value)
-                value = undo.pop()
-            elif action == "redo" and redo:
-                undo.append(value)
-                value = redo.pop()
-        state.update((json.dumps([value, undo, redo]),))
-        yield pd.DataFrame([(key[0], seq, value, len(undo), len(redo))], columns=["project", "seq", "value", "undo", "redo"])
-
-    return log.groupBy("project").applyInPandasWithState(
-        step, "project long, seq long, value double, undo int, redo int", "stacks string", "update", GroupStateTimeout.NoTimeout
-    )
+    schema = f"project {_kind(log, 'project')}, seq long, value double, undo int, redo int"
+    return _timed(log, late).groupBy("project").transformWithStateInPandas(Replays(idle, limit), schema, "update", "eventTime")

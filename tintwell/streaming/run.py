@@ -10,6 +10,10 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from tintwell.session import ensure_checkpoint_dir
 
 
+#: Keeps state on local disk with a changelog in the checkpoint folder; typed state variables need it.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """File stream of one table; new files of the same name pattern join it as they land."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
@@ -24,6 +28,7 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """
     spark = stream.sparkSession
     ensure_checkpoint_dir(spark)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     base = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
     out = f"{base}/out"
     writer = stream.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
