@@ -1,16 +1,20 @@
 """Neighbourhoods and geometry of pixel tables keyed by image_id, x, y.
 
-Separable filters run as one window along rows and one along columns. A window
-partition is one row or column of one image, so its size is bounded by the image
-side and a very large image still spreads over thousands of partitions.
+Separable filters run once along rows and once along columns: narrow blurs as
+window expressions over a line, all others over segments of lines with a margin,
+so that a very large image spreads over thousands of partitions either way.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tintwell.functions import color as C
 from tintwell.functions.color import clamp01, num
@@ -34,8 +38,10 @@ def shifted(value: str | Column, d: int, axis: str) -> Column:
     return F.coalesce(F.lag(c, -d).over(w), F.first(c).over(whole)) if d < 0 else F.coalesce(F.lead(c, d).over(w), F.last(c).over(whole))
 
 
-#: Taps on a side up to which a blur is written as window expressions; wider ones fold over the line as an array.
+#: Taps on a side up to which a blur is written as window expressions; wider ones run over segments of lines.
 WINDOW_TAPS = 16
+#: Least pixels of a segment; wide neighbourhoods take segments of four times their reach, so that margins stay small.
+SEGMENT = 1024
 
 
 def bell(sigma: float) -> list[float]:
@@ -45,25 +51,84 @@ def bell(sigma: float) -> list[float]:
     return [w / sum(raw) for w in raw]
 
 
-def on_lines(df: DataFrame, axis: str, outputs) -> DataFrame:
-    """Rows with the columns of `outputs(at, i)` replaced; `at(name, index)` reads a line's column, its ends repeated.
+class Segments:
+    """Pixels of several segments of lines in a row, each with its margin. A read past a segment repeats its end pixel.
 
-    A line (one row or column of an image, so bounded by the image side) is gathered once as an array and folded over
-    in place, whatever the width of the neighbourhood.
+    A segment that ends inside its margin ends where its line ends, so that repeats the line's own end.
     """
-    across = "y" if axis == "x" else "x"
-    rest = [c for c in df.columns if c not in ("image_id", across)]
-    cells = F.array_sort(F.collect_list(F.struct(axis, *[c for c in rest if c != axis])))
-    lines = df.groupBy("image_id", across).agg(cells.alias("_line"))
-    last = F.size("_line") - 1
 
-    def cell(i: Column) -> Column:
-        at = lambda name, j: F.get(F.col("_line"), F.greatest(F.lit(0), F.least(last, j.cast("int"))))[name]
-        new = outputs(at, i)
-        return F.struct(*[(new[c] if c in new else at(c, i)).alias(c) for c in rest])
-
-    out = lines.select("image_id", across, F.explode(F.transform(F.sequence(F.lit(0), last), cell)).alias("_c"))
-    return out.select(*[F.col(c) if c in ("image_id", across) else F.col(f"_c.{c}").alias(c) for c in df.columns])
+    def __init__(self, first: np.ndarray):
+        self.rows = len(first)
+        self.starts = np.flatnonzero(first)
+        self.sizes = np.diff(np.append(self.starts, self.rows))
+        self._at = np.arange(self.rows)
+        self._low = np.repeat(self.starts, self.sizes)
+        self._high = self._low + np.repeat(self.sizes, self.sizes) - 1
+
+    def off(self, d: int) -> np.ndarray:
+        """Index of the pixel d along."""
+        return np.clip(self._at + d, self._low, self._high)
+
+    def highest(self, values: np.ndarray, reach: int) -> np.ndarray:
+        """Highest value within `reach` on both sides, by running maxima from both ends of blocks of a window's width.
+
+        Each window is the end of one block and the start of the next, so the work does not grow with the reach.
+        """
+        reach = min(reach, int(self.sizes.max(initial=1)))
+        at = self._at + np.repeat(np.arange(1, len(self.starts) + 1) * reach, self.sizes)
+        width = 2 * reach + 1
+        room = np.full(-(-(self.rows + (len(self.starts) + 1) * reach) // width) * width, -np.inf)
+        room[at] = values
+        blocks = room.reshape(-1, width)
+        upto = np.maximum.accumulate(blocks, axis=1).ravel()
+        onward = np.maximum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+        return np.maximum(onward[at - reach], upto[at + reach])
+
+
+def on_segments(df: DataFrame, axis: str, reach: int, outputs) -> DataFrame:
+    """Rows with the columns that `outputs(columns, segments)` returns replaced; both sides hold Numpy arrays.
+
+    Each line (a row or column of an image, without gaps) is cut into segments of bounded length, and a pixel also goes to
+    the segments whose margin it lies in. So an image of any width spreads over tasks, a task holds one Arrow batch and
+    one segment, and all segments of a batch are computed at once. Null values count as not a number.
+    """
+    across, size = "y" if axis == "x" else "x", max(SEGMENT, 4 * reach)
+    names = [c for c in df.columns if df.schema[c].dataType.typeName() == "double"]
+    schema = to_arrow_schema(df.schema)
+    segment = F.sequence(F.floor((F.col(axis) - reach) / size), F.floor((F.col(axis) + reach) / size))
+    rows = df.withColumn("_segment", F.explode(segment)).repartition("image_id", across, "_segment")
+    rows = rows.sortWithinPartitions("image_id", across, "_segment", axis)
+
+    def differs(column: pa.Array) -> np.ndarray:
+        return pc.fill_null(pc.not_equal(column[1:], column[:-1]), True).to_numpy(zero_copy_only=False)
+
+    def firsts(batch: pa.RecordBatch) -> np.ndarray:
+        out = np.ones(batch.num_rows, dtype=bool)
+        if batch.num_rows > 1:
+            out[1:] = differs(batch.column("image_id")) | differs(batch.column(across)) | differs(batch.column("_segment"))
+        return out
+
+    def done(batch: pa.RecordBatch, first: np.ndarray) -> pa.RecordBatch:
+        columns = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
+        new = outputs(columns, Segments(first))
+        own = batch.column("_segment").to_numpy() == batch.column(axis).to_numpy() // size
+        arrays = [pa.array(new[f.name], f.type) if f.name in new else batch.column(f.name) for f in schema]
+        return pa.record_batch(arrays, schema=schema).filter(pa.array(own))
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            whole = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            first = firsts(whole)
+            # The last segment may go on in the next batch.
+            cut = int(np.flatnonzero(first)[-1]) if len(first) else 0
+            if cut:
+                yield done(whole.slice(0, cut), first[:cut])
+            held = whole.slice(cut)
+        if held is not None and held.num_rows:
+            yield done(held, firsts(held))
+
+    return rows.mapInArrow(run, df.schema)
 
 
 def blur_axis(df: DataFrame, values: list[str], sigma: float, axis: str) -> DataFrame:
@@ -71,9 +136,16 @@ def blur_axis(df: DataFrame, values: list[str], sigma: float, axis: str) -> Data
     weights = bell(sigma)
     reach = len(weights) // 2
     if reach > WINDOW_TAPS:
-        table = F.array(*map(num, weights))
-        total = lambda at, i, v: F.aggregate(F.sequence(F.lit(-reach), F.lit(reach)), num(0), lambda acc, d: acc + F.get(table, d + reach) * at(v, i + d))
-        return on_lines(df, axis, lambda at, i: {v: total(at, i, v) for v in values})
+
+        def blurred(columns, segments):
+            out = {v: np.zeros(segments.rows) for v in values}
+            for d, w in zip(range(-reach, reach + 1), weights):
+                at = segments.off(d)
+                for v in values:
+                    out[v] += columns[v][at] * w
+            return out
+
+        return on_segments(df, axis, reach, blurred)
     out = {}
     for v in values:
         acc = num(0)
@@ -109,27 +181,22 @@ def gaussian_wrapped(tile: DataFrame, keys: list[str], value: str, sigma: float,
 
 def bilateral_axis(df: DataFrame, sigma: float, axis: str, spread: float = 0.12) -> DataFrame:
     """One direction of an edge-preserving blur of linear r, g, b: unlike neighbours count less."""
-    names = ["r", "g", "b"]
-    weights = bell(sigma)
+    names, weights = ["r", "g", "b"], bell(sigma)
     reach = len(weights) // 2
     encoded = df.withColumns({f"_s{n}": C.linear_to_srgb(F.col(n)) for n in names})
 
-    def one(at, i: Column) -> dict[str, Column]:
-        table = F.array(*map(num, weights))
-
-        def add(acc: Column, d: Column) -> Column:
-            away = sum(((at(f"_s{n}", i + d) - at(f"_s{n}", i)) * (at(f"_s{n}", i + d) - at(f"_s{n}", i)) for n in names), num(0))
-            w = F.get(table, d + reach) * F.exp(-away / (2 * spread * spread))
-            return F.struct((acc["w"] + w).alias("w"), *[(acc[n] + at(n, i + d) * w).alias(n) for n in names])
-
-        start = F.struct(num(0).alias("w"), *[num(0).alias(n) for n in names])
-        mean = lambda acc: F.struct(*[(acc[n] / acc["w"]).alias(n) for n in names])
-        total = F.aggregate(F.sequence(F.lit(-reach), F.lit(reach)), start, add, mean)
-        return {"_mean": total}
+    def smoothed(columns, segments):
+        total, sums = np.zeros(segments.rows), {n: np.zeros(segments.rows) for n in names}
+        for d, w in zip(range(-reach, reach + 1), weights):
+            at = segments.off(d)
+            away = sum((columns[f"_s{n}"][at] - columns[f"_s{n}"]) ** 2 for n in names)
+            w = w * np.exp(-away / (2 * spread * spread))
+            total += w
+            for n in names:
+                sums[n] += columns[n][at] * w
+        return {n: sums[n] / total for n in names}
 
-    keep = [c for c in df.columns if c not in names]
-    out = on_lines(encoded.withColumn("_mean", F.lit(None).cast("struct<r:double,g:double,b:double>")), axis, one)
-    return out.select(*keep, *[F.col(f"_mean.{n}").alias(n) for n in names])
+    return on_segments(encoded, axis, reach, smoothed).select(*df.columns)
 
 
 def bilateral(df: DataFrame, sigma: float, spread: float = 0.12) -> DataFrame:
@@ -174,20 +241,22 @@ def orientation(pixels: DataFrame, sigma: float) -> DataFrame:
 
 def trap_axis(cov: DataFrame, radius: list[float], axis: str) -> DataFrame:
     """One direction of choke (negative radius) or spread (positive) per ink; the last pixel counts in part."""
-    out = []
     names = [f"c{k}" for k in range(len(radius))]
-    for name, r in zip(names, radius):
-        c0, full = F.col(name), math.floor(abs(r))
-        part = abs(r) - full
-        # Whole pixels come from one frame; the repeated ends of a line lie inside it.
-        frame = line(axis).rowsBetween(-full, full)
-        candidates = [(F.max if r >= 0 else F.min)(name).over(frame) if full else c0]
-        if part:
-            candidates += [c0 * (1 - part) + shifted(name, d, axis) * part for d in (-full - 1, full + 1)]
-        pick = F.greatest if r >= 0 else F.least
-        out.append((pick(*candidates) if len(candidates) > 1 else candidates[0]).alias(name))
-    keep = [c for c in cov.columns if c not in names]
-    return cov.select(*keep, *out)
+
+    def moved(columns, segments):
+        out = {}
+        for name, r in zip(names, radius):
+            # A choke is the spread of the negative.
+            sign, full = (1 if r >= 0 else -1), math.floor(abs(r))
+            c, part = sign * columns[name], abs(r) - full
+            best = segments.highest(c, full) if full else c
+            if part:
+                for d in (-full - 1, full + 1):
+                    best = np.maximum(best, c * (1 - part) + c[segments.off(d)] * part)
+            out[name] = sign * best + 0.0
+        return out
+
+    return on_segments(cov, axis, math.floor(max(map(abs, radius))) + 1, moved)
 
 
 def trap(cov: DataFrame, radius: list[float]) -> DataFrame:
