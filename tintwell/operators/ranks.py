@@ -1,65 +1,90 @@
 """Exact ranks and order statistics of groups of any size.
 
 A plain window would sort a whole group in one task, and a group may hold a
-third of the table. Here equal values fold first, a mergeable sketch splits each
-group's value range into buckets of similar size, and only a bucket is sorted at
-a time. The sketch decides where to cut, never what the rank is, so results are
-exact.
+third of the table. Here equal values fold first; where a group still has many
+distinct values, all groups together are dealt by ranges of (group, value), so
+that a large group spans many partitions, each partition counts in order, and
+the counts of the partitions before it are added.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from tintwell.session import cut_lineage
 
-#: Distinct values a bucket aims at; the number of buckets follows from the largest group.
-PER_BUCKET = 20_000
-
-
-def _bucket_of(value: Column, bounds: Column, buckets: int) -> Column:
-    """Number of bounds at or below the value, by binary search."""
-    steps = max(1, buckets.bit_length())
-
-    def halve(state: Column, _: Column) -> Column:
-        mid = F.floor((state["lo"] + state["hi"]) / 2).cast("int")
-        right = (state["lo"] < state["hi"]) & (F.get(bounds, mid) <= value)
-        left = (state["lo"] < state["hi"]) & ~(F.get(bounds, mid) <= value)
-        return F.struct(F.when(right, mid + 1).otherwise(state["lo"]).alias("lo"), F.when(left, mid).otherwise(state["hi"]).alias("hi"))
-
-    start = F.struct(F.lit(0).alias("lo"), F.size(bounds).alias("hi"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps + 1)), start, halve)["lo"]
-
-
-def value_ranks(df: DataFrame, keys: list[str], value: str, buckets: int | None = None) -> DataFrame:
+#: Distinct values up to which a group is ranked by one window.
+PER_GROUP = 20_000
+
+
+def _counted(ranged: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds `_inner`, the rows of the key before this one in its partition, and `_part`, the partition. Rows come in order."""
+    schema = StructType([*ranged.schema.fields, StructField("_inner", LongType()), StructField("_part", IntegerType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        part, last, held = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = np.ones(batch.num_rows, dtype=bool)
+            if batch.num_rows > 1:
+                new[1:] = False
+                for k in keys:
+                    c = batch.column(k)
+                    same = pc.equal(c[1:], c[:-1])
+                    both = pc.and_(pc.is_null(c[1:]), pc.is_null(c[:-1]))
+                    new[1:] |= ~pc.or_(pc.fill_null(same, False), both).to_numpy(zero_copy_only=False)
+            first = tuple(batch.column(k)[0].as_py() for k in keys)
+            new[0] = first != last
+            n = batch.column("n").to_numpy()
+            before = np.cumsum(n) - n
+            # What came before a key's first row here does not count; a key that began in an earlier batch goes on.
+            starts = np.flatnonzero(new)
+            base = np.zeros(batch.num_rows, dtype=np.int64)
+            base[starts] = np.diff(before[starts], prepend=0)
+            inner = before - np.cumsum(base)
+            goes_on = np.arange(batch.num_rows) < (starts[0] if len(starts) else batch.num_rows)
+            inner[goes_on] += held
+            last, held = tuple(batch.column(k)[batch.num_rows - 1].as_py() for k in keys), int(inner[-1] + n[-1])
+            yield pa.record_batch([*batch.columns, pa.array(inner), pa.array(np.full(batch.num_rows, part, np.int32))], schema=arrow)
+
+    return ranged.mapInArrow(run, schema)
+
+
+def value_ranks(df: DataFrame, keys: list[str], value: str, per_group: int = PER_GROUP) -> DataFrame:
     """Distinct values with their place in the group: keys, value, n, below, total.
 
-    `below` counts rows with a smaller value, `n` rows with this one. `buckets` per group come from the largest
-    group's number of distinct values where they are not given.
+    `below` counts rows with a smaller value, `n` rows with this one. Groups of more than `per_group` distinct values
+    make all groups be ranked over ranges; no row carries more than its own counts either way.
     """
-    distinct = df.groupBy(*keys, value).agg(F.count("*").alias("n"))
-    if buckets is None:
-        distinct = cut_lineage(distinct)
-        largest = distinct.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-        buckets = -(-largest // PER_BUCKET)
-    if buckets <= 1:
+    distinct = cut_lineage(df.groupBy(*keys, value).agg(F.count("*").alias("n")))
+    largest = distinct.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if largest <= per_group:
         order = Window.partitionBy(*keys).orderBy(value)
         below = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         return distinct.select(*keys, value, "n", below.alias("below"), F.sum("n").over(Window.partitionBy(*keys)).alias("total"))
-    shares = [i / buckets for i in range(1, buckets)]
-    bounds = distinct.groupBy(*keys).agg(F.percentile_approx(value, shares, max(10_000, 20 * buckets)).alias("_bounds"), F.sum("n").alias("total"))
-    placed = distinct.join(bounds, keys)
-    placed = placed.withColumn("_bucket", _bucket_of(F.col(value), F.col("_bounds"), buckets)).drop("_bounds")
-    sizes = placed.groupBy(*keys, "_bucket").agg(F.sum("n").alias("_size"))
-    before = F.sum("_size").over(Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select(*keys, "_bucket", F.coalesce(before, F.lit(0)).alias("_offset"))
-    inner = F.sum("n").over(Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-    ranked = placed.withColumn("_inner", F.coalesce(inner, F.lit(0))).join(offsets, [*keys, "_bucket"])
-    return ranked.select(*keys, value, "n", (F.col("_offset") + F.col("_inner")).alias("below"), "total")
-
-
-def quantile_table(df: DataFrame, keys: list[str], value: str, positions: Column, buckets: int | None = None) -> DataFrame:
+    # Written, so that every later reader sees the same ranges.
+    ranged = cut_lineage(_counted(distinct.repartitionByRange(*keys, value).sortWithinPartitions(*keys, value), keys))
+    sizes = ranged.groupBy(*keys, "_part").agg(F.sum("n").alias("_size"))
+    before = F.sum("_size").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    totals = F.sum("_size").over(Window.partitionBy(*keys))
+    # A row for each key and partition that it reaches into.
+    offsets = sizes.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_own"), F.coalesce(before, F.lit(0)).alias("_offset"), totals.alias("total"))
+    here = F.col("_part") == F.col("_own")
+    for i, k in enumerate(keys):
+        here &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return ranged.join(offsets, here).select(*keys, value, "n", (F.col("_offset") + F.col("_inner")).alias("below"), "total")
+
+
+def quantile_table(df: DataFrame, keys: list[str], value: str, positions: Column, per_group: int = PER_GROUP) -> DataFrame:
     """Linearly interpolated order statistics: keys, i, v.
 
     `positions` is an array of struct(i, q) with q the share (0..1) of the way
@@ -67,7 +92,7 @@ def quantile_table(df: DataFrame, keys: list[str], value: str, positions: Column
     positions it answers, so no value is compared with all of them.
     """
     # Read four times below; written once, so the source is not ranked again.
-    ranked = cut_lineage(value_ranks(df, keys, value, buckets))
+    ranked = cut_lineage(value_ranks(df, keys, value, per_group))
     totals = ranked.groupBy(*keys).agg(F.max("total").alias("total"))
     asked = totals.select(*keys, "total", F.explode(positions).alias("p"))
     asked = asked.select(*keys, F.col("p.i").alias("i"), (F.col("p.q") * (F.col("total") - 1)).alias("pos"), "total")
@@ -87,8 +112,8 @@ def quantile_table(df: DataFrame, keys: list[str], value: str, positions: Column
     return joined.select(*keys, "i", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("pos") - F.col("lo"))).alias("v"))
 
 
-def equalize(df: DataFrame, keys: list[str], value: str, out: str, buckets: int | None = None) -> DataFrame:
+def equalize(df: DataFrame, keys: list[str], value: str, out: str, per_group: int = PER_GROUP) -> DataFrame:
     """Replaces a value by its rank spread over -0.5..0.5; ties share the lowest rank."""
-    ranks = value_ranks(df, keys, value, buckets)
+    ranks = value_ranks(df, keys, value, per_group)
     table = ranks.select(*keys, value, ((F.col("below") + 0.5) / F.col("total") - 0.5).alias(out))
     return df.join(table, [*keys, value])
