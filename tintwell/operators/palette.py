@@ -7,19 +7,23 @@ centres, candidate colours, ranked palettes) hold a few dozen rows.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tintwell.functions import color as C
 from tintwell.functions import hashing
 from tintwell.functions.color import Triple, clamp01, half_up, num
-from tintwell.operators.ranks import value_ranks
+from tintwell.operators.ranks import PER_GROUP, value_ranks
 from tintwell.operators.spatial import resample
 from tintwell.session import cut_lineage
 
 LAB = ["l", "a", "b"]
 SAMPLE_EDGE = 160
 ITERATIONS = 30
+#: Squared move below which a centre counts as still.
+STILL = 1e-4
 STRONG_SHARE = 0.3
 SAME_COLOR = 12.0
 MAX_PALETTES = 24
@@ -115,50 +119,109 @@ def kmeans(points: DataFrame, centers: DataFrame, keys: list[str], iterations: i
     for _ in range(iterations):
         updated = cut_lineage(move_centers(nearest_center(points, centers, keys), centers, keys))
         centers = updated.drop("move2")
-        if updated.where(F.col("move2") > 1e-4).isEmpty():
-            break
+        if updated.where(F.col("move2") > STILL).isEmpty():
+            return centers
+    warnings.warn(f"centres still move after {iterations} rounds", stacklevel=2)
     return centers
 
 
-def _draw(seed: int, keys: list[str], step: int) -> Column:
+def _draw(seed: int, keys: list[Column], step: int) -> Column:
     return hashing.pcg_uniform(hashing.pcg(F.xxhash64(*keys).bitwiseAND(F.lit(0x7FFFFFFF).cast("bigint")) + seed), step)
 
 
-def seed_centers(points: DataFrame, keys: list[str], k: int, fixed: DataFrame | None, seed: int) -> DataFrame:
-    """k-means++ start: each next centre is drawn by squared distance to the chosen ones.
+# Restarts run side by side. Centres have a column `restart`; a point meets the centres of all restarts in one row, as one
+# array each, so points are neither copied nor moved once more for a restart.
+
+
+def nearest_runs(points: DataFrame, centers: DataFrame, keys: list[str], restarts: int) -> DataFrame:
+    """Adds _c0, _d0, _c1, ...: cluster and squared distance of each point's nearest centre in every restart."""
+    own = lambda r: F.when(F.col("restart") == r, F.struct("cluster", *LAB))
+    # A few dozen centres for each key.
+    packed = centers.groupBy(*keys).agg(*[F.array_sort(F.collect_list(own(r))).alias(f"_r{r}") for r in range(restarts)])
+    p = lab_of()
+    best = lambda r: F.array_min(F.transform(f"_r{r}", lambda c: F.struct(C.distance2(p, (c["l"], c["a"], c["b"])).alias("d2"), c["cluster"].alias("cluster"))))
+    met = points.join(packed, keys).select(*points.columns, *[best(r).alias(f"_b{r}") for r in range(restarts)])
+    return met.select(*points.columns, *[F.col(f"_b{r}.{c}").alias(f"_{n}{r}") for r in range(restarts) for c, n in (("cluster", "c"), ("d2", "d"))])
+
 
-    `points`: keys, pid (order within the key), l, a, b. Draws are keyed by the
-    image, so they do not depend on partitioning.
+def kmeans_runs(points: DataFrame, centers: DataFrame, keys: list[str], k: int, restarts: int, iterations: int = ITERATIONS) -> DataFrame:
+    """`kmeans` of several restarts at once: keys, restart, cluster, fixed, l, a, b. Clusters are numbered from 0 to k - 1.
+
+    One aggregation keeps the sums of every restart's clusters; a round's shuffle has one row for each key and task.
     """
-    base = fixed.select(*keys, F.lit(0).alias("cluster"), F.lit(True).alias("fixed"), *LAB) if fixed is not None else None
-    count = 1 if base is not None else 0
+    for _ in range(iterations):
+        near = nearest_runs(points, centers, keys, restarts)
+        sums = []
+        for r in range(restarts):
+            for c in range(k):
+                mine = F.col(f"_c{r}") == c
+                sums += [F.sum(F.when(mine, F.col(x))).alias(f"_{x}{r}_{c}") for x in LAB] + [F.count(F.when(mine, 1)).alias(f"_n{r}_{c}")]
+        mean = lambda r, c, x: F.col(f"_{x}{r}_{c}") / F.col(f"_n{r}_{c}")
+        cells = [F.struct(F.lit(r).alias("restart"), F.lit(c).alias("cluster"), *[F.when(F.col(f"_n{r}_{c}") > 0, mean(r, c, x)).alias(f"_{x}") for x in LAB]) for r in range(restarts) for c in range(k)]
+        means = near.groupBy(*keys).agg(*sums).select(*keys, F.explode(F.array(*cells)).alias("m")).select(*keys, "m.*")
+        joined = centers.join(means, [*keys, "restart", "cluster"], "left")
+        still = F.col("fixed") | F.col("_l").isNull()
+        new = [F.when(still, F.col(c)).otherwise(F.col(f"_{c}")).alias(c) for c in LAB]
+        move = F.when(still, num(0)).otherwise(C.distance2(lab_of("_"), lab_of()))
+        updated = cut_lineage(joined.select(*keys, "restart", "cluster", "fixed", *new, move.alias("move2")))
+        centers = updated.drop("move2")
+        if updated.where(F.col("move2") > STILL).isEmpty():
+            return centers
+    warnings.warn(f"centres still move after {iterations} rounds", stacklevel=2)
+    return centers
+
+
+def pick_runs(rows: DataFrame, keys: list[str], order: str, weights: list[str], draws: list[Column], block: int = 4096) -> DataFrame:
+    """`weighted_pick` by several weights at once: keys, restart, order. Only the blocks that hold an answer are walked."""
+    runs = range(len(weights))
+    cut = F.floor(F.col(order) / block)
+    sums = rows.groupBy(*keys, cut.alias("_block")).agg(*[F.sum(w).alias(f"_w{r}") for r, w in enumerate(weights)])
+    listed = F.explode(F.array(*[F.struct(F.lit(r).alias("restart"), F.col(f"_w{r}").alias("_w"), draws[r].alias("_u")) for r in runs])).alias("s")
+    sums = sums.select(*keys, "_block", listed).select(*keys, "_block", "s.*")
+    whole = Window.partitionBy(*keys, "restart")
+    upto = F.sum("_w").over(whole.orderBy("_block").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    spans = sums.withColumns({"_upto": upto, "_target": F.col("_u") * F.sum("_w").over(whole)})
+    place = F.struct("_block", (F.col("_upto") - F.col("_w")).alias("_before"), "_target")
+    hit = spans.where(F.col("_upto") >= F.col("_target")).groupBy(*keys, "restart").agg(F.min_by(place, "_block").alias("h")).select(*keys, "restart", "h.*")
+    weight = F.get(F.array(*[F.col(w) for w in weights]), F.col("restart"))
+    inside = rows.withColumn("_block", cut).join(hit, [*keys, "_block"])
+    running = F.col("_before") + F.sum(weight).over(whole.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return inside.withColumn("_run", running).where(F.col("_run") >= F.col("_target")).groupBy(*keys, "restart").agg(F.min(order).alias(order))
+
+
+def seed_runs(points: DataFrame, keys: list[str], k: int, fixed: DataFrame | None, seed: int, restarts: int) -> DataFrame:
+    """k-means++ starts: each next centre of a restart is drawn by squared distance to the chosen ones.
+
+    `points`: keys, pid (order within the key), l, a, b. Draws are keyed by the image and the restart, so they do not
+    depend on partitioning.
+    """
+    base, count = None, 0
+    if fixed is not None:
+        each = F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))).alias("restart")
+        base, count = fixed.select(*keys, each, F.lit(0).alias("cluster"), F.lit(True).alias("fixed"), *LAB), 1
     while count < k:
-        if base is None:
-            weighted = points.withColumn("d2", num(1))
-        else:
-            weighted = nearest_center(points, base, keys)
-        picked = weighted_pick(weighted, keys, "pid", "d2", _draw(seed, keys, count))
-        new = points.join(picked, [*keys, "pid"]).select(*keys, F.lit(count).alias("cluster"), F.lit(False).alias("fixed"), *LAB)
+        weighted = nearest_runs(points, base, keys, restarts) if base is not None else points.withColumns({f"_d{r}": num(1) for r in range(restarts)})
+        draws = [_draw(seed, [*(F.col(c) for c in keys), F.lit(r)], count) for r in range(restarts)]
+        picked = pick_runs(weighted, keys, "pid", [f"_d{r}" for r in range(restarts)], draws)
+        new = points.join(picked, [*keys, "pid"]).select(*keys, "restart", F.lit(count).alias("cluster"), F.lit(False).alias("fixed"), *LAB)
         base = cut_lineage(new if base is None else base.unionByName(new))
         count += 1
     return base
 
 
 def best_clustering(points: DataFrame, keys: list[str], k: int, fixed: DataFrame | None, seed: int, restarts: int = 4) -> DataFrame:
-    """Centres of the restart with the least total error per key; restarts run together as one more key."""
-    runs = [*keys, "restart"]
-    repeated = points.select("*", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))).alias("restart"))
-    pinned = fixed.select("*", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))).alias("restart")) if fixed is not None else None
-    centers = kmeans(repeated, seed_centers(repeated, runs, k, pinned, seed), runs)
-    errors = nearest_center(repeated, centers, runs).groupBy(*runs).agg(F.sum("d2").alias("_error"))
-    best = errors.groupBy(*keys).agg(F.min_by("restart", F.struct("_error", "restart")).alias("restart"))
-    return cut_lineage(centers.join(best, runs).drop("restart"))
+    """Centres of the restart with the least total error per key."""
+    centers = kmeans_runs(points, seed_runs(points, keys, k, fixed, seed, restarts), keys, k, restarts)
+    errors = nearest_runs(points, centers, keys, restarts).groupBy(*keys).agg(*[F.sum(f"_d{r}").alias(f"_e{r}") for r in range(restarts)])
+    least = F.array_min(F.array(*[F.struct(F.col(f"_e{r}").alias("e"), F.lit(r).alias("restart")) for r in range(restarts)]))
+    best = errors.select(*keys, least["restart"].alias("restart"))
+    return cut_lineage(centers.join(best, [*keys, "restart"]).drop("restart"))
 
 
 # ---- cluster colours ----
 
 
-def top_share_avg(members: DataFrame, keys: list[str], key: Column, share: float = STRONG_SHARE, prefix: str = "", buckets: int | None = None) -> DataFrame:
+def top_share_avg(members: DataFrame, keys: list[str], key: Column, share: float = STRONG_SHARE, prefix: str = "", per_group: int = PER_GROUP) -> DataFrame:
     """Mean Lab of the top `share` of each group's members by `key`: keys, l, a, b.
 
     Exact top-k by rank without sorting a whole group: members with equal keys
@@ -166,12 +229,12 @@ def top_share_avg(members: DataFrame, keys: list[str], key: Column, share: float
     """
     scored = members.withColumn("_key", -key)
     take = F.greatest(F.lit(1), half_up(F.col("total") * share).cast("bigint"))
-    ranks = value_ranks(scored, keys, "_key", buckets).where(F.col("below") < take).select(*keys, "_key", "n", "below", take.alias("_take"))
+    ranks = value_ranks(scored, keys, "_key", per_group).where(F.col("below") < take).select(*keys, "_key", "n", "below", take.alias("_take"))
     chosen = scored.join(cut_lineage(ranks), [*keys, "_key"])
     whole = chosen.where(F.col("below") + F.col("n") <= F.col("_take")).select(*keys, *LAB)
     torn = cut_lineage(chosen.where(F.col("below") + F.col("n") > F.col("_take")))
     # One tie group per key at most is cut; its members are ranked by pid the same way.
-    order = value_ranks(torn, keys, "pid", buckets).select(*keys, "pid", F.col("below").alias("_at"))
+    order = value_ranks(torn, keys, "pid", per_group).select(*keys, "pid", F.col("below").alias("_at"))
     part = torn.join(order, [*keys, "pid"]).where(F.col("below") + F.col("_at") < F.col("_take")).select(*keys, *LAB)
     return whole.unionByName(part).groupBy(*keys).agg(*[F.avg(c).alias(f"{prefix}{c}") for c in LAB])
 
@@ -191,10 +254,10 @@ def cluster_share(assigned: DataFrame, centers: DataFrame, keys: list[str], fixe
     return joined.join(inked, keys).select(*keys, "cluster", "n", share.alias("share"), "is_paper")
 
 
-def colorful(points: DataFrame, keys: list[str], buckets: int | None = None) -> DataFrame:
+def colorful(points: DataFrame, keys: list[str], per_group: int = PER_GROUP) -> DataFrame:
     """Pixels at least as colourful as the 60th percentile element (and chroma 12), lightness halved, where 20 or more."""
     scored = points.withColumn("_chroma", C.chroma(lab_of()))
-    ranks = value_ranks(scored, keys, "_chroma", buckets)
+    ranks = value_ranks(scored, keys, "_chroma", per_group)
     nth = F.floor(F.col("total") * 0.6)
     cuts = ranks.where((F.col("below") <= nth) & (nth < F.col("below") + F.col("n"))).select(*keys, F.greatest(num(12), F.col("_chroma")).alias("_cut"))
     kept = scored.join(cuts, keys).where(F.col("_chroma") >= F.col("_cut"))
@@ -307,6 +370,23 @@ def rank_palettes(scored: DataFrame, keys: list[str], first: DataFrame | None =
     return lists.select(*keys, F.aggregate("_sets", start, keep).alias("palettes"))
 
 
+def choose_palette(candidates: DataFrame, keys: list[str], inks: int, style: str, variant: int = 0, first: DataFrame | None = None) -> DataFrame:
+    """The wanted one of the best MAX_PALETTES sets of `inks` candidates of every image: keys, inks (Lab structs, light to dark).
+
+    `candidates`: keys, id, share, l, a, b, a few dozen an image. `variant` counts through the ranked palettes and starts
+    again after the last. An image with fewer candidates than inks ranks sets of all it has. `first` (keys, inks) leads.
+    """
+    sized = cut_lineage(candidates.join(candidates.groupBy(*keys).agg(F.least(F.lit(inks), F.count("*")).alias("_take")), keys))
+    sets = None
+    for n in range(1, inks + 1):
+        part = score_sets(combinations(sized.where(F.col("_take") == n).drop("_take"), keys, n), keys, style, n)
+        part = part.withColumn("score", F.round("score", 9))
+        sets = part if sets is None else sets.unionByName(part)
+    ranked = rank_palettes(sets, keys, first, MAX_PALETTES)
+    at = F.pmod(F.lit(variant), F.greatest(F.size("palettes"), F.lit(1)))
+    return ranked.select(*keys, F.get("palettes", at).alias("inks"))
+
+
 def next_ink(inks: DataFrame, keys: list[str]) -> DataFrame:
     """First offered colour a palette does not use yet (black when all are used): keys, hex."""
     used = inks.groupBy(*keys).agg(F.collect_set(F.lower("hex")).alias("_used"))  # at most four inks
@@ -378,17 +458,9 @@ def auto_palette(
         by_vivid = lambda df: df.select(*keys, "id", *[F.col(f"v_{c}").alias(c) for c in LAB])
         kept = dedupe_near(by_vivid(main), by_vivid(extra), keys).select(*keys, "id")
         cands = cut_lineage(main.unionByName(extra).join(kept, [*keys, "id"], "left_semi").select(*keys, "id", "share", *LAB))
-        # An image with fewer candidates than inks ranks sets of all it has.
-        sized = cut_lineage(cands.join(cands.groupBy(*keys).agg(F.least(F.lit(inks), F.count("*")).alias("_take")), keys))
-        sets = None
-        for n in range(1, inks + 1):
-            part = score_sets(combinations(sized.where(F.col("_take") == n).drop("_take"), keys, n), keys, style, n)
-            sets = part if sets is None else sets.unionByName(part)
-        ranked = rank_palettes(sets, keys, original if style == "balanced" else None)
-        at = F.pmod(F.lit(variant), F.greatest(F.size("palettes"), F.lit(1)))
-        found = ranked.select(*keys, F.get("palettes", at).alias("_found"))
+        found = choose_palette(cands, keys, inks, style, variant, original if style == "balanced" else None)
         # Without any candidate the plain clusters serve.
-        chosen = original.join(found, keys, "left").select(*keys, F.coalesce("_found", "inks").alias("inks"))
+        chosen = original.join(found.withColumnRenamed("inks", "_found"), keys, "left").select(*keys, F.coalesce("_found", "inks").alias("inks"))
     amount = 1 - (1 - 0.4) * (1 - vividness) if style == "vibrant" else vividness
     padded = F.concat("inks", F.array_repeat(F.element_at("inks", -1), inks)) if inks else F.col("inks")
     slots = chosen.select(*keys, F.posexplode(F.slice(padded, 1, inks)).alias("slot", "ink"))

@@ -64,16 +64,42 @@ mn{k} AS (SELECT image_id, cluster, avg(l) AS l, avg(a) AS a, avg(b) AS b FROM a
 ce{k} AS (SELECT c.image_id, c.cluster, CASE WHEN c.cluster = 0 THEN c.l ELSE coalesce(m.l, c.l) END AS l, CASE WHEN c.cluster = 0 THEN c.a ELSE coalesce(m.a, c.a) END AS a, CASE WHEN c.cluster = 0 THEN c.b ELSE coalesce(m.b, c.b) END AS b FROM {centers} c LEFT JOIN mn{k} m USING (image_id, cluster))"""
 
 
-@query(
-    "i3_kmeans",
-    B.ctes("rgb21") + f", {LAB21}, {CENTERS}, {_round_sql(1, 'centers')}, {_round_sql(2, 'ce1')} SELECT image_id, cluster, round(l, 5) AS l, round(a, 5) AS a, round(b, 5) AS b FROM ce2",
-)
+def _settled_sql() -> str:
+    """Rounds of the stopping rule, an image a row: once no free centre of any image moves by more than 0.01, centres stay."""
+    d2 = lambda p, c: f"(pow({p}.l - {c}.l, 2) + pow({p}.a - {c}.a, 2) + pow({p}.b - {c}.b, 2))"
+    away = f"list_transform(c, lambda x: round({d2('p', 'x')}, 9))"
+    own = f"list_transform(pts, lambda p: list_position({away}, list_min({away})))"
+    mean = lambda n: f"list_avg(list_transform(list_filter(list_zip(pts, own), lambda z: z[2] = j), lambda z: z[1].{n}))"
+    new = f"list_transform(range(1, 5), lambda j: CASE WHEN j = 1 OR NOT list_contains(own, j) THEN c[j] ELSE {{'l': {mean('l')}, 'a': {mean('a')}, 'b': {mean('b')}}} END)"
+    return f"""per AS (SELECT image_id, list({{'l': l, 'a': a, 'b': b}} ORDER BY pid) AS pts FROM lab21 GROUP BY image_id),
+cen AS (SELECT image_id, list({{'l': l, 'a': a, 'b': b}} ORDER BY cluster) AS c FROM centers GROUP BY image_id),
+rec AS (SELECT image_id, 0 AS k, pts, c, false AS done FROM per JOIN cen USING (image_id)
+  UNION ALL SELECT image_id, k + 1, pts, new, max(list_max(list_transform(range(1, 5), lambda j: {d2('new[j]', 'c[j]')}))) OVER () <= 1e-4::DOUBLE
+  FROM (SELECT *, {new} AS new FROM (SELECT *, {own} AS own FROM rec WHERE NOT done AND k < {P.ITERATIONS}) o) n),
+fin AS (SELECT image_id, arg_max(c, k) AS c, arg_max(pts, k) AS pts FROM rec GROUP BY image_id),
+settled AS (SELECT image_id, j AS cluster, c[j + 1] AS m, list_sum(list_transform(pts, lambda p: list_min({away}))) AS error FROM fin, (SELECT CAST(range AS INTEGER) AS j FROM range(4)) r)"""
+
+
+SETTLED = B.ctes("rgb21").replace("WITH ", "WITH RECURSIVE ", 1) + f", {LAB21}, {CENTERS}, {_settled_sql()} SELECT image_id, cluster, round(m.l, 5) AS l, round(m.a, 5) AS a, round(m.b, 5) AS b"
+
+
+@query("i3_kmeans", SETTLED + " FROM settled")
 def i3_kmeans(spark, folder):
-    """Two rounds from given centres, one of them pinned."""
-    out = P.kmeans(lab21(spark, folder), centers21(spark, folder), ["image_id"], iterations=2)
+    """From given centres, one of them pinned, until none moves."""
+    out = P.kmeans(lab21(spark, folder), centers21(spark, folder), ["image_id"])
     return out.select("image_id", "cluster", *[R(c, c, 5) for c in LAB])
 
 
+@query("i3_kmeans_restarts", SETTLED + ", round(error, 3) AS error FROM settled")
+def i3_kmeans_restarts(spark, folder):
+    """Two equal restarts side by side, of which the second is told, with the total squared distance to its centres."""
+    points, centers = lab21(spark, folder), centers21(spark, folder)
+    both = centers.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("restart"))
+    settled = P.kmeans_runs(points, both, ["image_id"], 4, 2)
+    near = P.nearest_runs(points, settled, ["image_id"], 2).groupBy("image_id").agg(F.sum("_d1").alias("error"))
+    return settled.where("restart = 1").join(near, "image_id").select("image_id", "cluster", *[R(c, c, 5) for c in LAB], R("error", "error", 3))
+
+
 @query(
     "i4_weighted_pick",
     B.ctes("gray8") + ", r AS (SELECT image_id, p, sum(g) OVER (PARTITION BY image_id ORDER BY p) AS run, sum(g) OVER (PARTITION BY image_id) AS total FROM gray8) SELECT image_id, min(p) AS p FROM r WHERE run >= 0.37::DOUBLE * total GROUP BY image_id",
@@ -224,6 +250,52 @@ def i12_auto_palette(spark, folder):
     return out.select("image_id", F.array_join("inks", " ").alias("inks"), "paper")
 
 
+def _auto(style: str, vividness: float = 0.0, variant: int = 0):
+    def run(spark, folder):
+        out = P.auto_palette(lab21(spark, folder), ["image_id"], 3, "#f6f3ec", style, vividness, variant)
+        return out.select("image_id", F.array_join("inks", " ").alias("inks"), "paper")
+
+    return run
+
+
+query("i12_auto_vibrant")(_auto("vibrant", 0.2))
+query("i12_auto_contrast")(_auto("contrast"))
+query("i12_auto_variant")(_auto("balanced", variant=1))
+
+
+def _choice_sql(style: str, variant: int) -> str:
+    """Eight candidates of two neighbouring palettes; sets of three by score, near copies of better ones left out, 24 at most."""
+    near = " AND ".join(f"pow(k[{i}].l - s.inks[{i}].l, 2) + pow(k[{i}].a - s.inks[{i}].a, 2) + pow(k[{i}].b - s.inks[{i}].b, 2) < 144" for i in (1, 2, 3))
+    lab = lambda p: f"{{'l': {p}.l, 'a': {p}.a, 'b': {p}.b}}"
+    start = "[list_reverse_sort([" + ", ".join(lab(p) for p in "xyz") + "])]" if style == "balanced" else "[]::STRUCT(l DOUBLE, a DOUBLE, b DOUBLE)[][]"
+    return B.ctes("palettes").replace("WITH ", "WITH RECURSIVE ", 1) + f""", {INKS}, cand AS (SELECT palette_id // 2 AS grp, palette_id % 2 * 4 + id AS id, share, l, a, b FROM inks),
+sets AS (SELECT x.grp, row_number() OVER (PARTITION BY x.grp ORDER BY round({_score_sql(style, ['x', 'y', 'z'])}, 9) DESC, x.id, y.id, z.id) AS rn, list_reverse_sort([{lab('x')}, {lab('y')}, {lab('z')}]) AS inks
+  FROM cand x JOIN cand y ON y.grp = x.grp AND y.id > x.id JOIN cand z ON z.grp = x.grp AND z.id > y.id),
+begun AS (SELECT x.grp, {start} AS kept FROM cand x JOIN cand y ON y.grp = x.grp AND y.id = 1 JOIN cand z ON z.grp = x.grp AND z.id = 2 WHERE x.id = 0),
+fold AS (SELECT grp, 0::BIGINT AS rn, kept FROM begun
+  UNION ALL SELECT f.grp, s.rn, CASE WHEN len(f.kept) >= 24 OR len(list_filter(f.kept, lambda k: {near})) > 0 THEN f.kept ELSE list_append(f.kept, s.inks) END FROM fold f JOIN sets s ON s.grp = f.grp AND s.rn = f.rn + 1),
+last AS (SELECT grp, arg_max(kept, rn) AS kept FROM fold GROUP BY grp),
+pick AS (SELECT grp, kept[CAST(1 + {variant} % len(kept) AS INTEGER)] AS p FROM last)
+SELECT grp, {', '.join(f"round(p[{i + 1}].{c}, 5) AS {c}{i}" for i in range(3) for c in LAB)} FROM pick"""
+
+
+def _choice(style: str, variant: int):
+    def run(spark, folder):
+        grp = F.floor(F.col("palette_id") / 2).cast("bigint").alias("grp")
+        rows = inks(spark, folder).select(grp, (F.col("palette_id") % 2 * 4 + F.col("id")).alias("id"), "share", *LAB)
+        lead = rows.where(F.col("id") < 3).groupBy("grp").agg(F.reverse(F.array_sort(F.collect_list(F.struct(*LAB)))).alias("inks"))
+        # An odd last palette stands alone.
+        found = P.choose_palette(rows, ["grp"], 3, style, variant, lead if style == "balanced" else None)
+        return found.select("grp", *[R(F.get("inks", F.lit(i))[c], f"{c}{i}", 5) for i in range(3) for c in LAB])
+
+    return run
+
+
+#: The ranking of every style; variants past the 24th palette start again.
+for _style, _variant in (("balanced", 3), ("vibrant", 0), ("contrast", 25)):
+    query(f"i12_choice_{_style}", _choice_sql(_style, _variant))(_choice(_style, _variant))
+
+
 _NEW = ", ".join(f"({i}, '{h}')" for i, h in enumerate(P.NEW_INKS))
 
 
