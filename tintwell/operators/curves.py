@@ -6,11 +6,15 @@ functions keep the key columns, so one call serves one curve or millions.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from tintwell.functions.color import clamp01, constants, half_up, num
-from tintwell.session import cut_lineage
 
 # Starting curves for an ink (x = lightness, y = density).
 PRESETS = {
@@ -172,11 +176,11 @@ def as_arrays(lut: DataFrame, keys: list[str], out: str = "_table") -> DataFrame
     return lut.groupBy(*keys).agg(F.transform(entries, lambda e: e["v"]).alias(out))
 
 
-def read_array(table: Column, x: Column, size: int = 256) -> Column:
-    """Entry at x (0..1) of an array of `size` entries, linear between two."""
+def read_array(table: Column, x: Column, size: int = 256, each=lambda v: v) -> Column:
+    """Entry at x (0..1) of an array of `size` entries, linear between two; `each` is applied to the two first."""
     pos = clamp01(x) * (size - 1)
     i = F.floor(pos).cast("int")
-    a, b = F.get(table, i), F.get(table, F.least(i + 1, F.lit(size - 1)))
+    a, b = each(F.get(table, i)), each(F.get(table, F.least(i + 1, F.lit(size - 1))))
     return a + (b - a) * (pos - i)
 
 
@@ -218,20 +222,52 @@ def _band_density(b: Column, l: Column) -> Column:
 _BAND = ("band", "n_bands", "lo", "hi", "overlap_lo", "overlap_hi", "falloff", "fill", "posterize")
 
 
+def _band_densities(b: dict[str, np.ndarray]) -> np.ndarray:
+    """Density that each band gives each of 256 lightnesses: a row per band."""
+    l = np.arange(256) / 255.0
+    f = {n: b[n][:, None] for n in _BAND}
+
+    def edge(at: np.ndarray, width: np.ndarray) -> np.ndarray:
+        x = np.clip((l - (at - width / 2)) / np.where(width > 0, width, 1), 0, 1)
+        soft = np.where(f["falloff"] == "hard", x >= 0.5, np.where(f["falloff"] == "linear", x, x * x * (3 - x * 2)))
+        return np.where(width > 0, soft, l >= at)
+
+    rise = np.where(f["band"] > 0, edge(f["lo"], f["overlap_lo"]), 1.0)
+    fall = np.where(f["band"] < f["n_bands"] - 1, 1 - edge(f["hi"], f["overlap_hi"]), 1.0)
+    wide, step = f["hi"] > f["lo"], f["posterize"]
+    inside = np.where(wide, np.clip((l - f["lo"]) / np.where(wide, f["hi"] - f["lo"], 1), 0, 1), 0.0)
+    shade = np.where(step > 0, np.ceil((1 - inside) * step) / np.maximum(step, 1), 1 - inside)
+    return np.maximum(0, rise * fall * np.where(f["fill"] == "gradient", shade, 1.0))
+
+
 def band_tables(bands: DataFrame, keys: list[str], inks: int = 4) -> DataFrame:
     """One 256-entry density array per ink of each setup: keys, t0, t1, ... Setups of bare paper have zeros.
 
     `bands`: keys, band, n_bands, lo, hi, ink, overlap_lo, overlap_hi, falloff, fill, posterize. Bands without an ink
-    stay paper. A setup's few bands meet in one row, and its tables are computed there.
+    stay paper. A setup's few bands meet in one row; the tables of all setups of a batch are computed together.
     """
     setups = bands.groupBy(*keys).agg(F.collect_list(F.struct("ink", *_BAND)).alias("_bands"))
-    steps = F.sequence(F.lit(0), F.lit(255))
-
-    def table(ink: int) -> Column:
-        own = F.filter("_bands", lambda b: b["ink"] == ink)
-        return F.transform(steps, lambda i: F.aggregate(own, num(0), lambda top, b: F.greatest(top, _band_density(b, i / 255.0))))
-
-    return setups.select(*keys, *[table(k).alias(f"t{k}") for k in range(inks)])
+    table = ArrayType(DoubleType(), False)
+    schema = StructType([*[setups.schema[k] for k in keys], *[StructField(f"t{k}", table) for k in range(inks)]])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                lists = part.column("_bands")
+                flat, setup = lists.flatten(), np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+                column = lambda n: pc.struct_field(flat, n).to_numpy(zero_copy_only=False)  # noqa: E731, B023
+                density, ink = _band_densities({n: column(n) for n in _BAND}), pc.fill_null(pc.struct_field(flat, "ink"), -1).to_numpy(zero_copy_only=False)
+                arrays = [part.column(k) for k in keys]
+                for k in range(inks):
+                    top = np.zeros((part.num_rows, 256))
+                    np.maximum.at(top, setup[ink == k], density[ink == k])
+                    ends = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * 256)
+                    arrays.append(pa.ListArray.from_arrays(ends, pa.array(top.ravel())).cast(arrow.field(f"t{k}").type))
+                yield pa.record_batch(arrays, schema=arrow)
+
+    return setups.mapInArrow(run, schema)
 
 
 def bands_to_curves(bands: DataFrame, keys: list[str]) -> DataFrame:
@@ -262,42 +298,39 @@ def resolve_band_inks(inks: DataFrame, bands: DataFrame, keys: list[str]) -> Dat
 def simplify_curves(lut: DataFrame, keys: list[str], tolerance: float = 0.01, size: int = 256) -> DataFrame:
     """Few points that keep every table within `tolerance` (Douglas-Peucker): keys, i, x, y.
 
-    Each point carries the ends of its current segment. One round finds every
-    segment's worst point at once and splits there; a round is one aggregation
-    and one join on (keys, segment), and rounds stop when nothing is off.
+    `lut`: keys, i (0 to size - 1, all of them), v. A curve is one row, split in place: a fold takes the last segment off a
+    stack, finds its worst point, and puts both halves back or leaves the segment as it is. Curves need no rounds and do
+    not wait for each other.
     """
     last = size - 1
-    ends = lut.where(F.col("i").isin(0, last))
-    wide = ends.groupBy(*keys).agg(F.max(F.when(F.col("i") == 0, F.col("v"))).alias("ya"), F.max(F.when(F.col("i") == last, F.col("v"))).alias("yb"))
-    points = lut.join(wide, keys).select(*keys, "i", "v", F.lit(0).alias("a"), F.lit(last).alias("b"), "ya", "yb")
-    kept = ends
-    for _ in range(size):
-        x = F.col("i") / float(last)
-        ax, bx = F.col("a") / float(last), F.col("b") / float(last)
-        off = F.abs(F.col("v") - (F.col("ya") + (x - ax) / (bx - ax) * (F.col("yb") - F.col("ya"))))
-        inner = points.where((F.col("i") > F.col("a")) & (F.col("i") < F.col("b"))).withColumn("d", off).where(F.col("d") > tolerance)
-        # Distances within 1e-9 count as equal, and then the earlier point wins.
-        worst = inner.groupBy(*keys, "a").agg(F.max(F.struct(F.round("d", 9).alias("d"), -F.col("i"), "v")).alias("w"))
-        split = cut_lineage(worst.select(*keys, "a", (-F.col("w.col2")).alias("at"), F.col("w.v").alias("y_at")))
-        if split.isEmpty():
-            break
-        kept = kept.unionByName(split.select(*keys, F.col("at").alias("i"), F.col("y_at").alias("v")))
-        # Points of segments that needed no split are finished and drop out.
-        left = F.col("i") < F.col("at")
-        points = points.join(split, [*keys, "a"]).where(F.col("i") != F.col("at"))
-        points = cut_lineage(
-            points.select(
-                *keys,
-                "i",
-                "v",
-                F.when(left, F.col("a")).otherwise(F.col("at")).alias("a"),
-                F.when(left, F.col("at")).otherwise(F.col("b")).alias("b"),
-                F.when(left, F.col("ya")).otherwise(F.col("y_at")).alias("ya"),
-                F.when(left, F.col("y_at")).otherwise(F.col("yb")).alias("yb"),
-            )
-        )
+    tables = lut.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda e: e["v"]).alias("_v"))
+    ends = lambda a, b: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))
+    at = lambda i: F.get(F.col("_v"), i)
+
+    def worst(s: Column) -> Column:
+        """The inner point that is farthest off, of equal ones (within 1e-9) the earliest; null where none is too far."""
+        ya, yb = at(s["a"]), at(s["b"])
+        ax, bx = s["a"] / float(last), s["b"] / float(last)
+        off = lambda i: F.abs(at(i) - (ya + (i / float(last) - ax) / (bx - ax) * (yb - ya)))
+        inner = F.when(s["b"] - s["a"] > 1, F.sequence(s["a"] + 1, s["b"] - 1))
+        far = F.filter(F.transform(inner, lambda i: F.struct(off(i).alias("d"), i.alias("i"))), lambda e: e["d"] > tolerance)
+        return -F.array_max(F.transform(far, lambda e: F.struct(F.round(e["d"], 9).alias("d"), (-e["i"]).alias("m"))))["m"]
+
+    def split(state: Column, _: Column) -> Column:
+        top = F.element_at(state["open"], -1)
+        rest = F.slice(state["open"], F.lit(1), F.size(state["open"]) - 1)
+        halves = lambda i: F.concat(rest, F.array(ends(top["a"], i), ends(i, top["b"])))
+        made = lambda left, kept: F.struct(left.alias("open"), kept.alias("kept"))
+        # The worst point is read twice, so it is worked out once, as the only element of an array.
+        taken = F.transform(F.array(worst(top)), lambda i: F.when(i.isNull(), made(rest, state["kept"])).otherwise(made(halves(i), F.concat(state["kept"], F.array(i)))))
+        return F.when(F.size(state["open"]) == 0, state).otherwise(taken[0])
+
+    start = F.struct(F.array(ends(F.lit(0), F.lit(last))).alias("open"), F.array(F.lit(0), F.lit(last)).alias("kept"))
+    # Each kept point takes one step and adds one segment.
+    kept = F.aggregate(F.sequence(F.lit(1), F.lit(2 * size)), start, split)["kept"]
+    points = tables.select(*keys, "_v", F.explode(kept).alias("i"))
     thousandth = lambda c: half_up(c * 1000) / 1000.0
-    return kept.select(*keys, "i", thousandth(F.col("i") / float(last)).alias("x"), thousandth(F.col("v")).alias("y"))
+    return points.select(*keys, "i", thousandth(F.col("i") / float(last)).alias("x"), thousandth(at(F.col("i"))).alias("y"))
 
 
 def move_linked(points: DataFrame, edits: DataFrame, keys: list[str]) -> DataFrame:

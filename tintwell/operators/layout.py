@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from tintwell.functions import color as C
 from tintwell.functions import geometry as G
@@ -121,55 +125,77 @@ def export_plan(laid: DataFrame) -> DataFrame:
     return laid.select(*laid.columns, kind.alias("kind"), fmt.alias("format"), problem.alias("problem"))
 
 
-def fade_luts(settings: DataFrame, custom: DataFrame, keys: list[str]) -> DataFrame:
-    """Fade strength by share of the fade distance, 256 entries per setting: keys, i, v.
-
-    `settings`: keys, kind (linear, smooth, exponential, custom), midpoint
-    (percent). `custom`: keys, i, v sampled at 1024 for the custom ones.
+def _fade_entries(kind: np.ndarray, midpoint: np.ndarray, custom: np.ndarray) -> np.ndarray:
+    """256 entries of each of several fades; `custom` holds 1024 samples of each, where it has a curve of its own."""
+    rows = np.arange(len(kind))[:, None]
+
+    def base(x: np.ndarray) -> np.ndarray:
+        own = custom[rows, np.floor(x * 1023 + 0.5).astype(int)]
+        smooth, steep = 1 - x * x * (3 - x * 2), 1 - (np.exp(x * 4) - 1) / (math.exp(4) - 1)
+        k = kind[:, None]
+        return np.where(k == "linear", 1 - x, np.where(k == "exponential", steep, np.where(k == "custom", own, smooth)))
+
+    grid = np.broadcast_to(np.arange(1025) / 1024.0, (len(kind), 1025))
+    off = base(grid) - 0.5
+    a, b = off[:, :-1], off[:, 1:]
+    exact, passes = a == 0, ((a > 0) & (b <= 0)) | ((a < 0) & (b >= 0))
+    at = np.argmax(exact | passes, axis=1)
+    one = np.arange(len(kind))
+    y0, y1 = a[one, at], b[one, at]
+    span = np.where(y0 == y1, 1.0, y0 - y1)
+    half = np.where(exact[one, at], at / 1024.0, np.where(passes[one, at], at / 1024.0 + y0 / span / 1024.0, 0.5))
+    half = np.clip(half, 0.001, 0.999)
+    power = np.log(half) / np.log(np.clip(midpoint / 100.0, 0.05, 0.95))
+    v = np.clip(base((np.arange(256) / 255.0) ** power[:, None]), 0, 1)
+    v[:, 0], v[:, 255] = 1, 0
+    return v
+
+
+def fade_tables(settings: DataFrame, custom: DataFrame, keys: list[str]) -> DataFrame:
+    """Fade strength by share of the fade distance, 256 entries in a row per setting: keys, table.
+
+    `settings`: keys, kind (linear, smooth, exponential, custom), midpoint (percent). `custom`: keys, i, v sampled at 1024
+    for the custom ones. A custom curve joins its setting as one array; the fades of a batch are computed together.
     """
-    table = custom.select(*keys, F.col("i").alias("_at"), F.col("v").alias("_v"))
-
-    def base(rows: DataFrame) -> DataFrame:
-        x = F.col("_x")
-        found = rows.withColumn("_at", half_up(x * 1023).cast("int")).join(table, [*keys, "_at"], "left")
-        y = (
-            F.when(F.col("kind") == "linear", num(1) - x)
-            .when(F.col("kind") == "exponential", num(1) - (F.exp(x * 4) - 1) / (math.exp(4) - 1))
-            .when(F.col("kind") == "custom", F.col("_v"))
-            .otherwise(num(1) - x * x * (num(3) - x * 2))
-        )
-        return found.withColumn("_y", y).drop("_at", "_v")
-
-    grid = base(settings.select("*", F.explode(F.sequence(F.lit(0), F.lit(1024))).alias("_i")).withColumn("_x", F.col("_i") / 1024.0))
-    order = Window.partitionBy(*keys).orderBy("_i")  # 1025 rows per setting
-    steps = grid.withColumns({"_y0": F.lag("_y").over(order) - 0.5, "_y1": F.col("_y") - 0.5}).where(F.col("_i") > 0)
-    x0 = (F.col("_i") - 1) / 1024.0
-    crossing = F.when(F.col("_y0") == 0, x0).when(
-        ((F.col("_y0") > 0) & (F.col("_y1") <= 0)) | ((F.col("_y0") < 0) & (F.col("_y1") >= 0)),
-        x0 + (F.col("_x") - x0) * F.col("_y0") / (F.col("_y0") - F.col("_y1")),
-    )
-    first = steps.withColumn("_h", crossing).where(F.col("_h").isNotNull()).groupBy(*keys).agg(F.min_by("_h", "_i").alias("_half"))
-    half = F.least(num(0.999), F.greatest(num(0.001), F.coalesce(F.col("_half"), num(0.5))))
-    mid = F.least(num(0.95), F.greatest(num(0.05), F.col("midpoint") / 100.0))
-    bent = settings.join(first, keys, "left").withColumn("_power", F.ln(half) / F.ln(mid))
-    entries = bent.select("*", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("i")).withColumn("_x", F.pow(F.col("i") / 255.0, F.col("_power")))
-    v = F.when(F.col("i") == 0, num(1)).when(F.col("i") == 255, num(0)).otherwise(clamp01(F.col("_y")))
-    return base(entries).select(*keys, "i", v.alias("v"))
+    from tintwell.operators.curves import as_arrays
+
+    rows = settings.select(*keys, "kind", F.col("midpoint").cast("double").alias("midpoint")).join(as_arrays(custom, keys, "_own"), keys, "left")
+    schema = StructType([*[rows.schema[k] for k in keys], StructField("table", ArrayType(DoubleType(), False))])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                own = np.full((part.num_rows, 1024), np.nan)
+                for i, samples in enumerate(part.column("_own")):
+                    if samples.is_valid:
+                        own[i] = samples.values.to_numpy(zero_copy_only=False)
+                kind, midpoint = (part.column(c).to_numpy(zero_copy_only=False) for c in ("kind", "midpoint"))
+                ends = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * 256)
+                tables = pa.ListArray.from_arrays(ends, pa.array(_fade_entries(kind, midpoint, own).ravel())).cast(arrow.field("table").type)
+                yield pa.record_batch([*[part.column(k) for k in keys], tables], schema=arrow)
+
+    return rows.mapInArrow(run, schema)
+
+
+def fade_luts(settings: DataFrame, custom: DataFrame, keys: list[str]) -> DataFrame:
+    """The same as rows: keys, i, v."""
+    return fade_tables(settings, custom, keys).select(*keys, F.posexplode("table").alias("i", "v"))
 
 
 def apply_fade(pixels: DataFrame, images: DataFrame, luts: DataFrame) -> DataFrame:
     """Blends sRGB fractions sr, sg, sb towards black or white near the edge.
 
     `images`: image_id, x0, y0, x1, y1 (visible edge), radius, distance, tint
-    (0 or 1), opacity. `luts`: image_id, i, v.
+    (0 or 1), opacity. `luts`: image_id, table (`fade_tables`), which joins the few image records first.
     """
-    from tintwell.operators.curves import as_arrays, read_array
+    from tintwell.operators.curves import read_array
 
-    joined = pixels.join(images, "image_id")
+    joined = pixels.join(images.join(luts, "image_id"), "image_id")
     sdf = G.rounded_rect_sdf(F.col("x") + 0.5, F.col("y") + 0.5, F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), F.col("radius"))
-    coarse = luts.withColumn("v", half_up(F.col("v") * 255) / 255.0)
-    found = joined.withColumn("_d", -sdf / F.col("distance")).join(as_arrays(coarse, ["image_id"]), "image_id")
-    inner = read_array(F.col("_table"), F.col("_d"))
+    found = joined.withColumn("_d", -sdf / F.col("distance"))
+    inner = read_array(F.col("table"), F.col("_d"), each=lambda v: half_up(v * 255) / 255.0)
     k = F.when(F.col("_d") <= 0, num(1)).when(F.col("_d") >= 1, num(0)).otherwise(inner) * F.col("opacity")
     keep = [c for c in pixels.columns if c not in ("sr", "sg", "sb")]
     return found.withColumn("_k", k).select(*keep, *[(F.col(c) + (F.col("tint") - F.col(c)) * F.col("_k")).alias(c) for c in ("sr", "sg", "sb")])

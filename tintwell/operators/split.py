@@ -39,12 +39,13 @@ def tone_map(pixels: DataFrame, tables: DataFrame, keys: list[str], source: str
     """
     if "t0" not in tables.columns:
         tables = curve_tables(tables, keys)
-    coarse = [F.transform(f"t{k}", lambda v: half_up(v * 255) / 255.0).alias(f"_t{k}") for k in range(MAX_INKS)]
+    # Only the entries that a pixel reads are cut to bytes.
+    coarse = lambda v: half_up(v * 255) / 255.0
     srgb = tuple(F.col(c) / 255.0 for c in "rgb")
     lin = C.rgb_to_linear((F.col("r"), F.col("g"), F.col("b")))
     at = pixels.withColumn("_x", C.lightness(lin, source, srgb))
-    joined = at.join(tables.select(*keys, *coarse), keys, "left")
-    return joined.select(*pixels.columns, *[F.coalesce(read_array(F.col(f"_t{k}"), F.col("_x")), num(0)).alias(f"c{k}") for k in range(MAX_INKS)])
+    joined = at.join(tables.select(*keys, *[F.col(f"t{k}").alias(f"_t{k}") for k in range(MAX_INKS)]), keys, "left")
+    return joined.select(*pixels.columns, *[F.coalesce(read_array(F.col(f"_t{k}"), F.col("_x"), each=coarse), num(0)).alias(f"c{k}") for k in range(MAX_INKS)])
 
 
 def with_spaces(pixels: DataFrame, srgb: Triple, lin: Triple) -> DataFrame:

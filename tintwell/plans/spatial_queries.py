@@ -325,14 +325,13 @@ fade_lut AS (SELECT e.image_id, e.i, CASE e.i WHEN 0 THEN 1.0::DOUBLE WHEN 255 T
 )
 
 
-def fade_lut_rows(spark, folder):
-    custom = D.sample_curves(B.curve_points(spark, folder), ["curve_id"], 1024).withColumnRenamed("curve_id", "image_id")
-    return LY.fade_luts(fades(spark, folder), custom, ["image_id"])
+def fade_curves(spark, folder):
+    return D.sample_curves(B.curve_points(spark, folder), ["curve_id"], 1024).withColumnRenamed("curve_id", "image_id")
 
 
 @query("b14_fade_lut", B.ctes("curve_points").replace("WITH ", "WITH RECURSIVE ", 1) + f",\n{FADE_LUT} SELECT image_id, i, round(v, 6) AS v FROM fade_lut")
 def b14_fade_lut(spark, folder):
-    return fade_lut_rows(spark, folder).select("image_id", "i", R("v", "v"))
+    return LY.fade_luts(fades(spark, folder), fade_curves(spark, folder), ["image_id"]).select("image_id", "i", R("v", "v"))
 
 
 @query(
@@ -350,7 +349,7 @@ def b15_apply_fade(spark, folder):
         "image_id", F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(7.0).alias("x1"), F.lit(3.0).alias("y1"), F.lit(0.5).alias("radius"),
         F.lit(1.25).alias("distance"), (F.col("image_id") % 2).cast("double").alias("tint"), F.lit(0.8).alias("opacity"),
     )
-    out = LY.apply_fade(px, records, fade_lut_rows(spark, folder))
+    out = LY.apply_fade(px, records, LY.fade_tables(fades(spark, folder), fade_curves(spark, folder), ["image_id"]))
     return out.select(*K, *[R(c, c, 5) for c in ("sr", "sg", "sb")])
 
 
