@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tintwell.operators.curves import valid_curve
-from tintwell.session import constant_rows
+from tintwell.session import constant_rows, cut_lineage
 
 SLOTS = 4
 NAME_LIMIT = 60
@@ -178,6 +178,36 @@ def upsert_presets(current: DataFrame, new: DataFrame) -> DataFrame:
     return both.groupBy(F.lower("name").alias("_k")).agg(F.max_by(row, "saved_at").alias("_r")).select("_r.*")
 
 
+def stored_presets(spark: SparkSession, path: str) -> DataFrame:
+    """Presets of a store that `upsert_stored` keeps."""
+    return spark.read.parquet(path).drop("of", "bucket")
+
+
+def upsert_stored(new: DataFrame, path: str, buckets: int = 64) -> list[int]:
+    """Upserts presets into the store at `path`, a new one or one of as many buckets, and returns the buckets written.
+
+    Names fall into buckets by a hash of their lower case. Only buckets that get a preset are read and written; the files
+    of all others stay as they are. Buckets are replaced as a whole at the end, from rows checkpointed before.
+    """
+    spark = new.sparkSession
+    bucket = F.pmod(F.xxhash64(F.lower("name")), F.lit(buckets)).cast("int")
+    arriving = cut_lineage(new)
+    touched = sorted(r[0] for r in arriving.select(bucket.alias("bucket")).distinct().collect())  # at most `buckets`
+    if not touched:
+        return []
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        stored = spark.read.parquet(path)
+        if not stored.where(F.col("of") != buckets).isEmpty():
+            raise ValueError(f"the store at {path} has another number of buckets than {buckets}")
+        arriving = upsert_presets(stored.where(F.col("bucket").isin(touched)).select(new.columns), arriving)
+    else:
+        arriving = upsert_presets(arriving.limit(0), arriving)
+    placed = cut_lineage(arriving.withColumns({"of": F.lit(buckets), "bucket": bucket}).repartition("bucket"))
+    placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("of", "bucket").parquet(path)
+    return touched
+
+
 def delete_presets(current: DataFrame, names: DataFrame) -> DataFrame:
     """Presets without the exactly named ones."""
     return current.join(names.select("name"), "name", "left_anti")

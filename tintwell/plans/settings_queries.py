@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tintwell.operators import curves as D
 from tintwell.operators import settings as A
+from tintwell.operators.palette import NEW_INKS, next_ink
 from tintwell.operators.settings import Setting
 from tintwell.plans.curve_queries import byte_at, byte_sql, vectors
 from tintwell.plans.registry import query
-from tintwell.session import read_table
+from tintwell.session import ensure_checkpoint_dir, read_table
 from tintwell.sources import bridge as B
+from tintwell.sources import images as IO
 
 
 @query(
@@ -181,6 +185,20 @@ def a6_upsert_presets(spark, folder):
     return A.delete_presets(A.upsert_presets(cur, new), gone).select("name", "saved_at", "body").orderBy("name")
 
 
+@query(
+    "a6_stored_upsert",
+    f"WITH {PRESETS}, u AS (SELECT * FROM (SELECT * FROM cur UNION ALL SELECT * FROM new) t QUALIFY row_number() OVER (PARTITION BY lower(name) ORDER BY saved_at DESC) = 1) SELECT name, saved_at, body FROM u",
+)
+def a6_stored_upsert(spark, folder):
+    """The presets stored, then the new ones upserted into their buckets."""
+    cur, new = presets(spark, folder)
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/presets-{uuid.uuid4().hex}"
+    for rows in (cur, new):
+        A.upsert_stored(rows, path, 16)
+    return A.stored_presets(spark, path)
+
+
 @query(
     "a7_look_of",
     f"""WITH {CONFORMED}, lk AS (SELECT project, section || '.' || key AS k, CASE WHEN count(*) > 1 THEN '[' || string_agg(value, ',' ORDER BY slot) || ']' ELSE max(value) END AS value FROM conf WHERE section NOT IN ('upload', 'presets', 'export') AND section || '.' || key NOT IN ('adjust.turn', 'adjust.straighten', 'layers.solo', 'layers.mute') GROUP BY project, section, key)
@@ -202,6 +220,23 @@ def a8_layer_names(spark, folder):
     return inks.select("palette_id", "print_order", A.layer_name(F.col("nm"), F.col("print_order"), F.col("hex")).alias("layer"))
 
 
+_INKS = [(0, "#0078bf"), (1, "#ff48b0"), (2, "#ffe800"), (3, "#000000")]
+
+
+@query(
+    "a8_layer_rows",
+    B.ctes("coverage")
+    + ", l AS (" + " UNION ALL ".join(f"SELECT image_id, {k + 1} AS print_order, 'Two - names_0{k + 1}_{h[1:].upper()}' AS layer, x, y, c{k} AS c FROM coverage" for k, h in _INKS)
+    + ") SELECT image_id, print_order, layer, x, y, CAST(255 - floor(c * 255 + 0.5) AS INTEGER) AS v FROM l",
+)
+def a8_layer_rows(spark, folder):
+    """The layers of every coverage image, written in print order and read back."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/layers-{uuid.uuid4().hex}"
+    IO.write_layers(IO.layer_rows(B.coverage(spark, folder), spark.createDataFrame(_INKS, "ink int, hex string"), "Two / names"), path)
+    return IO.read_layers(spark, path)
+
+
 def _case(col: str, table: dict) -> str:
     return f"CASE {col} " + " ".join(f"WHEN {k} THEN {v}" for k, v in table.items()) + " END"
 
@@ -261,6 +296,27 @@ def a13_permute_inks(spark, folder):
     return A.reset_slot(moved, reg, 3).select("project", "section", "key", "slot", "value")
 
 
+_NEW = ", ".join(f"({i}, '{h}')" for i, h in enumerate(NEW_INKS))
+_COLOR = next(r for r, s in enumerate(REGISTRY) if s.key == "inkColor")
+
+
+@query(
+    "a13_add_ink",
+    f"""WITH {CONFORMED}, n(k, hex) AS (VALUES {_NEW}), cnt AS (SELECT DISTINCT project, CAST(1 + project % 4 AS INTEGER) AS inks FROM conf),
+col AS (SELECT cnt.project, arg_min(n.hex, n.k) AS hex FROM cnt, n WHERE NOT EXISTS (SELECT 1 FROM conf u WHERE u.project = cnt.project AND u.r = {_COLOR} AND u.slot < cnt.inks AND trim(u.value, '"') = n.hex) GROUP BY 1)
+SELECT m.project, m.section, m.key, m.slot, CASE WHEN m.r IN ({_PER}) AND m.slot = inks AND inks < 4 THEN CASE WHEN m.r = {_COLOR} THEN '"' || hex || '"' ELSE m.own END ELSE m.value END AS value
+FROM conf m JOIN cnt ON cnt.project = m.project JOIN col ON col.project = m.project""",
+)
+def a13_add_ink(spark, folder):
+    """One more ink for every project that has room for it, in the first colour it does not use yet."""
+    reg = registry(spark)
+    rows = conformed(spark, folder).join(F.broadcast(reg.select("section", "key", "per_ink")), ["section", "key"])
+    counts = rows.select("project").distinct().withColumn("inks", (F.col("project") % 4 + 1).cast("int"))
+    used = rows.where("section = 'palette' AND key = 'inkColor'").join(counts, "project").where("slot < inks")
+    colours = next_ink(used.select("project", F.trim(F.col("value"), F.lit('"')).alias("hex")), ["project"])
+    return A.add_ink(rows, reg, counts, colours, ("palette", "inkColor")).select("project", "section", "key", "slot", "value")
+
+
 def _conv(c: str, step: str) -> str:
     return f"floor(floor((CASE WHEN units = 'in' THEN {c} * 25.4::DOUBLE ELSE {c} / 25.4::DOUBLE END) / {step}::DOUBLE + 0.5) * {step}::DOUBLE * 100 + 0.5) / 100.0::DOUBLE"
 
