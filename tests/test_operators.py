@@ -33,8 +33,9 @@ def skewed():
     return pd.DataFrame([(("hot" if rng.random() < 0.7 else f"k{rng.randrange(5)}"), i, rng.randrange(40) / 4.0) for i in range(2000)], columns=["k", "seq", "v"])
 
 
-def test_ranks_are_exact_under_skew(spark, skewed):
-    got = RK.value_ranks(spark.createDataFrame(skewed), ["k"], "v", buckets=7).toPandas()
+@pytest.mark.parametrize("per_group", [0, 10_000])
+def test_ranks_are_exact_under_skew(spark, skewed, per_group):
+    got = RK.value_ranks(spark.createDataFrame(skewed), ["k"], "v", per_group).toPandas()
     for (k, v), group in skewed.groupby(["k", "v"]):
         row = got[(got.k == k) & (got.v == v)].iloc[0]
         whole = skewed[skewed.k == k].v
@@ -42,20 +43,19 @@ def test_ranks_are_exact_under_skew(spark, skewed):
     assert len(got) == skewed.groupby(["k", "v"]).ngroups
 
 
-def test_rank_buckets_follow_the_largest_group(spark, monkeypatch):
-    monkeypatch.setattr(RK, "PER_BUCKET", 50)
-    asked = []
-    plain = RK._bucket_of
-    monkeypatch.setattr(RK, "_bucket_of", lambda value, bounds, buckets: asked.append(buckets) or plain(value, bounds, buckets))
-    df = spark.range(3000).select(F.when(F.col("id") % 10 > 0, "hot").otherwise("cold").alias("k"), (F.col("id") * 37 % 3001 / 4.0).alias("v"))
-    got = RK.value_ranks(df, ["k"], "v").toPandas()
-    assert asked == [54] and len(got) == 3000
-    for _, group in got.sort_values("v").groupby("k"):
-        assert (group.below.to_numpy() == np.arange(len(group))).all()
+def test_ranks_of_a_large_group_span_partitions(spark):
+    hot = F.when(F.col("id") % 10 > 0, "hot").when(F.col("id") % 20 > 0, "cold")
+    df = spark.range(3000).select(hot.alias("k"), F.when(F.col("id") % 100 > 0, F.col("id") * 37 % 3001 / 4.0).alias("v")).repartition(4)
+    ranged = RK._counted(df.groupBy("k", "v").agg(F.count("*").alias("n")).repartitionByRange(8, "k", "v").sortWithinPartitions("k", "v"), ["k"])
+    assert ranged.where("k = 'hot'").select("_part").distinct().count() > 3
+    got = RK.value_ranks(df, ["k"], "v", 100).toPandas()
+    assert len(got) == 2970 + 1
+    for _, group in got.sort_values("v", na_position="first").groupby("k", dropna=False):
+        assert (group.below.to_numpy() == np.cumsum(group.n) - group.n).all() and (group.total == group.n.sum()).all()
 
 
 def test_quantiles_equal_numpy(spark, skewed):
-    got = H.lattice_tables(spark.createDataFrame(skewed), ["k"], "v", buckets=5).toPandas()
+    got = H.lattice_tables(spark.createDataFrame(skewed), ["k"], "v", per_group=5).toPandas()
     for k, group in skewed.groupby("k"):
         want = np.quantile(group.v, np.arange(256) / 255)
         mine = got[got.k == k].sort_values("i").v.to_numpy()
@@ -83,15 +83,6 @@ def test_cost_in_blocks_equals_one_loop(spark, skewed):
     assert np.allclose(got.cost, want)
 
 
-def test_replay_in_blocks_equals_one_block(spark):
-    rng = random.Random(9)
-    rows = [(rng.choice([1, 1, 1, 2]), i, rng.choice(["set", "set", "undo", "redo", "quiet"]), float(rng.randrange(6))) for i in range(400)]
-    log = spark.createDataFrame(rows, "project long, seq long, action string, value double")
-    a = sorted(tuple(r) for r in J.replay(log, 5, width=90).collect())
-    b = sorted(tuple(r) for r in J.replay(log, 5, width=10_000).collect())
-    assert a == b
-
-
 def test_dots_keep_the_tone(spark):
     ramp = spark.range(64 * 64).select(F.lit(0).alias("image_id"), (F.col("id") % 64).cast("int").alias("x"), F.floor(F.col("id") / 64).cast("int").alias("y"))
     for tone in (0.2, 0.5, 0.8):
@@ -345,4 +336,45 @@ def test_unknown_names_are_refused(spark):
         plugins.run_split("nope", spark.range(1))
     with pytest.raises(KeyError):
         plugins.run_halftone("nope", spark.range(1), spark.range(1))
-    assert plugins.REACH["detail"]({"sigma": 2.0}) == 7.0
+    assert plugins.SPLITS["detail"].reach({"sigma": 2.0}) == 7.0
+    assert plugins.margin_of("detail", {"sigma": 2.0}, "am", {"sizes": [10.0]}, 1.0) == 15 + 2.5 + 7 + 2 + 0.5
+
+
+def test_prepared_tables_are_built_once_per_key(spark, tmp_path):
+    built = []
+
+    def prepare(session, params, quality):
+        built.append(quality)
+        return {"level": session.createDataFrame([(params["ink"], 0.25 if quality == "draft" else 0.5)], "k int, v double")}
+
+    @plugins.split_method("flat_test", prepare=prepare, prepare_key=lambda p: p["ink"], depends_on=lambda p: p.get("table"), needs_prepare=lambda p: not p.get("off"))
+    def render(pixels, params, tables):
+        if not tables:
+            return pixels.select("image_id", "x", "y", *[F.lit(0.0).alias(f"c{k}") for k in range(4)])
+        v = tables["level"].select("v")
+        return pixels.crossJoin(F.broadcast(v)).select("image_id", "x", "y", *[(F.col("v") if k == params["ink"] else F.lit(0.0)).alias(f"c{k}") for k in range(4)])
+
+    try:
+        px = spark.createDataFrame([(0, 0, 0, 9, 9, 9)], "image_id long, x int, y int, r int, g int, b int")
+        run = lambda **p: [(q, df.first()["c1"]) for q, df in plugins.preview_split("flat_test", px, {"ink": 1} | p, str(tmp_path))]
+        assert run() == run() == [("draft", 0.25), ("final", 0.5)] and built == ["draft", "final"]
+        assert run(table=[1, 2]) == [("draft", 0.25), ("final", 0.5)] and built == ["draft", "final"] * 2
+        assert run(off=True) == [("final", 0.0)] and len(built) == 4
+        key = lambda name, **p: plugins.render_key(name, p)
+        assert key("flat_test", ink=1, table=[1]) != key("flat_test", ink=1, table=[2])
+        assert key("channel", space="cmyk", table=[1]) == key("channel", space="cmyk", table=[2]) != key("channel", space="lab")
+        with pytest.raises(TypeError):
+            plugins.table_key(plugins.SPLITS["flat_test"], {"ink": px})
+    finally:
+        del plugins.SPLITS["flat_test"]
+
+
+def test_prepared_screens_keep_the_tone(spark):
+    side, tone = 48, 0.4
+    ramp = spark.range(side * side).select(F.lit(0).cast("long").alias("image_id"), (F.col("id") % side).cast("int").alias("x"), F.floor(F.col("id") / side).cast("int").alias("y"))
+    cov = ramp.select("*", F.lit(0).alias("ink"), F.lit(tone).alias("c"))
+    pts = ramp.select("*", F.lit(0).alias("ink"), F.lit(5.3).alias("size"), F.lit(15.0).alias("degrees"))
+    for name, params in (("noise", {"tile_size": 16, "kind": "green"}), ("spiral", {"points": 2048}), ("carry", {"dot_size": 3.0})):
+        dots = plugins.run_halftone(name, pts, cov, {"width": side, "height": side} | params)
+        n, share = dots.agg(F.count("*"), F.avg(F.col("on").cast("double"))).first()
+        assert n == side * side and abs(share - tone) < 0.04, (name, n, share)
