@@ -22,8 +22,8 @@ END = OWN + SHARED
 CLASSES = END + 1
 #: Prior weight of the overall class shares in a state's emissions, in tokens, and of each transition.
 PRIOR, MOVES = 200.0, 1.0
-#: Tokens of a chunk, chunks handled together, and words a task remembers.
-CHUNK, TOGETHER, WORDS_KEPT = 64, 8192, 1_000_000
+#: Tokens of a chunk, about how many tokens are handled together, and words a task remembers.
+CHUNK, TOGETHER, WORDS_KEPT = 256, 1 << 18, 1_000_000
 
 
 class Words(dict):
@@ -184,110 +184,147 @@ def first_model(shares: np.ndarray, states: int = STATES, seed: int = SEED) -> M
 class Chunks:
     """The tokens of some texts in chunks, longest chunk first, so that those still running are the first ones.
 
-    A chunk's product of step matrices takes any state before it to the states after it; with these, the recursion over
-    a text runs from chunk to chunk, and inside all chunks at once.
+    All chunks step together. Into a text's first chunk and out of its last, vectors of states are enough. Only a chunk
+    between two others needs the product of its step matrices, which takes any states before it to the states after it;
+    with these, the recursion over a long text runs from chunk to chunk.
     """
 
     def __init__(self, sequences: list[np.ndarray], model: Model):
         self.model, self.texts = model, len(sequences)
-        starts, lengths, text, place = [], [], [], []
-        base = 0
-        for at, s in enumerate(sequences):
-            for k, a in enumerate(range(0, len(s), CHUNK)):
-                starts.append(base + a)
-                lengths.append(min(CHUNK, len(s) - a))
-                text.append(at)
-                place.append(k)
-            base += len(s)
-        tokens = np.concatenate(sequences).astype(np.int64)
-        order = np.argsort(-np.array(lengths), kind="stable")
-        self.lengths, self.text, self.place = (np.array(x)[order] for x in (lengths, text, place))
-        self.running = [int(np.searchsorted(-self.lengths, -t)) for t in range(CHUNK)]
-        at = np.array(starts)[order][:, None] + np.arange(CHUNK)
-        self.tokens = tokens[np.minimum(at, len(tokens) - 1)]
+        sizes = np.array([len(s) for s in sequences])
+        parts = -(-sizes // CHUNK)
+        text = np.repeat(np.arange(len(sizes)), parts)
+        place = np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)
+        lengths = np.minimum(CHUNK, sizes[text] - place * CHUNK)
+        order = np.argsort(-lengths, kind="stable")
+        self.lengths, self.text, self.place = lengths[order], text[order], place[order]
         self.steps = int(self.lengths[0])
-        # Chunks of a text in order: those at place k, and the chunk of each text there.
-        by = np.argsort(self.place, kind="stable")
-        self.at_place = np.split(by, np.cumsum(np.bincount(self.place))[:-1])
-        self._products()
-
-    def _products(self):
+        self.running = np.searchsorted(-self.lengths, -np.arange(self.steps))
+        tokens = np.concatenate(sequences).astype(np.int64)
+        starts = (np.cumsum(sizes) - sizes)[self.text] + self.place * CHUNK
+        # By step, then chunk; beyond a chunk's end stands any token, which no step reads.
+        self.tokens = tokens[np.minimum(starts + np.arange(self.steps)[:, None], len(tokens) - 1)]
+        self.rise = model.rise[self.tokens]
+        last = self.place == parts[self.text] - 1
+        self.firsts, self.lasts = np.flatnonzero(self.place == 0), np.flatnonzero(last & (self.place > 0))
+        middle = np.flatnonzero(~last & (self.place > 0))
+        # Middle chunks of a text in order: those at place 1, 2 and so on.
+        by = middle[np.argsort(self.place[middle], kind="stable")]
+        self.at_place = np.split(by, np.cumsum(np.bincount(self.place[by])[1:])[:-1]) if len(by) else []
+        self._products(middle)
+
+    def _still(self, own: np.ndarray, t: int) -> int:
+        """How many of these chunks, in order, have a token at step t."""
+        return int(np.searchsorted(own, self.running[t]))
+
+    def _products(self, own: np.ndarray):
         k = len(self.model.start)
-        m = np.broadcast_to(np.eye(k), (len(self.lengths), k, k)).copy()
-        self.log = np.zeros(len(self.lengths))
-        for t in range(self.steps):
-            n = self.running[t]
-            m[:n] = (m[:n].reshape(-1, k) @ self.model.move).reshape(n, k, k) * self.model.rise[self.tokens[:n, t], None, :]
+        m = np.broadcast_to(np.eye(k), (len(own), k, k)).copy()
+        log = np.zeros(len(own))
+        for t in range(self.steps if len(own) else 0):
+            n = self._still(own, t)
+            m[:n] = (m[:n].reshape(-1, k) @ self.model.move).reshape(n, k, k) * self.rise[t, own[:n], None, :]
             if t % 8 == 7 or t == self.steps - 1:
-                scale = m.sum(axis=(1, 2))
+                scale = m.reshape(-1, k * k) @ np.ones(k * k)
                 m /= scale[:, None, None]
-                self.log += np.log(scale)
-        self.product = m
+                log += np.log(scale)
+        self.product, self.log = np.zeros((len(self.lengths), k, k)), np.zeros(len(self.lengths))
+        self.product[own], self.log[own] = m, log
+
+    def _through(self, own: np.ndarray, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """States after these chunks from those before, and the logs of their scales."""
+        a, log, ones = states.copy(), np.zeros(len(own)), np.ones(states.shape[1])
+        for t in range(int(self.lengths[own[0]]) if len(own) else 0):
+            n = self._still(own, t)
+            a[:n] = (a[:n] @ self.model.move) * self.rise[t, own[:n]]
+            if t % 8 == 7 or t == self.steps - 1:
+                scale = a @ ones
+                a /= scale[:, None]
+                log += np.log(scale)
+        scale = a @ ones
+        return a / scale[:, None], log + np.log(scale)
 
     def forward(self) -> np.ndarray:
         """Natural log of each text's likelihood over its class shares; `before` gets the states before each chunk."""
-        k = len(self.model.start)
         alpha = np.tile(self.model.start, (self.texts, 1))
         out = np.zeros(self.texts)
-        self.before = np.zeros((len(self.lengths), k))
-        for own in self.at_place:
+        self.before = np.zeros((len(self.lengths), alpha.shape[1]))
+        for own, matrices in [(self.firsts, False), *((m, True) for m in self.at_place), (self.lasts, False)]:
             texts = self.text[own]
             self.before[own] = alpha[texts]
-            a = np.einsum("ni,nij->nj", alpha[texts], self.product[own])
-            scale = a.sum(axis=1)
-            out[texts] += np.log(scale) + self.log[own]
-            alpha[texts] = a / scale[:, None]
+            if matrices:
+                a = np.einsum("ni,nij->nj", alpha[texts], self.product[own])
+                scale = a.sum(axis=1)
+                alpha[texts], log = a / scale[:, None], np.log(scale) + self.log[own]
+            else:
+                alpha[texts], log = self._through(own, alpha[texts])
+            out[texts] += log
         return out
 
     def backward(self):
         """`after` gets what the rest of the text says of the states after each chunk."""
         beta = np.ones((self.texts, len(self.model.start)))
-        self.after = np.zeros((len(self.lengths), beta.shape[1]))
+        self.after = np.ones((len(self.lengths), beta.shape[1]))
+        b = beta[self.text[self.lasts]]
+        for t in reversed(range(int(self.lengths[self.lasts[0]]) if len(self.lasts) else 0)):
+            n = self._still(self.lasts, t)
+            b[:n] = (b[:n] * self.rise[t, self.lasts[:n]]) @ self.model.move.T
+            if t % 8 == 0:
+                b[:n] /= (b[:n] @ np.ones(b.shape[1]))[:, None]
+        beta[self.text[self.lasts]] = b
         for own in reversed(self.at_place):
             texts = self.text[own]
             self.after[own] = beta[texts]
             b = np.einsum("nij,nj->ni", self.product[own], beta[texts])
             beta[texts] = b / b.sum(axis=1, keepdims=True)
+        self.after[self.firsts] = beta[self.text[self.firsts]]
 
     def expected(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Expected first states, moves and emissions of all texts."""
         self.forward()
         self.backward()
         model, k, count = self.model, len(self.model.start), len(self.lengths)
-        alpha = np.zeros((self.steps + 1, count, k))
-        alpha[0] = self.before
+        ones = np.ones(k)
+        # By step and chunk, and zero beyond a chunk's end: states before a step, after its move, and what token and rest say.
+        alpha, moved, rest = (np.zeros((self.steps, count, k)) for _ in range(3))
+        a = self.before
         for t in range(self.steps):
             n = self.running[t]
-            a = (alpha[t, :n] @ model.move) * model.rise[self.tokens[:n, t]]
-            alpha[t + 1, :n] = a / a.sum(axis=1, keepdims=True)
+            alpha[t, :n] = a[:n]
+            np.matmul(a[:n], model.move, out=moved[t, :n])
+            a = moved[t, :n] * self.rise[t, :n]
+            if t % 8 == 7:
+                a /= (a @ ones)[:, None]
         beta = self.after.copy()
-        moves, gammas = np.zeros((k, k)), np.zeros((self.steps, count, k))
         for t in reversed(range(self.steps)):
             n = self.running[t]
-            g = alpha[t + 1, :n] * beta[:n]
-            gammas[t, :n] = g / g.sum(axis=1, keepdims=True)
-            w = model.rise[self.tokens[:n, t]] * beta[:n]
-            back = w @ model.move.T
-            norm = (alpha[t, :n] * back).sum(axis=1, keepdims=True)
-            moves += (alpha[t, :n] / norm).T @ w
-            beta[:n] = back / back.sum(axis=1, keepdims=True)
-        first = self.at_place[0]
-        g = self.before[first] * beta[first]
+            np.multiply(self.rise[t, :n], beta[:n], out=rest[t, :n])
+            np.matmul(rest[t, :n], model.move.T, out=beta[:n])
+            if t % 8 == 0:
+                beta[:n] /= (beta[:n] @ ones)[:, None]
+        moved *= rest
+        norm = (moved @ ones)[:, :, None]
+        norm[norm == 0] = 1.0
+        moved /= norm
+        alpha /= norm
+        moves = alpha.reshape(-1, k).T @ rest.reshape(-1, k)
+        g = self.before[self.firsts] * beta[self.firsts]
         starts = (g / g.sum(axis=1, keepdims=True)).sum(axis=0)
-        live = np.arange(self.steps)[:, None] < self.lengths[None, :]
-        tokens = self.tokens[:, : self.steps].T[live]
-        emitted = np.stack([np.bincount(tokens, weights=gammas[:, :, s][live], minlength=CLASSES) for s in range(k)], axis=1)
+        tokens = self.tokens.ravel()
+        emitted = np.stack([np.bincount(tokens, weights=moved[:, :, s].ravel(), minlength=CLASSES) for s in range(k)], axis=1)
         return starts, moves * model.move, emitted
 
 
 def _groups(batches, column="classes"):
-    """Rows of the batches in groups of about TOGETHER chunks."""
+    """Rows of the batches in groups of about TOGETHER tokens, of texts of like length."""
     for batch in batches:
         sequences = [np.frombuffer(x, "<u2") for x in batch[column]]
-        chunks = np.cumsum([-(-len(s) // CHUNK) for s in sequences]) // TOGETHER
-        for g in np.unique(chunks):
-            at = np.flatnonzero(chunks == g)
-            yield batch.iloc[at], [sequences[i] for i in at]
+        sizes = np.array([len(s) for s in sequences])
+        order = np.argsort(-sizes, kind="stable")
+        group = np.cumsum(sizes[order]) // TOGETHER
+        for at in np.split(order, np.flatnonzero(np.diff(group)) + 1):
+            if len(at):
+                yield batch.iloc[at], [sequences[i] for i in at]
 
 
 def baum_welch(rows: DataFrame, vocab: Vocabulary, states: int = STATES, rounds: int = ROUNDS, seed: int = SEED) -> Model:
@@ -327,9 +364,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score, one row per input row.
 
     The model's word probability is its class probability given the states, times the word's share of its class: add-one
-    counts, with one unknown word in each shared class. Words are told apart by 64-bit hashes. Null and empty texts are
-    the end token alone, a null id counts as empty, repeated rows are scored and learned each, without training rows
-    every word is unknown, an empty table gives no rows, and other columns are ignored.
+    counts, with one unknown word in each shared class. Words are told apart by 64-bit hashes; equally frequent ones go by
+    hash. Null and empty texts are the end token alone; very long texts run whole, chunk by chunk; a null id counts as
+    empty; repeated rows are scored and learned each; without training rows every word is unknown; an empty table gives no
+    rows; other columns, whatever their names, are ignored.
     """
     texts = _texts(docs, id_col, text_col)
     counts = written(word_counts(texts), "counts")
