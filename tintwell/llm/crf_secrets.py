@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import itertools
 import re
@@ -12,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tintwell.llm.common import written
+
 # The patterns of the base spans and the least lengths of what they match.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -20,19 +23,22 @@ LEAST = {"assign": 12, "access": 18, "hex": 16}
 KINDS = ("assign", "access", "hex", "crf")
 
 OUT, BEGIN, INSIDE = 0, 1, 2
-#: Documents a model is fitted on, a share of which gives windows without a secret, and most windows.
-SAMPLE, NEGATIVES, WINDOWS = 20_000, 4, 20_000
+#: Documents a model is fitted on, a share of which gives windows without a secret; most windows with a secret and most
+#: without one, of all documents and of each.
+SAMPLE, NEGATIVES, WINDOWS, OF_EACH = 20_000, 4, 10_000, 8
 #: Tokens on each side of a window's middle, rounds and step of fitting, and the weight of squared weights.
 SIDE, ROUNDS, STEP, RIDGE = 8, 150, 0.3, 1e-3
-#: Tokens a task remembers, and texts decoded together.
-TOKENS_KEPT, TOGETHER = 800_000, 1024
+#: Tokens a task remembers (those met first), their most characters, and texts decoded together.
+TOKENS_KEPT, TOKEN_CHARS, TOGETHER = 800_000, 64, 1024
 
 _HINT = re.compile(r"pass(word|wd|phrase)|secret|token|api_?key|credential|auth", re.IGNORECASE | re.ASCII)
 _SIGN = re.compile(r"""^["']?[:=]["']?$""")
 _JOINED = re.compile(r"""[A-Za-z_]["']?[:=]["']?[A-Za-z0-9+/_.=-]""")
-_LONG_HEX = re.compile(r"[0-9a-f]{16}")
+_HIT = re.compile(f"(?i:{_HINT.pattern})|AKIA|[0-9a-f]{{16}}", re.ASCII)
 _SPACES = re.compile(r"\S+")
 _EDGE = "\"'`()[]{}<>,;:.!?#$%&*"
+#: Upper ends of the classes of a token's length.
+SIZES = [4, 8, 12, 16, 20, 32, 64]
 #: Roles of a token for its neighbours: none, hint word, sign, hint word with a sign, has digits and letters.
 ROLES = 5
 
@@ -57,7 +63,7 @@ def shape(token: str) -> tuple[int, ...]:
     digits = sum("0" <= c <= "9" for c in value)
     kinds = (any("a" <= c <= "z" for c in value)) + 2 * any("A" <= c <= "Z" for c in value) + 4 * (digits > 0) + 8 * any(c > "\x7f" for c in value)
     share = 0 if not digits else 1 if digits * 5 < n else 2 if digits * 2 < n else 3
-    size = int(np.searchsorted([4, 8, 12, 16, 20, 32, 64], n, side="right"))
+    size = bisect.bisect_right(SIZES, n)
     symbols = sum(c in "+/_=-" for c in value)
     return size, 8 + kinds, 24 + share, 28 + min(symbols, 2), 31 + bool(_HINT.search(core)), 33 + bool(_JOINED.search(core)), 35 + kinds * 8 + size
 
@@ -97,29 +103,48 @@ def file_feature(roles: np.ndarray) -> int:
     return int(np.searchsorted([0.002, 0.02, 0.1], share, side="right"))
 
 
+def may_hit(token: str) -> bool:
+    """Whether a base pattern may begin in this token."""
+    return bool(_HIT.search(token))
+
+
+def described(token: str) -> tuple[tuple[int, ...], int, bool]:
+    """shape, role and may_hit of a token; words of plain letters, which most are, take a short way to the same."""
+    core = token.strip(_EDGE)
+    if not (core.isalpha() and core.isascii()) or _HIT.search(token):
+        return shape(token), role(token), may_hit(token)
+    kinds = (not core.isupper()) + 2 * (not core.islower())
+    size = bisect.bisect_right(SIZES, len(core))
+    sign = token[-1] == ":" or token[-1] == "="
+    return (size, 8 + kinds, 24, 28, 31, 33, 35 + kinds * 8 + size), 2 * sign, False
+
+
 class Tokens(dict):
-    """Numbers tokens in the order they are met, with their features, roles and whether base patterns may touch them."""
+    """Numbers the descriptions of tokens, each of which is made once while its token is remembered.
+
+    Far fewer descriptions than tokens differ, so scores, roles and hits are kept by description.
+    """
 
     def __init__(self, model: Model | None):
-        self.model, self.words = model, []
+        self.model = model
+        self.number: dict[tuple, int] = {}
         self.score, self.role, self.hit = np.zeros((0, 3)), np.zeros(0, np.int8), np.zeros(0, bool)
 
     def __missing__(self, token: str) -> int:
-        self[token] = at = len(self)
-        self.words.append(token)
+        what = described(token)
+        at = self.number.setdefault(what, len(self.number))
+        if len(self) < TOKENS_KEPT and len(token) <= TOKEN_CHARS:
+            self[token] = at
         return at
 
     def numbered(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         split = [t.split() for t in texts]
         sizes = np.fromiter(map(len, split), np.int64, len(split))
         at = np.fromiter(map(self.__getitem__, itertools.chain.from_iterable(split)), np.int64, sizes.sum())
-        new, self.words = self.words, []
-        if new:
-            shapes = np.array([shape(w) for w in new])
-            self.score = np.concatenate([self.score, self.model.own[shapes].sum(axis=1)])
-            self.role = np.concatenate([self.role, np.array([role(w) for w in new], np.int8)])
-            hit = [bool(_HINT.search(w)) or "AKIA" in w or bool(_LONG_HEX.search(w)) for w in new]
-            self.hit = np.concatenate([self.hit, np.array(hit, bool)])
+        if new := list(self.number)[len(self.role) :]:
+            self.score = np.concatenate([self.score, self.model.own[np.array([x[0] for x in new])].sum(axis=1)])
+            self.role = np.concatenate([self.role, np.array([x[1] for x in new], np.int8)])
+            self.hit = np.concatenate([self.hit, np.array([x[2] for x in new], bool)])
         return at, sizes
 
 
@@ -174,8 +199,16 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("string").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def _drawn(doc_id, place: int = -1) -> int:
+    """A number that depends on the document and a place in it alone."""
+    return int.from_bytes(hashlib.md5(f"{doc_id}:{place}".encode()).digest()[:7], "big")
+
+
 def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(words, tags, file) around tokens of base spans, and around other tokens of a share of the texts."""
+    """words, tags and file around tokens of base spans, and around other tokens of a share of the texts; secret and draw.
+
+    A document gives at most OF_EACH windows with a secret and as many without one, those of the smallest draw.
+    """
 
     def run(batches):
         for batch in batches:
@@ -183,35 +216,38 @@ def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
                 words = text.split()
                 spans = base_spans(text)
-                draw = int.from_bytes(hashlib.md5(f"{doc_id}".encode()).digest()[:4], "big")
+                draw = _drawn(doc_id)
                 if not words or not spans and draw % NEGATIVES:
                     continue
                 at = [m.span() for m in _SPACES.finditer(text)]
                 lo, hi = np.array(at).T
                 tags = np.zeros(len(words), np.int8)
-                middles = []
+                middles = set()
                 for _, a, b in sorted(spans, key=lambda s: s[1]):
-                    own = np.flatnonzero((lo < b) & (hi > a))
+                    own = slice(int(np.searchsorted(hi, a, side="right")), int(np.searchsorted(lo, b)))
                     tags[own] = np.where(tags[own] == OUT, INSIDE, tags[own])
-                    if own[0] == 0 or tags[own[0] - 1] == OUT:
-                        tags[own[0]] = BEGIN
-                    middles.append(int(own[-1]))
+                    if own.start == 0 or tags[own.start - 1] == OUT:
+                        tags[own.start] = BEGIN
+                    middles.add(own.stop - 1)
                 if draw % NEGATIVES == 0:
                     odd = [i for i, w in enumerate(words) if not tags[i] and (role(w) or len(w) > 15)]
-                    middles += odd[draw % len(odd) :][:1] if odd else []
-                    middles.append(draw % len(words))
+                    middles |= set(odd[draw % len(odd) :][:1] if odd else [])
+                    middles.add(draw % len(words))
                 roles = np.array([role(w) for w in words])
                 file = file_feature(roles)
                 # Hint words before a mixed token that no pattern takes: perhaps a secret, so no example of none.
-                doubt = [i for i in np.flatnonzero((roles % 2 == 1) & (tags == OUT)) if (roles[i + 1 : i + 3] == 4).any()]
-                for m in middles:
+                mixed = np.append(roles, [0, 0]) == 4
+                doubt = np.flatnonzero((roles % 2 == 1) & (tags == OUT) & (mixed[1:-1] | mixed[2:]))
+                taken = {True: 0, False: 0}
+                for key, m in sorted((_drawn(doc_id, m), m) for m in middles):
                     a, b = max(0, m - SIDE), m + SIDE + 1
-                    if any(a <= i < b for i in doubt):
-                        continue
-                    rows.append((words[a:b], tags[a:b].tolist(), file))
-            yield pd.DataFrame(rows, columns=["words", "tags", "file"])
+                    secret = bool(tags[a:b].any())
+                    if taken[secret] < OF_EACH and np.searchsorted(doubt, a) == np.searchsorted(doubt, b):
+                        rows.append((words[a:b], tags[a:b].tolist(), file, secret, key))
+                        taken[secret] += 1
+            yield pd.DataFrame(rows, columns=["words", "tags", "file", "secret", "draw"])
 
-    return _texts(docs, id_col, text_col).mapInPandas(run, "words array<string>, tags array<int>, file int")
+    return _texts(docs, id_col, text_col).mapInPandas(run, "words array<string>, tags array<int>, file int, secret boolean, draw long")
 
 
 def fit(rows: pd.DataFrame) -> Model:
@@ -236,16 +272,18 @@ def fit(rows: pd.DataFrame) -> Model:
     eye = np.eye(3)
     for step in range(1, ROUNDS + 1):
         e = model.own[own].sum(axis=2) + model.before[ids[1]] + model.before2[ids[2]] + model.after[ids[3]] + model.file[file]
-        alpha, beta = np.zeros((n, width, 3)), np.zeros((n, width, 3))
-        alpha[:, 0] = e[:, 0]
+        # Each token's factors are scaled to 1 at most, and each step's states to a sum of 1; posteriors do not change.
+        psi, move = np.exp(e - e.max(axis=2, keepdims=True)), np.exp(model.move - model.move.max())
+        alpha, beta = np.empty((n, width, 3)), np.ones((n, width, 3))
+        alpha[:, 0] = psi[:, 0]
         for t in range(1, width):
-            a = np.logaddexp.reduce(alpha[:, t - 1, :, None] + model.move[None], axis=1) + e[:, t]
-            alpha[:, t] = np.where(live[:, t, None], a, alpha[:, t - 1])
+            a = (alpha[:, t - 1] @ move) * psi[:, t]
+            alpha[:, t] = np.where(live[:, t, None], a / a.sum(axis=1, keepdims=True), alpha[:, t - 1])
         for t in range(width - 2, -1, -1):
-            b = np.logaddexp.reduce(model.move[None] + (e[:, t + 1] + beta[:, t + 1])[:, None, :], axis=2)
-            beta[:, t] = np.where(live[:, t + 1, None], b, 0.0)
-        total = np.logaddexp.reduce(alpha[:, -1], axis=1)
-        wrong = (eye[tags] - np.exp(alpha + beta - total[:, None, None])) * live[:, :, None]
+            b = (psi[:, t + 1] * beta[:, t + 1]) @ move.T
+            beta[:, t] = np.where(live[:, t + 1, None], b / b.sum(axis=1, keepdims=True), 1.0)
+        both = alpha * beta
+        wrong = (eye[tags] - both / both.sum(axis=2, keepdims=True)) * live[:, :, None]
         grads = [np.zeros_like(p) for p in model.parts()]
         for j in range(own.shape[2]):
             _add(grads[0], own[:, :, j], wrong)
@@ -253,8 +291,9 @@ def fit(rows: pd.DataFrame) -> Model:
             _add(g, i, wrong)
         for t in range(1, width):
             on = live[:, t]
-            pair = np.exp(alpha[on, t - 1, :, None] + model.move[None] + (e[on, t] + beta[on, t])[:, None, :] - total[on, None, None])
-            grads[5] += (eye[tags[on, t - 1]][:, :, None] * eye[tags[on, t]][:, None, :] - pair).sum(axis=0)
+            x, y = alpha[on, t - 1], psi[on, t] * beta[on, t]
+            norm = ((x @ move) * y).sum(axis=1, keepdims=True)
+            grads[5] += eye[tags[on, t - 1]].T @ eye[tags[on, t]] - ((x / norm).T @ y) * move
         for p, g, m, v in zip(model.parts(), grads, first, second):
             g = g / n - RIDGE * p
             m += 0.1 * (g - m)
@@ -273,10 +312,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     total = max(1, docs.count())
     share = min(1 << 30, int(sample / total * (1 << 30)) + 1)
     picked = docs.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30)) < share)
-    rows = windows(picked, id_col, text_col).limit(WINDOWS).toPandas()
-    # The fit must not depend on the order in which tasks deliver.
+    found = written(windows(picked, id_col, text_col), "windows")
+    # Which windows are taken, and their order, depend on the documents alone, not on how tasks deliver them.
+    parts = [found.where(F.col("secret") == secret).orderBy("draw", "words").limit(WINDOWS) for secret in (True, False)]
+    rows = parts[0].unionByName(parts[1]).toPandas()
     rows["key"] = rows["words"].map(lambda w: "\t".join(w))
-    return fit(rows.sort_values("key", kind="stable").reset_index(drop=True))
+    return fit(rows.sort_values(["draw", "key"], kind="stable").reset_index(drop=True))
 
 
 def _field_spans(text: str, tags: np.ndarray) -> list[tuple[int, int]]:
@@ -302,8 +343,9 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id, base (spans of the fixed patterns) and added (spans the field adds, none of which meets a base span), per row.
 
     Spans are structs of kind, start and end in code points of the whole text. Tokens are runs without white space. Null
-    and empty texts have no spans, a null id is kept, repeated rows are scanned each, an empty table gives no rows, and
-    other columns are ignored.
+    and empty texts have no spans; very long texts are tagged whole, as one sequence. Equally good tags: outside before
+    begin before inside. A null id is kept, repeated rows are scanned each, an empty table gives no rows, and other
+    columns, whatever their names, are ignored.
     """
     model = model or train(docs, id_col, text_col)
     span = "array<struct<kind:string,start:int,end:int>>"
@@ -312,8 +354,6 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         tokens = Tokens(model)
         for batch in batches:
             for a in range(0, len(batch), TOGETHER):
-                if len(tokens) > TOKENS_KEPT:
-                    tokens = Tokens(model)
                 part = batch.iloc[a : a + TOGETHER]
                 texts = list(part["text"])
                 at, sizes = tokens.numbered(texts)
