@@ -185,8 +185,9 @@ def test_pipeline_stages_act_on_what_they_get(spark):
             assert after.count() < before.count()
         before = spark.createDataFrame(after.collect(), after.schema)
     kept = corpus_pipeline.dedup_near(spark, docs, SF)
-    assert minhash.near_classes(kept).where("NOT kept").isEmpty()
-    assert kept.count() == minhash.near_classes(docs).where("kept").count()
+    near = lambda rows: minhash.near_classes(rows, percent=corpus_pipeline.NEAR_PERCENT)
+    assert near(kept).where("NOT kept").isEmpty()
+    assert kept.count() == near(docs).where("kept").count()
 
 
 def test_pipeline_of_awkward_rows(odd, none, spark):

@@ -151,8 +151,10 @@ def held_out(doc_id: Column, parts: int = 4, part: int = 2) -> Column:
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, held_out, lang_pred, score and ambiguous of every row, learned from the rows that are not held out.
 
-    `und` with score 0 for null texts, texts without a letter, and where nothing can be learned. Rows without a language
-    are predicted and not learned from; repeated rows count each; a null id counts as empty; other columns are ignored.
+    `und` with score 0 for null and empty texts, texts without a letter, and where nothing can be learned. Very long texts
+    are read whole. Of languages with the same loss the first by name is predicted. Rows without a language are predicted
+    and not learned from; repeated rows count each; a null id counts as empty; an empty table gives no rows; other columns,
+    whatever their names, are ignored.
     """
     model = train(docs.where(~held_out(F.col(id_col))), text_col, lang_col)
     out = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), predict(model, F.col(text_col)).alias("p"))
@@ -160,7 +162,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def identified_documents(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows whose language can be told, with the columns of the input."""
+    """The rows whose language can be told, with the columns of the input; those with null, empty or ambiguous texts go."""
     model = train(docs, text_col, lang_col)
-    out = docs.withColumn("__p", predict(model, F.col(text_col)))
-    return out.where((F.col("__p.lang_pred") != UNKNOWN) & ~F.col("__p.ambiguous")).select(*(docs[c] for c in docs.columns))
+    out = docs.select(F.struct(*docs.columns).alias("row"), predict(model, F.col(text_col)).alias("p"))
+    return out.where((F.col("p.lang_pred") != UNKNOWN) & ~F.col("p.ambiguous")).select("row.*")

@@ -67,10 +67,10 @@ def _shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, w
             sets = [shingle_set(w, width).view(np.int64) for w in word_hashes(batch["text"])]
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("int64"), "shingles": sets})
 
-    wanted = docs.join(ids.select(F.col("doc_id").alias("__id")), F.col(id_col) == F.col("__id"), "left_semi")
+    wanted = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(ids.select("doc_id"), "doc_id", "left_semi")
     # The join has dealt the rows by id, so one of each is kept without another shuffle.
-    once = wanted.select(id_col, text_col).dropDuplicates([id_col])
-    return _texts(once, id_col, text_col).mapInPandas(run, "doc_id long, shingles array<long>")
+    once = wanted.dropDuplicates(["doc_id"])
+    return _texts(once, "doc_id", "text").mapInPandas(run, "doc_id long, shingles array<long>")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -82,11 +82,11 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
 
-def _table_keys(sets: DataFrame) -> DataFrame:
-    """One row for each pair of a half key of the first collection and one of the second."""
+def _table_keys(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, label and key: a row for each pair of a half key of the first collection and one of the second."""
     first, second = F.slice("half_keys", 1, HALVES), F.slice("half_keys", HALVES + 1, HALVES)
     keys = F.flatten(F.transform(first, lambda a, i: F.transform(second, lambda b, j: F.xxhash64(a, b, i * HALVES + j))))
-    return sets.where(F.size("half_keys") > 0).select("doc_id", "n_shingles", F.explode(keys).alias("key"))
+    return docs.where(F.size("half_keys") > 0).select("doc_id", "n_shingles", "label", F.explode(keys).alias("key"))
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -99,8 +99,12 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     each two classes. So every pair that shares a table key is either compared or already connected, and the rows made
     grow with the buckets, not with their squares.
 
-    Null and empty texts have no shingles and link with nothing; a null id is its own class; rows that repeat an id
-    share its class, decided by one of them; an empty table gives no rows; other columns are ignored.
+    Classes carry their labels on one row a document; only the aggregates of a round see a row for each key.
+
+    Null and empty texts have no shingles and link with nothing; very long texts are compared whole. Pairs of exactly the
+    least similarity link; a class is named by its smallest id, so ties do not matter. A null id is its own class; rows
+    that repeat an id share its class, decided by one of them; an empty table gives no rows; other columns, whatever their
+    names, are ignored.
     """
     rows = written(signatures(docs, id_col, text_col, width), "signatures")
     usable = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
@@ -108,13 +112,12 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     copies = written(usable.groupBy("set_key").agg(F.min("doc_id").alias("first")), "firsts")
     copies = written(usable.select("doc_id", "set_key").join(copies, "set_key").select("doc_id", "first"), "copies")
     firsts = usable.join(copies.where("doc_id = first").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    keys = _table_keys(firsts)
+    keys = _table_keys(firsts.withColumn("label", F.col("doc_id")))
     shared = keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
-    members = written(keys.join(shared, "key", "left_semi"), "members")
-    sets = written(_shingle_sets(docs, members.select("doc_id").distinct(), id_col, text_col, width), "sets")
+    now = written(keys.join(shared, "key", "left_semi"), "members")
+    sets = written(_shingle_sets(docs, now.select("doc_id").distinct(), id_col, text_col, width), "sets")
     edges = copies.where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
     found = before = None
-    now = members.withColumn("label", F.col("doc_id"))
     while True:
         counts = now.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
         open_keys = written(counts.where("n * n > same"), "open")
@@ -136,8 +139,11 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if few:
             break
         before = left
+        # Labels join one row a document; its keys follow from its half keys, and those that are closed go.
         labels = components(found).select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
-        now = written(now.drop("label").join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")), "labelled")
+        still = firsts.join(now.select("doc_id").distinct(), "doc_id", "left_semi").join(labels, "doc_id", "left")
+        still = written(still.withColumn("label", F.coalesce("label", "doc_id")).select("doc_id", "n_shingles", "half_keys", "label"), "labelled")
+        now = written(_table_keys(still).join(open_keys.select("key"), "key", "left_semi"), "members")
     if found is not None:
         edges = edges.unionByName(found)
     classes = components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))

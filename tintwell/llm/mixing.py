@@ -98,9 +98,10 @@ def repeats(draw, plan_row=F.col):
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, **how) -> DataFrame:
     """doc_id, size, source_size, target, taken and repeats of every row.
 
-    A source whose cap its share exceeds is used `epochs` times in full and the excess is reshared. Null text has no
-    words, a null source is a source of its own that comes last, a source without words gets nothing, rows that share an
-    id are drawn together, an empty table gives no rows, and other columns are ignored. Reruns agree.
+    A source whose cap its share exceeds is used `epochs` times in full and the excess is reshared. Null and empty texts
+    have no words, very long ones count in full, a null source is a source of its own that comes last, a source without
+    words gets nothing. Documents equally close to the rest go by their draw; rows that share an id are drawn together. An
+    empty table gives no rows, and other columns, whatever their names, are ignored. Reruns agree.
     """
     rows = written(sizes(docs, id_col, text_col, source_col, seed), "sizes")
     goals = written(plan(rows, **how), "plan")
@@ -110,11 +111,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, **how) -> DataFrame:
-    """The documents of the mix, each as often as it is taken, with the columns of the input."""
+    """The documents of the mix, each as often as it is taken, with the columns of the input; rows as for `mix`."""
     rows = written(sizes(docs, id_col, text_col, source_col, seed), "sizes")
-    goals = written(plan(rows, **how), "plan")
-    goals = goals.select(*(F.col(c).alias(f"__{c}") for c in ("source", "whole", "last", "extra")))
-    out = docs.join(goals, docs[source_col].eqNullSafe(goals["__source"]))
-    n = repeats(draw_of(docs[id_col], seed), lambda c: F.col(f"__{c}"))
-    out = out.withColumn("__n", n).where("__n > 0").withColumn("__at", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int"))))
-    return out.select(*(docs[c] for c in docs.columns))
+    goals = written(plan(rows, **how), "plan").alias("plan")
+    # The caller's row travels as one column, so none of its names can clash.
+    row = docs.select(F.struct(*docs.columns).alias("row"), F.col(source_col).alias("of"), draw_of(F.col(id_col), seed).alias("at"))
+    out = row.join(goals, F.expr("of <=> plan.source"))
+    n = repeats(F.col("at"), lambda c: F.col(f"plan.{c}"))
+    out = out.withColumn("times", n.cast("int")).where("times > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")

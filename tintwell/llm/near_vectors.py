@@ -23,6 +23,8 @@ BEAM = 12
 TOGETHER, VISITORS = 512, 8192
 #: Queries whose links are counted by comparison with all vectors, and the share of them that must be found.
 AUDITED, RECALL = 256, 0.99
+#: Overlap from which the index is not built wider, and the share that it must find even so.
+WIDEST, RECALL_LEAST = 16, 0.9
 
 
 def _matrix(column) -> np.ndarray:
@@ -344,10 +346,13 @@ def near_vectors(
     Equal directions are one vector with a weight. Distinct ones are built into a graph part by part and united, then
     each searches its home part from the medoid, walks on over what is in range, and visits the parts that edges from
     there lead to. Cosines are in double precision. A bounded set of queries is compared with all vectors; when too few
-    of their links were found, the index is built again with twice the overlap and beam.
+    of their links were found, the index is built again with twice the overlap and beam. Every build is audited; when the
+    widest one finds fewer than RECALL_LEAST of the links, the call fails and says how many it found.
 
-    Null, empty, zero and non-finite vectors have no links, vectors of different lengths have none with each other, a
-    null id takes part and is its own class, rows that repeat an id add up, an empty table gives no rows, other columns are ignored.
+    Null, empty, zero and non-finite vectors have no links, vectors of different lengths, however long, have none with
+    each other. A vector without an id links with nothing and is a class of its own, as no link could name it. A cosine of
+    exactly the least value links, so ties are links; a class is named by its smallest id. Rows that repeat an id add up,
+    an empty table gives no rows, other columns, whatever their names, are ignored.
     """
     rows = written(directions(vectors, id_col, vec_col), "directions")
     units = rows.where("unit IS NOT NULL AND vec_id IS NOT NULL").groupBy("unit").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("weight"))
@@ -358,7 +363,12 @@ def near_vectors(
         nodes = written(graph(written(_members(_shards(units, centres, overlap)), "members")), "graph")
         found = written(_search_rounds(nodes, units, least, beam), "links")
         links = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
-        if overlap >= 16 or audit(units, links, least) >= recall:
+        met = audit(units, links, least)
+        if met >= recall:
+            break
+        if overlap >= WIDEST:
+            if met < RECALL_LEAST:
+                raise RuntimeError(f"the widest index meets only {met:.3f} of the links that the audit knows")
             break
         overlap, beam = 2 * overlap, 2 * beam
     classes = components(found.where("vec_id <> low").select(F.col("vec_id").alias("a"), F.col("low").alias("b")))

@@ -223,8 +223,9 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     its own rows in windows of a bounded number of ids, so nothing is shuffled; what does not fill a sequence is carried
     on, and only the last ids of a task are padded. Steps have about the same number of ids each.
 
-    Null and empty texts have the end id alone. Repeated rows are packed each, a null id is kept, an empty table gives
-    no rows, and other columns are ignored.
+    Null and empty texts have the end id alone. Very long texts fill whole windows of the longest tier. Pieces of equal
+    length go by their order in the task. Repeated rows are packed each, a null id is kept, an empty table gives no rows,
+    and other columns, whatever their names, are ignored.
     """
 
     def run(batches):
