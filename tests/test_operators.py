@@ -203,6 +203,17 @@ def test_kmeans_finds_separate_clusters_and_pins_centres(spark):
             assert (np.linalg.norm(group[["l", "a", "b"]].to_numpy() - np.array(m), axis=1) < 1.5).any()
 
 
+def test_seeds_are_drawn_by_squared_distance(spark):
+    """Next to a centre at 0, points at 1, 2 and 3 are drawn 1, 4 and 9 times out of 14."""
+    pts = spark.range(3000).select("id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("pid")).select(F.col("id").alias("image_id"), "pid", F.col("pid").cast("double").alias("l"), F.lit(0.0).alias("a"), F.lit(0.0).alias("b"))
+    fixed = pts.select("image_id").distinct().select("image_id", *[F.lit(0.0).alias(c) for c in "lab"])
+    got = P.seed_runs(pts, ["image_id"], 2, fixed, 5, 2).where("cluster = 1").groupBy("restart", "l").count().collect()
+    shares = {(r.restart, r.l): r["count"] / 3000 for r in got}
+    assert all(abs(shares[r, float(d)] - d * d / 14) < 0.03 for r in (0, 1) for d in (1, 2, 3))
+    same = pts.withColumn("l", F.lit(0.0)).where("image_id < 5")
+    assert P.seed_runs(same, ["image_id"], 3, None, 5, 2).count() == 30
+
+
 def test_auto_palette_of_two_flat_colours(spark):
     import tintwell.functions.color as C
 

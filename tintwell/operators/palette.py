@@ -9,8 +9,12 @@ from __future__ import annotations
 
 import warnings
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from tintwell.functions import color as C
 from tintwell.functions import hashing
@@ -144,21 +148,31 @@ def nearest_runs(points: DataFrame, centers: DataFrame, keys: list[str], restart
     return met.select(*points.columns, *[F.col(f"_b{r}.{c}").alias(f"_{n}{r}") for r in range(restarts) for c, n in (("cluster", "c"), ("d2", "d"))])
 
 
-def kmeans_runs(points: DataFrame, centers: DataFrame, keys: list[str], k: int, restarts: int, iterations: int = ITERATIONS) -> DataFrame:
-    """`kmeans` of several restarts at once: keys, restart, cluster, fixed, l, a, b. Clusters are numbered from 0 to k - 1.
+def _sums(near: DataFrame, keys: list[str], restarts: int) -> DataFrame:
+    """keys, restart, cluster, _n, _l, _a, _b: count and sums of each batch's points by their cluster in every restart.
 
-    One aggregation keeps the sums of every restart's clusters; a round's shuffle has one row for each key and task.
+    Points stay one row; what leaves a task is a row for each cluster that a batch has met.
     """
+    part = StructType([*[near.schema[k] for k in keys], *[StructField(n, t) for n, t in [("restart", IntegerType()), ("cluster", IntegerType()), ("_n", LongType()), *[(f"_{c}", DoubleType()) for c in LAB]]]])
+    arrow = to_arrow_schema(part)
+
+    def run(batches):
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            for r in range(restarts):
+                own = rows.group_by([*keys, f"_c{r}"]).aggregate([("l", "count"), *[(c, "sum") for c in LAB]])
+                restart = pa.array(np.full(own.num_rows, r, np.int32))
+                columns = [*[own.column(k) for k in keys], restart, own.column(f"_c{r}"), own.column("l_count"), *[own.column(f"{c}_sum") for c in LAB]]
+                yield from pa.table([pa.chunked_array([c]) if isinstance(c, pa.Array) else c for c in columns], schema=arrow).combine_chunks().to_batches()
+
+    return near.select(*keys, *LAB, *[F.col(f"_c{r}").cast("int").alias(f"_c{r}") for r in range(restarts)]).mapInArrow(run, part)
+
+
+def kmeans_runs(points: DataFrame, centers: DataFrame, keys: list[str], restarts: int, iterations: int = ITERATIONS) -> DataFrame:
+    """`kmeans` of several restarts at once: keys, restart, cluster, fixed, l, a, b."""
     for _ in range(iterations):
         near = nearest_runs(points, centers, keys, restarts)
-        sums = []
-        for r in range(restarts):
-            for c in range(k):
-                mine = F.col(f"_c{r}") == c
-                sums += [F.sum(F.when(mine, F.col(x))).alias(f"_{x}{r}_{c}") for x in LAB] + [F.count(F.when(mine, 1)).alias(f"_n{r}_{c}")]
-        mean = lambda r, c, x: F.col(f"_{x}{r}_{c}") / F.col(f"_n{r}_{c}")
-        cells = [F.struct(F.lit(r).alias("restart"), F.lit(c).alias("cluster"), *[F.when(F.col(f"_n{r}_{c}") > 0, mean(r, c, x)).alias(f"_{x}") for x in LAB]) for r in range(restarts) for c in range(k)]
-        means = near.groupBy(*keys).agg(*sums).select(*keys, F.explode(F.array(*cells)).alias("m")).select(*keys, "m.*")
+        means = _sums(near, keys, restarts).groupBy(*keys, "restart", "cluster").agg(*[(F.sum(f"_{c}") / F.sum("_n")).alias(f"_{c}") for c in LAB])
         joined = centers.join(means, [*keys, "restart", "cluster"], "left")
         still = F.col("fixed") | F.col("_l").isNull()
         new = [F.when(still, F.col(c)).otherwise(F.col(f"_{c}")).alias(c) for c in LAB]
@@ -171,39 +185,29 @@ def kmeans_runs(points: DataFrame, centers: DataFrame, keys: list[str], k: int,
     return centers
 
 
-def pick_runs(rows: DataFrame, keys: list[str], order: str, weights: list[str], draws: list[Column], block: int = 4096) -> DataFrame:
-    """`weighted_pick` by several weights at once: keys, restart, order. Only the blocks that hold an answer are walked."""
-    runs = range(len(weights))
-    cut = F.floor(F.col(order) / block)
-    sums = rows.groupBy(*keys, cut.alias("_block")).agg(*[F.sum(w).alias(f"_w{r}") for r, w in enumerate(weights)])
-    listed = F.explode(F.array(*[F.struct(F.lit(r).alias("restart"), F.col(f"_w{r}").alias("_w"), draws[r].alias("_u")) for r in runs])).alias("s")
-    sums = sums.select(*keys, "_block", listed).select(*keys, "_block", "s.*")
-    whole = Window.partitionBy(*keys, "restart")
-    upto = F.sum("_w").over(whole.orderBy("_block").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    spans = sums.withColumns({"_upto": upto, "_target": F.col("_u") * F.sum("_w").over(whole)})
-    place = F.struct("_block", (F.col("_upto") - F.col("_w")).alias("_before"), "_target")
-    hit = spans.where(F.col("_upto") >= F.col("_target")).groupBy(*keys, "restart").agg(F.min_by(place, "_block").alias("h")).select(*keys, "restart", "h.*")
-    weight = F.get(F.array(*[F.col(w) for w in weights]), F.col("restart"))
-    inside = rows.withColumn("_block", cut).join(hit, [*keys, "_block"])
-    running = F.col("_before") + F.sum(weight).over(whole.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return inside.withColumn("_run", running).where(F.col("_run") >= F.col("_target")).groupBy(*keys, "restart").agg(F.min(order).alias(order))
-
-
 def seed_runs(points: DataFrame, keys: list[str], k: int, fixed: DataFrame | None, seed: int, restarts: int) -> DataFrame:
     """k-means++ starts: each next centre of a restart is drawn by squared distance to the chosen ones.
 
-    `points`: keys, pid (order within the key), l, a, b. Draws are keyed by the image and the restart, so they do not
-    depend on partitioning.
+    `points`: keys, pid (its number within the key), l, a, b. A point's draw ln(u) / weight is the largest of all with a
+    probability in proportion to its weight, so a pick is one aggregation that combines before the shuffle. u is keyed by
+    the point and the restart and does not depend on partitioning; where all weights are 0 the first point is taken.
     """
     base, count = None, 0
     if fixed is not None:
         each = F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))).alias("restart")
         base, count = fixed.select(*keys, each, F.lit(0).alias("cluster"), F.lit(True).alias("fixed"), *LAB), 1
+
+    def place(r: int, weight: Column) -> Column:
+        u = _draw(seed, [*(F.col(c) for c in keys), F.col("pid"), F.lit(r)], count)
+        race = F.when(weight > 0, F.ln(F.greatest(u, num(1e-12))) / weight).otherwise(num(float("-inf")))
+        return F.struct(race.alias("race"), (-F.col("pid")).alias("first"))
+
     while count < k:
-        weighted = nearest_runs(points, base, keys, restarts) if base is not None else points.withColumns({f"_d{r}": num(1) for r in range(restarts)})
-        draws = [_draw(seed, [*(F.col(c) for c in keys), F.lit(r)], count) for r in range(restarts)]
-        picked = pick_runs(weighted, keys, "pid", [f"_d{r}" for r in range(restarts)], draws)
-        new = points.join(picked, [*keys, "pid"]).select(*keys, "restart", F.lit(count).alias("cluster"), F.lit(False).alias("fixed"), *LAB)
+        near = nearest_runs(points, base, keys, restarts) if base is not None else points
+        weight = lambda r: F.col(f"_d{r}") if base is not None else num(1)  # noqa: E731, B023
+        picks = near.groupBy(*keys).agg(*[F.max_by(F.struct(*LAB), place(r, weight(r))).alias(f"_p{r}") for r in range(restarts)])
+        found = F.explode(F.array(*[F.struct(F.lit(r).alias("restart"), F.col(f"_p{r}").alias("p")) for r in range(restarts)])).alias("f")
+        new = picks.select(*keys, found).select(*keys, "f.restart", F.lit(count).alias("cluster"), F.lit(False).alias("fixed"), *[F.col(f"f.p.{c}").alias(c) for c in LAB])
         base = cut_lineage(new if base is None else base.unionByName(new))
         count += 1
     return base
@@ -211,7 +215,7 @@ def seed_runs(points: DataFrame, keys: list[str], k: int, fixed: DataFrame | Non
 
 def best_clustering(points: DataFrame, keys: list[str], k: int, fixed: DataFrame | None, seed: int, restarts: int = 4) -> DataFrame:
     """Centres of the restart with the least total error per key."""
-    centers = kmeans_runs(points, seed_runs(points, keys, k, fixed, seed, restarts), keys, k, restarts)
+    centers = kmeans_runs(points, seed_runs(points, keys, k, fixed, seed, restarts), keys, restarts)
     errors = nearest_runs(points, centers, keys, restarts).groupBy(*keys).agg(*[F.sum(f"_d{r}").alias(f"_e{r}") for r in range(restarts)])
     least = F.array_min(F.array(*[F.struct(F.col(f"_e{r}").alias("e"), F.lit(r).alias("restart")) for r in range(restarts)]))
     best = errors.select(*keys, least["restart"].alias("restart"))

@@ -95,7 +95,7 @@ def i3_kmeans_restarts(spark, folder):
     """Two equal restarts side by side, of which the second is told, with the total squared distance to its centres."""
     points, centers = lab21(spark, folder), centers21(spark, folder)
     both = centers.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("restart"))
-    settled = P.kmeans_runs(points, both, ["image_id"], 4, 2)
+    settled = P.kmeans_runs(points, both, ["image_id"], 2)
     near = P.nearest_runs(points, settled, ["image_id"], 2).groupBy("image_id").agg(F.sum("_d1").alias("error"))
     return settled.where("restart = 1").join(near, "image_id").select("image_id", "cluster", *[R(c, c, 5) for c in LAB], R("error", "error", 3))
 
@@ -259,8 +259,6 @@ def _auto(style: str, vividness: float = 0.0, variant: int = 0):
 
 
 query("i12_auto_vibrant")(_auto("vibrant", 0.2))
-query("i12_auto_contrast")(_auto("contrast"))
-query("i12_auto_variant")(_auto("balanced", variant=1))
 
 
 def _choice_sql(style: str, variant: int) -> str:
