@@ -112,19 +112,22 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     copies = written(usable.groupBy("set_key").agg(F.min("doc_id").alias("first")), "firsts")
     copies = written(usable.select("doc_id", "set_key").join(copies, "set_key").select("doc_id", "first"), "copies")
     firsts = usable.join(copies.where("doc_id = first").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    keys = _table_keys(firsts.withColumn("label", F.col("doc_id")))
-    shared = keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
-    now = written(keys.join(shared, "key", "left_semi"), "members")
-    sets = written(_shingle_sets(docs, now.select("doc_id").distinct(), id_col, text_col, width), "sets")
+    firsts = written(firsts.select("doc_id", "n_shingles", "half_keys"), "one-each")
     edges = copies.where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    found = before = None
+    sets = found = before = None
+    docs_open = firsts.withColumn("label", F.col("doc_id"))
     while True:
-        counts = now.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
+        keys = _table_keys(docs_open)
+        # At first every document is a class of its own.
+        classes_of = keys.groupBy("key", "label").agg(F.count("*").alias("n")) if sets is not None else keys.select("key", F.lit(1).cast("long").alias("n"))
+        counts = classes_of.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
         open_keys = written(counts.where("n * n > same"), "open")
         left, held = open_keys.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2), F.sum("n")).first()
         if not left:
             break
-        now = now.join(open_keys.select("key"), "key", "left_semi")
+        now = written(keys.join(open_keys.select("key"), "key", "left_semi"), "members")
+        if sets is None:
+            sets = written(_shingle_sets(docs, now.select("doc_id").distinct(), id_col, text_col, width), "sets")
         few = left <= PAIRS_PER_ROW * held
         if not few and before and left > before / 2:
             ids = now.select("doc_id", "label").distinct()
@@ -139,11 +142,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if few:
             break
         before = left
-        # Labels join one row a document; its keys follow from its half keys, and those that are closed go.
+        # Labels join one row a document; its keys follow from its half keys. Who has an open key has all those of its bucket beside it.
         labels = components(found).select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
         still = firsts.join(now.select("doc_id").distinct(), "doc_id", "left_semi").join(labels, "doc_id", "left")
-        still = written(still.withColumn("label", F.coalesce("label", "doc_id")).select("doc_id", "n_shingles", "half_keys", "label"), "labelled")
-        now = written(_table_keys(still).join(open_keys.select("key"), "key", "left_semi"), "members")
+        docs_open = written(still.withColumn("label", F.coalesce("label", "doc_id")).select("doc_id", "n_shingles", "half_keys", "label"), "labelled")
     if found is not None:
         edges = edges.unionByName(found)
     classes = components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
