@@ -157,3 +157,14 @@ def test_near_vectors_of_awkward_rows(spark):
     assert got[7] == (2, 7) and got[8] == (2, 7) and got[10] == (2, 7) and got[11] == (1, 11) and got[12] == (1, 11) and got[9] == (1, 9)
     assert near_vectors.near_vectors(df.where("vec_id < 0")).count() == 0
     assert near_vectors.near_vectors(df.where("vec_id < 4")).where(F.col("n_links") > 0).count() == 0
+
+
+def test_bitmap_keeps_all_that_are_wanted_and_few_others(spark):
+    rows = spark.range(-20_000, 40_000).select(F.col("id").alias("doc_id"), F.xxhash64("id").alias("key"))
+    rows = rows.unionByName(rows.where("doc_id = 1")).unionByName(spark.sql("SELECT CAST(NULL AS LONG) doc_id, CAST(NULL AS LONG) key"))
+    wanted = rows.where("doc_id % 37 = 0 OR doc_id IS NULL")
+    for col in ("doc_id", "key"):
+        got = minhash._perhaps_in(rows, wanted, col)
+        assert wanted.where("doc_id IS NOT NULL").exceptAll(got).isEmpty()
+        assert got.count() < wanted.count() + 100
+        assert minhash._perhaps_in(rows, wanted.limit(0), col).isEmpty()
