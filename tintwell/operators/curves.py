@@ -166,7 +166,8 @@ def tone_lut(settings: DataFrame, curves: DataFrame, keys: list[str]) -> DataFra
     x = F.when(F.col("invert"), num(1) - x).otherwise(x)
     spread = entries.withColumn("_at", half_up(levels(x, F.col("black"), F.col("white"), F.col("mid")) * 1023).cast("int"))
     table = curves.select(*keys, F.col("i").alias("_at"), F.col("v").alias("_v"))
-    joined = spread.join(table, [*keys, "_at"])
+    # Both sides have rows for every entry, which size estimates made before `explode` do not see; neither may be broadcast.
+    joined = spread.join(table.hint("merge"), [*keys, "_at"])
     return joined.select(*keys, "i", half_up(F.least(num(1), F.col("_v") * F.col("density")) * 255).cast("int").alias("v"))
 
 
