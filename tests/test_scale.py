@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from tintwell.operators import curves as D
+from tintwell.operators import halftone as H
+from tintwell.operators import palette as P
 
 
 def broadcasts(df) -> int:
@@ -15,3 +17,21 @@ def test_tone_tables_are_not_broadcast(spark):
     lut = D.tone_lut(settings, D.sample_curves(pts, ["k"], 1024), ["k"])
     assert broadcasts(lut) == 0
     assert lut.where("i <> v").isEmpty() and lut.count() == 3 * 256
+
+
+def test_noise_fields_are_not_broadcast(spark):
+    seeds = spark.range(3).withColumnRenamed("id", "sid")
+    assert broadcasts(H.noise_field(seeds, "sid", "green", 8)) == 0
+    assert broadcasts(H.blue_field(seeds, "sid", 8)) == broadcasts(H.pink_field(seeds, "sid", 8)) == 0
+    assert H.noise_field(seeds, "sid", "green", 8).count() == 3 * 64
+
+
+def test_sets_of_inks_are_not_broadcast(spark):
+    rows = [(k, i, 0.1 * (i + 1), 20.0 * i, 9.0 * k, 5.0 * i) for k in range(3) for i in range(5)]
+    inks = spark.createDataFrame(rows, "k int, id int, share double, l double, a double, b double")
+    sets = P.combinations(inks, ["k"], 3)
+    assert broadcasts(sets) == 0 and sets.count() == 3 * 10
+    lead = inks.where("id < 3").groupBy("k").agg(F.reverse(F.array_sort(F.collect_list(F.struct("l", "a", "b")))).alias("inks"))
+    chosen = P.choose_palette(inks, ["k"], 3, "balanced", 0, lead)
+    assert broadcasts(chosen) == 0
+    assert {r["k"]: [x["l"] for x in r["inks"]] for r in chosen.collect()} == dict.fromkeys(range(3), [40.0, 20.0, 0.0])

@@ -303,7 +303,8 @@ def combinations(candidates: DataFrame, keys: list[str], n: int) -> DataFrame:
     sets = item.select(*keys, F.array("id").alias("ids"), F.array("item").alias("set"), F.col("id").alias("_last"))
     for _ in range(n - 1):
         more = item.withColumnsRenamed({"id": "_id", "item": "_item"})
-        sets = sets.join(more, keys).where(F.col("_id") > F.col("_last"))
+        # Estimates of the parts that candidates are made of are far too small; neither side may be broadcast.
+        sets = sets.join(more.hint("merge"), keys).where(F.col("_id") > F.col("_last"))
         sets = sets.select(*keys, F.concat("ids", F.array("_id")).alias("ids"), F.concat("set", F.array("_item")).alias("set"), F.col("_id").alias("_last"))
     return sets.drop("_last")
 
@@ -357,7 +358,7 @@ def rank_palettes(scored: DataFrame, keys: list[str], first: DataFrame | None =
     lists = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_k", "ids", "inks"))).alias("_sets"))
     empty = F.transform(F.filter("_sets", lambda _: F.lit(False)), lambda s: s["inks"])
     if first is not None:
-        lists = lists.join(first.select(*keys, F.array("inks").alias("_first")), keys, "left")
+        lists = lists.join(first.select(*keys, F.array("inks").alias("_first")).hint("merge"), keys, "left")
         start = F.coalesce(F.col("_first"), empty)
     else:
         start = empty
@@ -380,7 +381,8 @@ def choose_palette(candidates: DataFrame, keys: list[str], inks: int, style: str
     `candidates`: keys, id, share, l, a, b, a few dozen an image. `variant` counts through the ranked palettes and starts
     again after the last. An image with fewer candidates than inks ranks sets of all it has. `first` (keys, inks) leads.
     """
-    sized = cut_lineage(candidates.join(candidates.groupBy(*keys).agg(F.least(F.lit(inks), F.count("*")).alias("_take")), keys))
+    takes = candidates.groupBy(*keys).agg(F.least(F.lit(inks), F.count("*")).alias("_take"))
+    sized = cut_lineage(candidates.join(takes.hint("merge"), keys))
     sets = None
     for n in range(1, inks + 1):
         part = score_sets(combinations(sized.where(F.col("_take") == n).drop("_take"), keys, n), keys, style, n)
