@@ -86,3 +86,18 @@ def test_hashes_match_plain_arithmetic(spark):
     for s, p, m in df.select("s", hashing.pcg(F.col("s")), hashing.mulberry(F.col("s"), 2)).collect():
         assert p == pcg(s)
         assert abs(m - mulberry(s, 2)) < 1e-15
+
+
+def test_gamut_search_runs_once_over_batches(spark):
+    """The three bytes share one search outside the row's expressions; nulls and odd values keep their meaning."""
+    rows = [(0.7, 0.4, 30.0), (0.7, 0.0, 30.0), (0.5, 0.01, 200.0), (0.5, 0.1, None), (None, 0.0, 10.0), (0.5, float("nan"), 10.0), (2.0, 0.1, 10.0)]
+    df = spark.createDataFrame(rows, "l double, c double, h double")
+    out = df.select(C.rgb_to_hex(C.oklch_to_rgb((F.col("l"), F.col("c"), F.col("h")))).alias("hex"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "aggregate(" not in plan
+    got = [r["hex"] for r in out.collect()]
+    assert got[1] == "#9e9e9e" and got[3:] == ["#000000", "#000000", "#636363", "#ffffff"]
+    # As the search was, row by row: chroma halves 24 times.
+    lin = lambda k: C.oklab_to_linear((F.lit(0.7), k * F.cos(F.radians(F.lit(30.0))), k * F.sin(F.radians(F.lit(30.0)))))
+    found = C.let(C.bisect(lambda mid: C.in_gamut(lin(mid)), F.lit(0.0), F.lit(0.4), 24), lambda k: F.array(*C.linear_to_rgb(lin(k))))
+    assert got[0] == spark.range(1).select(C.rgb_to_hex(tuple(F.get(found, F.lit(i)) for i in range(3)))).first()[0]

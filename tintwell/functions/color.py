@@ -10,8 +10,12 @@ from __future__ import annotations
 import json
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 Triple = tuple[Column, Column, Column]
 
@@ -241,20 +245,46 @@ def bisect(fits, lo: Column, hi: Column, steps: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)["lo"]
 
 
-def oklch_to_rgb(lch: Triple) -> Triple:
-    """Bytes of an OKLCH colour; chroma shrinks (24 halvings) until the colour fits sRGB."""
-    rad = F.radians(lch[2])
-    bound = F.struct(clamp01(lch[0]).alias("l"), F.greatest(num(0), lch[1]).alias("c"), F.cos(rad).alias("cos"), F.sin(rad).alias("sin"))
+def _fit_srgb(l: np.ndarray, c: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Bytes of OKLCH colours as r * 65536 + g * 256 + b; each chroma shrinks (24 halvings) until its colour fits sRGB."""
+    clamp = lambda v: np.where(np.isnan(v), 1.0, np.clip(v, 0, 1))
+    l, c = clamp(l), np.maximum(0, c)
+    cos, sin = np.cos(np.radians(h)), np.sin(np.radians(h))
 
-    def linear(e: Column, c: Column) -> Triple:
-        return oklab_to_linear((e["l"], c * e["cos"], c * e["sin"]))
+    def linear(at, c: np.ndarray) -> list[np.ndarray]:
+        lab = (l[at], c * cos[at], c * sin[at])
+        lms = [v * v * v for v in (weighted(row, lab) for row in OKLAB_TO_LMS)]
+        return [weighted(row, lms) for row in LMS_TO_RGB]
 
-    def fit(e: Column) -> Column:
-        c = F.when(in_gamut(linear(e, e["c"])), e["c"]).otherwise(bisect(lambda mid: in_gamut(linear(e, mid)), num(0), e["c"], 24))
-        return let(c, lambda found: F.array(*linear_to_rgb(linear(e, found))))
+    def fits(lin: list[np.ndarray]) -> np.ndarray:
+        return np.logical_and.reduce([(v >= -1e-4) & (v <= 1.0001) for v in lin])
 
-    rgb = let(bound, fit)
-    return F.get(rgb, F.lit(0)), F.get(rgb, F.lit(1)), F.get(rgb, F.lit(2))
+    out = np.flatnonzero(~fits(linear(slice(None), c)))
+    lo, hi = np.zeros(len(out)), c[out]
+    for _ in range(24 if len(out) else 0):
+        mid = (lo + hi) / 2
+        fit = fits(linear(out, mid))
+        lo, hi = np.where(fit, mid, lo), np.where(fit, hi, mid)
+    c = c.copy()
+    c[out] = lo
+    light = [clamp(v) for v in linear(slice(None), c)]
+    r, g, b = (np.floor(np.where(v <= 0.0031308, v * 12.92, np.power(v, 1 / 2.4) * 1.055 - 0.055) * 255 + 0.5).astype(np.int32) for v in light)
+    return r * 65536 + g * 256 + b
+
+
+def _fit_arrow(l: pa.Array, c: pa.Array, h: pa.Array) -> pa.Array:
+    """Null lightness and chroma count as 0; without a hue the colour is black."""
+    packed = _fit_srgb(*(pc.fill_null(v, 0.0).to_numpy(zero_copy_only=False) for v in (l, c, h)))
+    return pc.if_else(pc.is_valid(h), pa.array(packed, pa.int32()), pa.scalar(0, pa.int32()))
+
+
+def oklch_to_rgb(lch: Triple) -> Triple:
+    """Bytes of an OKLCH colour; chroma shrinks (24 halvings) until the colour fits sRGB.
+
+    The search runs over whole batches at once, and once for the three bytes. Not for use inside lambdas.
+    """
+    packed = F.arrow_udf(_fit_arrow, IntegerType())(*(v.cast("double") for v in lch))
+    return F.shiftright(packed, 16), F.shiftright(packed, 8).bitwiseAND(255), packed.bitwiseAND(255)
 
 
 # ---- adjustments ----

@@ -73,9 +73,6 @@ def with_background(colors: DataFrame, key: str) -> DataFrame:
     )
     kept = F.filter("slots", lambda s: s["slot"] != F.col("bg"))
     chosen = F.element_at(F.filter("slots", lambda s: s["slot"] == F.col("bg")), 1)["hex"]
-    return grouped.select(
-        key,
-        "scheme",
-        F.array_join(F.transform(kept, lambda s: s["hex"]), " ").alias("inks"),
-        paper_tint(chosen).alias("paper"),
-    )
+    # A tint reads its colour many times, so that is a column of its own.
+    found = grouped.select(key, "scheme", F.array_join(F.transform(kept, lambda s: s["hex"]), " ").alias("inks"), chosen.alias("_chosen"))
+    return found.select(key, "scheme", "inks", paper_tint(F.col("_chosen")).alias("paper"))
