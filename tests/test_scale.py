@@ -1,10 +1,14 @@
 """Plans and memory that must not grow with the table."""
 
+import itertools
+import re
+
 from pyspark.sql import functions as F
 
 from tintwell.operators import curves as D
 from tintwell.operators import halftone as H
 from tintwell.operators import palette as P
+from tintwell.operators import spatial as SP
 
 
 def broadcasts(df) -> int:
@@ -35,3 +39,25 @@ def test_sets_of_inks_are_not_broadcast(spark):
     chosen = P.choose_palette(inks, ["k"], 3, "balanced", 0, lead)
     assert broadcasts(chosen) == 0
     assert {r["k"]: [x["l"] for x in r["inks"]] for r in chosen.collect()} == dict.fromkeys(range(3), [40.0, 20.0, 0.0])
+
+
+def test_disc_reach_groups_by_cell(spark):
+    """A group is a cell, not each of its 16 points; cells may be missing, doubled or without a threshold."""
+    cells = [(1, x, y, (x * 5 + y * 3) % 7 / 7.0) for x in range(4) for y in range(4) if (x, y) != (2, 2)] + [(1, 0, 0, 0.9), (2, 1, 1, None)]
+    out = SP.disc_reach(spark.createDataFrame(cells, "k int, tx int, ty int, threshold double"), ["k"], 4)
+    assert "keys=[k#" in (plan := out._jdf.queryExecution().executedPlan().toString()) and not re.search(r"keys=\[[^]]*\bsx#", plan)
+    want = {}
+    for k, x, y, t in cells:
+        for dx, dy, sx, sy in itertools.product((-1, 0, 1), (-1, 0, 1), range(4), range(4)):
+            if (dx + (sx + 0.5) / 4 - 0.5) ** 2 + (dy + (sy + 0.5) / 4 - 0.5) ** 2 <= 0.5:
+                at = (k, (x + dx) % 4, (y + dy) % 4, sx, sy)
+                want[at] = min((v for v in (want.get(at), t) if v is not None), default=None)
+    got = {tuple(r)[:5]: r["reach"] for r in out.collect()}
+    assert got == want and out.count() == len(want)
+
+
+def test_dot_coverage_reads_reach_once(spark):
+    reach = spark.createDataFrame([(1, 0.1), (1, 0.5), (1, 0.9), (2, 2.0)], "k int, reach double").repartition(3)
+    out = H.dot_coverage(reach, ["k"], 4)
+    assert broadcasts(out) == 0
+    assert {(r["k"], r["i"]): round(r["v"], 6) for r in out.collect()} == {(1, 0): 0, (1, 1): 0.333333, (1, 2): 0.333333, (1, 3): 0.666667, (1, 4): 1, **{(2, i): 0 for i in range(5)}}

@@ -266,29 +266,31 @@ def trap(cov: DataFrame, radius: list[float]) -> DataFrame:
 def disc_reach(tile: DataFrame, keys: list[str], size: int, samples: int = 4) -> DataFrame:
     """Lowest threshold among the round dots that reach each of samples^2 points of a cell: keys, tx, ty, sx, sy, reach.
 
-    Every cell offers its threshold to the points of the nine cells around it,
-    on the wrapping tile; a point keeps the smallest.
+    Every cell sends its threshold to the nine cells around it, on the wrapping tile, so a group is a cell with nine
+    neighbours, not each of its points; a point keeps the smallest of the dots that reach it.
     """
-    offers = []
-    for dy in (-1, 0, 1):
-        for dx in (-1, 0, 1):
-            for sy in range(samples):
-                for sx in range(samples):
-                    # The point lies in the cell at (dx, dy) from the dot's own cell.
-                    fx = dx + (sx + 0.5) / samples - 0.5
-                    fy = dy + (sy + 0.5) / samples - 0.5
-                    if fx * fx + fy * fy <= 0.5:
-                        offers.append(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(sx).alias("sx"), F.lit(sy).alias("sy")))
-    sent = tile.select(*keys, "tx", "ty", "threshold", F.explode(F.array(*offers)).alias("o"))
+    sides = [(dx, dy) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
+    sent = tile.select(*keys, "tx", "ty", "threshold", F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(k).alias("k")) for k, (dx, dy) in enumerate(sides)])).alias("_o"))
     sent = sent.select(
         *keys,
-        F.pmod(F.col("tx") + F.col("o.dx"), F.lit(size)).alias("tx"),
-        F.pmod(F.col("ty") + F.col("o.dy"), F.lit(size)).alias("ty"),
-        "o.sx",
-        "o.sy",
+        F.pmod(F.col("tx") + F.col("_o.dx"), F.lit(size)).alias("tx"),
+        F.pmod(F.col("ty") + F.col("_o.dy"), F.lit(size)).alias("ty"),
+        F.col("_o.k").alias("_k"),
         "threshold",
     )
-    return sent.groupBy(*keys, "tx", "ty", "sx", "sy").agg(F.min("threshold").alias("reach"))
+    lowest = [F.min(F.when(F.col("_k") == k, F.col("threshold"))).alias(f"_t{k}") for k in range(len(sides))]
+    # Which neighbours there are: a cell that is missing reaches nothing, one without a threshold reaches with null.
+    near = sent.groupBy(*keys, "tx", "ty").agg(*lowest, F.bit_or(F.expr("shiftleft(1, _k)")).alias("_have"))
+    points = []
+    for sy in range(samples):
+        for sx in range(samples):
+            # The point lies in the cell at (dx, dy) from the dot's own cell.
+            off = lambda d, s: d + (s + 0.5) / samples - 0.5
+            reached = [k for k, (dx, dy) in enumerate(sides) if off(dx, sx) ** 2 + off(dy, sy) ** 2 <= 0.5]
+            least = F.least(*[F.col(f"_t{k}") for k in reached]) if len(reached) > 1 else F.col(f"_t{reached[0]}")
+            met = F.col("_have").bitwiseAND(sum(1 << k for k in reached)) != 0
+            points.append(F.struct(F.lit(sx).alias("sx"), F.lit(sy).alias("sy"), least.alias("reach"), met.alias("met")))
+    return near.select(*keys, "tx", "ty", F.explode(F.array(*points)).alias("_p")).where("_p.met").select(*keys, "tx", "ty", "_p.sx", "_p.sy", "_p.reach")
 
 
 # ---- geometry ----
