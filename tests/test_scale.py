@@ -1,14 +1,21 @@
 """Plans and memory that must not grow with the table."""
 
 import itertools
+import math
 import re
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
+from tintwell import extensions as X
 from tintwell.operators import curves as D
 from tintwell.operators import halftone as H
 from tintwell.operators import palette as P
 from tintwell.operators import spatial as SP
+from tintwell.streaming import logs as ST
 
 
 def broadcasts(df) -> int:
@@ -61,3 +68,45 @@ def test_dot_coverage_reads_reach_once(spark):
     out = H.dot_coverage(reach, ["k"], 4)
     assert broadcasts(out) == 0
     assert {(r["k"], r["i"]): round(r["v"], 6) for r in out.collect()} == {(1, 0): 0, (1, 1): 0.333333, (1, 2): 0.333333, (1, 3): 0.666667, (1, 4): 1, **{(2, i): 0 for i in range(5)}}
+
+
+def test_spiral_points_leave_in_blocks():
+    gen = object.__new__(X.SpiralPoints.func)
+    gen.__init__()
+    rows = pa.record_batch({"image_id": [7, 7], "width": [4000, 40], "height": [3000, 30], "cell": [8.0, 0.5], "degrees": [100.0, 100.0]})
+    assert list(gen.eval(rows)) == []
+    out = list(gen.terminate())
+    n = np.concatenate([t["n"].to_numpy() for t in out])
+    assert len(out) > 1 and max(t.num_rows for t in out) <= X.POINTS and (n == np.arange(gen.count)).all() and gen.count == 1 << 19
+    last = out[-1].slice(out[-1].num_rows - 1).to_pylist()[0]
+    r, a = math.sqrt(n[-1] / math.pi), n[-1] * math.radians(100.0)
+    assert last == {"image_id": 7, "n": n[-1], "x": pytest.approx(r * math.cos(a)), "y": pytest.approx(r * math.sin(a))}
+
+
+def test_stream_folds_keep_and_give_few_columns():
+    """A group's key and times are not held, and its results leave in blocks in log order."""
+
+    class One:
+        def __init__(self):
+            self.v = None
+
+        exists = lambda self: self.v is not None
+        get = lambda self: self.v
+
+        def update(self, v):
+            self.v = v
+
+    n = 2 * ST.BLOCK + 5
+    seq = np.random.default_rng(1).permutation(n)
+    rows = pd.DataFrame({"section": "click", "seq": seq, "ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(seq, "s"), "value": seq * 7 % 11 / 1.0})
+    data, newest = ST._ordered(iter([rows[:100], rows[100:]]), ST.Costs.columns)
+    assert list(data.columns) == ["seq", "value"] and (data.seq == np.arange(n)).all() and newest == rows.ts.max()
+    fold = ST.Costs("1 hour", "section")
+    fold.cost = One()
+    out = list(fold.fold(("click",), data))
+    assert [len(b) for b in out] == [ST.BLOCK, ST.BLOCK, 5]
+    cost, want = None, []
+    for v in data.value:
+        cost = v if cost is None or v > cost else cost * 0.8 + v * 0.2
+        want.append(cost)
+    assert pd.concat(out).cost.tolist() == want and fold.cost.v == (cost,)

@@ -45,9 +45,24 @@ def frames(changes: DataFrame, width: str = "1 minute", late: str = LATE) -> Dat
     return out.select("project", F.col("w.start").alias("frame"), "changes", F.col("l.seq").alias("last_seq"), F.col("l.value").alias("value"))
 
 
-def _ordered(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """One group's rows of one micro-batch, in log order. The source's rate limit bounds them."""
-    return pd.concat(list(batches), ignore_index=True).sort_values("seq", kind="stable")
+#: Rows that leave a group at once.
+BLOCK = 10_000
+
+
+def _ordered(batches: Iterator[pd.DataFrame], columns: list[str]) -> tuple[pd.DataFrame, pd.Timestamp]:
+    """These columns of one group's rows of one micro-batch, in log order, and their last time.
+
+    The source's rate limit bounds the rows. Neither the key nor the time of a row is kept.
+    """
+    parts, last = [], []
+    for batch in batches:
+        parts.append(batch[columns].copy())
+        last.append(batch["ts"].max())
+    return pd.concat(parts, ignore_index=True).sort_values("seq", kind="stable", ignore_index=True), pd.Series(last).max()
+
+
+def _blocks(data: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    return (data.iloc[at : at + BLOCK] for at in range(0, len(data), BLOCK))
 
 
 def _kind(rows: DataFrame, column: str) -> str:
@@ -62,10 +77,12 @@ class Expiring(StatefulProcessor):
     """Folds each key's rows into typed state, which goes `idle` of event time after the key's last row.
 
     Rows older than the watermark are dropped before they get here. All others are folded when they arrive, by `seq`
-    within a micro-batch. A row that comes after its key's state has gone starts the key anew. Subclasses open their
-    states, fold rows and clear the states.
+    within a micro-batch. A row that comes after its key's state has gone starts the key anew. Subclasses name
+    the columns they fold, open their states, fold rows, giving results as they go, and clear the states.
     """
 
+    columns: list[str]
+
     def __init__(self, idle: str):
         self.idle = _ms(idle)
 
@@ -75,15 +92,15 @@ class Expiring(StatefulProcessor):
         self.open(handle)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        data = _ordered(rows)
-        last = int(data["ts"].max().value // 1_000_000) + self.idle
+        data, newest = _ordered(rows, self.columns)
+        last = int(newest.value // 1_000_000) + self.idle
         if self.expiry.exists():
             (old,) = self.expiry.get()
             last = max(last, old)
             self.handle.deleteTimer(old)
         self.handle.registerTimer(last)
         self.expiry.update((last,))
-        yield self.fold(key, data)
+        yield from self.fold(key, data)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.expiry.clear()
@@ -97,6 +114,8 @@ class Expiring(StatefulProcessor):
 class Costs(Expiring):
     """The state is one number."""
 
+    columns = ["seq", "value"]
+
     def __init__(self, idle: str, key: str):
         super().__init__(idle)
         self.key = key
@@ -106,12 +125,13 @@ class Costs(Expiring):
 
     def fold(self, key, data):
         cost = self.cost.get()[0] if self.cost.exists() else None
-        out = []
-        for seq, value in data[["seq", "value"]].itertuples(index=False):
-            cost = value if cost is None or value > cost else cost * 0.8 + value * 0.2
-            out.append((key[0], seq, cost))
+        for block in _blocks(data):
+            costs = []
+            for value in block["value"].tolist():
+                cost = value if cost is None or value > cost else cost * 0.8 + value * 0.2
+                costs.append(cost)
+            yield pd.DataFrame({self.key: [key[0]] * len(costs), "seq": block["seq"].to_numpy(), "cost": costs})
         self.cost.update((float(cost),))
-        return pd.DataFrame(out, columns=[self.key, "seq", "cost"])
 
     def clear(self):
         self.cost.clear()
@@ -120,6 +140,8 @@ class Costs(Expiring):
 class Replays(Expiring):
     """The state is the value and two lists of at most `limit` entries."""
 
+    columns = ["seq", "action", "value"]
+
     def __init__(self, idle: str, limit: int):
         super().__init__(idle)
         self.limit = limit
@@ -137,7 +159,7 @@ class Replays(Expiring):
         self.value.update((s.value,))
         for state, stack in ((self.undo, s.undo), (self.redo, s.redo)):
             state.put([(v,) for v in stack]) if stack else state.clear()
-        return pd.DataFrame([(key[0], data["seq"].iloc[-1], s.value, len(s.undo), len(s.redo))], columns=["project", "seq", "value", "undo", "redo"])
+        yield pd.DataFrame([(key[0], data["seq"].iloc[-1], s.value, len(s.undo), len(s.redo))], columns=["project", "seq", "value", "undo", "redo"])
 
     def clear(self):
         for state in (self.value, self.undo, self.redo):
@@ -147,20 +169,23 @@ class Replays(Expiring):
 class Newest(Expiring):
     """The state is a client's newest request number."""
 
+    columns = ["seq", "kind", "request_id"]
+
     def open(self, handle):
         self.newest = handle.getValueState("newest", "request long")
 
     def fold(self, key, data):
         newest = self.newest.get()[0] if self.newest.exists() else None
-        out = []
-        for seq, kind, request in data[["seq", "kind", "request_id"]].itertuples(index=False):
-            if kind == "request":
-                newest = int(request)
-            else:
-                out.append((key[0], seq, request, newest is not None and int(request) == newest))
+        for block in _blocks(data):
+            out = []
+            for seq, kind, request in block.itertuples(index=False):
+                if kind == "request":
+                    newest = int(request)
+                else:
+                    out.append((key[0], seq, request, newest is not None and int(request) == newest))
+            yield pd.DataFrame(out, columns=["client", "seq", "request_id", "accepted"])
         if newest is not None:
             self.newest.update((newest,))
-        return pd.DataFrame(out, columns=["client", "seq", "request_id", "accepted"])
 
     def clear(self):
         self.newest.clear()
