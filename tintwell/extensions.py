@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tintwell.operators.halftone import divergence
@@ -77,29 +77,36 @@ def evenness(values: np.ndarray, counts: np.ndarray) -> float | None:
     return float((counts * (2 * held - values * counts)).sum() / (n * total))
 
 
-@F.udtf(returnType="image_id long, n long, x double, y double")
+#: Points that leave a generator at once.
+POINTS = 8192
+
+
+@F.arrow_udtf(returnType="image_id long, n long, x double, y double")
 class SpiralPoints:
     """Sunflower points that cover every screen of an image: called over a table partitioned by image_id.
 
     Rows have image_id, width, height, cell (output px) and degrees. The image gets the points of its most demanding row,
-    a power of two of them, in units of a cell, at the angle of that row; they stream out one by one.
+    a power of two of them, in units of a cell, at the angle of that row; they stream out in blocks.
     """
 
     def __init__(self):
         self.image, self.count, self.degrees = None, 0, 0.0
 
-    def eval(self, row: Row) -> Iterator[tuple]:
-        far = math.hypot(row["width"] / 2, row["height"] / 2) / max(1.0, row["cell"]) + 3
-        count = 1 << math.ceil(math.log2(far * far * math.pi))
-        if (count, row["degrees"]) > (self.count, self.degrees):
-            self.image, self.count, self.degrees = row["image_id"], count, row["degrees"]
+    def eval(self, rows: pa.RecordBatch) -> Iterator[pa.Table]:
+        width, height, cell, degrees = (np.asarray(rows.column(c), dtype=float) for c in ("width", "height", "cell", "degrees"))
+        far = np.hypot(width / 2, height / 2) / np.maximum(1.0, cell) + 3
+        for k, need in enumerate(np.ceil(np.log2(far * far * math.pi))):
+            if (1 << int(need), degrees[k]) > (self.count, self.degrees):
+                self.image, self.count, self.degrees = rows.column("image_id")[k].as_py(), 1 << int(need), float(degrees[k])
         return iter(())
 
-    def terminate(self) -> Iterator[tuple]:
+    def terminate(self) -> Iterator[pa.Table]:
         turn = math.radians(divergence(self.degrees))
-        for n in range(self.count):
-            r = math.sqrt(n / math.pi)
-            yield self.image, n, r * math.cos(n * turn), r * math.sin(n * turn)
+        for at in range(0, self.count, POINTS):
+            n = np.arange(at, min(self.count, at + POINTS))
+            r = np.sqrt(n / math.pi)
+            image = pa.array([self.image], pa.int64()).take(pa.array(np.zeros(len(n), dtype=np.int64)))
+            yield pa.table({"image_id": image, "n": n, "x": r * np.cos(n * turn), "y": r * np.sin(n * turn)})
 
 
 def covering_points(screens: DataFrame) -> DataFrame:
