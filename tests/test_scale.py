@@ -38,8 +38,8 @@ def test_noise_fields_are_not_broadcast(spark):
 
 
 def test_sets_of_inks_are_not_broadcast(spark):
-    rows = [(k, i, 0.1 * (i + 1), 20.0 * i, 9.0 * k, 5.0 * i) for k in range(3) for i in range(5)]
-    inks = spark.createDataFrame(rows, "k int, id int, share double, l double, a double, b double")
+    i = F.explode(F.sequence(F.lit(0), F.lit(4))).alias("id")
+    inks = spark.range(3).select(F.col("id").cast("int").alias("k"), i).selectExpr("k", "id", "0.1D * (id + 1) AS share", "20D * id AS l", "9D * k AS a", "5D * id AS b")
     sets = P.combinations(inks, ["k"], 3)
     assert broadcasts(sets) == 0 and sets.count() == 3 * 10
     lead = inks.where("id < 3").groupBy("k").agg(F.reverse(F.array_sort(F.collect_list(F.struct("l", "a", "b")))).alias("inks"))
