@@ -110,3 +110,23 @@ def test_stream_folds_keep_and_give_few_columns():
         cost = v if cost is None or v > cost else cost * 0.8 + v * 0.2
         want.append(cost)
     assert pd.concat(out).cost.tolist() == want and fold.cost.v == (cost,)
+
+
+def test_settled_images_leave_the_rounds(spark, monkeypatch):
+    """An image whose centres stand still is in no further round; a cluster named twice moves as one, and blocks do not show."""
+    cut, seen = P.cut_lineage, []
+    monkeypatch.setattr(P, "cut_lineage", lambda df: seen.append(cut(df)) or seen[-1])
+    line = np.arange(600.0)
+    rows = [(1, n, v) for n, v in enumerate([0.0, 5.0])] + [(2, n, float(v)) for n, v in enumerate(line)]
+    points = spark.createDataFrame(rows, "k int, pid int, l double").selectExpr("k", "pid", "l", "0D AS a", "0D AS b")
+    starts = [(1, 0, 0.0), (1, 1, 5.0), (2, 0, 0.0), (2, 1, 1.0), (2, 1, 1.0)]
+    centers = spark.createDataFrame(starts, "k int, cluster int, l double").selectExpr("k", "0 AS restart", "cluster", "false AS fixed", "l", "0D AS a", "0D AS b")
+    out = P.kmeans_runs(points, centers, ["k"], 1)
+    moved = [df for df in seen if {"_move", "move2"} & set(df.columns)]
+    assert len(moved) > 3 and moved[-1].select("k").distinct().count() == 1
+    want = np.array([0.0, 1.0])
+    for _ in moved:
+        near = np.abs(line[:, None] - want).argmin(axis=1)
+        want = np.array([line[near == i].mean() for i in (0, 1)])
+    got = sorted((r["k"], r["cluster"], r["l"]) for r in out.collect())
+    assert got == [(1, 0, 0.0), (1, 1, 5.0), (2, 0, pytest.approx(want[0])), (2, 1, pytest.approx(want[1])), (2, 1, pytest.approx(want[1]))]

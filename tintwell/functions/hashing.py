@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,6 +42,20 @@ def pcg_uniform(base: Column, k: int) -> Column:
     return F.shiftright(pcg(mixed), 8) / 16777216.0
 
 
+def pcg_array(v: np.ndarray) -> np.ndarray:
+    """`pcg` of an array."""
+    mask = np.uint64(MASK)
+    s = ((v.astype(np.uint64) & mask) * np.uint64(747796405) + np.uint64(2891336453)) & mask
+    w = (((s >> ((s >> np.uint64(28)) + np.uint64(4))) ^ s) * np.uint64(277803737)) & mask
+    return (w >> np.uint64(22)) ^ w
+
+
+def uniform_array(base: np.ndarray, k: int) -> np.ndarray:
+    """`pcg_uniform` of an array."""
+    mixed = base.astype(np.uint64) + np.uint64((k * 0x9E3779B9) & MASK)
+    return (pcg_array(mixed) >> np.uint64(8)) / 16777216.0
+
+
 def mulberry(seed: Column, k: int = 0) -> Column:
     """Draw number k of a Mulberry32 stream with the given seed, uniform in [0, 1)."""
     one, odd = F.lit(1).cast("bigint"), F.lit(61).cast("bigint")

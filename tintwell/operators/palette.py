@@ -11,10 +11,9 @@ import warnings
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from tintwell.functions import color as C
 from tintwell.functions import hashing
@@ -28,6 +27,9 @@ SAMPLE_EDGE = 160
 ITERATIONS = 30
 #: Squared move below which a centre counts as still.
 STILL = 1e-4
+#: Points of a block, and blocks that are looked at together.
+BLOCK = 256
+CENTERS = "array<struct<restart: int, cluster: int, fixed: boolean, l: double, a: double, b: double>>"
 STRONG_SHARE = 0.3
 SAME_COLOR = 12.0
 MAX_PALETTES = 24
@@ -129,12 +131,8 @@ def kmeans(points: DataFrame, centers: DataFrame, keys: list[str], iterations: i
     return centers
 
 
-def _draw(seed: int, keys: list[Column], step: int) -> Column:
-    return hashing.pcg_uniform(hashing.pcg(F.xxhash64(*keys).bitwiseAND(F.lit(0x7FFFFFFF).cast("bigint")) + seed), step)
-
-
-# Restarts run side by side. Centres have a column `restart`; a point meets the centres of all restarts in one row, as one
-# array each, so points are neither copied nor moved once more for a restart.
+# Restarts run side by side. Centres have a column `restart`; a point meets the centres of all restarts in one row, so points
+# are neither copied nor moved once more for a restart. Points travel in blocks, and all centres of a key in one row.
 
 
 def nearest_runs(points: DataFrame, centers: DataFrame, keys: list[str], restarts: int) -> DataFrame:
@@ -148,41 +146,145 @@ def nearest_runs(points: DataFrame, centers: DataFrame, keys: list[str], restart
     return met.select(*points.columns, *[F.col(f"_b{r}.{c}").alias(f"_{n}{r}") for r in range(restarts) for c, n in (("cluster", "c"), ("d2", "d"))])
 
 
-def _sums(near: DataFrame, keys: list[str], restarts: int) -> DataFrame:
-    """keys, restart, cluster, _n, _l, _a, _b: count and sums of each batch's points by their cluster in every restart.
+def point_blocks(points: DataFrame, keys: list[str], restarts: int = 0) -> DataFrame:
+    """A key's points in blocks of about BLOCK as arrays, written once: keys, _l, _a, _b, and with `restarts` _pid and a hash for each.
 
-    Points stay one row; what leaves a task is a row for each cluster that a batch has met.
+    With a `pid` a block is a range of it, else a range of rows; results do not depend on how points are cut.
     """
-    part = StructType([*[near.schema[k] for k in keys], *[StructField(n, t) for n, t in [("restart", IntegerType()), ("cluster", IntegerType()), ("_n", LongType()), *[(f"_{c}", DoubleType()) for c in LAB]]]])
-    arrow = to_arrow_schema(part)
+    own = F.floor(F.col("pid") / BLOCK) if "pid" in points.columns else F.floor(F.monotonically_increasing_id() / BLOCK)
+    hashed = [F.xxhash64(*keys, "pid", F.lit(r)).bitwiseAND(F.lit(0x7FFFFFFF).cast("bigint")).alias(f"h{r}") for r in range(restarts)]
+    named = [*LAB, *(["pid"] if restarts else [])]
+    rows = points.select(*keys, own.alias("_block"), F.struct(*named, *hashed).alias("_p"))
+    blocks = rows.groupBy(*keys, "_block").agg(F.collect_list("_p").alias("_p"))
+    return cut_lineage(blocks.select(*keys, *[F.col(f"_p.{c}").alias(f"_{c}") for c in [*named, *(f"h{r}" for r in range(restarts))]]))
 
-    def run(batches):
-        for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            for r in range(restarts):
-                own = rows.group_by([*keys, f"_c{r}"]).aggregate([("l", "count"), *[(c, "sum") for c in LAB]])
-                restart = pa.array(np.full(own.num_rows, r, np.int32))
-                columns = [*[own.column(k) for k in keys], restart, own.column(f"_c{r}"), own.column("l_count"), *[own.column(f"{c}_sum") for c in LAB]]
-                yield from pa.table([pa.chunked_array([c]) if isinstance(c, pa.Array) else c for c in columns], schema=arrow).combine_chunks().to_batches()
 
-    return near.select(*keys, *LAB, *[F.col(f"_c{r}").cast("int").alias(f"_c{r}") for r in range(restarts)]).mapInArrow(run, part)
+def _pack(centers: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, _id, _centers: all centres of a key, a few dozen, by restart and cluster."""
+    packed = centers.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("restart", "cluster", "fixed", *LAB))).alias("_centers"))
+    return cut_lineage(packed.withColumn("_id", F.monotonically_increasing_id()))
+
+
+def _unpack(packed: DataFrame, keys: list[str]) -> DataFrame:
+    return packed.select(*keys, F.explode("_centers").alias("c")).select(*keys, *[f"c.{c}" for c in ("restart", "cluster", "fixed", *LAB)])
+
+
+def _met(blocks: DataFrame, packed: DataFrame, keys: list[str], extra: list[str]) -> DataFrame:
+    """Blocks beside the centres of their key: _id, _l, _a, _b, the extra columns, _restart, _cluster and _c_l, _c_a, _c_b. A key's blocks follow one another."""
+    beside = blocks.join(packed.hint("merge"), keys)
+    return beside.select("_id", *[f"_{c}" for c in LAB], *extra, *[F.col(f"_centers.{c}").alias(f"_{c}") for c in ("restart", "cluster")], *[F.col(f"_centers.{c}").alias(f"_c_{c}") for c in LAB])
+
+
+def _flat(column: pa.Array) -> np.ndarray:
+    return pc.list_flatten(column).to_numpy(zero_copy_only=False)
+
+
+def _places(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each centre of a batch: its row, restart and place in the row's list, that of the first where a cluster is named twice."""
+    at, of, cluster = pc.list_parent_indices(batch.column("_restart")).to_numpy(), _flat(batch.column("_restart")), _flat(batch.column("_cluster"))
+    size = np.bincount(at, minlength=batch.num_rows)
+    start = np.cumsum(size) - size
+    again = np.append(False, (at[1:] == at[:-1]) & (of[1:] == of[:-1]) & (cluster[1:] == cluster[:-1]))[: len(at)]
+    return at, of, np.maximum.accumulate(np.where(again, 0, np.arange(len(at)))) - start[at]
+
+
+def _nearest(batch: pa.RecordBatch, restarts: int) -> tuple[np.ndarray, list[np.ndarray], list[tuple[np.ndarray, np.ndarray]]]:
+    """Of each point of a batch: its row, l, a, b, and in every restart the place of its nearest centre in the row's list (-1: none) and the squared distance."""
+    row, p = pc.list_parent_indices(batch.column("_l")).to_numpy(), [_flat(batch.column(f"_{c}")) for c in LAB]
+    at, of, first = _places(batch)
+    centers = [_flat(batch.column(f"_c_{c}")) for c in LAB]
+    found = []
+    for r in range(restarts):
+        own = np.flatnonzero(of == r)
+        rows = at[own]
+        count = np.bincount(rows, minlength=batch.num_rows)
+        slot = np.arange(len(own)) - (np.cumsum(count) - count)[rows]
+        width = max(1, int(count.max(initial=0)))
+        place = np.full((batch.num_rows, width), -1)
+        place[rows, slot] = first[own]
+        d2 = np.zeros((len(row), width))
+        for x, c in zip(p, centers):
+            table = np.full((batch.num_rows, width), np.inf)
+            table[rows, slot] = c[own]
+            d2 += (x[:, None] - table[row]) ** 2
+        # Points without a colour go, as in a minimum of nulls, to the first centre.
+        best = np.where(np.isnan(d2), np.inf, d2).argmin(axis=1)
+        found.append((place[row, best], d2[np.arange(len(row)), best]))
+    return row, p, found
+
+
+def _lists(start: np.ndarray, total: int, values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(start, total).astype(np.int32)), pa.array(values))
+
+
+def _sums(met: DataFrame, restarts: int) -> DataFrame:
+    """_id, _n, _l, _a, _b: count and sums of the points nearest to each centre of the list, a row for each slice that a key is in."""
+    names = [f"_{c}" for c in LAB]
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, BLOCK):
+                batch = whole.slice(at, BLOCK)
+                ids = batch.column("_id").to_numpy()
+                own, _, same = _places(batch)
+                row, p, found = _nearest(batch, restarts)
+                new = np.append(True, ids[1:] != ids[:-1])
+                first, group = np.flatnonzero(new), np.cumsum(new) - 1
+                size = pc.list_value_length(batch.column("_restart")).to_numpy()[first]
+                start, total = np.cumsum(size) - size, int(size.sum())
+                n, sums = np.zeros(total, np.int64), [np.zeros(total) for _ in LAB]
+                for place, _ in found:
+                    use = place >= 0
+                    to = start[group[row[use]]] + place[use]
+                    n += np.bincount(to[~np.isnan(p[0][use])], minlength=total)
+                    for s, x in zip(sums, p):
+                        s += np.bincount(to, weights=np.nan_to_num(x[use]), minlength=total)
+                # A cluster named twice moves as one.
+                told = np.repeat(start, size) + same[new[own]]
+                yield pa.record_batch([pa.array(ids[first]), *[_lists(start, total, s[told]) for s in (n, *sums)]], names=["_id", "_n", *names])
+
+    return met.mapInArrow(run, "_id long, _n array<long>, _l array<double>, _a array<double>, _b array<double>")
+
+
+def _settle(blocks: DataFrame, packed: DataFrame, keys: list[str], restarts: int, iterations: int) -> DataFrame:
+    """Lloyd iterations over blocks: packed centres.
+
+    It stops when no centre of any key moves by more than 0.01. A key whose centres all stood where they were would
+    repeat that round, so it is set aside, and its blocks are left behind now and then.
+    """
+    names = ["_n", *[f"_{c}" for c in LAB]]
+    # A row for each slice: one for almost every key, a few hundred for an image of many million points.
+    add = lambda c: F.aggregate(F.slice(f"_s.{c}", 2, F.greatest(F.lit(1), F.size("_s"))), F.get(f"_s.{c}", F.lit(0)), lambda x, y: F.zip_with(x, y, lambda u, v: u + v))
+    done: list[DataFrame] = []
+    for n in range(1, iterations + 1):
+        met = _met(blocks, packed, keys, [])
+        sums = _sums(met, restarts).groupBy("_id").agg(F.collect_list(F.struct(*names)).alias("_s")).select("_id", *[add(c).alias(c) for c in names])
+
+        def moved(c: Column, i: Column) -> Column:
+            count = F.coalesce(F.get("_n", i), F.lit(0))
+            return F.struct(c["restart"].alias("restart"), c["cluster"].alias("cluster"), c["fixed"].alias("fixed"), *[F.when(c["fixed"] | (count == 0), c[x]).otherwise(F.get(f"_{x}", i) / count).alias(x) for x in LAB])
+
+        stepped = packed.join(sums.hint("merge"), "_id", "left").select(*keys, "_id", F.col("_centers").alias("_old"), F.transform("_centers", moved).alias("_centers"))
+        lab = lambda c: (c["l"], c["a"], c["b"])
+        move = F.array_max(F.zip_with("_old", "_centers", lambda x, y: C.distance2(lab(x), lab(y))))
+        packed = cut_lineage(stepped.select(*keys, "_id", "_centers", F.coalesce(move, num(0)).alias("_move")))
+        if packed.where(F.col("_move") > STILL).isEmpty():
+            break
+        done.append(packed.where(F.col("_move") == 0).select(*keys, "_centers"))
+        packed = packed.where(F.col("_move") != 0).drop("_move")
+        if n in (3, 6, 12):
+            blocks = cut_lineage(blocks.join(packed.select(*keys).hint("merge"), keys, "left_semi"))
+    else:
+        warnings.warn(f"centres still move after {iterations} rounds", stacklevel=3)
+    out = packed.select(*keys, "_centers")
+    for part in done:
+        out = out.unionByName(part)
+    return out
 
 
 def kmeans_runs(points: DataFrame, centers: DataFrame, keys: list[str], restarts: int, iterations: int = ITERATIONS) -> DataFrame:
     """`kmeans` of several restarts at once: keys, restart, cluster, fixed, l, a, b."""
-    for _ in range(iterations):
-        near = nearest_runs(points, centers, keys, restarts)
-        means = _sums(near, keys, restarts).groupBy(*keys, "restart", "cluster").agg(*[(F.sum(f"_{c}") / F.sum("_n")).alias(f"_{c}") for c in LAB])
-        joined = centers.join(means, [*keys, "restart", "cluster"], "left")
-        still = F.col("fixed") | F.col("_l").isNull()
-        new = [F.when(still, F.col(c)).otherwise(F.col(f"_{c}")).alias(c) for c in LAB]
-        move = F.when(still, num(0)).otherwise(C.distance2(lab_of("_"), lab_of()))
-        updated = cut_lineage(joined.select(*keys, "restart", "cluster", "fixed", *new, move.alias("move2")))
-        centers = updated.drop("move2")
-        if updated.where(F.col("move2") > STILL).isEmpty():
-            return centers
-    warnings.warn(f"centres still move after {iterations} rounds", stacklevel=2)
-    return centers
+    return cut_lineage(_unpack(_settle(point_blocks(points, keys), _pack(centers, keys), keys, restarts, iterations), keys))
 
 
 def seed_runs(points: DataFrame, keys: list[str], k: int, fixed: DataFrame | None, seed: int, restarts: int) -> DataFrame:
@@ -192,34 +294,76 @@ def seed_runs(points: DataFrame, keys: list[str], k: int, fixed: DataFrame | Non
     probability in proportion to its weight, so a pick is one aggregation that combines before the shuffle. u is keyed by
     the point and the restart and does not depend on partitioning; where all weights are 0 the first point is taken.
     """
+    return _unpack(_seeds(point_blocks(points, keys, restarts), keys, k, fixed, seed, restarts), keys)
+
+
+def _seeds(blocks: DataFrame, keys: list[str], k: int, fixed: DataFrame | None, seed: int, restarts: int) -> DataFrame:
+    """Packed starts of `seed_runs`."""
+    each = range(restarts)
+    center = lambda r, cluster, pinned, lab: F.struct(F.lit(r).alias("restart"), F.lit(cluster).alias("cluster"), F.lit(pinned).alias("fixed"), *[lab(c).alias(c) for c in LAB])
     base, count = None, 0
     if fixed is not None:
-        each = F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))).alias("restart")
-        base, count = fixed.select(*keys, each, F.lit(0).alias("cluster"), F.lit(True).alias("fixed"), *LAB), 1
-
-    def place(r: int, weight: Column) -> Column:
-        u = _draw(seed, [*(F.col(c) for c in keys), F.col("pid"), F.lit(r)], count)
-        race = F.when(weight > 0, F.ln(F.greatest(u, num(1e-12))) / weight).otherwise(num(float("-inf")))
-        return F.struct(race.alias("race"), (-F.col("pid")).alias("first"))
+        base, count = fixed.select(*keys, F.array(*[center(r, 0, True, F.col) for r in each]).alias("_centers")), 1
+        base = cut_lineage(base.withColumn("_id", F.monotonically_increasing_id()))
+    extra = ["_pid", *[f"_h{r}" for r in each]]
+    found = ", ".join(f"_f{r} struct<race: double, pid: long, l: double, a: double, b: double>" for r in each)
+    arrow = pa.struct([("race", pa.float64()), ("pid", pa.int64()), *[(c, pa.float64()) for c in LAB]])
+
+    def draws(step: int):
+        def run(batches):
+            for whole in batches:
+                for at in range(0, whole.num_rows, BLOCK):
+                    batch = whole.slice(at, BLOCK)
+                    pid = _flat(batch.column("_pid")).astype(np.int64)
+                    if step:
+                        row, p, near = _nearest(batch, restarts)
+                    else:
+                        row, p, near = pc.list_parent_indices(batch.column("_l")).to_numpy(), [_flat(batch.column(f"_{c}")) for c in LAB], [(None, np.ones(len(pid)))] * restarts
+                    picks = []
+                    for r, (_, weight) in enumerate(near):
+                        u = hashing.uniform_array(hashing.pcg_array(_flat(batch.column(f"_h{r}")) + seed), step)
+                        with np.errstate(divide="ignore", invalid="ignore"):
+                            race = np.where(weight > 0, np.log(np.maximum(u, 1e-12)) / weight, -np.inf)
+                        order = np.lexsort((-pid, race, row))
+                        last = order[np.append(row[order][1:] != row[order][:-1], True)]
+                        picks.append(pa.StructArray.from_arrays([pa.array(v[last]) for v in (race, pid, *p)], fields=list(arrow)))
+                    yield pa.record_batch([batch.column("_id"), *picks], names=["_id", *[f"_f{r}" for r in each]])
+
+        return run
 
     while count < k:
-        near = nearest_runs(points, base, keys, restarts) if base is not None else points
-        weight = lambda r: F.col(f"_d{r}") if base is not None else num(1)  # noqa: E731, B023
-        picks = near.groupBy(*keys).agg(*[F.max_by(F.struct(*LAB), place(r, weight(r))).alias(f"_p{r}") for r in range(restarts)])
-        found = F.explode(F.array(*[F.struct(F.lit(r).alias("restart"), F.col(f"_p{r}").alias("p")) for r in range(restarts)])).alias("f")
-        new = picks.select(*keys, found).select(*keys, "f.restart", F.lit(count).alias("cluster"), F.lit(False).alias("fixed"), *[F.col(f"f.p.{c}").alias(c) for c in LAB])
-        base = cut_lineage(new if base is None else base.unionByName(new))
+        if base is None:
+            # Keys get their numbers with the first pick.
+            base = cut_lineage(blocks.select(*keys).distinct().select(*keys, F.array().cast(CENTERS).alias("_centers"), F.monotonically_increasing_id().alias("_id")))
+        races = _met(blocks, base, keys, extra).mapInArrow(draws(count), f"_id long, {found}")
+        best = races.groupBy("_id").agg(*[F.max_by(f"_f{r}", F.struct(F.col(f"_f{r}.race"), -F.col(f"_f{r}.pid"))).alias(f"_p{r}") for r in each])
+        added = F.array(*[center(r, count, False, lambda c, r=r: F.col(f"_p{r}.{c}")) for r in each])
+        joined = base.join(best.hint("merge"), "_id", "left")
+        grown = F.when(F.col("_p0").isNull(), F.col("_centers")).otherwise(F.array_sort(F.concat("_centers", added)))
+        base = cut_lineage(joined.select(*keys, "_id", grown.alias("_centers")))
         count += 1
     return base
 
 
 def best_clustering(points: DataFrame, keys: list[str], k: int, fixed: DataFrame | None, seed: int, restarts: int = 4) -> DataFrame:
     """Centres of the restart with the least total error per key."""
-    centers = kmeans_runs(points, seed_runs(points, keys, k, fixed, seed, restarts), keys, restarts)
-    errors = nearest_runs(points, centers, keys, restarts).groupBy(*keys).agg(*[F.sum(f"_d{r}").alias(f"_e{r}") for r in range(restarts)])
+    blocks = point_blocks(points, keys, restarts)
+    packed = _settle(blocks.select(*keys, *[f"_{c}" for c in LAB]), _seeds(blocks, keys, k, fixed, seed, restarts), keys, restarts, ITERATIONS)
+    packed = cut_lineage(packed.withColumn("_id", F.monotonically_increasing_id()))
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, BLOCK):
+                batch = whole.slice(at, BLOCK)
+                row, _, found = _nearest(batch, restarts)
+                sums = [np.bincount(row, weights=np.nan_to_num(d2), minlength=batch.num_rows) for _, d2 in found]
+                yield pa.record_batch([batch.column("_id"), *map(pa.array, sums)], names=["_id", *[f"_e{r}" for r in range(restarts)]])
+
+    errors = _met(blocks, packed, keys, []).mapInArrow(run, "_id long, " + ", ".join(f"_e{r} double" for r in range(restarts)))
+    errors = errors.groupBy("_id").agg(*[F.sum(f"_e{r}").alias(f"_e{r}") for r in range(restarts)])
     least = F.array_min(F.array(*[F.struct(F.col(f"_e{r}").alias("e"), F.lit(r).alias("restart")) for r in range(restarts)]))
-    best = errors.select(*keys, least["restart"].alias("restart"))
-    return cut_lineage(centers.join(best, [*keys, "restart"]).drop("restart"))
+    best = packed.join(errors.select("_id", least["restart"].alias("_best")).hint("merge"), "_id")
+    return cut_lineage(_unpack(best.select(*keys, F.filter("_centers", lambda c: c["restart"] == F.col("_best")).alias("_centers")), keys).drop("restart"))
 
 
 # ---- cluster colours ----
@@ -411,7 +555,7 @@ def auto_palette(
     kept), turns clusters into candidate colours, ranks their combinations and
     takes the wanted one.
     """
-    points = points.select(*keys, "pid", *LAB)
+    points = cut_lineage(points.select(*keys, "pid", *LAB))
     keep = paper_hex is not None
     fixed = None
     if keep:
@@ -419,7 +563,7 @@ def auto_palette(
 
     def clustered(rows: DataFrame, k: int, pinned: DataFrame | None, seed: int) -> tuple[DataFrame, DataFrame]:
         centers = best_clustering(rows, keys, k, pinned, seed)
-        return centers, nearest_center(rows, centers, keys)
+        return centers, cut_lineage(nearest_center(rows, centers, keys))
 
     def papers_of(centers: DataFrame) -> DataFrame:
         pick = F.max_by(F.struct(*LAB), F.when(F.col("fixed"), num(1e9)).otherwise(F.col("l")))
@@ -452,7 +596,7 @@ def auto_palette(
         pick = vivid if style == "vibrant" else strong
         named = vivid.withColumnsRenamed({c: f"v_{c}" for c in LAB})
         main = shares.where(~F.col("is_paper")).join(pick, [*keys, "cluster"]).join(named, [*keys, "cluster"])
-        bright = colorful(points, keys)
+        bright = cut_lineage(colorful(points, keys))
         squashed, members = clustered(bright, 8, None, 211)
         members = members.withColumn("l", F.col("l") * 2)
         counts = members.groupBy(*keys, "cluster").agg(F.count("*").alias("n")).join(inked, keys)
