@@ -168,3 +168,40 @@ def test_bitmap_keeps_all_that_are_wanted_and_few_others(spark):
         assert wanted.where("doc_id IS NOT NULL").exceptAll(got).isEmpty()
         assert got.count() < wanted.count() + 100
         assert minhash._perhaps_in(rows, wanted.limit(0), col).isEmpty()
+
+
+def test_sketches_never_rule_out_what_is_shared():
+    rng = np.random.default_rng(4)
+    pool = rng.integers(0, 2**63, 6000, dtype=np.uint64)
+    for na, nb, common in [(1, 1, 1), (1, 1, 0), (1, 9, 1), (255, 257, 250), (300, 500, 300), (1000, 1100, 700), (2049, 2040, 1900)]:
+        a, b = pool[:na], pool[na - common : na - common + nb]
+        most = minhash._most_common(na, minhash._sketch(a), nb, minhash._sketch(b))
+        assert common <= most <= common + 0.35 * (min(na, nb) - common) + 1
+
+
+def test_sets_travel_only_for_pairs_that_may_be_near(spark, monkeypatch):
+    # Texts of the first kind share keys by chance and few of them are near.
+    base = prose(9, 300)
+    texts = {i: edited(base, 12, i) for i in range(120)} | {200 + i: edited(prose(10, 300), i % 2, i) for i in range(20)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    seen, confirmed = [], minhash._confirmed
+
+    def spy(pairs, sets, percent):
+        seen.extend((r.a, r.b) for r in pairs.collect())
+        return confirmed(pairs, sets, percent)
+
+    monkeypatch.setattr(minhash, "_confirmed", spy)
+    got = {r.doc_id: r.component_id for r in minhash.near_classes(docs).collect()}
+    sets, links = near(texts)
+    want = classes_of(texts, links)
+    assert got == want
+    least = lambda a, b: 100 * len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert seen and all(least(a, b) >= 75 for a, b in seen)
+
+
+def test_blocks_hold_documents_by_their_open_keys_only(spark):
+    # All have the same set and half keys; keys 8 and 9 belong to the second half key of the first collection, 0 and 63 to others.
+    halves = [5, 7, *range(10, 16), 5, 7, *range(20, 26)]
+    docs = spark.createDataFrame([(1, 1, 3, halves, 1 << 8), (2, 2, 3, halves, 3 << 8), (3, 3, 3, halves, -(2**63)), (4, 4, 3, halves, 1)], "doc_id long, label long, n_shingles long, half_keys array<long>, open long")
+    sets = docs.select("doc_id", F.expr("transform(sequence(1L, 3L), x -> shiftleft(x, 40))").alias("shingles"))
+    assert [(r.a, r.b) for r in minhash._links_in_blocks(docs, sets, 85).collect()] == [(1, 2)]

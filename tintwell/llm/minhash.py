@@ -24,6 +24,8 @@ OFFSETS = _rng.integers(1, 2**63, 2 * HALVES * HASHES, dtype=np.uint64)
 PAIRS_PER_ROW = 4
 #: Most documents and shingles on a side of a block, on average, and shingles of a matrix, that are compared at a time.
 BLOCK, BLOCK_SHINGLES, COLUMNS = 1024, 1 << 19, 2048
+#: Least cells of a shingle in a sketch.
+CELLS = 4
 #: Bits of a bitmap that every task gets, of 8 MB whatever the data; Spark builds bitmaps of 2 ** 15 bits, one a row.
 BITS, ROW_BITS = 1 << 26, 1 << 15
 
@@ -62,18 +64,35 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """doc_id and full shingle set of the documents in `ids`."""
+    """doc_id, n (its shingles), sketch and full shingle set of the documents in `ids`."""
 
     def run(batches):
         for batch in slices(batches):
-            sets = [shingle_set(w, width).view(np.int64) for w in word_hashes(batch["text"])]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("int64"), "shingles": sets})
+            sets = [shingle_set(w, width) for w in word_hashes(batch["text"])]
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("int64"), "n": list(map(len, sets)), "sketch": list(map(_sketch, sets)), "shingles": [s.view(np.int64) for s in sets]})
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     wanted = _perhaps_in(texts, ids, "doc_id").join(ids.select("doc_id"), "doc_id", "left_semi")
     # The join has dealt the rows by id, so one of each is kept without another shuffle.
     once = wanted.dropDuplicates(["doc_id"])
-    return _texts(once, "doc_id", "text").mapInPandas(run, "doc_id long, shingles array<long>")
+    return _texts(once, "doc_id", "text").mapInPandas(run, "doc_id long, n long, sketch binary, shingles array<long>")
+
+
+def _sketch(shingles: np.ndarray) -> bytes:
+    """A bitmap of a power of two of cells, CELLS to 2 * CELLS for a shingle, with those set that a shingle's lowest bits name."""
+    cells = np.zeros(max(8, CELLS << (len(shingles) - 1).bit_length()), dtype=bool)
+    cells[(shingles & np.uint64(len(cells) - 1)).astype(np.int64)] = True
+    return np.packbits(cells).tobytes()
+
+
+def _most_common(na: int, a: bytes, nb: int, b: bytes) -> int:
+    """No fewer shingles than two sets of these sizes and sketches share: those in a cell that the other leaves empty are not shared."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] | y[len(y) // 2 :]
+    return min(na - int(np.bitwise_count(x & ~y).sum()), nb - int(np.bitwise_count(y & ~x).sum()))
 
 
 def _perhaps_in(rows: DataFrame, wanted: DataFrame, col: str) -> DataFrame:
@@ -94,8 +113,23 @@ def _perhaps_in(rows: DataFrame, wanted: DataFrame, col: str) -> DataFrame:
     return rows.alias("rows").join(F.broadcast(maps).alias("maps"), (part == F.col("maps.part")) & meets, "left_semi")
 
 
+def _likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sketches leave room for enough shared shingles: all that are similar enough, and few others."""
+
+    def run(batches):
+        for batch in slices(batches):
+            common = np.fromiter(map(_most_common, batch["na"], batch["ka"], batch["nb"], batch["kb"]), np.int64, len(batch))
+            yield batch.loc[100 * common >= percent * (batch["na"] + batch["nb"] - common), ["a", "b"]]
+
+    left = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka"))
+    right = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb"))
+    return pairs.join(left, "a").join(right, "b").mapInPandas(run, "a long, b long")
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
+    """The pairs (a, b) whose sets are similar enough. Only sets of documents in a pair are shuffled; `pairs` is read more than once."""
+    ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
+    sets = _perhaps_in(sets.select("doc_id", "shingles"), ends, "doc_id")
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(left, "a").join(right, "b")
@@ -104,10 +138,15 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _table_keys(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, label and key: a row for each pair of a half key of the first collection and one of the second."""
+    """doc_id, n_shingles, label, key and its number `at`: a row for each pair of a half key of the first collection and one of
+    the second; where there is a column `open`, for those whose bit it has set."""
     first, second = F.slice("half_keys", 1, HALVES), F.slice("half_keys", HALVES + 1, HALVES)
     keys = F.flatten(F.transform(first, lambda a, i: F.transform(second, lambda b, j: F.xxhash64(a, b, i * HALVES + j))))
-    return docs.where(F.size("half_keys") > 0).select("doc_id", "n_shingles", "label", F.explode(keys).alias("key"))
+    rows = docs.where(F.size("half_keys") > 0)
+    if "open" not in docs.columns:
+        return rows.select("doc_id", "n_shingles", "label", F.posexplode(keys).alias("at", "key"))
+    rows = rows.select("doc_id", "n_shingles", "label", "open", F.posexplode(keys).alias("at", "key"))
+    return rows.where(F.getbit("open", F.col("at")) == 1).drop("open")
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -120,7 +159,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     each two classes. So every pair that shares a table key is either compared or already connected, and the rows made
     grow with the buckets, not with their squares.
 
-    Classes carry their labels on one row a document; only the aggregates of a round see a row for each key.
+    Classes carry their labels on one row a document, with the keys that are still open as 64 bits; only the aggregates of
+    a round see a row for each open key. Sets are shuffled only for pairs that their sketches do not rule out.
 
     Null and empty texts have no shingles and link with nothing; very long texts are compared whole. Pairs of exactly the
     least similarity link; a class is named by its smallest id, so ties do not matter. A null id is its own class; rows
@@ -147,26 +187,29 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if not left:
             break
         now = written(_perhaps_in(keys, open_keys, "key").join(open_keys.select("key"), "key", "left_semi"), "members")
+        # A key that is closed stays so, as classes only grow.
+        open_docs = written(now.groupBy("doc_id").agg(F.expr("bit_or(shiftleft(1L, at))").alias("open")), "open-docs")
         if sets is None:
-            sets = written(_shingle_sets(docs, now.select("doc_id").distinct(), id_col, text_col, width), "sets")
+            sets = written(_shingle_sets(docs, open_docs, id_col, text_col, width), "sets")
+            docs_open = _perhaps_in(docs_open, open_docs, "doc_id")
+        docs_open = docs_open.drop("open").join(open_docs, "doc_id")
         few = left <= PAIRS_PER_ROW * held
         if not few and before and left > before / 2:
-            ids = now.select("doc_id", "label").distinct()
-            blocks = written(_links_in_blocks(ids.join(firsts.select("doc_id", "half_keys"), "doc_id").join(sets, "doc_id"), percent), "near")
+            blocks = written(_links_in_blocks(docs_open, _perhaps_in(sets, open_docs, "doc_id"), percent), "near")
             found = found.unionByName(written(_confirmed(blocks.distinct(), sets, percent), "links"))
             break
         pairs = _all_between(now) if few else _with_pivots(now)
         size = lambda x, y: F.least(x, y) * 100 >= percent * F.greatest(x, y)
         pairs = pairs.where(size(F.col("na"), F.col("nb"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = written(_confirmed(pairs, sets, percent), "links")
+        links = written(_confirmed(written(_likely(pairs, sets, percent), "likely"), sets, percent), "links")
         found = links if found is None else found.unionByName(links)
         if few:
             break
         before = left
         # Labels join one row a document; its keys follow from its half keys. Who has an open key has all those of its bucket beside it.
         labels = components(found).select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
-        still = firsts.join(now.select("doc_id").distinct(), "doc_id", "left_semi").join(labels, "doc_id", "left")
-        docs_open = written(still.withColumn("label", F.coalesce("label", "doc_id")).select("doc_id", "n_shingles", "half_keys", "label"), "labelled")
+        still = docs_open.drop("label").join(labels, "doc_id", "left")
+        docs_open = written(still.withColumn("label", F.coalesce("label", "doc_id")), "labelled")
     if found is not None:
         edges = edges.unionByName(found)
     classes = components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
@@ -175,17 +218,19 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _links_in_blocks(docs: DataFrame, percent: int) -> DataFrame:
+def _links_in_blocks(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between classes among documents that share a table key, compared in blocks of about BLOCK by BLOCK at most.
 
-    Documents meet by the half keys of the first collection; inside a block, those count that also share one of the
-    second. They carry the upper halves of their shingle hashes; links are confirmed on full sets later. A block's output
+    Documents meet by the half keys of the first collection that an open key of theirs has; inside a block, those count
+    that also share one of the second. They carry the upper halves of their shingle hashes; links are confirmed on full sets later. A block's output
     is the closest pair of each two classes, however many pairs are similar.
     """
+    halves = F.posexplode(F.slice("half_keys", 1, HALVES)).alias("i", "half")
+    of_open = F.expr(f"(shiftrightunsigned(open, {HALVES} * i) & {(1 << HALVES) - 1}) <> 0")
     upper = F.transform("shingles", lambda h: F.shiftright(h, 32).cast("int"))
-    brief = docs.select("doc_id", "label", F.size("shingles").alias("n"), upper.alias("brief"), "half_keys")
-    first = brief.select("doc_id", "label", "n", "brief", F.slice("half_keys", HALVES + 1, HALVES).alias("second"), F.posexplode(F.slice("half_keys", 1, HALVES)).alias("i", "half"))
-    own = docs.select("doc_id", "label", F.size("shingles").alias("n"), F.posexplode(F.slice("half_keys", 1, HALVES)).alias("i", "half"))
+    brief = docs.join(sets.select("doc_id", upper.alias("brief")), "doc_id").withColumnRenamed("n_shingles", "n")
+    first = brief.select("doc_id", "label", "n", "brief", "open", F.slice("half_keys", HALVES + 1, HALVES).alias("second"), halves).where(of_open).drop("open")
+    own = docs.select("label", F.col("n_shingles").alias("n"), "open", halves).where(of_open)
     sizes = own.groupBy("i", "half").agg(F.count("*").alias("docs"), F.sum("n").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
     sizes = sizes.select("i", "half", F.ceil(F.greatest(F.col("docs") / BLOCK, F.col("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
